@@ -88,8 +88,13 @@ def ragged_take(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tup
     return flat[np.arange(ends[-1]) + shift], lengths
 
 
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
 def arrow_type(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    """The Arrow schema of a flat DDL string, without a session (workers have none)."""
+
+    def of(name: str) -> pa.DataType:
+        return pa.list_(of(name[6:-1])) if name.startswith("array<") else _TYPES[name]
 
-    return to_arrow_schema(_parse_datatype_string(ddl))
+    return pa.schema([(name, of(kind)) for name, kind in (column.split() for column in ddl.split(", "))])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from . import warc
+from .bpe_trie import op6_trie_bpe
 from .packing import op10_best_two_fit
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op3_warc_transactions": warc.op3_warc_transactions,
+    "op6_trie_bpe": op6_trie_bpe,
     "op8_token_files": op8_token_files,
     "op10_best_two_fit": op10_best_two_fit,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_transactions": warc.ORACLE,
+}

@@ -5,12 +5,16 @@ from __future__ import annotations
 from . import warc
 from .bpe_trie import op6_trie_bpe
 from .packing import op10_best_two_fit
+from .quality import op9_ngram_perplexity
+from .sharding import op5_label_propagation
 from .token_files import op8_token_files
 
 QUERIES = {
     "op3_warc_transactions": warc.op3_warc_transactions,
+    "op5_label_propagation": op5_label_propagation,
     "op6_trie_bpe": op6_trie_bpe,
     "op8_token_files": op8_token_files,
+    "op9_ngram_perplexity": op9_ngram_perplexity,
     "op10_best_two_fit": op10_best_two_fit,
 }
 

@@ -88,7 +88,7 @@ def ragged_take(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tup
     return flat[np.arange(ends[-1]) + shift], lengths
 
 
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "float": pa.float32()}
 
 
 def arrow_type(ddl: str) -> pa.Schema:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import epsilon_grid, warc
 from .bpe_trie import op6_trie_bpe
 from .packing import op10_best_two_fit
 from .quality import op9_ngram_perplexity
@@ -10,6 +10,7 @@ from .sharding import op5_label_propagation
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op2_epsilon_grid": epsilon_grid.op2_epsilon_grid,
     "op3_warc_transactions": warc.op3_warc_transactions,
     "op5_label_propagation": op5_label_propagation,
     "op6_trie_bpe": op6_trie_bpe,
@@ -19,5 +20,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_epsilon_grid": epsilon_grid.ORACLE,
     "op3_warc_transactions": warc.ORACLE,
 }

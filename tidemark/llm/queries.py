@@ -8,8 +8,10 @@ from .packing import op10_best_two_fit
 from .quality import op9_ngram_perplexity
 from .sharding import op5_label_propagation
 from .token_files import op8_token_files
+from .wrappers import op1_wrapper_extraction
 
 QUERIES = {
+    "op1_wrapper_extraction": op1_wrapper_extraction,
     "op2_epsilon_grid": epsilon_grid.op2_epsilon_grid,
     "op3_warc_transactions": warc.op3_warc_transactions,
     "op5_label_propagation": op5_label_propagation,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import epsilon_grid, warc
+from . import epsilon_grid, line_runs, warc
 from .bpe_trie import op6_trie_bpe
 from .packing import op10_best_two_fit
 from .quality import op9_ngram_perplexity
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_wrapper_extraction": op1_wrapper_extraction,
     "op2_epsilon_grid": epsilon_grid.op2_epsilon_grid,
     "op3_warc_transactions": warc.op3_warc_transactions,
+    "op4_line_runs": line_runs.op4_line_runs,
     "op5_label_propagation": op5_label_propagation,
     "op6_trie_bpe": op6_trie_bpe,
     "op8_token_files": op8_token_files,
@@ -24,4 +25,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_epsilon_grid": epsilon_grid.ORACLE,
     "op3_warc_transactions": warc.ORACLE,
+    "op4_line_runs": line_runs.ORACLE,
 }

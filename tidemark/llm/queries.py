@@ -8,6 +8,7 @@ from .packing import op10_best_two_fit
 from .quality import op9_ngram_perplexity
 from .sharding import op5_label_propagation
 from .token_files import op8_token_files
+from .weighted_minhash import op7_weighted_minhash
 from .wrappers import op1_wrapper_extraction
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_line_runs": line_runs.op4_line_runs,
     "op5_label_propagation": op5_label_propagation,
     "op6_trie_bpe": op6_trie_bpe,
+    "op7_weighted_minhash": op7_weighted_minhash,
     "op8_token_files": op8_token_files,
     "op9_ngram_perplexity": op9_ngram_perplexity,
     "op10_best_two_fit": op10_best_two_fit,

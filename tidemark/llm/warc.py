@@ -29,6 +29,8 @@ from .common import arrow_type, fresh_path, materialize, read_table
 LEAST_REVISIT = 100
 #: A file is closed once it holds this many bytes, so that one task reads it in bounded memory and time.
 FILE_BYTES = 8 << 20
+#: Compressed bytes given to the decompressor at once.
+STEP = 1 << 14
 FILES = "path string, n_records long, n_bytes long"
 RECORDS = "record_id string, record_type string, target_uri string, concurrent_to array<string>, refers_to string, date string, payload_digest string, payload_bytes long, fields string, page_id long, payload binary"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,19 +49,18 @@ def record(kind: str, record_id: str, block: bytes, headers: list[tuple[str, str
 def records(raw: bytes):
     """(headers, block) of each record of an archive, whether its gzip members hold one record or many, or it isn't compressed."""
     if raw[:2] == b"\x1f\x8b":
-        parts = []
-        while raw:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(raw))
+        at, text = 0, b""
+        while at < len(raw):
+            member, parts = zlib.decompressobj(31), [text]
+            while not member.eof and at < len(raw):
+                parts.append(member.decompress(raw[at : at + STEP]))
+                at = min(at + STEP, len(raw))
             if not member.eof:
                 raise ValueError("the archive ends within a gzip member")
-            raw = member.unused_data.lstrip(b"\0")
-            text = b"".join(parts)
-            yield from (found := list(_plain(text)))[:-1]
-            parts = [found[-1]]
-            if not parts[0]:
-                parts = []
-        if parts and parts[0].strip():
+            at -= len(member.unused_data)
+            *whole, text = _plain(b"".join(parts))
+            yield from whole
+        if text.strip():
             raise ValueError("the archive ends within a record")
     else:
         found = list(_plain(raw))
@@ -156,9 +157,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_pylist([row], schema=arrow_type(FILES))
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                page_id, url, html, digest, first = (batch.column(c)[i].as_py() for c in ("page_id", "url", "html", "digest", "first_id"))
-                new = capture_records(page_id, url, html.encode(), digest, first)
+            rest = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "first_id")]
+            for html, page_id, url, digest, first in zip(batch.column("html"), *rest, strict=True):
+                new = capture_records(page_id, url, html.as_py().encode(), digest, first)
                 if not held and not number:
                     store.create_dir(base, recursive=True)
                 held += new

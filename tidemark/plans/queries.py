@@ -1,0 +1,504 @@
+"""Every registered query with the SQL that DuckDB holds it against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.dates import relative
+from ..functions.kernels import chunks, line_preview
+from ..functions.text import normalize_for_hash, preview
+from ..operators import cost, duplicates, lifecycle, merge, rollups, search, similarity, topics
+from ..operators import sessions as S
+from ..streaming import activity
+from ..schema import DAY_MS, PROBE
+from . import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _r(c: str, digits: int = 4):
+    return F.round(c, digits).alias(c)
+
+
+def _usd(x: str) -> str:
+    return f"coalesce(sum(CAST({x} AS DECIMAL(18, 8)))::DOUBLE, 0)"
+
+
+_EST = "CASE WHEN total_cost_usd IS NULL THEN cost END"
+_SUMS = f"count(*) AS sessions, {_usd('total_cost_usd')} AS exact_usd, {_usd(_EST)} AS estimate_usd"
+_MONEY = ["exact_usd", "estimate_usd"]
+
+
+@query(f"""WITH {V.PRICED}, m AS (SELECT coalesce(model, '(unknown)') AS model, {_SUMS}, coalesce(sum(output), 0)::BIGINT AS output_tokens, {_usd("cost")} AS c FROM priced GROUP BY 1)
+SELECT model, sessions, exact_usd, estimate_usd, output_tokens, round(c / sum(c) OVER (), 6) AS share FROM m""")
+def cost_by_model(spark, sf):
+    return cost.by_model(V.priced(spark, sf)).select("model", "sessions", *_MONEY, "output_tokens", _r("share", 6))
+
+
+@query(f"""WITH {V.PRICED} SELECT strftime(make_timestamp(updated_at * 1000), '%Y-%m') AS month, upper(strftime(make_timestamp(updated_at * 1000), '%b')) AS label, {_SUMS} FROM priced WHERE cost IS NOT NULL GROUP BY 1, 2""")
+def cost_by_month(spark, sf):
+    return cost.by_month(V.priced(spark, sf)).select("month", "label", "sessions", *_MONEY)
+
+
+@query(f"""WITH {V.PRICED}, p AS (SELECT coalesce(project, '__untagged__') AS project, count(*) AS n, {_usd('total_cost_usd')} AS e, {_usd(_EST)} AS x FROM priced GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY e + x DESC, project) AS k FROM p)
+SELECT CASE WHEN k <= 8 THEN project ELSE '__rest__' END AS project, sum(n)::BIGINT AS sessions, {_usd('e')} AS exact_usd, {_usd('x')} AS estimate_usd, count(*)::INT AS n_projects FROM k GROUP BY 1""")
+def cost_by_project_top8(spark, sf):
+    return cost.by_project(V.priced(spark, sf)).select("project", "sessions", *_MONEY, "n_projects")
+
+
+@query(f"WITH {V.PRICED} SELECT unknown_model AS model, count(*) AS sessions FROM priced WHERE unknown_model IS NOT NULL GROUP BY 1")
+def unknown_models(spark, sf):
+    return cost.unknown_models(V.priced(spark, sf))
+
+
+@query(f"""WITH {V.PRICED} SELECT id, pick AS model_id_used, input_usd, output_usd, cache_write_usd, cache_read_usd, note
+FROM priced WHERE total_cost_usd IS NULL AND cost IS NOT NULL""")
+def cost_breakdown(spark, sf):
+    b = V.priced(spark, sf).where("cost_breakdown IS NOT NULL").select("id", "cost_breakdown.*")
+    return b.select("id", "model_id_used", "input_usd", "output_usd", "cache_write_usd", "cache_read_usd", "note")
+
+
+@query(f"WITH {V.PRICED} SELECT id, source, title, cost FROM priced WHERE cost IS NOT NULL ORDER BY cost DESC, id LIMIT 20")
+def top_expensive_sessions(spark, sf):
+    return cost.most_expensive(V.priced(spark, sf)).select("id", "source", "title", "cost")
+
+
+@query(f"""WITH {V.PRICED}, p AS (SELECT project FROM priced WHERE coalesce(project, '') <> '' GROUP BY 1 ORDER BY count(*) DESC, min(pos) LIMIT 1), e AS (SELECT event_type AS tool FROM events GROUP BY 1 ORDER BY count(*) DESC, min(event_id) LIMIT 1)
+SELECT {_SUMS}, coalesce(sum(output), 0)::BIGINT AS output_tokens, count(*) FILTER (WHERE coalesce(project, '') <> '') AS tagged, (SELECT project FROM p) AS top_project, (SELECT tool FROM e) AS top_tool FROM priced""")
+def kpi_summary(spark, sf):
+    k = cost.kpis(V.priced(spark, sf), V.tools(spark, sf))
+    return k.select("sessions", *_MONEY, "output_tokens", "tagged", "top_project", "top_tool")
+
+
+_WEEK = "(updated_at - ((updated_at + 345600000) % 604800000 + 604800000) % 604800000)"
+_WEEKS = f"s AS ({V.SESSIONS}), c AS (SELECT {_WEEK} AS week, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE source = '{x}') AS {x.replace('-', '_')}" for x in ("cloud", "cowork", "cli-direct", "cli-desktop")) + " FROM s GROUP BY 1), w AS (SELECT unnest(generate_series(min(week), max(week), 604800000)) AS week FROM c)"
+
+
+@query(f"WITH {_WEEKS} SELECT week, coalesce(n, 0) AS n FROM w LEFT JOIN c USING (week)")
+def weekly_activity(spark, sf):
+    return rollups.weekly(V.sessions(spark, sf))
+
+
+@query(f"WITH {_WEEKS} SELECT week, coalesce(cloud, 0) AS cloud, coalesce(cowork, 0) AS cowork, coalesce(cli_direct, 0) AS cli_direct, coalesce(cli_desktop, 0) AS cli_desktop FROM w LEFT JOIN c USING (week)")
+def weekly_by_source(spark, sf):
+    return rollups.weekly_by_source(V.sessions(spark, sf))
+
+
+_VISIBLE = f"{_WEEKS}, v AS (SELECT {_WEEK} AS week, count(*) AS visible FROM s WHERE user_turns > 0 AND source IN ('cloud', 'cowork') GROUP BY 1), b AS (SELECT week, coalesce(n, 0) AS total, coalesce(visible, 0) AS visible FROM w LEFT JOIN c USING (week) LEFT JOIN v USING (week))"
+
+
+@query(f"WITH {_VISIBLE} SELECT week, total, visible FROM b")
+def visible_weeks(spark, sf):
+    df = V.sessions(spark, sf)
+    return rollups.visible_weeks(df, search.filter_sessions(df, sources=["cloud", "cowork"]))
+
+
+@query(f"WITH {_VISIBLE} SELECT sum(total)::BIGINT AS total, sum(visible)::BIGINT AS visible, max(total) AS peak, arg_min(week, (-total, week)) AS peak_week, count(*) AS weeks, round(sum(total) / count(*), 6) AS per_week FROM b")
+def timeline_stats(spark, sf):
+    return rollups.timeline_stats(visible_weeks(spark, sf)).withColumn("per_week", F.round("per_week", 6))
+
+
+@query(f"""WITH {_WEEKS}, m AS (SELECT week, month(make_timestamp(week * 1000))::INT AS month, year(make_timestamp(week * 1000))::INT AS year FROM w), l AS (SELECT *, lag(month) OVER (ORDER BY week) AS pm, lag(year) OVER (ORDER BY week) AS py FROM m)
+SELECT week, month, CASE WHEN py IS NULL OR py <> year THEN year END AS year FROM l WHERE py IS NULL OR py <> year OR pm <> month""")
+def month_ticks(spark, sf):
+    return rollups.month_ticks(rollups.weekly(V.sessions(spark, sf)))
+
+
+_FACETS = f"s AS ({V.SESSIONS}), f AS (SELECT 'project' AS facet, CASE WHEN coalesce(project, '') <> '' THEN project ELSE '(unknown)' END AS value, count(*) AS n FROM s GROUP BY 2 UNION ALL SELECT 'topic', topic, count(*) FROM s WHERE topic IS NOT NULL GROUP BY 2)"
+
+
+@query(f"WITH {_FACETS} SELECT facet, value, n FROM f")
+def facet_counts(spark, sf):
+    return rollups.facet_counts(V.sessions(spark, sf))
+
+
+@query(f"""WITH {_FACETS}, r AS (SELECT *, value IN ('project-39', '~topic-4') AS pinned, row_number() OVER (PARTITION BY facet ORDER BY (value IN ('project-39', '~topic-4')) DESC, n DESC, value) AS k FROM f)
+SELECT facet, CASE WHEN pinned OR k <= 8 THEN value ELSE '(rest)' END AS value, sum(n)::BIGINT AS n, count(*) AS "values" FROM r GROUP BY 1, 2""")
+def facet_top8_pinned(spark, sf):
+    return rollups.capped_facets(rollups.facet_counts(V.sessions(spark, sf)), 8, ["project-39", "~topic-4"])
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, title, source FROM s WHERE user_turns > 0 AND (contains(lower(title), 'revisit order 1') OR contains(lower(preview), 'revisit order 1') OR contains(lower(coalesce(project, '')), 'revisit order 1'))")
+def search_sessions(spark, sf):
+    return search.filter_sessions(V.sessions(spark, sf), "  Revisit ORDER 1", columns=("title", "preview", "project"), tools=None, models=None).select("id", "title", "source")
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, project, topic, source FROM s WHERE user_turns > 0 AND source IN ('cloud', 'cli-direct') AND (project IN ('project-2', 'project-12') OR coalesce(project, '') = '') AND topic IN ('~topic-0', '~topic-2')")
+def facet_filter(spark, sf):
+    return search.filter_sessions(V.sessions(spark, sf), sources=["cloud", "cli-direct"], projects=["project-2", "project-12"], unknown_project=True, topics=["~topic-0", "~topic-2"]).select("id", "project", "topic", "source")
+
+
+_PAGE = f"s AS ({V.SESSIONS}), p AS (SELECT *, row_number() OVER (ORDER BY user_turns DESC, updated_at DESC, pos) AS rank FROM s)"
+
+
+@query(f"WITH {_PAGE} SELECT rank::INT AS rank, id, user_turns FROM p WHERE rank <= 50")
+def sorted_page(spark, sf):
+    return search.ranked_page(V.sessions(spark, sf), "turns").select("rank", "id", "user_turns")
+
+
+@query(f"WITH {_PAGE} SELECT id, rank::INT AS rank, CASE WHEN rank > 1 THEN lag(id) OVER (ORDER BY rank) END AS previous_id, CASE WHEN rank < 50 THEN lead(id) OVER (ORDER BY rank) END AS next_id FROM p WHERE rank <= 50")
+def neighbor_ids(spark, sf):
+    return search.neighbours(V.sessions(spark, sf), "turns")
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, source, project FROM s ORDER BY coalesce(project, '~~') = '~~' DESC, project, updated_at DESC, pos LIMIT 50")
+def project_page(spark, sf):
+    return search.page(V.sessions(spark, sf).where("coalesce(project, 'x') <> ''"), "project").select("id", "source", "project")
+
+
+ORACLES["project_page"] = f"WITH s AS ({V.SESSIONS}) SELECT id, source, project FROM s WHERE coalesce(project, 'x') <> '' ORDER BY (project IS NULL) DESC, project, updated_at DESC, pos LIMIT 50"
+
+_TURNS = "SELECT conv_id AS id, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns, arg_min(text, turn) FILTER (WHERE role = 'user' AND text <> '') AS t FROM conversations GROUP BY 1"
+
+
+@query(f"SELECT id, user_turns, assistant_turns FROM ({_TURNS})")
+def session_turns(spark, sf):
+    return S.turn_counts(V.messages(spark, sf)).select("id", "user_turns", "assistant_turns")
+
+
+@query(rf"SELECT id, nullif(left(trim(regexp_replace(t, '\s+', ' ', 'g')), 200), '') AS preview FROM ({_TURNS})")
+def session_preview(spark, sf):
+    return S.turn_counts(V.messages(spark, sf)).select("id", preview(F.col("first_human_text")).alias("preview"))
+
+
+@query("SELECT user_id AS id, event_type AS tool, count(*) AS n, min(event_id) AS pos FROM events GROUP BY 1, 2")
+def tool_histogram(spark, sf):
+    return V.tools(spark, sf)
+
+
+@query("SELECT id, string_agg(concat(tool, ' ', n), ', ' ORDER BY n DESC, tool) AS tools FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, tool) AS k FROM (SELECT user_id AS id, event_type AS tool, count(*) AS n FROM events GROUP BY 1, 2)) WHERE k <= 3 GROUP BY 1")
+def top3_tools(spark, sf):
+    maps = V.tools(spark, sf).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tool", "n"))).alias("m"))
+    return maps.select("id", search.top_tools(F.col("m")).alias("tools"))
+
+
+@query(f"WITH s AS ({V.SESSIONS}), n AS (SELECT unnest(['cloud', 'cowork', 'cli-direct', 'cli-desktop']) AS source) SELECT n.source, count(s.id) AS n FROM n LEFT JOIN s ON s.source = n.source AND id % 3 = 0 AND id % 4 <> 1 GROUP BY 1")
+def source_counts(spark, sf):
+    return rollups.source_counts(V.sessions(spark, sf).where("id % 3 = 0 AND id % 4 <> 1"))
+
+
+def _merge_parts(spark, sf):
+    s = V.sessions(spark, sf).select("id", "source", "project", "topic", "title", "pos")
+    stub = s.where("id % 2 = 0").select("id", "source", F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("topic"), F.lit("stub").alias("title"), "pos")
+    again = s.where("id % 3 = 0").withColumn("title", F.concat("title", F.lit(" again")))
+    return ("cowork", stub), ("cli-direct", s), ("cloud", again)
+
+
+_MERGE = f"""s AS ({V.SESSIONS}), u AS (
+  SELECT id, source, NULL AS project, NULL AS topic, 'stub' AS title, pos, 0 AS part FROM s WHERE id % 2 = 0
+  UNION ALL SELECT id, source, project, topic, title, pos, 2 FROM s
+  UNION ALL SELECT id, source, project, topic, concat(title, ' again'), pos, 3 FROM s WHERE id % 3 = 0)"""
+
+
+@query(f"WITH {_MERGE} SELECT id, source, project, topic, title, pos FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY (project IS NOT NULL)::INT + (topic IS NOT NULL)::INT DESC, part DESC) AS k FROM u) WHERE k = 1")
+def merge_richest(spark, sf):
+    return merge.merge_sources(*_merge_parts(spark, sf))
+
+
+@query(f"""WITH s AS ({V.SESSIONS}), u AS (SELECT id, updated_at, 'old' AS side, 1 AS p FROM s WHERE id % 2 = 0 UNION ALL SELECT id, updated_at + (id % 3 - 1) * 1000, 'new', 0 FROM s WHERE id % 4 < 3)
+SELECT id, updated_at, side FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, p DESC) AS k FROM u) WHERE k = 1""")
+def upload_merge_newest(spark, sf):
+    s = V.sessions(spark, sf)
+    old = s.where("id % 2 = 0").select("id", "updated_at", F.lit("old").alias("side"))
+    new = s.where("id % 4 < 3").select("id", (F.col("updated_at") + (F.col("id") % 3 - 1) * 1000).alias("updated_at"), F.lit("new").alias("side"))
+    return merge.merge_uploads(old, new)
+
+
+@query(f"""WITH s AS ({V.SESSIONS}), u AS (SELECT id, 'old' AS side, 0 AS p, updated_at FROM s WHERE id % 2 = 0 UNION ALL SELECT id, 'new', 1, updated_at FROM s WHERE id % 4 < 3)
+SELECT id, updated_at, side FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, p DESC) AS k FROM u) WHERE k = 1""")
+def upload_merge_bodies(spark, sf):
+    s = V.sessions(spark, sf)
+    side = lambda cond, name: s.where(cond).select("id", "updated_at", F.lit(name).alias("side"))
+    return merge.merge_uploads(side("id % 2 = 0", "old"), side("id % 4 < 3", "new"), tie="incoming")
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, source, title FROM s WHERE source <> 'cloud' UNION ALL SELECT id, source, concat(title, ' (uploaded)') FROM s WHERE id % 8 = 0")
+def overlay_cloud(spark, sf):
+    s = V.sessions(spark, sf).select("id", "source", "title")
+    return merge.overlay_uploaded(s, s.where("id % 8 = 0").withColumn("title", F.concat("title", F.lit(" (uploaded)"))))
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, source, title FROM s WHERE source NOT IN ('cowork', 'cli-desktop')")
+def delete_by_source(spark, sf):
+    return merge.delete_sources(V.sessions(spark, sf).select("id", "source", "title"), ["cowork", "cli-desktop"])
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT source, id, 'project' AS field FROM s WHERE project IS NULL UNION ALL SELECT source, id, 'topic' FROM s WHERE topic IS NULL AND id % 5 = 0")
+def validate_entries(spark, sf):
+    s = V.sessions(spark, sf).withColumn("topic", F.when(F.col("id") % 5 == 0, F.col("topic")).otherwise(F.lit("x")))
+    return merge.validation_errors(s, ["id", "source", "title", "project", "topic", "started_at"])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def stale_sessions(spark, sf):
+    return merge.stale_ids(V.table(spark, sf, "documents"), V.table(spark, sf, "labels"), "doc_id")
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT source, id, 'reuse' AS action FROM s WHERE id % 10 <> 0 AND id % 7 <> 0 UNION ALL SELECT source, id, 'read' FROM s WHERE id % 10 = 0 OR id % 7 = 0")
+def incremental_rescan(spark, sf):
+    now = V.sessions(spark, sf).select("source", "id", F.col("updated_at").cast("double").alias("source_mtime_ms"))
+    before = now.where("id % 7 <> 0").withColumn("source_mtime_ms", F.col("source_mtime_ms") - F.when(F.col("id") % 10 == 0, 5).otherwise(0))
+    reuse, read = merge.reusable(now, before)
+    return reuse.select("source", "id", F.lit("reuse").alias("action")).unionByName(read.select("source", "id", F.lit("read").alias("action")))
+
+
+def _projects(spark, sf):
+    return V.sessions(spark, sf).withColumn("project", F.col("o_custkey"))
+
+
+_LIFE = f"""s AS (SELECT * REPLACE (o_custkey AS project) FROM ({V.SESSIONS})), g AS (
+  SELECT *, (started_at - lag(updated_at) OVER (PARTITION BY project ORDER BY started_at, pos)) / 86400000.0 AS gap,
+         regexp_matches(concat(title, chr(10), preview), '{PROBE}', 'i') AS asks, count(*) OVER (PARTITION BY project ORDER BY started_at RANGE BETWEEN 0 PRECEDING AND 1209600000 FOLLOWING) AS ahead FROM s),
+d AS (SELECT *, max(ahead) OVER (PARTITION BY project ORDER BY started_at, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) >= 3 AS dense FROM g),
+p AS (SELECT project, count(*) AS sessions, count(*) FILTER (WHERE asks AND gap >= 60 AND NOT dense) AS probes, arg_max(updated_at, (started_at, pos)) AS last_active_at, coalesce(bool_or(dense AND started_at >= {V.NOW - 180 * DAY_MS}), false) AS alive FROM d GROUP BY 1),
+life AS (SELECT project, sessions, probes, last_active_at, floor(({V.NOW} - last_active_at) / 86400000.0)::BIGINT AS days_since_last, alive FROM p),
+c AS (SELECT project, sessions, probes, last_active_at, days_since_last, CASE WHEN days_since_last < 30 THEN 'active' WHEN probes > 0 THEN 'zombie' WHEN days_since_last >= 180 AND NOT alive THEN 'zombie' ELSE 'dormant' END AS classification FROM life)"""
+
+
+@query(f"WITH {_LIFE} SELECT * FROM c")
+def lifecycle_projects(spark, sf):
+    return lifecycle.classify(_projects(spark, sf), V.NOW).drop("first_pos")
+
+
+@query(f"WITH {_LIFE} SELECT k.classification, count(c.project) AS projects FROM (SELECT unnest(['active', 'dormant', 'zombie']) AS classification) k LEFT JOIN c USING (classification) GROUP BY 1")
+def lifecycle_counts(spark, sf):
+    return lifecycle.class_counts(lifecycle.classify(_projects(spark, sf), V.NOW))
+
+
+@query(f"WITH {_LIFE} SELECT id, s.project FROM s SEMI JOIN (SELECT project FROM c WHERE classification = 'zombie') z USING (project)")
+def zombie_semi(spark, sf):
+    df = _projects(spark, sf)
+    return lifecycle.zombie_sessions(df.select("id", "project"), lifecycle.classify(df, V.NOW))
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY started_at, pos) AS i FROM (SELECT * REPLACE (o_custkey % 400 AS project) FROM ({V.SESSIONS}))),
+w AS (SELECT a.project, a.i, a.started_at, count(*) AS n, max(b.started_at) AS "end" FROM s a JOIN s b ON a.project = b.project AND b.i >= a.i AND b.started_at <= a.started_at + 1209600000 GROUP BY 1, 2, 3),
+g AS (
+  SELECT project, 0::BIGINT AS upto, NULL::BIGINT AS start, NULL::BIGINT AS "end", 0::BIGINT AS n FROM (SELECT DISTINCT project FROM s)
+  UNION ALL
+  SELECT g.project, f.i + f.n - 1, f.started_at, f."end", f.n FROM g, LATERAL (SELECT * FROM w WHERE w.project = g.project AND w.n >= 3 AND w.i > g.upto ORDER BY i LIMIT 1) f)
+SELECT project, start, "end", n FROM g WHERE n > 0""")
+def burst_windows(spark, sf):
+    return lifecycle.bursts(V.sessions(spark, sf).withColumn("project", F.col("o_custkey") % 400))
+
+
+_PATHS = f"""SELECT id, CASE WHEN id % 3 = 0 THEN project END AS project, CASE id % 5 WHEN 0 THEN concat('/home/u/app-', id % 9, '/') WHEN 1 THEN concat('C:\\work\\tool-', id % 9) WHEN 2 THEN '/' WHEN 3 THEN concat('bare-', id % 9) END AS cwd,
+CASE WHEN id % 2 = 0 THEN 'About My Project A today' WHEN id % 7 = 0 THEN 'notes on myblog' ELSE 'my projector' END AS title FROM ({V.SESSIONS})"""
+
+
+@query(f"""WITH p AS ({_PATHS}), b AS (SELECT *, nullif(regexp_extract(regexp_replace(cwd, '[\\\\/]+$', ''), '([^\\\\/]*)$', 1), '') AS base,
+CASE WHEN regexp_matches(title, '\\bmy[ -]?project[ -]?a\\b', 'i') THEN 'my-project-a' WHEN regexp_matches(title, '\\bmy[ -]?blog\\b', 'i') THEN 'my-blog' END AS word FROM p)
+SELECT id, coalesce(nullif(project, ''), base, word) AS project_id, CASE WHEN nullif(project, '') IS NOT NULL THEN 'project_field' WHEN base IS NOT NULL THEN 'cwd_basename' WHEN word IS NOT NULL THEN 'title_keyword' END AS inference_source FROM b""")
+def infer_project(spark, sf):
+    k = F.col("id")
+    pick = lambda n, *args: F.concat(F.lit(n), *args)
+    nine = (k % 9).cast("string")
+    s = V.sessions(spark, sf).select(
+        "id", F.when(k % 3 == 0, F.col("project")).alias("project"), F.when(k % 5 == 0, pick("/home/u/app-", nine, F.lit("/"))).when(k % 5 == 1, pick("C:\\work\\tool-", nine)).when(k % 5 == 2, "/").when(k % 5 == 3, pick("bare-", nine)).alias("cwd"),
+        F.when(k % 2 == 0, "About My Project A today").when(k % 7 == 0, "notes on myblog").otherwise("my projector").alias("title"),
+    )
+    return s.withColumn("p", S.infer_project(F.col("project"), F.col("cwd"), F.col("title"))).select("id", F.col("p.id").alias("project_id"), "p.inference_source")
+
+
+_NAMES = [("1", "order 12"), ("2", "design"), ("3", "abc"), ("4", "Status O"), ("5", "URGENT")]
+
+
+@query(rf"""WITH s AS ({V.SESSIONS}) SELECT id, CASE WHEN regexp_matches(title, '\border 12\b', 'i') THEN 'order 12' WHEN regexp_matches(title, '\bStatus O\b', 'i') THEN 'Status O' WHEN regexp_matches(title, '\bURGENT\b', 'i') THEN 'URGENT'
+WHEN regexp_matches(preview, '\border 12\b', 'i') THEN 'order 12' WHEN regexp_matches(preview, '\bStatus O\b', 'i') THEN 'Status O' WHEN regexp_matches(preview, '\bURGENT\b', 'i') THEN 'URGENT' END AS matched FROM s""")
+def project_match(spark, sf):
+    return V.sessions(spark, sf).select("id", S.match_project(F.col("title"), F.col("preview"), S.project_patterns(_NAMES)).alias("matched"))
+
+
+_NORM = r"SELECT doc_id, left(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 400) AS norm FROM documents"
+
+
+@query(f"SELECT sha256(norm) AS hash, left(sha256(norm), 12) AS cluster_id, count(*) AS size, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS session_ids, left(min(norm), 200) AS sample_text FROM ({_NORM}) WHERE length(norm) >= 40 GROUP BY norm HAVING count(*) >= 2")
+def duplicates_exact(spark, sf):
+    docs = V.table(spark, sf, "documents")
+    found = duplicates.exact_clusters(docs, "text", "doc_id", "doc_id")
+    return found.select("hash", "cluster_id", "size", F.array_join(F.transform("session_ids", lambda x: x.cast("string")), ",").alias("session_ids"), "sample_text")
+
+
+def _tier(df, norm, name):
+    return df.withColumn("k", norm).groupBy("k").agg(F.sort_array(F.collect_list("doc_id")).alias("session_ids"), F.min("doc_id").alias("pos")).where(F.size("session_ids") >= 2).select(F.concat(F.lit(name), F.left(F.sha2("k", 256), F.lit(12))).alias("cluster_id"), "pos", "session_ids")
+
+
+@query(rf"""WITH RECURSIVE n AS (SELECT doc_id, norm, left(norm, 60) AS pre FROM ({_NORM}) WHERE length(norm) >= 40),
+m AS (SELECT concat('e', left(sha256(norm), 12)) AS c, 'exact' AS kind, 0 AS tier, doc_id, min(doc_id) OVER (PARTITION BY norm) AS pos FROM n QUALIFY count(*) OVER (PARTITION BY norm) >= 2
+  UNION ALL SELECT concat('s', left(sha256(pre), 12)), 'semantic', 1, doc_id, min(doc_id) OVER (PARTITION BY pre) FROM n QUALIFY count(*) OVER (PARTITION BY pre) >= 2),
+link AS (SELECT DISTINCT a.c AS a, b.c AS b FROM m a JOIN m b USING (doc_id)), reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a), root AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY 1)
+SELECT arg_min(c, (tier, pos, c)) AS representative, string_agg(DISTINCT kind, '+' ORDER BY kind) AS kind, count(DISTINCT doc_id) AS size FROM m JOIN root USING (c) GROUP BY root""")
+def duplicates_merged(spark, sf):
+    n = V.table(spark, sf, "documents").select("doc_id", normalize_for_hash(F.col("text")).alias("norm")).where("char_length(norm) >= 40")
+    found = duplicates.merged_clusters(_tier(n, F.col("norm"), "e"), _tier(n, F.left("norm", F.lit(60)), "s"))
+    return found.select("representative", "kind", F.size("session_ids").cast("long").alias("size"))
+
+
+_DF = f"w AS ({V.WORDS}), x AS (SELECT doc, source, unnest(tokens) AS token FROM w), df AS (SELECT token, count(*) AS df FROM x GROUP BY 1)"
+
+
+@query(f"WITH {_DF} SELECT token, df FROM df")
+def doc_frequency(spark, sf):
+    return topics.doc_frequency(V.words(spark, sf))
+
+
+_TERMS = f"""{_DF}, sc AS (SELECT source AS cluster, token, count(*) * ln((SELECT count(*) FROM w) / min(df)) AS score FROM x JOIN df USING (token) GROUP BY 1, 2),
+tt AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, token) AS rank FROM sc QUALIFY rank <= 5)"""
+
+
+def _terms(spark, sf):
+    w = V.words(spark, sf)
+    return topics.distinctive_terms(w.select("doc", F.col("source").alias("cluster")), w.select("doc", "tokens"), 5), w.select("doc", "tokens")
+
+
+@query(f"WITH {_TERMS} SELECT cluster, token, round(score, 6) AS score, rank::INT AS rank FROM tt")
+def distinctive_terms(spark, sf):
+    return _terms(spark, sf)[0].withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_TERMS} SELECT cluster, string_agg(token, ' + ' ORDER BY token) AS label FROM tt WHERE rank <= 3 GROUP BY 1")
+def topic_labels(spark, sf):
+    return topics.term_labels(_terms(spark, sf)[0].where("rank <= 3"))
+
+
+@query(f"""WITH {_TERMS}, p AS (SELECT a.cluster, a.token AS a, b.token AS b FROM tt a JOIN tt b ON a.cluster = b.cluster AND a.rank < b.rank), h AS (SELECT doc, token FROM x WHERE token IN (SELECT token FROM tt)),
+co AS (SELECT u.token AS a, v.token AS b, count(*) AS co FROM h u JOIN h v ON u.doc = v.doc AND u.token <> v.token GROUP BY 1, 2)
+SELECT cluster, round(avg(ln((coalesce(co, 0) + 1) / df)), 6) AS coherence, count(*) AS pairs FROM p LEFT JOIN co USING (a, b) JOIN df ON df.token = p.b GROUP BY 1""")
+def umass_coherence(spark, sf):
+    terms, words = _terms(spark, sf)
+    return topics.coherence(terms, words).withColumn("coherence", F.round("coherence", 6))
+
+
+_RESCUE = 0.3
+
+
+@query(f"""WITH {_DF}, idf AS (SELECT token, ln((SELECT count(*) FROM w) / df) AS idf FROM df), l AS (SELECT doc, source, CASE WHEN doc % 4 <> 0 THEN source END AS label FROM w),
+d AS (SELECT doc, token, idf AS a FROM x JOIN idf USING (token) WHERE doc % 4 = 0), k AS (SELECT source AS t, token, count(*) * min(idf) AS b FROM x JOIN idf USING (token) WHERE doc % 4 <> 0 AND doc % 8 < 4 GROUP BY 1, 2),
+nd AS (SELECT doc, sqrt(sum(a * a)) AS na FROM d GROUP BY 1), nk AS (SELECT t, sqrt(sum(b * b)) AS nb FROM k GROUP BY 1),
+sim AS (SELECT doc, t, round(sum(a * b) / (min(na) * min(nb)), 9) AS sim FROM d JOIN k USING (token) JOIN nd USING (doc) JOIN nk USING (t) GROUP BY 1, 2),
+best AS (SELECT doc, t, sim FROM sim WHERE sim > 0 AND sim >= {_RESCUE} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY sim DESC, t) = 1)
+SELECT doc, coalesce(label, t) AS label, CASE WHEN label IS NULL THEN round(sim, 6) END AS rescued_at FROM l LEFT JOIN best USING (doc)""")
+def outlier_rescue(spark, sf):
+    w = V.words(spark, sf)
+    labels = w.select("doc", F.when(F.col("doc") % 4 != 0, F.col("source")).alias("label"))
+    # names order equal similarities: the rank of a source's name among the few sources
+    groups = w.where("doc % 4 <> 0 AND doc % 8 < 4").groupBy(F.col("source").alias("label")).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    groups = groups.withColumn("ord", F.row_number().over(Window.orderBy("label")))
+    return topics.rescue(labels, w.select("doc", "tokens"), groups, _RESCUE).withColumn("rescued_at", F.round("rescued_at", 6))
+
+
+_SIMS = f"c AS ({V.CENTROIDS}), sims AS (SELECT vec_id // 5 AS doc_id, ord, centroid_id, max(list_inner_product(embedding::DOUBLE[], vec)) AS sim FROM embeddings, c GROUP BY 1, 2, 3)"
+
+
+def _chunks(spark, sf):
+    return V.vectors(spark, sf).withColumn("doc_id", F.floor(F.col("vec_id") / 5))
+
+
+@query(f"WITH {_SIMS} SELECT doc_id, centroid_id, round(sim, 6) AS sim FROM sims")
+def chunk_max_sim(spark, sf):
+    return similarity.centroid_similarities(_chunks(spark, sf), V.centroids(spark, sf)).select("doc_id", "centroid_id", F.round("sim", 6).alias("sim"))
+
+
+@query(f"""WITH {_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, ord) AS k FROM sims), b AS (SELECT a.doc_id, a.centroid_id, a.sim, z.sim AS second FROM r a LEFT JOIN r z ON z.doc_id = a.doc_id AND z.k = 2 WHERE a.k = 1)
+SELECT doc_id, CASE WHEN sim >= 0.1 AND sim - second >= 0.0201 THEN centroid_id END AS label, round(sim, 6) AS similarity, round(second, 6) AS runner_up FROM b""")
+def nearest_centroid(spark, sf):
+    found = similarity.nearest(_chunks(spark, sf), V.centroids(spark, sf), 0.1, 0.0201)
+    return found.select("doc_id", "label", F.round("similarity", 6).alias("similarity"), F.round("runner_up", 6).alias("runner_up"))
+
+
+@query("""WITH m AS (SELECT vec_id // 5 AS doc_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, unnest(range(1, 65)) AS u(i) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(m * m)) AS n FROM m GROUP BY 1)
+SELECT doc_id, (i - 1)::INT AS at, round(m / n, 6) AS x FROM m JOIN n USING (doc_id) WHERE i <= 8""")
+def mean_pool(spark, sf):
+    return similarity.mean_pool(_chunks(spark, sf)).select("doc_id", F.posexplode(F.slice("vec", 1, 8)).alias("at", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
+def similar_pairs(spark, sf):
+    return similarity.similar_pairs(V.vectors(spark, sf), 0.3).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH s AS ({V.SESSIONS}), k AS (SELECT source = 'cloud' AS cloud, coalesce(project, '') <> '' AS named, topic IS NOT NULL AS emergent, topic, project FROM s)
+SELECT count(DISTINCT topic) AS topics, count(*) FILTER (WHERE emergent OR named) AS labelled, count(DISTINCT CASE WHEN named THEN project END) AS projects,
+round(count(*) FILTER (WHERE cloud AND named) / count(*) FILTER (WHERE cloud), 9) AS classified, round(count(*) FILTER (WHERE cloud AND NOT named AND emergent) / count(*) FILTER (WHERE cloud), 9) AS emergent, round(count(*) FILTER (WHERE cloud AND NOT named AND NOT emergent) / count(*) FILTER (WHERE cloud), 9) AS unlabelled FROM k""")
+def label_coverage(spark, sf):
+    t = rollups.semantic_tallies(V.sessions(spark, sf))
+    return t.select("topics", "labelled", "projects", _r("classified", 9), _r("emergent", 9), _r("unlabelled", 9))
+
+
+@query(f"WITH s AS ({V.SESSIONS}), l AS (SELECT id, CASE WHEN id % 6 = 0 THEN '~overlay' WHEN id % 6 = 3 THEN 'named' END AS label FROM s) SELECT id, CASE WHEN label LIKE '~%' THEN label ELSE topic END AS topic, CASE WHEN label IS NOT NULL AND label NOT LIKE '~%' AND coalesce(project, '') = '' THEN label ELSE project END AS project FROM s LEFT JOIN l USING (id)")
+def label_overlay(spark, sf):
+    s = V.sessions(spark, sf)
+    labels = s.select("id", F.when(F.col("id") % 6 == 0, "~overlay").when(F.col("id") % 6 == 3, "named").alias("label")).where("label IS NOT NULL")
+    return S.overlay_labels(s.select("id", "topic", "project"), labels).select("id", "topic", "project")
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, round((started_at - min(started_at) OVER ()) / greatest(1, max(started_at) OVER () - min(started_at) OVER ()) * 100.0, 6) AS x FROM s")
+def timeline_positions(spark, sf):
+    return rollups.timeline_positions(V.sessions(spark, sf)).select("id", F.round("x", 6).alias("x"))
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT min(started_at) AS first_at, max(updated_at) AS last_at FROM s")
+def date_range(spark, sf):
+    return rollups.date_range(V.sessions(spark, sf))
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT coalesce(bool_and(source = 'cloud'), false) AND count(*) > 0 AS all_cloud FROM s WHERE id % 4 = 0")
+def all_cloud(spark, sf):
+    return search.all_cloud(V.sessions(spark, sf).where("id % 4 = 0"))
+
+
+@query(f"""WITH s AS ({V.SESSIONS}) SELECT id, CASE WHEN {V.NOW} - updated_at < 0 OR {V.NOW} - updated_at >= 259200000 THEN strftime(make_timestamp(updated_at * 1000), '%Y-%m-%d') WHEN {V.NOW} - updated_at < 3600000 THEN concat(greatest(({V.NOW} - updated_at) // 60000, 1), 'm ago')
+WHEN {V.NOW} - updated_at < 172800000 THEN concat(({V.NOW} - updated_at) // 3600000, 'h ago') ELSE concat(({V.NOW} - updated_at) // 86400000, 'd ago') END AS shown FROM s""")
+def relative_times(spark, sf):
+    return V.sessions(spark, sf).select("id", relative(V.NOW, F.col("updated_at")).alias("shown"))
+
+
+@query()
+def chunk_text(spark, sf):
+    docs = V.table(spark, sf, "documents").select("doc_id", F.lit("title").alias("t"), F.col("source").alias("s"), F.array("text").alias("turns"))
+    return docs.select("doc_id", F.posexplode(chunks("t", "s", "turns")).alias("at", "chunk"))
+
+
+@query()
+def line_previews(spark, sf):
+    lines = V.messages(spark, sf).select("id", "pos", F.to_json(F.struct(F.when(F.col("sender") == "human", "user").otherwise("assistant").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("message"))).alias("raw"))
+    return lines.select("id", "pos", line_preview("raw").alias("preview"))
+
+
+@query()
+def topic_clusters(spark, sf):
+    v = V.vectors(spark, sf).select(F.col("vec_id").alias("pos"), F.col("vec_id").alias("doc"), "vec", F.array(F.concat(F.lit("label"), F.translate(F.col("label").cast("string"), "0123456789", "abcdefghij"))).alias("tokens"), F.lit("").alias("text"))
+    return topics.discover(v, 0.3, 2).select("id", "label", "size", F.array_join("members", ",").alias("members"))
+
+
+@query()
+def kmeans_labels(spark, sf):
+    return topics.kmeans(V.vectors(spark, sf).select(F.col("vec_id").alias("doc"), "vec"), 10)
+
+
+@query("""SELECT date_trunc('week', ts + INTERVAL 1 DAY) - INTERVAL 1 DAY AS week_start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18, 6)))::DOUBLE AS value FROM events GROUP BY 1, 2""")
+def stream_weekly(spark, sf):
+    out = activity.drain(activity.weekly(activity.read_events(spark, f"{sf}/events.parquet")), "complete")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("week_start"), "event_type", "n", "value")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 12 HOUR AS ended, count(*) AS n FROM g GROUP BY user_id, k""")
+def stream_sessions(spark, sf):
+    out = activity.drain(activity.user_sessions(activity.read_events(spark, f"{sf}/events.parquet")), "complete")
+    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), F.col("w.end").cast("timestamp_ntz").alias("ended"), "n")

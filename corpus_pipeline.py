@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_runs, packing, quality, weighted_minhash
@@ -12,24 +12,30 @@ from tidemark.llm.common import materialize
 TOKENIZER: str | None = None
 
 
+def _packed(docs: DataFrame, leave_out: str = "") -> Column:
+    """The columns of docs as one struct, so that no name of theirs meets one of an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != leave_out]).alias("_row")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's perplexity band; all columns as they were."""
-    scored = materialize(quality.score(docs, quality.train(docs)), "pipeline-scored")
-    return quality.judge(scored).where("_kept").select(*[f"`{c}`" for c in docs.columns])
+    rows, lang = docs.select(_packed(docs)), F.col("_row.lang")
+    scored = materialize(quality.score(rows, quality.train(docs), lang, F.col("_row.text")), "pipeline-scored")
+    return quality.judge(scored, lang).where("_kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with later copies of repeated line runs cut out of text; n_chars follows the text."""
-    cut = line_runs.dedup_lines(docs)
-    kept = {c: F.col(f"`{c}`") for c in docs.columns}
+    cut = line_runs.dedup_lines(docs.select("doc_id", "text", _packed(docs, "text")))
+    kept = {c: F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns}
     if "n_chars" in kept:
-        kept["n_chars"] = F.when(F.col("_gone") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return cut.select(*kept.values())
+        kept["n_chars"] = F.when(F.col("_gone") > 0, F.char_length("text")).otherwise(kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[v.alias(c) for c, v in kept.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies."""
-    return weighted_minhash.mark_near(docs).where("_kept").select(*[f"`{c}`" for c in docs.columns])
+    return weighted_minhash.mark_near(docs.select("doc_id", "text", _packed(docs))).where("_kept").select("_row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,9 @@ def from_conversations(conversations: DataFrame, patterns: list[tuple[str, str]]
     human = F.filter("chat_messages", lambda m: m["sender"] == "human")
     block = lambda m: F.get(F.filter(m["content"], lambda b: (b["type"] == "text") & (F.length(b["text"]) > 0)), F.lit(0))["text"]
     texts = F.filter(F.transform(human, lambda m: F.coalesce(block(m), none_if_empty(m["text"]))), lambda x: x.isNotNull())
+    blocks = lambda m: F.transform(F.filter(m["content"], lambda b: (b["type"] == "text") & (F.length(b["text"]) > 0)), lambda b: b["text"])
+    flat = lambda m: F.when(F.length(m["text"]) > 0, F.array(m["text"])).otherwise(F.array().cast("array<string>"))
+    every = F.flatten(F.transform(human, lambda m: F.when(F.size(blocks(m)) > 0, blocks(m)).otherwise(flat(m))))
     calls = F.filter(F.flatten(F.transform(F.filter("chat_messages", lambda m: m["content"].isNotNull()), lambda m: m["content"])), lambda b: (b["type"] == "tool_use") & (F.length(b["name"]) > 0))
     names = F.transform(calls, lambda b: b["name"])
     tools = F.map_from_entries(F.transform(F.array_distinct(names), lambda n: F.struct(n, F.size(F.filter(names, lambda x: x == n)).cast("long"))))
@@ -72,7 +75,7 @@ def from_conversations(conversations: DataFrame, patterns: list[tuple[str, str]]
         F.greatest(F.lit(0), F.col("updated_at_ms") - F.col("started_at")).cast("long").alias("duration_ms"), F.coalesce(named, F.lit(UNTITLED)).alias("title"), F.when(named.isNotNull(), "cloud-name").otherwise("fallback").alias("title_source"),
         F.lit("none").alias("cwd_kind"), F.size(human).cast("long").alias("user_turns"), F.size(F.filter("chat_messages", lambda m: m["sender"] == "assistant")).cast("long").alias("assistant_turns"),
         F.coalesce(preview(none_if_empty(F.col("summary"))), preview(F.get(texts, F.lit(0)))).alias("preview"), none_if_empty(F.col("summary")).alias("summary"),
-        F.when(named.isNotNull(), match_project(F.col("name"), F.coalesce("summary", F.lit("")), list(patterns))).alias("project"), F.when(F.size(tools) > 0, tools).alias("top_tools"), texts.alias("human_texts"),
+        F.when(named.isNotNull(), match_project(F.col("name"), F.coalesce("summary", F.lit("")), list(patterns))).alias("project"), F.when(F.size(tools) > 0, tools).alias("top_tools"), every.alias("human_texts"),
     )
 
 
@@ -117,3 +120,15 @@ def desktop_stubs(manifests: DataFrame) -> DataFrame:
         "id", F.lit("cli-desktop").alias("source"), F.col("cli_session_id").alias("raw_session_id"), F.col("created_at").alias("started_at"), F.col("last_activity_at").alias("updated_at"), F.greatest(F.lit(0), F.col("last_activity_at") - F.col("created_at")).cast("long").alias("duration_ms"),
         "title", F.lit("manifest").alias("title_source"), F.lit("host").alias("cwd_kind"), F.lit(0).cast("long").alias("user_turns"), F.lit(None).cast("string").alias("preview"), "model", "cwd", basename(F.col("cwd")).alias("project"),
     )
+
+
+def project_text(name: Column, description: Column, template: Column, limit: int = 2000) -> Column:
+    """What a project is embedded by."""
+    return F.left(F.concat_ws("\n", none_if_empty(name), none_if_empty(description), none_if_empty(template)), F.lit(limit))
+
+
+def first_message_text(conversations: DataFrame) -> DataFrame:
+    """(id, text) by the stricter rule: the first human message alone, its text block before its flat text."""
+    first = F.get(F.filter("chat_messages", lambda m: m["sender"] == "human"), F.lit(0))
+    block = F.get(F.filter(first["content"], lambda b: (b["type"] == "text") & (F.length(b["text"]) > 0)), F.lit(0))["text"]
+    return conversations.select(F.col("uuid").alias("id"), F.coalesce(block, none_if_empty(first["text"])).alias("text"))

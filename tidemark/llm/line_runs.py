@@ -111,7 +111,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     all_lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_cut"))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))
-    joined = keyed.join(gone, ["_d", "_t", "_t2"], "left")
+    # the plan is the same at every size: text is shuffled once, never held against a broadcast table
+    joined = keyed.join(gone.hint("merge"), ["_d", "_t", "_t2"], "left")
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("_gone"))
 
 

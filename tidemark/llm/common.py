@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -25,24 +26,53 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Collects the paths of the intermediate tables and files that are made within."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made.pop()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    for paths in _made:
+        paths.append(path)
+    return path
+
+
+#: Rows of a narrow table that a file holds at least, and files that such a table is spread over in any case.
+FILE_ROWS, LEAST_FILES = 500_000, 8
+
 
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    ``rows``: about how many narrow rows there are; the table gets files for that many instead of one a shuffle partition.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by materialize() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    discard(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import arrow_type, fingerprint, materialize, read_table, text_bytes, text_slices
+from .common import arrow_type, drop_table, fingerprint, materialize, ragged_take, read_table, text_bytes, text_slices
+from .epsilon_grid import forest
 from .graph import components
 
 SHINGLE, SIMILARITY, LAMBDA = 5, 0.8, 0.25
@@ -45,6 +46,8 @@ BATCH_BYTES = 4 << 20
 RANGE_SHINGLES, RANGE_BITS = 1 << 22, 36
 #: Shingles a block of a candidate cluster, and those of its pivots in one round.
 BLOCK_SHINGLES, PIVOT_SHINGLES = 400_000, 200_000
+#: Shingles that are sampled together.
+IN_CACHE = 1 << 15
 _U = np.uint64
 
 
@@ -68,14 +71,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
 
 def pack_keys(keys: np.ndarray) -> bytes:
     """Ascending distinct keys: differences by byte planes, compressed."""
+    import zstandard
+
     d = np.diff(keys, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zlib.compress(np.ascontiguousarray(d.T[:6]).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.T).tobytes())
 
 
 def unpack_keys(raw: bytes, n: int) -> np.ndarray:
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :6] = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(6, n).T
-    return np.cumsum(d.reshape(-1).view("<u8"), dtype=np.uint64)
+    import zstandard
+
+    d = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(d.T).reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def code_of(df: np.ndarray) -> np.ndarray:
@@ -96,25 +102,44 @@ class Sampler:
         g = np.linspace(0, 40, 1 << 20)
         self.gamma = np.interp(p, 1 - np.exp(-g) * (1 + g), g).astype(np.float32)  # quantiles of Gamma(2, 1)
         self.log_gamma = np.log(self.gamma)
+        self.odd = textops.mix(np.arange(1, K + 1, dtype=np.uint64)) | _U(1)
 
     def draw(self, keys: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """K 32-bit samples of each document with shingles; ``offsets`` bound documents, none empty."""
-        log_w = np.log(weights).astype(np.float32)
-        sizes = np.diff(offsets)
-        out = np.empty((len(sizes), K), np.uint32)
-        low = _U(0xFFFF)
+        out = np.empty((len(offsets) - 1, K), np.uint32)
+        h, log_w = textops.mix(keys), np.log(weights).astype(np.float32)
+        first = 0
+        while first < len(offsets) - 1:  # some documents at a time, so that all arrays stay in the cache
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + IN_CACHE, side="right")) - 1)
+            a, b = int(offsets[first]), int(offsets[last])
+            self._draw(h[a:b], keys[a:b], log_w[a:b], offsets[first : last + 1] - a, out[first:last])
+            first = last
+        return out
+
+    def _draw(self, h: np.ndarray, keys: np.ndarray, log_w: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
+        sizes, starts = np.diff(offsets), offsets[:-1]
+        u, shifted = np.empty_like(h), np.empty_like(h)
         for k in range(K):
-            u = textops.mix(keys * _U(0x9E3779B97F4A7C15) + _U((k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
-            r, c = self.gamma[(u & low).astype(np.int32)], self.log_gamma[((u >> _U(16)) & low).astype(np.int32)]
-            beta = (u >> _U(32)).astype(np.float32) * np.float32(2**-32)
-            t = np.floor(log_w / r + beta)
-            log_a = c - r * (t - beta) - r
-            least = np.minimum.reduceat(log_a, offsets[:-1])
+            np.multiply(h, self.odd[k], out=u)
+            u ^= np.right_shift(u, _U(29), out=shifted)
+            u *= _U(0xBF58476D1CE4E5B9)
+            u ^= np.right_shift(u, _U(32), out=shifted)
+            low = u.view("<u2").reshape(-1, 4)
+            r, c = self.gamma[low[:, 0]], self.log_gamma[low[:, 1]]
+            beta = u.view("<u4")[1::2].astype(np.float32)
+            beta *= np.float32(2**-32)
+            t = log_w / r
+            t += beta
+            np.floor(t, out=t)
+            log_a = t - beta
+            log_a += np.float32(1)
+            log_a *= r
+            np.subtract(c, log_a, out=log_a)
+            least = np.minimum.reduceat(log_a, starts)
             at = np.flatnonzero(log_a == np.repeat(least, sizes))
-            owner = np.searchsorted(offsets, at, side="right") - 1
-            at = at[np.unique(owner, return_index=True)[1]]
+            if len(at) > len(sizes):  # equal draws: the first
+                at = at[np.unique(np.searchsorted(offsets, at, side="right"), return_index=True)[1]]
             out[:, k] = (textops.mix(keys[at] ^ (t[at].astype(np.int64).astype(np.uint64) * _U(0xBF58476D1CE4E5B9))) >> _U(32)).astype(np.uint32)
-        return out
 
 
 _sampler: list[Sampler] = []
@@ -158,15 +183,20 @@ def _open(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(data, np.frombuffer(row["ends"], "<i8"), bits)
 
 
-def _per_document(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _per_document(keys: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of each document in order, their counts, and new offsets."""
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((keys, owner))
-    k, o = keys[order], owner[order]
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(offsets))
+    if n.bit_length() + bits <= 64:  # document and key in one number: one plain sort
+        both = np.sort(owner << _U(bits) | keys)
+        k, o = both & _U((1 << bits) - 1), (both >> _U(bits)).astype(np.int64)
+    else:
+        order = np.lexsort((keys, owner))
+        k, o = keys[order], owner[order].astype(np.int64)
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
     at = np.flatnonzero(new)
-    return k[at], np.diff(np.append(at, len(k))), np.searchsorted(o[at], np.arange(len(offsets)))
+    return k[at], np.diff(np.append(at, len(k))), np.searchsorted(o[at], np.arange(n + 1))
 
 
 def _rows(batches):
@@ -182,7 +212,7 @@ def coded_batches(packed: DataFrame, ranges: int, bits: int) -> DataFrame:
     def send(batches):
         for row in _rows(batches):
             keys, offsets = _open(row, bits)
-            keys, _, _ = _per_document(keys, offsets)
+            keys, _, _ = _per_document(keys, offsets, bits)
             u, n = np.unique(keys, return_counts=True)
             cut = np.searchsorted(u >> _U(RANGE_BITS), np.arange(ranges + 1, dtype=np.uint64))
             got = [(r, row["batch"], b - a, pack_keys(u[a:b] & _U((1 << RANGE_BITS) - 1)), zlib.compress(n[a:b].astype("<u4").tobytes(), 1)) for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
@@ -201,16 +231,24 @@ def coded_batches(packed: DataFrame, ranges: int, bits: int) -> DataFrame:
         return pa.table([table.column("batch").cast(pa.int64()), table.column("range").cast(pa.int32()), pa.array(blobs, pa.binary())], schema=arrow_type(back))
 
     codes = packed.mapInArrow(send, sent).groupBy("range").applyInArrow(count, back)
-    codes = materialize(codes, "codes").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("range", "codes"))).alias("codes"))
-    return materialize(packed.join(codes.select("batch", F.col("codes.codes").alias("codes")), "batch", "left"), "coded-batches")
+    sent_back = materialize(codes, "codes")
+    codes = sent_back.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("range", "codes"))).alias("codes"))
+    coded = materialize(packed.join(codes.select("batch", F.col("codes.codes").alias("codes")), "batch", "left"), "coded-batches")
+    drop_table(packed), drop_table(sent_back)
+    return coded
 
 
-def _weighted(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of each document, their counts and frequency codes, and offsets."""
+def _weighted(row: dict, bits: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each document (or of some), their counts and frequency codes, and offsets."""
     keys, offsets = _open(row, bits)
-    keys, tf, offsets = _per_document(keys, offsets)
+    every = np.sort(keys)
+    every = every[np.append(True, every[1:] != every[:-1])] if len(every) else every
+    if only is not None:
+        keys, sizes = ragged_take(keys, offsets, only)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+    keys, tf, offsets = _per_document(keys, offsets, bits)
     codes = np.frombuffer(b"".join(zlib.decompress(c) for c in row["codes"] or []), np.uint8)
-    return keys, tf, codes[np.searchsorted(np.unique(keys), keys)] if len(keys) else codes, offsets
+    return keys, tf, codes[np.searchsorted(every, keys)] if len(keys) else codes[:0], offsets
 
 
 def sample_documents(coded: DataFrame, n_docs: int, bits: int) -> DataFrame:
@@ -253,7 +291,7 @@ def _groups(batches, keys: list[str]):
 
 
 def leader_links(met: DataFrame) -> DataFrame:
-    """Rows (key, a, b, samples) for ``met`` (key, part, cid, samples): links leader - member, and with b null each leader.
+    """Rows (key, a, b, samples) for ``met`` (key, part, cid, samples): edges that connect all whom links leader - member connect, and with b null each leader.
 
     A leader is linked with all that agree with it in LINK samples. Whoever agrees with it in COVER samples needs
     no links of its own: what is similar to him agrees with his leader, too (the distance is a metric).
@@ -265,15 +303,17 @@ def leader_links(met: DataFrame) -> DataFrame:
             cids = np.array([r["cid"] for r in rows])
             s = np.stack([np.frombuffer(r["samples"], "<u2") for r in rows])
             open_ = np.ones(len(rows), bool)
-            a, b, leaders = [], [], []
+            p, q, leaders = [], [], []
             for i in range(len(rows)):
                 if not open_[i]:
                     continue
                 agree = (s == s[i]).sum(axis=1)
                 open_[agree >= COVER] = False
                 linked = np.flatnonzero((agree >= LINK) & (cids != cids[i]))
-                a.append(np.full(len(linked), cids[i])), b.append(cids[linked]), leaders.append(i)
-            a, b = np.concatenate(a), np.concatenate(b)
+                p.append(np.full(len(linked), i)), q.append(linked), leaders.append(i)
+            # only what is connected matters here: a spanning forest, not a link for each leader and member
+            a, b = forest(np.concatenate(p), np.concatenate(q), len(rows))
+            a, b = cids[a], cids[b]
             key = rows[0]["key"]
             yield pa.record_batch([pa.array(np.full(len(a) + len(leaders), key)), pa.array(np.concatenate([a, cids[leaders]])), pa.array(np.concatenate([b, np.zeros(len(leaders), np.int64)]), mask=np.arange(len(a) + len(leaders)) >= len(a)), pa.array([None] * len(a) + [s[i].tobytes() for i in leaders], pa.binary())], schema=arrow_type(out))
 
@@ -282,10 +322,11 @@ def leader_links(met: DataFrame) -> DataFrame:
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
     """(cid, cluster) of the classes that a link joins with another."""
+    n_classes = classes.count()
     keys = classes.where("bands IS NOT NULL").select("cid", F.explode("bands").alias("key"))
-    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes", n_classes)
     parts = F.ceil(F.col("n") / SUB_BUCKET).cast("long")
-    met = materialize(keys.join(counts, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), parts).alias("part"), (F.col("n") > SUB_BUCKET).alias("split")), "bucket-members")
+    met = materialize(keys.join(counts, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), parts).alias("part"), (F.col("n") > SUB_BUCKET).alias("split")), "bucket-members", BANDS * n_classes)
     first = materialize(leader_links(met.join(classes.select("cid", "samples"), "cid")), "leader-links")
     again = first.where("b IS NULL").join(met.where("split").select("key").distinct(), "key", "left_semi")
     second = leader_links(again.select("key", F.lit(0).alias("part"), F.col("a").alias("cid"), "samples"))
@@ -298,10 +339,9 @@ def _vectors(coded: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         for row in _rows(batches):
-            keys, tf, codes, offsets = _weighted(row, bits)
+            keys, tf, codes, offsets = _weighted(row, bits, np.array([w["at"] for w in row["wanted"]], np.int64))
             got = []
-            for w in row["wanted"]:
-                a, b = int(offsets[w["at"]]), int(offsets[w["at"] + 1])
+            for w, a, b in zip(row["wanted"], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 got.append((w["cid"], w["cluster"], int(tf[a:b].sum()), pack_keys(keys[a:b]), zlib.compress(tf[a:b].astype("<u4").tobytes(), 1), zlib.compress(codes[a:b].tobytes(), 1)))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), arrow_type(out).types, strict=True)], schema=arrow_type(out))
 
@@ -311,8 +351,6 @@ def _vectors(coded: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 
 def similar_pairs(blocks: DataFrame, n_docs: int, similarity: float) -> DataFrame:
     """(a, b) that connect all classes of each block linked with its pivots at ``similarity`` or more."""
-    from .epsilon_grid import forest
-
     out = "a long, b long"
 
     def run(batches):
@@ -365,30 +403,32 @@ def similar_pairs(blocks: DataFrame, n_docs: int, similarity: float) -> DataFram
 def verified_classes(vectors: DataFrame, n_docs: int, similarity: float) -> DataFrame:
     """(v, root) of the classes linked at ``similarity`` or more."""
     state = materialize(vectors.select("cid", "cluster", "n", F.col("cid").alias("label"), F.lit(True).alias("todo"), F.lit(True).alias("may")), "cluster-state")
-    links, turn = None, 0
+    rows = state.count()
+    turn = 0
     while True:
         open_ = state.where("todo").groupBy("cluster").agg(F.sum(F.when(F.col("may"), F.col("n"))).alias("eligible"))
         sizes = state.groupBy("cluster").agg(F.sum("n").alias("size")).join(open_.where("eligible > 0"), "cluster")
-        sizes = materialize(sizes, "cluster-sizes")
+        sizes = materialize(sizes, "cluster-sizes", rows)
         if sizes.isEmpty():
             break
         blocks = F.ceil(F.col("size") / BLOCK_SHINGLES)
         draw = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-        live = materialize(state.join(sizes, "cluster").select("cid", "cluster", "todo", "may", blocks.alias("blocks"), (F.col("todo") & F.col("may") & (draw * F.col("eligible") < PIVOT_SHINGLES)).alias("pivot")), "cluster-live")
+        live = materialize(state.join(sizes, "cluster").select("cid", "cluster", "todo", "may", blocks.alias("blocks"), (F.col("todo") & F.col("may") & (draw * F.col("eligible") < PIVOT_SHINGLES)).alias("pivot")), "cluster-live", rows)
         body = live.join(vectors.drop("cluster"), "cid")
         spread = body.where("pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).unionByName(body.where("NOT pivot OR blocks > 1").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("pivot", F.lit(False)))
         found = materialize(similar_pairs(spread.select("cluster", F.col("block").cast("long").alias("block"), "cid", "pivot", "keys", "tf", "codes"), n_docs, similarity), "similar")
-        links = found if links is None else materialize(links.unionByName(found), "similar-all")
-        roots = components(links)
+        # what is linked so far is in the labels: a label's members needn't be joined again
+        known = state.where("cid <> label").select(F.col("label").alias("a"), F.col("cid").alias("b"))
+        roots = components(known.unionByName(found))
         done = live.where("pivot").select("cid", F.lit(True).alias("done"))
         state = state.drop("label").join(roots.toDF("cid", "label"), "cid", "left").join(done, "cid", "left")
-        state = materialize(state.select("cid", "cluster", "n", F.coalesce("label", "cid").alias("label"), (F.col("todo") & F.col("done").isNull()).alias("todo")), "cluster-state")
+        state = materialize(state.select("cid", "cluster", "n", F.coalesce("label", "cid").alias("label"), (F.col("todo") & F.col("done").isNull()).alias("todo")), "cluster-state", rows)
         # what is left to compare lies between classes: all but the class with the most open members may give pivots
         per = state.where("todo").groupBy("cluster", "label").agg(F.sum("n").alias("n"))
-        top = materialize(per.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("top")), "cluster-top")
-        state = materialize(state.join(top, "cluster", "left").select("cid", "cluster", "n", "label", "todo", (F.col("todo") & (F.col("label") != F.col("top"))).alias("may")), "cluster-state")
+        top = materialize(per.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("top")), "cluster-top", rows)
+        state = materialize(state.join(top, "cluster", "left").select("cid", "cluster", "n", "label", "todo", (F.col("todo") & (F.col("label") != F.col("top"))).alias("may")), "cluster-state", rows)
         turn += 1
-    return components(links) if links is not None else state.select(F.col("cid").alias("v"), F.col("label").alias("root")).limit(0)
+    return state.where("cid <> label").select(F.col("cid").alias("v"), F.col("label").alias("root"))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_runs, packing, quality, weighted_minhash
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize, scratch
 
 #: The vocabulary file; None: word_bpe_49k.json of the installed public_tokenizers.
 TOKENIZER: str | None = None
 
 
+_spent: list[str] = []
+
+
+def _stage(f):
+    """A stage that first deletes what the stage before it left in the shared folder, but for what ``docs`` still reads, so that disk doesn't add up."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = " ".join(docs.inputFiles())
+        gone = [p for p in _spent if p.rpartition("/")[2] not in read]
+        discard(spark, gone)
+        with scratch() as made:
+            out = f(spark, docs, sf_dir)
+        _spent[:] = [p for p in _spent if p not in gone] + made
+        return out
+
+    return run_stage
+
+
 def _packed(docs: DataFrame, leave_out: str = "") -> Column:
     """The columns of docs as one struct, so that no name of theirs meets one of an operator's."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != leave_out]).alias("_row")
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's perplexity band; all columns as they were."""
     rows, lang = docs.select(_packed(docs)), F.col("_row.lang")
@@ -24,6 +46,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(scored, lang).where("_kept").select("_row.*")
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with later copies of repeated line runs cut out of text; n_chars follows the text."""
     cut = line_runs.dedup_lines(docs.select("doc_id", "text", _packed(docs, "text")))
@@ -33,11 +56,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[v.alias(c) for c, v in kept.items()])
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies."""
     return weighted_minhash.mark_near(docs.select("doc_id", "text", _packed(docs))).where("_kept").select("_row.*")
 
 
+@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a piece of a document, with its sequence and offset."""
     import public_tokenizers

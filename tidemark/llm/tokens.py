@@ -52,7 +52,7 @@ class Numbered(dict):
 
 
 class DocumentEncoder:
-    def __init__(self, path: str, limit: int = 1 << 21):
+    def __init__(self, path: str, limit: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer, pre_tokenizers

@@ -64,6 +64,37 @@ def test_kneser_ney_sums_to_one():
     assert model.surprisal("unknown", np.array([1])) == pytest.approx([5.0])
 
 
+def test_characters_are_not_folded(spark):
+    """Case, accents and other scripts count: scrambled or shouted text is less likely than the same text as it was."""
+    rng = random.Random(21)
+    data, odd = [], {}
+    for lang, letters in (("ru", "абвгдежзиклмнопр"), ("zh", "的一是不了人我在有他这中大来上国"), ("fr", "abcdeéèêàçfghijkl")):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(80)]
+        data += [(len(data) + i, " ".join(rng.choice(words) for _ in range(120)), lang) for i in range(30)]
+        text = data[-1][1]
+        mixed = list(text)
+        rng.shuffle(mixed)
+        odd[lang] = text, "".join(mixed), text.upper(), text.translate(str.maketrans("éèêà", "èéàê"))
+    train = quality.train(frame(spark, data))
+    asked = [(1000 * k + i, t, lang) for k, (lang, texts) in enumerate(odd.items()) for i, t in enumerate(texts)]
+    bits = {r["doc_id"]: r["_bits"] for r in quality.score(frame(spark, asked).select("doc_id", "lang", "text"), train).collect()}
+    assert bits[1] > bits[0] + 1 and bits[1001] > bits[1000] + 1 and bits[2001] > bits[2000] + 1
+    assert bits[2] > bits[0] + 1 and bits[2002] > bits[2000] + 1 and bits[2003] > bits[2000] + 0.3
+    more = [(5000 + i, " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(4)) for _ in range(300)), "ru") for i in range(20)]
+    assert quality.train(frame(spark, data + more)).grams.count() > 2 * train.grams.count()
+
+
+def test_joined_model_sums_to_one(spark):
+    rng = random.Random(22)
+    data = [(i, "".join(rng.choice("abcdé ") for _ in range(300)), "x") for i in range(6)]
+    model = quality.train(frame(spark, data))
+    seen = model.grams.where("k = 4").select("lang", "context").first()["context"]
+    codes = [r["code"] for r in model.grams.where("k = 1").select("code").collect()] + [0x4E00]  # and one character for all unseen
+    for context in (seen, 12345):
+        wanted = spark.createDataFrame([("x", context, c) for c in codes], "lang string, context long, code long")
+        assert sum(2 ** -r["bits"] for r in quality.surprisals(wanted, model).collect()) == pytest.approx(1, abs=1e-6)
+
+
 def cut_lines(data, least=line_runs.MIN_WORDS):
     """Line runs by brute force: every run of lines of enough words that occurs earlier."""
     order = sorted({(d, t) for d, t, _ in data if t is not None}, key=lambda x: (x[0] is None, x[0] or 0))

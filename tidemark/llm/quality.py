@@ -1,11 +1,13 @@
 """Quality rules: length and repetition rules, and bands of n-gram perplexity a language (operator 9).
 
 The model is a character n-gram model of order 4 with modified Kneser-Ney smoothing, one for each value of
-``lang``. Characters are folded to 32 symbols, so a language has at most 2**20 n-grams whatever the corpus: that
-bounds what the driver gathers and what each task holds. Spark counts the n-grams of all documents; the smoothed
-model is stored as arrays sorted by the hash of (language, order, n-gram). A document's score is its mean
-surprisal in bits a character. Each language's band lies around the median of its documents' scores; it is
-``BAND`` standard deviations wide on either side, and wider for short texts, whose mean says less.
+``lang``. Characters are Unicode code points as they stand: case, accents and scripts count, and there is no fixed
+alphabet, so the model grows with the corpus. It is therefore never in one place: counting, smoothing and looking up
+are joins of tables dealt by (language, n-gram). A batch of documents asks for its distinct n-grams only, and gets
+their surprisals. An n-gram that only one text has (or copies of it) is not evidence for that text; it is left out and
+backs off, so what is unlike all others can't vouch for itself. A document's score is its mean surprisal in bits a
+character. Each language's band lies around the median of its documents' scores; it is ``BAND`` standard deviations
+wide on either side, and wider for short texts, whose mean says less.
 
 Results defined for odd input: a null text counts as empty (no words: base_failed); a null lang is a language of
 its own; documents with the same doc_id are judged one by one; an empty table gives no rows.
@@ -13,13 +15,16 @@ its own; documents with the same doc_id are judged one by one; an empty table gi
 
 from __future__ import annotations
 
+import functools
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import materialize, read_table, text_bytes, text_slices
+from .common import arrow_type, materialize, read_table, text_bytes, text_slices
 
 ORDER, SYMBOL_BITS = 4, 5
 SYMBOLS, GRAMS = 1 << SYMBOL_BITS, 1 << ORDER * SYMBOL_BITS
@@ -100,37 +105,80 @@ def _langs(column: pa.Array) -> list[str]:
     return [x or "" for x in column.cast(pa.string()).to_pylist()]
 
 
+CODE_BITS = 21
+#: N-grams that a task holds before it merges equal ones.
+HELD_GRAMS = 1 << 21
+#: Bits of a character of a language that the model doesn't know: any code point may come.
+UNKNOWN_BITS = 20.0
+
+
+def code_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each character of each document the three code points before it, packed (line ends stand before the document), the code point itself, and where each document's begin."""
+    lead = (data & 0xC0) != 0x80
+    at = np.concatenate([[0], np.cumsum(lead)])[offsets]
+    pos = np.flatnonzero(lead)
+    more = np.concatenate([data, np.zeros(3, np.uint8)])
+    b0, b1, b2, b3 = (more[pos + k].astype(np.int64) & (0x3F if k else 0xFF) for k in range(4))
+    code = np.where(b0 < 0x80, b0, np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | b1, np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | b1 << 6 | b2, (b0 & 0x07) << 18 | b1 << 12 | b2 << 6 | b3)))
+    nth = np.arange(len(code)) - np.repeat(at[:-1], np.diff(at))
+    context = np.zeros(len(code), np.int64)
+    for k in range(1, ORDER):
+        before = np.full(len(code), 10, np.int64)
+        before[k:] = code[:-k]
+        context |= np.where(nth >= k, before, 10) << CODE_BITS * (k - 1)
+    return context, code, at
+
+
+def _hash(context: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return textops.mix(context.astype(np.uint64) ^ textops.mix(code.astype(np.uint64)))
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(context, code, n, first, last) with equal n-grams joined: n summed, the least and the greatest hash of a text."""
+    context, code, n, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h = _hash(context, code)
+    order = np.argsort(h)
+    start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    one = order[start]
+    return context[one], code[one], np.add.reduceat(n[order], start), np.minimum.reduceat(lo[order], start), np.maximum.reduceat(hi[order], start)
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over the whole text of all documents; each task sends its own sums."""
+    """Rows (batch, lang, context, code, n, first, last) for ``docs`` (_batch, _lang, _text): how often an n-gram occurs, and the least and greatest hash of a text that has it; each task sends its own sums."""
+    out = "batch long, lang string, context long, code long, n long, first long, last long"
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        held: dict[tuple[int, str], list] = {}
+        size = 0
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                g, at = grams(*text_bytes(part.column("text")))
-                langs = _langs(part.column("lang"))
-                for lang in dict.fromkeys(langs):
-                    mine = np.repeat(np.array([x == lang for x in langs]), np.diff(at))
-                    found = np.bincount(g[mine], minlength=GRAMS)
-                    if lang in sums:
-                        sums[lang] += found
-                    else:
-                        sums[lang] = found
-                if len(sums) > 16:  # dense sums of few languages at a time
-                    yield from send(sums)
-                    sums = {}
-        yield from send(sums)
-
-    def send(sums):
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "n"])
-
-    return docs.select("lang", "text").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            for part in text_slices(batch, "_text"):
+                data, offsets = text_bytes(part.column("_text"))
+                context, code, at = code_grams(data, offsets)
+                text = np.repeat(textops.hash_spans(data, offsets[:-1], offsets[1:]).view(np.int64), np.diff(at))
+                keys = list(zip(part.column("_batch").to_pylist(), _langs(part.column("_lang")), strict=True))
+                for key in dict.fromkeys(keys):
+                    mine = np.repeat(np.array([k == key for k in keys]), np.diff(at))
+                    if mine.any():
+                        held.setdefault(key, []).append(_merged([(context[mine], code[mine], np.ones(mine.sum(), np.int64), text[mine], text[mine])]))
+                        size += len(held[key][-1][0])
+                if size > HELD_GRAMS:
+                    held = {k: [_merged(v)] for k, v in held.items()}
+                    size = sum(len(v[0][0]) for v in held.values())
+                    if size > HELD_GRAMS // 2:
+                        yield from send(held)
+                        held, size = {}, 0
+        yield from send(held)
+
+    def send(held):
+        for (batch, lang), parts in held.items():
+            found = _merged(parts)
+            yield pa.record_batch([pa.array(np.full(len(found[0]), batch)), pa.array([lang] * len(found[0]), pa.string()), *map(pa.array, found)], schema=arrow_type(out))
+
+    return docs.select(F.col("_batch").cast("long").alias("_batch"), F.col("_lang").cast("string").alias("_lang"), "_text").mapInArrow(count, out)
 
 
 class Model:
-    """Modified Kneser-Ney, interpolated, for several languages; log2 probabilities and back-off weights by hash."""
+    """The same smoothing in memory, over characters folded to 32 symbols and without leaving n-grams out: small enough to sum up in a test. No query uses it."""
 
     def __init__(self, lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         keys, probs, backs = [], [], []
@@ -204,39 +252,128 @@ class Model:
         return -out
 
 
-def train(docs: DataFrame) -> Model:
-    """Count in Spark, smooth on the driver: at most 2**20 counts a language come there."""
-    got = count_grams(docs).toArrow()
-    return Model(np.array(got.column("lang").to_pylist(), object), got.column("gram").to_numpy(), got.column("n").to_numpy())
-
+class Trained(NamedTuple):
+    """Modified Kneser-Ney, interpolated, as two tables: p of (lang, k, context, code), and what a (lang, k, context) leaves to the order below; k = 0: the even distribution."""
+
+    grams: DataFrame
+    contexts: DataFrame
+
+
+def _shorter(k: int) -> Column:
+    """The context of order k without its farthest characters."""
+    return F.col("context").bitwiseAND(F.lit((1 << (k - 1) * CODE_BITS) - 1))
+
+
+def train(docs: DataFrame) -> Trained:
+    """The model of ``docs`` (lang, text); n-grams of one text only, however many copies there are, are left out."""
+    counted = count_grams(docs.select(F.lit(0).alias("_batch"), F.col("lang").alias("_lang"), F.col("text").alias("_text")))
+    counted = counted.groupBy("lang", "context", "code").agg(F.sum("n").alias("c"), F.min("first").alias("first"), F.max("last").alias("last"))
+    levels = {ORDER: materialize(counted.where("first <> last").drop("first", "last"), "grams")}
+    for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct characters that stand before them
+        levels[k] = materialize(levels[k + 1].groupBy("lang", _shorter(k).alias("context"), "code").agg(F.count("*").alias("c")), "grams")
+    # one row a language: bounded by the languages there are
+    lower = levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p"))
+    contexts = [lower.select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("context"), F.col("p").alias("back"))]
+    grams = []
+    for k in range(1, ORDER + 1):
+        t = [F.greatest(F.lit(1), F.count(F.when(F.col("c") == j, 1))) for j in range(1, 5)]
+        t1, t2, t3, t4 = (F.col(f"t{j}") for j in range(1, 5))
+        y = t1 / (t1 + 2 * t2)
+        clip = lambda x, most: F.least(F.greatest(x, F.lit(0.1)), F.lit(most))
+        off = levels[k].groupBy("lang").agg(*[x.alias(f"t{j + 1}") for j, x in enumerate(t)]).select("lang", clip(1 - 2 * y * t2 / t1, 0.9).alias("d1"), clip(2 - 3 * y * t3 / t2, 1.9).alias("d2"), clip(3 - 4 * y * t4 / t3, 2.9).alias("d3"))
+        cut = levels[k].join(F.broadcast(off), "lang").withColumn("cut", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        total = materialize(cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("back")), "contexts")
+        below = (lower if k == 1 else lower.select("lang", F.col("context").alias("_short"), "code", F.col("p").alias("low")))
+        one = cut.join(total, ["lang", "context"])
+        one = one.join(F.broadcast(below.withColumnRenamed("p", "low")), "lang") if k == 1 else one.withColumn("_short", _shorter(k - 1)).join(below, ["lang", "_short", "code"])
+        lower = materialize(one.select("lang", "context", "code", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("back") * F.col("low")).alias("p")), "probabilities")
+        grams.append(lower.select("lang", F.lit(k).alias("k"), "context", "code", "p"))
+        contexts.append(total.select("lang", F.lit(k).alias("k"), "context", "back"))
+    union = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    return Trained(union(grams), union(contexts))
+
+
+def surprisals(wanted: DataFrame, model: Trained) -> DataFrame:
+    """(lang, context, code, bits) for distinct ``wanted`` (lang, context, code); unseen n-grams back off."""
+    asked = {ORDER: wanted}
+    for k in range(ORDER - 1, 0, -1):
+        asked[k] = asked[k + 1].select("lang", _shorter(k).alias("context"), "code").distinct()
+    even = model.contexts.where("k = 0").select("lang", F.col("back").alias("low"))
+    found = None
+    for k in range(1, ORDER + 1):
+        p = model.grams.where(F.col("k") == k).drop("k")
+        back = model.contexts.where(F.col("k") == k).drop("k")
+        one = asked[k].join(p, ["lang", "context", "code"], "left").join(back, ["lang", "context"], "left")
+        if k == 1:
+            one = one.join(F.broadcast(even), "lang", "left").withColumn("low", F.coalesce("low", F.lit(2.0**-UNKNOWN_BITS)))
+        else:
+            one = one.withColumn("_short", _shorter(k - 1)).join(found.select("lang", F.col("context").alias("_short"), "code", F.col("p").alias("low")), ["lang", "_short", "code"])
+        found = one.select("lang", "context", "code", F.coalesce("p", F.coalesce("back", F.lit(1.0)) * F.col("low")).alias("p"))
+        if k < ORDER:
+            found = materialize(found, "asked")
+    return found.select("lang", "context", "code", (-F.log2("p")).alias("bits"))
+
+
+def score(docs: DataFrame, model: Trained, lang: Column | None = None, text: Column | None = None) -> DataFrame:
+    """``docs`` with the base counts, _bits (mean surprisal, null for an empty text) and _n_scored. ``lang`` and ``text`` say where these are, if not in columns of that name.
+
+    A batch is what one task reads. Its documents and the surprisals of its distinct n-grams meet in one task, the
+    n-grams first; the documents then pass in slices.
+    """
+    from pyspark.sql.types import StructType
 
-def score(docs: DataFrame, model: Model, lang: Column | None = None, text: Column | None = None) -> DataFrame:
-    """``docs`` with the base counts, _bits (mean surprisal, null for an empty text) and _n_scored. ``lang`` and ``text`` say where these are, if not in columns of that name."""
     lang, text = F.col("lang") if lang is None else lang, F.col("text") if text is None else text
+    names = docs.columns
+    row_type = StructType(docs.schema.fields)
+    kept = materialize(docs.withColumn("_batch", F.spark_partition_id().cast("long")), "batches")
+    need = materialize(count_grams(kept.select("_batch", lang.alias("_lang"), text.alias("_text"))).select("batch", "lang", "context", "code").distinct(), "batch-grams")
+    priced = need.join(surprisals(need.select("lang", "context", "code").distinct(), model), ["lang", "context", "code"])
+    none = lambda kind: F.lit(None).cast(kind)
+    grams_first = priced.select(F.col("batch").alias("_batch"), F.lit(0).alias("_kind"), F.col("lang").alias("_lang"), F.col("context").alias("_context"), F.col("code").alias("_code"), F.col("bits").alias("_gram_bits"), none(row_type).alias("_doc"))
+    then_docs = kept.select("_batch", F.lit(1).alias("_kind"), lang.cast("string").alias("_lang"), none("long").alias("_context"), none("long").alias("_code"), none("double").alias("_gram_bits"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
+    dealt = grams_first.unionByName(then_docs).repartition("_batch").sortWithinPartitions("_batch", "_kind")
+    extra = ["_batch", "_kind", "_lang", "_context", "_code", "_gram_bits"]
     fields = ", ".join(f"_{c} long" for c in BASE)
+    schema = StructType(row_type.fields + StructType.fromDDL(f"{fields}, _bits double, _n_scored long").fields)
 
     def run(batches):
+        number, parts, tables = None, {}, {}
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                data, offsets = text_bytes(part.column("_text"))
-                base = base_features(data, offsets)
-                g, at = grams(data, offsets)
-                langs = _langs(part.column("_lang"))
-                bits, table = np.zeros(len(g)), np.zeros(GRAMS)
-                for lang in dict.fromkeys(langs):
-                    mine = np.repeat(np.array([x == lang for x in langs]), np.diff(at))
-                    seen = np.flatnonzero(np.bincount(g[mine], minlength=GRAMS))
-                    table[seen] = model.surprisal(lang, seen)
-                    bits[mine] = table[g[mine]]
-                ends = np.concatenate([[0], np.cumsum(bits)])[at]
-                n = np.diff(at)
-                mean = np.diff(ends) / np.maximum(n, 1)
-                yield pa.record_batch([*part.columns[:-2], *(pa.array(base[c].astype(np.int64)) for c in BASE), pa.array(mean, mask=n == 0), pa.array(n)], names=[*part.schema.names[:-2], *(f"_{c}" for c in BASE), "_bits", "_n_scored"])
-
-    from pyspark.sql.types import StructType
-
-    schema = StructType(docs.schema.fields + StructType.fromDDL(f"{fields}, _bits double, _n_scored long").fields)
-    return docs.select("*", lang.cast("string").alias("_lang"), text.alias("_text")).mapInArrow(run, schema)
+            ids, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero((ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)], strict=True):
+                if lo == hi:
+                    continue
+                piece = batch.slice(lo, hi - lo)
+                if ids[lo] != number:
+                    number, parts, tables = ids[lo], {}, {}
+                if kinds[lo] == 0:
+                    h, b = _hash(piece.column(3).to_numpy(), piece.column(4).to_numpy()), piece.column(5).to_numpy().astype(np.float32)
+                    owner = np.array(_langs(piece.column(2)), object)
+                    for name in set(owner.tolist()):
+                        parts.setdefault(name, []).append((h[owner == name], b[owner == name]))
+                    continue
+                for name, found in parts.items():
+                    h, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                    order = np.argsort(h)
+                    tables[name] = h[order], b[order]
+                parts = {}
+                for part in text_slices(piece, "_text"):
+                    yield scored(part, tables)
+
+    def scored(part, tables):
+        data, offsets = text_bytes(part.column("_text"))
+        base, (context, code, at) = base_features(data, offsets), code_grams(data, offsets)
+        h, langs, bits = _hash(context, code), _langs(part.column(2)), np.zeros(len(code))
+        for name in dict.fromkeys(langs):
+            mine = np.repeat(np.array([x == name for x in langs]), np.diff(at))
+            if mine.any():
+                some, where = np.unique(h[mine], return_inverse=True)
+                bits[mine] = tables[name][1][np.searchsorted(tables[name][0], some)][where]
+        ends, n = np.concatenate([[0], np.cumsum(bits)])[at], np.diff(at)
+        return pa.record_batch([*part.columns[len(extra) : -1], *(pa.array(base[c].astype(np.int64)) for c in BASE), pa.array(np.diff(ends) / np.maximum(n, 1), mask=n == 0), pa.array(n)], names=[*names, *(f"_{c}" for c in BASE), "_bits", "_n_scored"])
+
+    return dealt.select(*extra, "_doc.*").select("*", text.alias("_text")).mapInArrow(run, schema)
 
 
 def judge(scored: DataFrame, lang: Column | None = None) -> DataFrame:

@@ -84,6 +84,20 @@ def test_characters_are_not_folded(spark):
     assert quality.train(frame(spark, data + more)).grams.count() > 2 * train.grams.count()
 
 
+def test_bands_reject_spam_shouting_and_tables(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    text = lambda: [rng.choice(words) for _ in range(200)]
+    clean = [(i, ". ".join(" ".join(x) for x in zip(*[iter(text())] * 8)), "en") for i in range(120)]
+    junk = [(500 + i, " ".join(w + rng.choice(["###", "$$$", "&&&", "%%%"]) for w in text()), "en") for i in range(4)]
+    junk += [(600 + i, " ".join(w.upper() + "!!" for w in text()), "en") for i in range(4)]
+    junk += [(700 + i, " | ".join(text()), "en") for i in range(4)]
+    docs = frame(spark, clean + junk)
+    scored = quality.score(docs.select("doc_id", "lang", "text"), quality.train(docs)).cache()
+    kept = {r["doc_id"] for r in quality.judge(scored).collect() if r["_kept"]}
+    assert kept == {d for d, _, _ in clean}
+
+
 def test_joined_model_sums_to_one(spark):
     rng = random.Random(22)
     data = [(i, "".join(rng.choice("abcdé ") for _ in range(300)), "x") for i in range(6)]

@@ -6,8 +6,9 @@ alphabet, so the model grows with the corpus. It is therefore never in one place
 are joins of tables dealt by (language, n-gram). A batch of documents asks for its distinct n-grams only, and gets
 their surprisals. An n-gram that only one text has (or copies of it) is not evidence for that text; it is left out and
 backs off, so what is unlike all others can't vouch for itself. A document's score is its mean surprisal in bits a
-character. Each language's band lies around the median of its documents' scores; it is ``BAND`` standard deviations
-wide on either side, and wider for short texts, whose mean says less.
+character; how widely the surprisals of its characters spread is held against the others, too, for symbol spam is as
+predictable as prose on average, but not from character to character. Each language's bands lie around the medians of
+its documents; they are ``BAND`` standard deviations wide on either side, and wider for short texts, which say less.
 
 Results defined for odd input: a null text counts as empty (no words: base_failed); a null lang is a language of
 its own; documents with the same doc_id are judged one by one; an empty table gives no rows.
@@ -29,9 +30,9 @@ from .common import arrow_type, materialize, read_table, text_bytes, text_slices
 ORDER, SYMBOL_BITS = 4, 5
 SYMBOLS, GRAMS = 1 << SYMBOL_BITS, 1 << ORDER * SYMBOL_BITS
 #: A document is rejected that lies further from its language's median, in standard deviations.
-BAND = 7.0
-#: Deviation in bits of one character's surprisal, for the widening by length; and the least deviation of a language.
-CHAR_BITS, LEAST_BITS = 1.0, 0.02
+BAND = 4.0
+#: Deviation in bits that one character adds to the mean and to the spread, for the widening by length; and the least deviation of a language.
+CHAR_BITS, SPREAD_BITS, LEAST_BITS = 1.0, 2.0, 0.02
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MARKS = np.zeros(256, bool)
@@ -315,7 +316,7 @@ def surprisals(wanted: DataFrame, model: Trained) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Trained, lang: Column | None = None, text: Column | None = None) -> DataFrame:
-    """``docs`` with the base counts, _bits (mean surprisal, null for an empty text) and _n_scored. ``lang`` and ``text`` say where these are, if not in columns of that name.
+    """``docs`` with the base counts, _bits (mean surprisal), _spread (standard deviation of the surprisals; both null for an empty text) and _n_scored. ``lang`` and ``text`` say where these are, if not in columns of that name.
 
     A batch is what one task reads. Its documents and the surprisals of its distinct n-grams meet in one task, the
     n-grams first; the documents then pass in slices.
@@ -334,7 +335,7 @@ def score(docs: DataFrame, model: Trained, lang: Column | None = None, text: Col
     dealt = grams_first.unionByName(then_docs).repartition("_batch").sortWithinPartitions("_batch", "_kind")
     extra = ["_batch", "_kind", "_lang", "_context", "_code", "_gram_bits"]
     fields = ", ".join(f"_{c} long" for c in BASE)
-    schema = StructType(row_type.fields + StructType.fromDDL(f"{fields}, _bits double, _n_scored long").fields)
+    schema = StructType(row_type.fields + StructType.fromDDL(f"{fields}, _bits double, _spread double, _n_scored long").fields)
 
     def run(batches):
         number, parts, tables = None, {}, {}
@@ -370,8 +371,10 @@ def score(docs: DataFrame, model: Trained, lang: Column | None = None, text: Col
             if mine.any():
                 some, where = np.unique(h[mine], return_inverse=True)
                 bits[mine] = tables[name][1][np.searchsorted(tables[name][0], some)][where]
-        ends, n = np.concatenate([[0], np.cumsum(bits)])[at], np.diff(at)
-        return pa.record_batch([*part.columns[len(extra) : -1], *(pa.array(base[c].astype(np.int64)) for c in BASE), pa.array(np.diff(ends) / np.maximum(n, 1), mask=n == 0), pa.array(n)], names=[*names, *(f"_{c}" for c in BASE), "_bits", "_n_scored"])
+        n = np.diff(at)
+        mean, square = (np.diff(np.concatenate([[0], np.cumsum(x)])[at]) / np.maximum(n, 1) for x in (bits, bits * bits))
+        spread = np.sqrt(np.maximum(square - mean * mean, 0))
+        return pa.record_batch([*part.columns[len(extra) : -1], *(pa.array(base[c].astype(np.int64)) for c in BASE), pa.array(mean, mask=n == 0), pa.array(spread, mask=n == 0), pa.array(n)], names=[*names, *(f"_{c}" for c in BASE), "_bits", "_spread", "_n_scored"])
 
     return dealt.select(*extra, "_doc.*").select("*", text.alias("_text")).mapInArrow(run, schema)
 
@@ -380,15 +383,19 @@ def judge(scored: DataFrame, lang: Column | None = None) -> DataFrame:
     """``scored`` (a written table) with _base_failed, _perplexity and _kept. Bands come from approximate quartiles of all documents that pass the base rules."""
     failed = (F.col("_n_words") < LEAST_WORDS) | (100 * F.col("_n_repeat_words") > MOST_REPEATED * F.col("_n_words"))
     lang = F.coalesce((F.col("lang") if lang is None else lang).cast("string"), F.lit(""))
-    bands = scored.where(~failed & F.col("_bits").isNotNull()).groupBy(lang.alias("_lang")).agg(F.percentile_approx("_bits", [0.25, 0.5, 0.75], 10_000).alias("_q"))
-    q = F.col("_q")
-    spread = F.sqrt(F.pow(F.greatest((q[2] - q[0]) / 1.349, F.lit(LEAST_BITS)), 2) + F.lit(CHAR_BITS**2) / F.col("_n_scored"))
-    inside = F.abs(F.col("_bits") - q[1]) <= BAND * spread
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
+    bands = scored.where(~failed & F.col("_bits").isNotNull()).groupBy(lang.alias("_lang")).agg(quartiles("_bits").alias("_q"), quartiles("_spread").alias("_qs"))
+
+    def within(value: str, q: Column, char: float) -> Column:
+        width = F.sqrt(F.pow(F.greatest((q[2] - q[0]) / 1.349, F.lit(LEAST_BITS)), 2) + F.lit(char**2) / F.col("_n_scored"))
+        return F.abs(F.col(value) - q[1]) <= BAND * width
+
+    inside = within("_bits", F.col("_q"), CHAR_BITS) & within("_spread", F.col("_qs"), SPREAD_BITS)
     # one row a language: bounded by the languages there are, so it goes to every task
     return (
         scored.withColumn("_lang", lang).join(F.broadcast(bands), "_lang", "left").drop("_lang")
         .withColumn("_base_failed", failed).withColumn("_perplexity", F.pow(F.lit(2.0), F.col("_bits")))
-        .withColumn("_kept", ~failed & F.coalesce(inside, F.lit(False))).drop("_q")
+        .withColumn("_kept", ~failed & F.coalesce(inside, F.lit(False))).drop("_q", "_qs")
     )
 
 

@@ -58,8 +58,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near copies."""
-    return weighted_minhash.mark_near(docs.select("doc_id", "text", _packed(docs))).where("_kept").select("_row.*")
+    """One document of each class of near copies: that with the smallest doc_id, nulls last."""
+    marked = weighted_minhash.mark_near(docs.select("doc_id", "text", _packed(docs, "text"))).where("_first")
+    return marked.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 @_stage

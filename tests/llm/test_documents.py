@@ -194,6 +194,17 @@ def test_near_classes(spark):
     assert all(r["_kept"] == (r["_class"] == r["doc_id"]) for r in got)
 
 
+def test_one_row_of_a_class_stays_whatever_its_ids(spark):
+    rng = random.Random(24)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    data = [(None, a, "en"), (None, a, "en"), (None, a + " end", "en"), (3, b, "en"), (3, b, "en"), (3, b + " end", "en"), (None, c, "en"), (8, c, "en"), (None, d, "en"), (None, None, "en"), (None, None, "en")]
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    got = corpus_pipeline.near_dedup(spark, frame(spark, data), "").collect()
+    assert Counter((r["doc_id"], (r["text"] or "none")[:20]) for r in got) == Counter({(None, a[:20]): 1, (3, b[:20]): 1, (8, c[:20]): 1, (None, d[:20]): 1, (None, "none"): 2})
+    marked = weighted_minhash.mark_near(frame(spark, data).drop("_kept")).where("doc_id IS NULL AND text IS NOT NULL AND _kept").collect()
+    assert Counter(r["text"][:20] for r in marked) == Counter({a[:20]: 1, d[:20]: 1})
+
+
 def test_near_classes_in_parts(spark, monkeypatch):
     """Buckets, blocks, pivots and hash ranges of a few give what large ones do."""
     for name, v in (("SUB_BUCKET", 2), ("BLOCK_SHINGLES", 300), ("PIVOT_SHINGLES", 250), ("RANGE_SHINGLES", 1 << 10), ("BATCH_BYTES", 2000)):

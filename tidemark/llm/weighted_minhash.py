@@ -459,14 +459,24 @@ def components_with_roots(found: DataFrame) -> DataFrame:
 
 
 def mark_near(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` (with doc_id and text) with _class (the smallest doc_id of its class; null text: its own) and _kept."""
+    """``docs`` (with doc_id and text) with _class (the smallest doc_id of its class; null text: its own), _kept and _first.
+
+    _first holds for exactly one row of each class: that of the smallest doc_id, nulls last, and of equal ids the
+    first row as written here. _kept is the same, but that all rows of a class's smallest doc_id have it.
+    """
     last = (1 << 63) - 1
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(last)))
-    classes = near_classes(keyed.select(F.col("_d").alias("d"), "text"), similarity)
     t1, t2 = fingerprint(F.col("text"))
-    done = keyed.withColumns({"_t1": F.when(F.col("text").isNotNull(), t1), "_t2": F.when(F.col("text").isNotNull(), t2)}).join(classes.toDF("_t1", "_t2", "_least"), ["_t1", "_t2"], "left")
-    own = F.coalesce("_least", "_d")
-    return done.withColumn("_class", F.when(own != last, own)).withColumn("_kept", own == F.col("_d")).drop("_d", "_t1", "_t2", "_least")
+    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), "_n": F.monotonically_increasing_id(), "_t1": F.when(F.col("text").isNotNull(), t1), "_t2": F.when(F.col("text").isNotNull(), t2)})
+    keyed = materialize(keyed, "near-rows")  # row numbers hold only once they are written
+    classes = near_classes(keyed.select(F.col("_n").alias("d"), "text"), similarity).toDF("_t1", "_t2", "_name")
+    named = keyed.where("_t1 IS NOT NULL").groupBy("_t1", "_t2").agg(F.min(F.struct("_d", "_n")).alias("_one")).join(classes, ["_t1", "_t2"])
+    named = materialize(named, "class-texts")
+    best = named.groupBy("_name").agg(F.min("_one").alias("_best"))
+    done = keyed.join(named.join(best, "_name").select("_t1", "_t2", "_best"), ["_t1", "_t2"], "left")
+    own = F.coalesce("_best._d", "_d")
+    first = F.col("_best").isNull() | (F.col("_best._n") == F.col("_n"))
+    kept = first | ((own == F.col("_d")) & (own != last))
+    return done.withColumn("_class", F.when(own != last, own)).withColumn("_first", first).withColumn("_kept", kept).drop("_d", "_n", "_t1", "_t2", "_best")
 
 
 def op7_weighted_minhash(spark, sf_dir: str) -> DataFrame:

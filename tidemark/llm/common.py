@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
+import contextvars
+import functools
 import tempfile
 import uuid
 
@@ -17,26 +18,19 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets one of its own; on a cluster that is an error, for executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_made: list[list[str]] = []
-
-
-@contextlib.contextmanager
-def scratch():
-    """Collects the paths of the intermediate tables and files that are made within."""
-    _made.append([])
-    try:
-        yield _made[-1]
-    finally:
-        _made.pop()
+#: Paths of the intermediate tables made in this thread's call of a tidy() function; None outside of one.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -46,10 +40,28 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
+def tidy(f):
+    """``f`` (spark, ...) -> DataFrame; the intermediate tables that it made and that its result doesn't read are deleted at its end. No other call's tables are touched, so calls may be repeated or run side by side."""
+
+    @functools.wraps(f)
+    def run(spark, *args):
+        token = _made.set([])
+        try:
+            out = f(spark, *args)
+            read = " ".join(out.inputFiles())
+            discard(spark, [p for p in _made.get() if p.rpartition("/")[2] not in read])
+        finally:
+            _made.reset(token)
+        return out
+
+    return run
+
+
+def fresh_path(spark: SparkSession, tag: str, lasting: bool = False) -> str:
+    """A new path in the shared folder. ``lasting``: it is for files that are results (archives, token files), which tidy() leaves alone."""
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    for paths in _made:
-        paths.append(path)
+    if not lasting and _made.get() is not None:
+        _made.get().append(path)
     return path
 
 

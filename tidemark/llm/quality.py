@@ -1,74 +1,57 @@
 """Quality rules: length and repetition rules, and bands of n-gram perplexity a language (operator 9).
 
-The model is a character n-gram model of order 4 with modified Kneser-Ney smoothing, one for each value of
-``lang``. Characters are Unicode code points as they stand: case, accents and scripts count, and there is no fixed
-alphabet, so the model grows with the corpus. It is therefore never in one place: counting, smoothing and looking up
-are joins of tables dealt by (language, n-gram). A batch of documents asks for its distinct n-grams only, and gets
-their surprisals. An n-gram that only one text has (or copies of it) is not evidence for that text; it is left out and
-backs off, so what is unlike all others can't vouch for itself. A document's score is its mean surprisal in bits a
-character; how widely the surprisals of its characters spread is held against the others, too, for symbol spam is as
-predictable as prose on average, but not from character to character. Each language's bands lie around the medians of
-its documents; they are ``BAND`` standard deviations wide on either side, and wider for short texts, which say less.
-
-Results defined for odd input: a null text counts as empty (no words: base_failed); a null lang is a language of
-its own; documents with the same doc_id are judged one by one; an empty table gives no rows.
+The model is a character n-gram model of order 4 with interpolated modified Kneser-Ney smoothing, one for each value
+of ``lang``. Characters are Unicode code points as they stand: case, accents and scripts count, and there is no fixed
+alphabet, so the model grows with the corpus. It is never in one place: counts, discounts and probabilities are tables
+dealt by (language, n-gram), and the probabilities of all n-grams that are asked for are stored as sorted hash arrays,
+one row a hash range. The text of a batch of documents (rows of a file that stand together) is read twice: first it
+asks each hash range for its distinct n-grams, as sorted, packed hashes; then the answers and the documents meet, which
+moves the text once. Nothing else moves a row a character or a row an n-gram and document.
+
+An n-gram that only one text has (or copies of it) is not evidence for that text; it is left out and backs off, so what
+is unlike all others can't vouch for itself. A document's score is its mean surprisal in bits a character; how widely
+the surprisals of its characters spread is held against the others, too, for symbol spam is as predictable as prose on
+average, but not from character to character. Each language's bands lie around the medians of its documents; they are
+``BAND`` standard deviations wide on either side, and wider for short texts, which say less.
+
+Results defined for odd input: a null text counts as empty (no words: base_failed); a null lang is one with the empty
+string; documents with the same doc_id are judged one by one; a very long text is scored whole; ties don't matter, as
+nothing is ranked; an empty table gives no rows; the columns of ``docs`` come back in the struct ``row``, so that no
+name of theirs can clash.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textops
 from .common import arrow_type, materialize, read_table, text_bytes, text_slices
 
-ORDER, SYMBOL_BITS = 4, 5
-SYMBOLS, GRAMS = 1 << SYMBOL_BITS, 1 << ORDER * SYMBOL_BITS
+ORDER, CODE_BITS = 4, 21
 #: A document is rejected that lies further from its language's median, in standard deviations.
 BAND = 4.0
 #: Deviation in bits that one character adds to the mean and to the spread, for the widening by length; and the least deviation of a language.
 CHAR_BITS, SPREAD_BITS, LEAST_BITS = 1.0, 2.0, 0.02
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Rows of a file that make a batch; n-grams that a task holds before it merges equal ones; n-grams a hash range.
+BATCH_ROWS, HELD_GRAMS, RANGE_GRAMS = 4096, 1 << 21, 1 << 17
+#: Bits of a character of a language that the model doesn't know (any code point may come), and steps a bit of a stored surprisal.
+UNKNOWN_BITS, STEPS = 20.0, 1024
+#: Steps a bit of the histograms that the bands come from.
+BINS = 500
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"#*$%&|<>")] = True
 
 
-def _fold() -> np.ndarray:
-    """Symbol of each code point below 256: letters whatever the case, space, line end, digit, common punctuation, other ASCII, the rest."""
-    kind = np.full(256, 31, np.int32)
-    kind[33:127] = 30
-    for letters in (range(65, 91), range(97, 123)):
-        kind[list(letters)] = np.arange(26)
-    kind[[9, 32]], kind[[10, 11, 12, 13]], kind[48:58] = 26, 27, 28
-    kind[[ord(c) for c in ".,;:!?'\"-()"]] = 29
-    return kind
-
-
-FOLD = _fold()
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of each document that end at each of its characters (line ends stand before it), and where each document's begin."""
-    lead = (data & 0xC0) != 0x80  # a character's first byte; all outside ASCII are one symbol
-    at = np.concatenate([[0], np.cumsum(lead)])[offsets]
-    symbols = FOLD[np.where(data < 0x80, data, 0xFF)][lead]
-    padded = np.insert(symbols, np.repeat(at[:-1], ORDER - 1), 27)
-    g = padded[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        g |= padded[ORDER - 1 - k : len(padded) - k] << (SYMBOL_BITS * k)
-    keep = np.ones(len(g), bool)  # all but the windows that end in a later document's padding
-    begin = at[1:-1] + (ORDER - 1) * np.arange(1, len(at) - 1)
-    for k in range(ORDER - 1):
-        keep[(begin - (ORDER - 1) + k)[begin - (ORDER - 1) + k < len(g)]] = False
-    return g[keep] if len(symbols) else g[:0], at
-
-
 def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The five counts of each document."""
     n = len(offsets) - 1
@@ -102,17 +85,6 @@ def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     return out
 
 
-def _langs(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.cast(pa.string()).to_pylist()]
-
-
-CODE_BITS = 21
-#: N-grams that a task holds before it merges equal ones.
-HELD_GRAMS = 1 << 21
-#: Bits of a character of a language that the model doesn't know: any code point may come.
-UNKNOWN_BITS = 20.0
-
-
 def code_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each character of each document the three code points before it, packed (line ends stand before the document), the code point itself, and where each document's begin."""
     lead = (data & 0xC0) != 0x80
@@ -130,134 +102,71 @@ def code_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return context, code, at
 
 
-def _hash(context: np.ndarray, code: np.ndarray) -> np.ndarray:
-    return textops.mix(context.astype(np.uint64) ^ textops.mix(code.astype(np.uint64)))
+def _langs(column: pa.Array) -> list[str]:
+    return [x or "" for x in column.cast(pa.string()).to_pylist()]
+
+
+def _hash(lang: np.ndarray, context: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return textops.mix(context.astype(np.uint64) ^ textops.mix(code.astype(np.uint64) ^ lang))
+
+
+def _lang_hash(column: pa.Array) -> np.ndarray:
+    data, offsets = text_bytes(column)
+    return textops.hash_spans(data, offsets[:-1], offsets[1:])
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(context, code, n, first, last) with equal n-grams joined: n summed, the least and the greatest hash of a text."""
-    context, code, n, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-    h = _hash(context, code)
+    """(lang, context, code, n, first, last) with equal n-grams joined: n summed, the least and the greatest hash of a text."""
+    lang, context, code, n, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h = _hash(textops.mix(lang.astype(np.uint64)), context, code)
     order = np.argsort(h)
     start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     one = order[start]
-    return context[one], code[one], np.add.reduceat(n[order], start), np.minimum.reduceat(lo[order], start), np.maximum.reduceat(hi[order], start)
+    return lang[one], context[one], code[one], np.add.reduceat(n[order], start), np.minimum.reduceat(lo[order], start), np.maximum.reduceat(hi[order], start)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """Rows (batch, lang, context, code, n, first, last) for ``docs`` (_batch, _lang, _text): how often an n-gram occurs, and the least and greatest hash of a text that has it; each task sends its own sums."""
-    out = "batch long, lang string, context long, code long, n long, first long, last long"
+    """Rows (lang, context, code, n, first, last) for ``docs`` (lang, text): how often an n-gram occurs, and the least and greatest hash of a text that has it; each task sends its own sums."""
+    out = "lang string, context long, code int, n long, first int, last int"
 
     def count(batches):
-        held: dict[tuple[int, str], list] = {}
+        ids: dict[str, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
             for part in text_slices(batch, "_text"):
                 data, offsets = text_bytes(part.column("_text"))
                 context, code, at = code_grams(data, offsets)
-                text = np.repeat(textops.hash_spans(data, offsets[:-1], offsets[1:]).view(np.int64), np.diff(at))
-                keys = list(zip(part.column("_batch").to_pylist(), _langs(part.column("_lang")), strict=True))
-                for key in dict.fromkeys(keys):
-                    mine = np.repeat(np.array([k == key for k in keys]), np.diff(at))
-                    if mine.any():
-                        held.setdefault(key, []).append(_merged([(context[mine], code[mine], np.ones(mine.sum(), np.int64), text[mine], text[mine])]))
-                        size += len(held[key][-1][0])
+                if not len(code):
+                    continue
+                each = np.diff(at)
+                lang = np.repeat(np.array([ids.setdefault(x, len(ids)) for x in _langs(part.column("_lang"))]), each)
+                text = np.repeat((textops.hash_spans(data, offsets[:-1], offsets[1:]) >> np.uint64(32)).astype(np.uint32).view(np.int32), each)
+                held.append(_merged([(lang, context, code, np.ones(len(code), np.int64), text, text)]))
+                size += len(held[-1][0])
                 if size > HELD_GRAMS:
-                    held = {k: [_merged(v)] for k, v in held.items()}
-                    size = sum(len(v[0][0]) for v in held.values())
+                    held = [_merged(held)]
+                    size = len(held[0][0])
                     if size > HELD_GRAMS // 2:
-                        yield from send(held)
-                        held, size = {}, 0
-        yield from send(held)
-
-    def send(held):
-        for (batch, lang), parts in held.items():
-            found = _merged(parts)
-            yield pa.record_batch([pa.array(np.full(len(found[0]), batch)), pa.array([lang] * len(found[0]), pa.string()), *map(pa.array, found)], schema=arrow_type(out))
-
-    return docs.select(F.col("_batch").cast("long").alias("_batch"), F.col("_lang").cast("string").alias("_lang"), "_text").mapInArrow(count, out)
-
-
-class Model:
-    """The same smoothing in memory, over characters folded to 32 symbols and without leaving n-grams out: small enough to sum up in a test. No query uses it."""
-
-    def __init__(self, lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        keys, probs, backs = [], [], []
-        self.langs = {name: i for i, name in enumerate(sorted(set(lang.tolist())))}
-        for name, i in self.langs.items():
-            mine = lang == name
-            for k, g, p, b in self._smoothed(gram[mine].astype(np.int64), n[mine].astype(np.int64)):
-                keys.append(self._key(i, k, g)), probs.append(p), backs.append(b)
-        h = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(h)
-        self.hashes = h[order]
-        self.log_p, self.log_back = ((np.concatenate(x) if x else np.empty(0))[order].astype(np.float32) for x in (probs, backs))
-
-    @staticmethod
-    def _key(lang: int, order: int, gram: np.ndarray) -> np.ndarray:
-        return textops.mix(gram.astype(np.uint64) | np.uint64((lang << 4 | order) << ORDER * SYMBOL_BITS))
-
-    @staticmethod
-    def _smoothed(gram: np.ndarray, n: np.ndarray):
-        """For each order (0: the empty context) the n-grams, log2 p, and log2 of the back-off weight they have as contexts."""
-        levels = [(gram, n)]  # highest order first; lower ones count the distinct characters that stand before them
-        for k in range(ORDER - 1, 0, -1):
-            levels.append(np.unique(levels[-1][0] & ((1 << k * SYMBOL_BITS) - 1), return_counts=True))
-        lower, low_p = np.arange(SYMBOLS), np.full(SYMBOLS, 1 / SYMBOLS)  # below all stands the even distribution
-        weights: list[tuple[np.ndarray, np.ndarray]] = []
-        found = []
-        for k in range(1, ORDER + 1):
-            g, c = levels[ORDER - k]
-            t = [max(1, int((c == j).sum())) for j in range(1, 5)]
-            y = t[0] / (t[0] + 2 * t[1])
-            off = np.clip([0, 1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]], 0, None)
-            off[1:] = np.clip(off[1:], 0.1, [0.9, 1.9, 2.9])
-            cut = np.minimum(off[np.minimum(c, 3)], c)
-            contexts, at = np.unique(g >> SYMBOL_BITS, return_inverse=True)
-            total = np.bincount(at, weights=c)
-            back = np.bincount(at, weights=cut) / total
-            shorter = np.searchsorted(lower, g & ((1 << (k - 1) * SYMBOL_BITS) - 1) if k > 1 else g)
-            p = (c - cut) / total[at] + back[at] * low_p[shorter]
-            weights.append((contexts, back))
-            found.append((k, g, p))
-            lower, low_p = g, p
-        yield 0, np.zeros(1, np.int64), np.zeros(1), np.log2(weights[0][1]) if len(weights[0][1]) else np.zeros(1)
-        for k, g, p in found:
-            b = np.zeros(len(g))
-            if k < ORDER:
-                at = np.searchsorted(weights[k][0], g)
-                at[at == len(weights[k][0])] = 0
-                known = weights[k][0][at] == g
-                b[known] = np.log2(weights[k][1][at[known]])
-            yield k, g, np.log2(p), b
-
-    def _find(self, key: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, key)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == key, at, -1) if len(self.hashes) else np.full(len(key), -1)
-
-    def surprisal(self, lang: str, gram: np.ndarray) -> np.ndarray:
-        """Bits of each n-gram's last character after the others; unseen n-grams back off."""
-        i = self.langs.get(lang, -1)
-        out, left = np.zeros(len(gram)), np.arange(len(gram))
-        for k in range(ORDER, 0, -1):
-            g = gram[left] & ((1 << k * SYMBOL_BITS) - 1)
-            at = self._find(self._key(i, k, g)) if i >= 0 else np.full(len(g), -1)
-            out[left[at >= 0]] += self.log_p[at[at >= 0]]
-            left, g = left[at < 0], g[at < 0]
-            if not len(left):
-                break
-            at = self._find(self._key(i, k - 1, g >> SYMBOL_BITS)) if i >= 0 else np.full(len(g), -1)
-            out[left] += np.where(at >= 0, self.log_back[at], 0) if len(self.log_back) else 0
-        out[left] -= SYMBOL_BITS
-        return -out
+                        yield send(held, ids)
+                        held, size, ids = [], 0, {}
+        if held:
+            yield send(held, ids)
+
+    def send(held, ids):
+        lang, context, code, *rest = _merged(held)
+        names = pa.DictionaryArray.from_arrays(pa.array(lang.astype(np.int32)), pa.array(list(ids), pa.string())).cast(pa.string())
+        return pa.record_batch([names, pa.array(context), pa.array(code.astype(np.int32)), *map(pa.array, rest)], schema=arrow_type(out))
+
+    return docs.select(F.col("lang").cast("string").alias("_lang"), F.col("text").alias("_text")).mapInArrow(count, out)
 
 
 class Trained(NamedTuple):
-    """Modified Kneser-Ney, interpolated, as two tables: p of (lang, k, context, code), and what a (lang, k, context) leaves to the order below; k = 0: the even distribution."""
+    """Modified Kneser-Ney, interpolated: for each order k a table (lang, context, code, p, back, lead). ``back`` is what the context leaves to the order below, ``lead`` marks one row a context. ``even`` is the even distribution of each language, ``seen`` all n-grams of the corpus, those of one text, too."""
 
-    grams: DataFrame
-    contexts: DataFrame
+    orders: dict[int, DataFrame]
+    even: DataFrame
+    seen: DataFrame
 
 
 def _shorter(k: int) -> Column:
@@ -266,140 +175,246 @@ def _shorter(k: int) -> Column:
 
 
 def train(docs: DataFrame) -> Trained:
-    """The model of ``docs`` (lang, text); n-grams of one text only, however many copies there are, are left out."""
-    counted = count_grams(docs.select(F.lit(0).alias("_batch"), F.col("lang").alias("_lang"), F.col("text").alias("_text")))
-    counted = counted.groupBy("lang", "context", "code").agg(F.sum("n").alias("c"), F.min("first").alias("first"), F.max("last").alias("last"))
-    levels = {ORDER: materialize(counted.where("first <> last").drop("first", "last"), "grams")}
+    """The model of ``docs`` (lang, text); n-grams of one text only, however many copies there are, are left out.
+
+    A context has at most as many characters after it as there are code points, so its window is bounded.
+    """
+    counted = count_grams(docs).groupBy("lang", "context", "code").agg(F.sum("n").alias("c"), F.min("first").alias("first"), F.max("last").alias("last"))
+    seen = materialize(counted.select("lang", "context", "code", F.when(F.col("first") != F.col("last"), F.col("c")).alias("c")), "seen-grams")
+    levels = {ORDER: seen.where("c IS NOT NULL")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct characters that stand before them
         levels[k] = materialize(levels[k + 1].groupBy("lang", _shorter(k).alias("context"), "code").agg(F.count("*").alias("c")), "grams")
-    # one row a language: bounded by the languages there are
-    lower = levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p"))
-    contexts = [lower.select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("context"), F.col("p").alias("back"))]
-    grams = []
+    even = materialize(levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("low")), "even")
+    orders: dict[int, DataFrame] = {}
     for k in range(1, ORDER + 1):
         t = [F.greatest(F.lit(1), F.count(F.when(F.col("c") == j, 1))) for j in range(1, 5)]
         t1, t2, t3, t4 = (F.col(f"t{j}") for j in range(1, 5))
         y = t1 / (t1 + 2 * t2)
         clip = lambda x, most: F.least(F.greatest(x, F.lit(0.1)), F.lit(most))
         off = levels[k].groupBy("lang").agg(*[x.alias(f"t{j + 1}") for j, x in enumerate(t)]).select("lang", clip(1 - 2 * y * t2 / t1, 0.9).alias("d1"), clip(2 - 3 * y * t3 / t2, 1.9).alias("d2"), clip(3 - 4 * y * t4 / t3, 2.9).alias("d3"))
-        cut = levels[k].join(F.broadcast(off), "lang").withColumn("cut", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        total = materialize(cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("back")), "contexts")
-        below = (lower if k == 1 else lower.select("lang", F.col("context").alias("_short"), "code", F.col("p").alias("low")))
-        one = cut.join(total, ["lang", "context"])
-        one = one.join(F.broadcast(below.withColumnRenamed("p", "low")), "lang") if k == 1 else one.withColumn("_short", _shorter(k - 1)).join(below, ["lang", "_short", "code"])
-        lower = materialize(one.select("lang", "context", "code", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("back") * F.col("low")).alias("p")), "probabilities")
-        grams.append(lower.select("lang", F.lit(k).alias("k"), "context", "code", "p"))
-        contexts.append(total.select("lang", F.lit(k).alias("k"), "context", "back"))
-    union = lambda tables: functools.reduce(DataFrame.unionByName, tables)
-    return Trained(union(grams), union(contexts))
+        cut = levels[k].join(materialize(off, "discounts"), "lang").withColumn("cut", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        context = Window.partitionBy("lang", "context")
+        one = cut.select("lang", "context", "code", "c", "cut", F.sum("c").over(context).alias("total"), F.sum("cut").over(context).alias("left"), (F.row_number().over(context.orderBy("code")) == 1).alias("lead"))
+        below = even if k == 1 else orders[k - 1].select("lang", F.col("context").alias("_short"), "code", F.col("p").alias("low"))
+        one = one.join(below, "lang") if k == 1 else one.withColumn("_short", _shorter(k - 1)).join(below, ["lang", "_short", "code"])
+        back = F.col("left") / F.col("total")
+        orders[k] = materialize(one.select("lang", "context", "code", ((F.col("c") - F.col("cut")) / F.col("total") + back * F.col("low")).alias("p"), back.alias("back"), "lead"), "probabilities")
+    return Trained(orders, even, seen)
 
 
 def surprisals(wanted: DataFrame, model: Trained) -> DataFrame:
-    """(lang, context, code, bits) for distinct ``wanted`` (lang, context, code); unseen n-grams back off."""
-    asked = {ORDER: wanted}
-    for k in range(ORDER - 1, 0, -1):
-        asked[k] = asked[k + 1].select("lang", _shorter(k).alias("context"), "code").distinct()
-    even = model.contexts.where("k = 0").select("lang", F.col("back").alias("low"))
+    """(lang, context, code, bits) for distinct ``wanted`` (lang, context, code); unseen n-grams back off, and only they are looked up in the order below."""
+    asked, tried = wanted, {}
+    for k in range(ORDER, 0, -1):
+        tried[k] = materialize(asked.join(model.orders[k].select("lang", "context", "code", "p"), ["lang", "context", "code"], "left"), "asked")
+        if k > 1:
+            asked = tried[k].where("p IS NULL").select("lang", _shorter(k - 1).alias("context"), "code").distinct()
     found = None
     for k in range(1, ORDER + 1):
-        p = model.grams.where(F.col("k") == k).drop("k")
-        back = model.contexts.where(F.col("k") == k).drop("k")
-        one = asked[k].join(p, ["lang", "context", "code"], "left").join(back, ["lang", "context"], "left")
+        missed = tried[k].where("p IS NULL").drop("p").join(model.orders[k].where("lead").select("lang", "context", "back"), ["lang", "context"], "left")
         if k == 1:
-            one = one.join(F.broadcast(even), "lang", "left").withColumn("low", F.coalesce("low", F.lit(2.0**-UNKNOWN_BITS)))
+            missed = missed.join(model.even, "lang", "left").withColumn("low", F.coalesce("low", F.lit(2.0**-UNKNOWN_BITS)))
         else:
-            one = one.withColumn("_short", _shorter(k - 1)).join(found.select("lang", F.col("context").alias("_short"), "code", F.col("p").alias("low")), ["lang", "_short", "code"])
-        found = one.select("lang", "context", "code", F.coalesce("p", F.coalesce("back", F.lit(1.0)) * F.col("low")).alias("p"))
+            missed = missed.withColumn("_short", _shorter(k - 1)).join(found.select("lang", F.col("context").alias("_short"), "code", F.col("p").alias("low")), ["lang", "_short", "code"])
+        p = F.coalesce("back", F.lit(1.0)) * F.col("low")
+        found = tried[k].where("p IS NOT NULL").unionByName(missed.select("lang", "context", "code", p.alias("p")))
         if k < ORDER:
-            found = materialize(found, "asked")
+            found = materialize(found, "answered")
     return found.select("lang", "context", "code", (-F.log2("p")).alias("bits"))
 
 
-def score(docs: DataFrame, model: Trained, lang: Column | None = None, text: Column | None = None) -> DataFrame:
-    """``docs`` with the base counts, _bits (mean surprisal), _spread (standard deviation of the surprisals; both null for an empty text) and _n_scored. ``lang`` and ``text`` say where these are, if not in columns of that name.
+RANGED = "range int, kind int, batch long, n int, hashes binary, bits binary"
 
-    A batch is what one task reads. Its documents and the surprisals of its distinct n-grams meet in one task, the
-    n-grams first; the documents then pass in slices.
+
+def hash_arrays(priced: DataFrame, range_bits: int) -> DataFrame:
+    """``priced`` (lang, context, code, bits) as sorted arrays: rows of the shape RANGED, a hash range in one row or a few."""
+    keyed = "range int, h long, steps int"
+
+    def key(batches):
+        for batch in batches:
+            h = _hash(_lang_hash(batch.column("lang")), batch.column("context").to_numpy(), batch.column("code").to_numpy())
+            steps = np.clip(np.round(batch.column("bits").to_numpy() * STEPS), 0, 65535).astype(np.int32)
+            yield pa.record_batch([pa.array((h >> np.uint64(64 - range_bits)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(steps)], schema=arrow_type(keyed))
+
+    def cut(batches):
+        for batch in batches:
+            ranges, h, steps = (batch.column(i).to_numpy() for i in range(3))
+            edge = np.flatnonzero(ranges[1:] != ranges[:-1]) + 1
+            rows = [(int(ranges[lo]), 0, 0, hi - lo, textops.pack_keys(h[lo:hi].view(np.uint64)), textops.squeeze(steps[lo:hi].astype("<u2"))) for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(h)], strict=True) if hi > lo]
+            yield _record_batch(rows, RANGED)
+
+    rows = priced.select(F.coalesce("lang", F.lit("")).alias("lang"), "context", "code", "bits").mapInArrow(key, keyed)
+    # the numbers of a range agree in their sign, so signed order is the order of the hashes
+    return materialize(rows.repartition("range").sortWithinPartitions("range", "h").mapInArrow(cut, RANGED), "hash-arrays")
+
+
+def _record_batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    schema = arrow_type(ddl)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def _runs(ids: np.ndarray):
+    """(start, stop) of the stretches of equal entries."""
+    edge = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+    return [(lo, hi) for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)], strict=True) if hi > lo]
+
+
+def in_batches(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` and the column that says which batch a row is in: its file and place there, which any reading of the file finds again. What isn't a Parquet table is written as one first."""
+    if not re.fullmatch(r"Relation \[.*\] parquet\s*", docs._jdf.queryExecution().analyzed().toString(), re.S):
+        docs = materialize(docs, "rows")
+    return docs, F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BATCH_ROWS))
+
+
+def _asked(source: DataFrame, range_bits: int) -> DataFrame:
+    """Rows RANGED of kind 1: the distinct n-grams of each batch, by hash range."""
+
+    def ask(batches):
+        now, held = None, None
+        for batch in batches:
+            ids = batch.column("_batch").to_numpy()
+            for lo, hi in _runs(ids):
+                if ids[lo] != now:
+                    if held is not None:
+                        yield send(now, held)
+                    now, held = ids[lo], np.empty(0, np.uint64)
+                for part in text_slices(batch.slice(lo, hi - lo), "_text"):
+                    context, code, at = code_grams(*text_bytes(part.column("_text")))
+                    held = np.union1d(held, _hash(np.repeat(_lang_hash(part.column("_lang")), np.diff(at)), context, code))
+        if held is not None:
+            yield send(now, held)
+
+    def send(batch, h):
+        ranges = (h >> np.uint64(64 - range_bits)).astype(np.int64)
+        return _record_batch([(int(ranges[lo]), 1, int(batch), hi - lo, textops.pack_keys(h[lo:hi]), None) for lo, hi in _runs(ranges)], RANGED)
+
+    return source.select("_batch", "_lang", "_text").mapInArrow(ask, RANGED)
+
+
+def _answered(arrays: DataFrame, asked: DataFrame) -> DataFrame:
+    """(batch, kind 0, n, hashes, bits, docs): the stored surprisals, in the order asked. A task holds the arrays of one range; what is asked of it passes."""
+
+    def answer(batches):
+        now, parts, ready = None, [], None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["range"] != now:
+                    now, parts, ready = row["range"], [], None
+                if row["kind"] == 0:
+                    parts.append((textops.unpack_keys(row["hashes"], row["n"]), textops.unsqueeze(row["bits"], "<u2")))
+                    continue
+                if ready is None:
+                    ready = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                h = textops.unpack_keys(row["hashes"], row["n"])
+                out.append((row["batch"], 0, row["n"], row["hashes"], textops.squeeze(ready[1][_place(ready[0], h)]), None))
+            yield _record_batch(out, MET)
+
+    both = arrays.unionByName(asked).repartition("range").sortWithinPartitions("range", "kind", "batch")
+    return both.mapInArrow(answer, MET)
+
+
+MET = "batch long, kind int, n int, hashes binary, bits binary, docs binary"
+
+
+def _place(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, h)
+    if len(h) and (not len(known) or at.max() == len(known) or (known[at] != h).any()):
+        raise ValueError("a batch holds n-grams that it did not ask for: its rows changed between two readings")
+    return at
+
+
+def score(docs: DataFrame, model: Trained, keep: list[str] | None = None, trained_on_docs: bool = False) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``, by default all), the base counts, bits (mean surprisal), spread (standard deviation of the surprisals; both null for an empty text) and n_scored of each of ``docs`` (lang, text).
+
+    ``trained_on_docs``: the model is that of these documents, so it has seen all their n-grams.
     """
-    from pyspark.sql.types import StructType
-
-    lang, text = F.col("lang") if lang is None else lang, F.col("text") if text is None else text
-    names = docs.columns
-    row_type = StructType(docs.schema.fields)
-    kept = materialize(docs.withColumn("_batch", F.spark_partition_id().cast("long")), "batches")
-    need = materialize(count_grams(kept.select("_batch", lang.alias("_lang"), text.alias("_text"))).select("batch", "lang", "context", "code").distinct(), "batch-grams")
-    priced = need.join(surprisals(need.select("lang", "context", "code").distinct(), model), ["lang", "context", "code"])
-    none = lambda kind: F.lit(None).cast(kind)
-    grams_first = priced.select(F.col("batch").alias("_batch"), F.lit(0).alias("_kind"), F.col("lang").alias("_lang"), F.col("context").alias("_context"), F.col("code").alias("_code"), F.col("bits").alias("_gram_bits"), none(row_type).alias("_doc"))
-    then_docs = kept.select("_batch", F.lit(1).alias("_kind"), lang.cast("string").alias("_lang"), none("long").alias("_context"), none("long").alias("_code"), none("double").alias("_gram_bits"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
-    dealt = grams_first.unionByName(then_docs).repartition("_batch").sortWithinPartitions("_batch", "_kind")
-    extra = ["_batch", "_kind", "_lang", "_context", "_code", "_gram_bits"]
-    fields = ", ".join(f"_{c} long" for c in BASE)
-    schema = StructType(row_type.fields + StructType.fromDDL(f"{fields}, _bits double, _spread double, _n_scored long").fields)
+    table, batch = in_batches(docs)
+    keep = docs.columns if keep is None else keep
+    row_type = StructType([docs.schema[c] for c in keep])
+    source = table.select(batch.alias("_batch"), F.col("lang").cast("string").alias("_lang"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
+    seen = model.seen if trained_on_docs else count_grams(docs)
+    priced = materialize(surprisals(seen.select("lang", "context", "code").distinct() if not trained_on_docs else seen.drop("c"), model), "priced")
+    range_bits = max(1, (priced.count() // RANGE_GRAMS).bit_length())
+    answers = _answered(hash_arrays(priced, range_bits), _asked(source, range_bits))
+    text_apart = "text" not in keep
+
+    def pack(batches):
+        write = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        for batch in batches:
+            ids = batch.column("_batch").to_numpy()
+            for lo, hi in _runs(ids):
+                for part in text_slices(batch.slice(lo, hi - lo), "_text"):
+                    sink = pa.BufferOutputStream()
+                    names = ["_lang", "_row", *(["_text"] if text_apart else [])]
+                    sent = part.select(names)
+                    with pa.ipc.new_stream(sink, sent.schema, options=write) as f:
+                        f.write_batch(sent)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(([int(ids[lo])], [1], [None], [None], [None], [sink.getvalue().to_pybytes()]), arrow_type(MET).types, strict=True)], schema=arrow_type(MET))
+
+    dealt = answers.unionByName(source.mapInArrow(pack, MET)).repartition("batch").sortWithinPartitions("batch", "kind")
+    schema = StructType().add("row", row_type, False)
+    schema = StructType(schema.fields + StructType.fromDDL(", ".join(f"{c} long" for c in BASE) + ", bits double, spread double, n_scored long").fields)
 
     def run(batches):
-        number, parts, tables = None, {}, {}
+        now, parts, ready = None, [], None
         for batch in batches:
-            ids, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edge = np.flatnonzero((ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)], strict=True):
-                if lo == hi:
+            for i in range(batch.num_rows):
+                number, kind, n = (batch.column(j)[i].as_py() for j in range(3))
+                if number != now:
+                    now, parts, ready = number, [], None
+                if kind == 0:
+                    parts.append((textops.unpack_keys(batch.column(3)[i].as_py(), n), textops.unsqueeze(batch.column(4)[i].as_py(), "<u2")))
                     continue
-                piece = batch.slice(lo, hi - lo)
-                if ids[lo] != number:
-                    number, parts, tables = ids[lo], {}, {}
-                if kinds[lo] == 0:
-                    h, b = _hash(piece.column(3).to_numpy(), piece.column(4).to_numpy()), piece.column(5).to_numpy().astype(np.float32)
-                    owner = np.array(_langs(piece.column(2)), object)
-                    for name in set(owner.tolist()):
-                        parts.setdefault(name, []).append((h[owner == name], b[owner == name]))
-                    continue
-                for name, found in parts.items():
-                    h, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                    order = np.argsort(h)
-                    tables[name] = h[order], b[order]
-                parts = {}
-                for part in text_slices(piece, "_text"):
-                    yield scored(part, tables)
-
-    def scored(part, tables):
-        data, offsets = text_bytes(part.column("_text"))
+                if ready is None:
+                    h, steps = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint16))
+                    order = np.argsort(h, kind="stable")
+                    ready, parts = (h[order], (steps[order] / STEPS).astype(np.float32)), []
+                for part in pa.ipc.open_stream(batch.column(5)[i].as_buffer()):
+                    yield scored(part, *ready)
+
+    def scored(part, known, known_bits):
+        row = part.column("_row")
+        data, offsets = text_bytes(part.column("_text") if text_apart else row.field("text"))
         base, (context, code, at) = base_features(data, offsets), code_grams(data, offsets)
-        h, langs, bits = _hash(context, code), _langs(part.column(2)), np.zeros(len(code))
-        for name in dict.fromkeys(langs):
-            mine = np.repeat(np.array([x == name for x in langs]), np.diff(at))
-            if mine.any():
-                some, where = np.unique(h[mine], return_inverse=True)
-                bits[mine] = tables[name][1][np.searchsorted(tables[name][0], some)][where]
         n = np.diff(at)
+        bits = known_bits[_place(known, _hash(np.repeat(_lang_hash(part.column("_lang")), n), context, code))].astype(np.float64)
         mean, square = (np.diff(np.concatenate([[0], np.cumsum(x)])[at]) / np.maximum(n, 1) for x in (bits, bits * bits))
         spread = np.sqrt(np.maximum(square - mean * mean, 0))
-        return pa.record_batch([*part.columns[len(extra) : -1], *(pa.array(base[c].astype(np.int64)) for c in BASE), pa.array(mean, mask=n == 0), pa.array(spread, mask=n == 0), pa.array(n)], names=[*names, *(f"_{c}" for c in BASE), "_bits", "_spread", "_n_scored"])
+        return pa.record_batch([row, *(pa.array(base[c].astype(np.int64)) for c in BASE), pa.array(mean, mask=n == 0), pa.array(spread, mask=n == 0), pa.array(n)], names=["row", *BASE, "bits", "spread", "n_scored"])
+
+    return dealt.mapInArrow(run, schema)
+
 
-    return dealt.select(*extra, "_doc.*").select("*", text.alias("_text")).mapInArrow(run, schema)
+def _quartiles(scored: DataFrame, value: str, name: str) -> DataFrame:
+    """(lang, name: three quartiles) from a histogram: at most a few thousand rows a language, whatever the number of documents."""
+    counts = scored.groupBy("_lang", F.round(F.col(value) * BINS).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    lang = Window.partitionBy("_lang")
+    sums = counts.select("_lang", "bin", F.sum("n").over(lang.orderBy("bin")).alias("upto"), F.sum("n").over(lang).alias("all"))
+    return sums.groupBy("_lang").agg(F.array(*[F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) / BINS for q in (0.25, 0.5, 0.75)]).alias(name))
 
 
-def judge(scored: DataFrame, lang: Column | None = None) -> DataFrame:
-    """``scored`` (a written table) with _base_failed, _perplexity and _kept. Bands come from approximate quartiles of all documents that pass the base rules."""
-    failed = (F.col("_n_words") < LEAST_WORDS) | (100 * F.col("_n_repeat_words") > MOST_REPEATED * F.col("_n_words"))
-    lang = F.coalesce((F.col("lang") if lang is None else lang).cast("string"), F.lit(""))
-    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
-    bands = scored.where(~failed & F.col("_bits").isNotNull()).groupBy(lang.alias("_lang")).agg(quartiles("_bits").alias("_q"), quartiles("_spread").alias("_qs"))
+def judge(scored: DataFrame) -> DataFrame:
+    """``scored`` (a written table) with base_failed, perplexity and kept. Bands come from the quartiles of all documents that pass the base rules."""
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    lang = F.coalesce(F.col("row.lang").cast("string"), F.lit(""))
+    fair = scored.where(~failed & F.col("bits").isNotNull()).select(lang.alias("_lang"), "bits", "spread")
+    bands = materialize(_quartiles(fair, "bits", "_q").join(_quartiles(fair, "spread", "_qs"), "_lang"), "bands")
 
     def within(value: str, q: Column, char: float) -> Column:
-        width = F.sqrt(F.pow(F.greatest((q[2] - q[0]) / 1.349, F.lit(LEAST_BITS)), 2) + F.lit(char**2) / F.col("_n_scored"))
+        width = F.sqrt(F.pow(F.greatest((q[2] - q[0]) / 1.349, F.lit(LEAST_BITS)), 2) + F.lit(char**2) / F.col("n_scored"))
         return F.abs(F.col(value) - q[1]) <= BAND * width
 
-    inside = within("_bits", F.col("_q"), CHAR_BITS) & within("_spread", F.col("_qs"), SPREAD_BITS)
-    # one row a language: bounded by the languages there are, so it goes to every task
+    inside = within("bits", F.col("_q"), CHAR_BITS) & within("spread", F.col("_qs"), SPREAD_BITS)
     return (
-        scored.withColumn("_lang", lang).join(F.broadcast(bands), "_lang", "left").drop("_lang")
-        .withColumn("_base_failed", failed).withColumn("_perplexity", F.pow(F.lit(2.0), F.col("_bits")))
-        .withColumn("_kept", ~failed & F.coalesce(inside, F.lit(False))).drop("_q", "_qs")
+        scored.withColumn("_lang", lang).join(bands, "_lang", "left").drop("_lang")
+        .withColumn("base_failed", failed).withColumn("perplexity", F.pow(F.lit(2.0), F.col("bits")))
+        .withColumn("kept", ~failed & F.coalesce(inside, F.lit(False))).drop("_q", "_qs")
     )
 
 
 def op9_ngram_perplexity(spark, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    scored = materialize(score(docs, train(docs)).drop("text"), "scored")
-    return judge(scored).select("doc_id", *(F.col(f"_{c}").alias(c) for c in BASE), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_perplexity").alias("perplexity"))
+    docs = read_table(spark, sf_dir, "documents")
+    scored = materialize(score(docs, train(docs), ["doc_id", "lang"], trained_on_docs=True), "scored")
+    return judge(scored).select(F.col("row.doc_id").cast("long").alias("doc_id"), *BASE, "base_failed", "kept", "perplexity")

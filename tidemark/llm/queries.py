@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import epsilon_grid, line_runs, warc
 from .bpe_trie import op6_trie_bpe
+from .common import tidy
 from .packing import op10_best_two_fit
 from .quality import op9_ngram_perplexity
 from .sharding import op5_label_propagation
@@ -24,6 +25,8 @@ QUERIES = {
     "op10_best_two_fit": op10_best_two_fit,
 }
 
+QUERIES = {name: tidy(f) for name, f in QUERIES.items()}
+
 ORACLES: dict[str, str] = {
     "op2_epsilon_grid": epsilon_grid.ORACLE,
     "op3_warc_transactions": warc.ORACLE,

@@ -100,3 +100,26 @@ class HashTable:
             won = self.keys[slot] == h[which]
             self.values[slot[won]] = number[which[won]]
             which, slot = which[~won], (slot[~won] + 1) & int(self.mask)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
+
+
+def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys: their differences, squeezed."""
+    return squeeze(np.diff(keys, prepend=_U(0)).astype("<u8"))
+
+
+def unpack_keys(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unsqueeze(raw, "<u8"), dtype=np.uint64)

@@ -208,6 +208,6 @@ def shard_bytes(ids: list[list[int]], mode: str = "byte", block_ids: int = BLOCK
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = fresh_path(spark, "token-files")
+    folder = fresh_path(spark, "token-files", lasting=True)
     shards = write_token_files(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return read_token_files(shards, folder)

@@ -231,7 +231,7 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def op3_warc_transactions(spark, sf_dir: str) -> DataFrame:
-    folder = fresh_path(spark, "warc")
+    folder = fresh_path(spark, "warc", lasting=True)
     files = write_archives(read_table(spark, sf_dir, "pages"), folder)
     captures = materialize(assemble(read_records(files, folder, with_payload=False)), "captures")
     flat = captures.select(

@@ -34,6 +34,7 @@ from . import textops
 from .common import arrow_type, drop_table, fingerprint, materialize, ragged_take, read_table, text_bytes, text_slices
 from .epsilon_grid import forest
 from .graph import components
+from .textops import pack_keys, unpack_keys
 
 SHINGLE, SIMILARITY, LAMBDA = 5, 0.8, 0.25
 BANDS, ROWS = 14, 4
@@ -69,21 +70,6 @@ def shingles(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return textops.mix(keys) >> _U(64 - bits), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending distinct keys: differences by byte planes, compressed."""
-    import zstandard
-
-    d = np.diff(keys, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.T).tobytes())
-
-
-def unpack_keys(raw: bytes, n: int) -> np.ndarray:
-    import zstandard
-
-    d = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(d.T).reshape(-1).view("<u8"), dtype=np.uint64)
-
-
 def code_of(df: np.ndarray) -> np.ndarray:
     """Document frequencies on a scale of eighths of a power of two."""
     return np.minimum(np.round(8 * np.log2(df)), 255).astype(np.uint8)

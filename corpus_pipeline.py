@@ -2,53 +2,39 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_runs, packing, quality, weighted_minhash
-from tidemark.llm.common import discard, materialize, scratch
+from tidemark.llm.common import materialize, tidy
 
 #: The vocabulary file; None: word_bpe_49k.json of the installed public_tokenizers.
 TOKENIZER: str | None = None
 
 
-_spent: list[str] = []
-
-
-def _stage(f):
-    """A stage that first deletes what the stage before it left in the shared folder, but for what ``docs`` still reads, so that disk doesn't add up."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = " ".join(docs.inputFiles())
-        gone = [p for p in _spent if p.rpartition("/")[2] not in read]
-        discard(spark, gone)
-        with scratch() as made:
-            out = f(spark, docs, sf_dir)
-        _spent[:] = [p for p in _spent if p not in gone] + made
-        return out
-
-    return run_stage
-
-
 def _packed(docs: DataFrame, leave_out: str = "") -> Column:
     """The columns of docs as one struct, so that no name of theirs meets one of an operator's."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != leave_out]).alias("_row")
 
 
-@_stage
+@tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie within their language's perplexity band; all columns as they were."""
-    rows, lang = docs.select(_packed(docs)), F.col("_row.lang")
-    scored = materialize(quality.score(rows, quality.train(docs), lang, F.col("_row.text")), "pipeline-scored")
-    return quality.judge(scored, lang).where("_kept").select("_row.*")
+    """Documents that pass the base rules and lie within their language's perplexity bands; all columns as they were.
+
+    Null and empty texts have no words, so they go; a null lang is judged as a language of its own; rows with equal
+    or null doc_id are judged one by one; a very long text is scored whole; an empty table stays empty.
+    """
+    scored = materialize(quality.score(docs, quality.train(docs), trained_on_docs=True), "pipeline-scored")
+    return quality.judge(scored).where("kept").select("row.*")
 
 
-@_stage
+@tidy
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with later copies of repeated line runs cut out of text; n_chars follows the text."""
+    """Every document, with later copies of repeated line runs cut out of text; n_chars follows the text.
+
+    Rows equal in doc_id and text are one document and are cut alike; null doc_ids come after all others; a null text
+    stays null; a text of repeated lines only becomes empty; an empty table stays empty; all columns are kept.
+    """
     cut = line_runs.dedup_lines(docs.select("doc_id", "text", _packed(docs, "text")))
     kept = {c: F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns}
     if "n_chars" in kept:
@@ -56,16 +42,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[v.alias(c) for c, v in kept.items()])
 
 
-@_stage
+@tidy
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that with the smallest doc_id, nulls last."""
+    """One document of each class of near copies: that with the smallest doc_id, nulls last; of rows with that doc_id one.
+
+    Each null text is a class of its own and stays; empty texts are one class; an empty table stays empty; all columns
+    are kept.
+    """
     marked = weighted_minhash.mark_near(docs.select("doc_id", "text", _packed(docs, "text"))).where("_first")
     return marked.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
-@_stage
+@tidy
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece of a document, with its sequence and offset."""
+    """One row a piece of a document, with its sequence and offset; the last stage, so no other columns are returned.
+
+    A null or empty text is one piece of one token; longer texts than a sequence are cut; rows with equal or null
+    doc_id are packed one by one; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, TOKENIZER or public_tokenizers.path("word_bpe_49k.json"))
@@ -78,7 +72,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written and read again."""
+    """All stages over documents; each stage's result is written and read again. Runs share nothing but the folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -4,9 +4,9 @@ The model is a character n-gram model of order 4 with interpolated modified Knes
 of ``lang``. Characters are Unicode code points as they stand: case, accents and scripts count, and there is no fixed
 alphabet, so the model grows with the corpus. It is never in one place: counts, discounts and probabilities are tables
 dealt by (language, n-gram), and the probabilities of all n-grams that are asked for are stored as sorted hash arrays,
-one row a hash range. The text of a batch of documents (rows of a file that stand together) is read twice: first it
-asks each hash range for its distinct n-grams, as sorted, packed hashes; then the answers and the documents meet, which
-moves the text once. Nothing else moves a row a character or a row an n-gram and document.
+one row a hash range. The text of a batch of documents (rows of a file that stand together) is read twice: first for
+the counts and its distinct n-grams, which each hash range is asked for as sorted, packed hashes; then the answers and
+the documents meet, which moves the text once. Nothing else moves a row a character or a row an n-gram and document.
 
 An n-gram that only one text has (or copies of it) is not evidence for that text; it is left out and backs off, so what
 is unlike all others can't vouch for itself. A document's score is its mean surprisal in bits a character; how widely
@@ -42,8 +42,8 @@ BAND = 4.0
 CHAR_BITS, SPREAD_BITS, LEAST_BITS = 1.0, 2.0, 0.02
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rows of a file that make a batch; n-grams that a task holds before it merges equal ones; n-grams a hash range.
-BATCH_ROWS, HELD_GRAMS, RANGE_GRAMS = 4096, 1 << 21, 1 << 17
+#: Rows of a file that make a batch; n-grams that a task holds before it merges equal ones; n-grams a hash range, and ranges at least.
+BATCH_ROWS, HELD_GRAMS, RANGE_GRAMS, LEAST_RANGES = 4096, 1 << 21, 1 << 17, 64
 #: Bits of a character of a language that the model doesn't know (any code point may come), and steps a bit of a stored surprisal.
 UNKNOWN_BITS, STEPS = 20.0, 1024
 #: Steps a bit of the histograms that the bands come from.
@@ -87,18 +87,27 @@ def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
 
 def code_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each character of each document the three code points before it, packed (line ends stand before the document), the code point itself, and where each document's begin."""
-    lead = (data & 0xC0) != 0x80
-    at = np.concatenate([[0], np.cumsum(lead)])[offsets]
-    pos = np.flatnonzero(lead)
-    more = np.concatenate([data, np.zeros(3, np.uint8)])
-    b0, b1, b2, b3 = (more[pos + k].astype(np.int64) & (0x3F if k else 0xFF) for k in range(4))
-    code = np.where(b0 < 0x80, b0, np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | b1, np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | b1 << 6 | b2, (b0 & 0x07) << 18 | b1 << 12 | b2 << 6 | b3)))
-    nth = np.arange(len(code)) - np.repeat(at[:-1], np.diff(at))
+    pos = np.flatnonzero((data & 0xC0) != 0x80)
+    at = np.searchsorted(pos, offsets)
+    lead = data[pos]
+    code = lead.astype(np.int64)
+    for n, least, end, mask in ((2, 0xC0, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0x100, 0x07)):
+        some = np.flatnonzero((lead >= least) & (lead < end))
+        long = code[some] & mask
+        for k in range(1, n):
+            long = long << 6 | data[pos[some] + k] & 0x3F
+        code[some] = long
     context = np.zeros(len(code), np.int64)
     for k in range(1, ORDER):
-        before = np.full(len(code), 10, np.int64)
-        before[k:] = code[:-k]
-        context |= np.where(nth >= k, before, 10) << CODE_BITS * (k - 1)
+        context[k:] |= code[:-k] << CODE_BITS * (k - 1) if len(code) > k else 0
+    starts = at[:-1][np.diff(at) > 0]
+    for nth in range(ORDER - 1):  # the first characters of each document
+        own = starts + nth
+        own = own[(own < len(code)) & (own < np.append(starts[1:], len(code)))]
+        packed = np.zeros(len(own), np.int64)
+        for k in range(1, ORDER):
+            packed |= (code[own - k] if k <= nth else 10) << CODE_BITS * (k - 1)
+        context[own] = packed
     return context, code, at
 
 
@@ -115,58 +124,112 @@ def _lang_hash(column: pa.Array) -> np.ndarray:
     return textops.hash_spans(data, offsets[:-1], offsets[1:])
 
 
+class Place:
+    """Where 64-bit hashes stand in a sorted array of them: the leading bits say where to look."""
+
+    def __init__(self, known: np.ndarray):
+        bits = max(1, len(known).bit_length() + 1)
+        self.known, self.shift = np.append(known, np.uint64(0)), np.uint64(64 - bits)
+        self.start = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        at = self.start[(h >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.known[at] != h)
+        while len(left):
+            at[left] += 1
+            if (at[left] >= len(self.known)).any():
+                raise ValueError("a batch holds n-grams that it did not ask for: its rows changed between two readings")
+            left = left[self.known[at[left]] != h[left]]
+        return at
+
+
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(lang, context, code, n, first, last) with equal n-grams joined: n summed, the least and the greatest hash of a text."""
-    lang, context, code, n, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-    h = _hash(textops.mix(lang.astype(np.uint64)), context, code)
-    order = np.argsort(h)
+    """(h, lang, context, code, n, first, last), ascending by h, with equal n-grams joined: n summed, the least and the greatest hash of a text."""
+    if len(parts) == 1:
+        return parts[0]
+    h, lang, context, code, n, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
     start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     one = order[start]
-    return lang[one], context[one], code[one], np.add.reduceat(n[order], start), np.minimum.reduceat(lo[order], start), np.maximum.reduceat(hi[order], start)
+    return h[one], lang[one], context[one], code[one], np.add.reduceat(n[order], start), np.minimum.reduceat(lo[order], start), np.maximum.reduceat(hi[order], start)
+
+
+def _counted(part: pa.RecordBatch, ids: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """What _merged gives, for a slice of documents."""
+    hashes = (part.column("_hash").to_numpy() >> 32).astype(np.int32)
+    order = np.argsort(hashes)  # in this order the first and the last text that has an n-gram are those of least and greatest hash
+    part = part.take(pa.array(order))
+    data, offsets = text_bytes(part.column("_text"))
+    context, code, at = code_grams(data, offsets)
+    each = np.diff(at)
+    lang = np.array([ids.setdefault(x, len(ids)) for x in _langs(part.column("_lang"))], np.int64)
+    h = _hash(np.repeat(_lang_hash(part.column("_lang")), each), context, code)
+    known = np.unique(h)
+    place = Place(known).find(h)
+    owner = np.repeat(np.arange(len(each)), each)
+    first, last, one = (np.empty(len(known), np.int64) for _ in range(3))
+    last[place] = owner
+    first[place[::-1]] = owner[::-1]
+    one[place] = np.arange(len(place))
+    hashes = hashes[order]
+    return known, lang[owner[one]], context[one], code[one], np.bincount(place, minlength=len(known)), hashes[first], hashes[last]
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """Rows (lang, context, code, n, first, last) for ``docs`` (lang, text): how often an n-gram occurs, and the least and greatest hash of a text that has it; each task sends its own sums."""
-    out = "lang string, context long, code int, n long, first int, last int"
+GATHERED = "lang string, context long, code int, n long, first int, last int, batch long, hashes binary"
+
+
+def gather(docs: DataFrame) -> DataFrame:
+    """One reading of ``docs`` (lang, text), written: rows (lang, context, code, n, first, last), how often an n-gram occurs in what a task reads, and the least and greatest hash of a text that has it; and rows (batch, n, hashes), the distinct n-grams of a batch."""
 
     def count(batches):
         ids: dict[str, int] = {}
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        own: list[tuple[np.ndarray, ...]] = []
+        now = None
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                data, offsets = text_bytes(part.column("_text"))
-                context, code, at = code_grams(data, offsets)
-                if not len(code):
-                    continue
-                each = np.diff(at)
-                lang = np.repeat(np.array([ids.setdefault(x, len(ids)) for x in _langs(part.column("_lang"))]), each)
-                text = np.repeat((textops.hash_spans(data, offsets[:-1], offsets[1:]) >> np.uint64(32)).astype(np.uint32).view(np.int32), each)
-                held.append(_merged([(lang, context, code, np.ones(len(code), np.int64), text, text)]))
-                size += len(held[-1][0])
-                if size > HELD_GRAMS:
-                    held = [_merged(held)]
-                    size = len(held[0][0])
-                    if size > HELD_GRAMS // 2:
-                        yield send(held, ids)
-                        held, size, ids = [], 0, {}
+            numbers = batch.column("_batch").to_numpy()
+            for lo, hi in _runs(numbers):
+                if numbers[lo] != now:
+                    yield from close(now, own, held)
+                    if sum(len(x[0]) for x in held) > HELD_GRAMS:
+                        held = [_merged(held)]
+                        if len(held[0][0]) > HELD_GRAMS // 2:
+                            yield counts(held, ids)
+                            held, ids = [], {}
+                    now, own = numbers[lo], []
+                for part in text_slices(batch.slice(lo, hi - lo), "_text"):
+                    own.append(_counted(part, ids))
+                    if sum(len(x[0]) for x in own) > HELD_GRAMS // 4:
+                        own = [_merged(own)]
+        yield from close(now, own, held)
         if held:
-            yield send(held, ids)
-
-    def send(held, ids):
-        lang, context, code, *rest = _merged(held)
+            yield counts(held, ids)
+
+    def close(now, own, held):
+        if own:
+            whole = _merged(own)
+            if len(whole[0]):
+                held.append(whole)
+                none = pa.nulls(1)
+                yield pa.record_batch([none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array([len(whole[0])]), none.cast(pa.int32()), none.cast(pa.int32()), pa.array([int(now)]), pa.array([textops.pack_keys(whole[0])], pa.binary())], schema=arrow_type(GATHERED))
+
+    def counts(held, ids):
+        _, lang, context, code, *rest = _merged(held)
         names = pa.DictionaryArray.from_arrays(pa.array(lang.astype(np.int32)), pa.array(list(ids), pa.string())).cast(pa.string())
-        return pa.record_batch([names, pa.array(context), pa.array(code.astype(np.int32)), *map(pa.array, rest)], schema=arrow_type(out))
+        return pa.record_batch([names, pa.array(context), pa.array(code.astype(np.int32)), *map(pa.array, rest), pa.nulls(len(lang)).cast(pa.int64()), pa.nulls(len(lang)).cast(pa.binary())], schema=arrow_type(GATHERED))
 
-    return docs.select(F.col("lang").cast("string").alias("_lang"), F.col("text").alias("_text")).mapInArrow(count, out)
+    table, batch = in_batches(docs)
+    return materialize(table.select(batch.alias("_batch"), F.col("lang").cast("string").alias("_lang"), F.col("text").alias("_text"), F.xxhash64("text").alias("_hash")).mapInArrow(count, GATHERED), "gathered")
 
 
 class Trained(NamedTuple):
-    """Modified Kneser-Ney, interpolated: for each order k a table (lang, context, code, p, back, lead). ``back`` is what the context leaves to the order below, ``lead`` marks one row a context. ``even`` is the even distribution of each language, ``seen`` all n-grams of the corpus, those of one text, too."""
+    """Modified Kneser-Ney, interpolated: for each order k a table (lang, context, code, p, back, lead). ``back`` is what the context leaves to the order below, ``lead`` marks one row a context. ``even`` is the even distribution of each language, ``seen`` all n-grams of the corpus, those of one text, too, ``gathered`` what gather() made of its ``table``."""
 
     orders: dict[int, DataFrame]
     even: DataFrame
     seen: DataFrame
+    gathered: DataFrame
+    table: DataFrame
 
 
 def _shorter(k: int) -> Column:
@@ -179,7 +242,9 @@ def train(docs: DataFrame) -> Trained:
 
     A context has at most as many characters after it as there are code points, so its window is bounded.
     """
-    counted = count_grams(docs).groupBy("lang", "context", "code").agg(F.sum("n").alias("c"), F.min("first").alias("first"), F.max("last").alias("last"))
+    table, _ = in_batches(docs)
+    gathered = gather(table)
+    counted = gathered.where("batch IS NULL").groupBy("lang", "context", "code").agg(F.sum("n").alias("c"), F.min("first").alias("first"), F.max("last").alias("last"))
     seen = materialize(counted.select("lang", "context", "code", F.when(F.col("first") != F.col("last"), F.col("c")).alias("c")), "seen-grams")
     levels = {ORDER: seen.where("c IS NOT NULL")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct characters that stand before them
@@ -199,7 +264,7 @@ def train(docs: DataFrame) -> Trained:
         one = one.join(below, "lang") if k == 1 else one.withColumn("_short", _shorter(k - 1)).join(below, ["lang", "_short", "code"])
         back = F.col("left") / F.col("total")
         orders[k] = materialize(one.select("lang", "context", "code", ((F.col("c") - F.col("cut")) / F.col("total") + back * F.col("low")).alias("p"), back.alias("back"), "lead"), "probabilities")
-    return Trained(orders, even, seen)
+    return Trained(orders, even, seen, gathered, table)
 
 
 def surprisals(wanted: DataFrame, model: Trained) -> DataFrame:
@@ -267,29 +332,17 @@ def in_batches(docs: DataFrame) -> tuple[DataFrame, Column]:
     return docs, F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BATCH_ROWS))
 
 
-def _asked(source: DataFrame, range_bits: int) -> DataFrame:
+def _asked(gathered: DataFrame, range_bits: int) -> DataFrame:
     """Rows RANGED of kind 1: the distinct n-grams of each batch, by hash range."""
 
     def ask(batches):
-        now, held = None, None
         for batch in batches:
-            ids = batch.column("_batch").to_numpy()
-            for lo, hi in _runs(ids):
-                if ids[lo] != now:
-                    if held is not None:
-                        yield send(now, held)
-                    now, held = ids[lo], np.empty(0, np.uint64)
-                for part in text_slices(batch.slice(lo, hi - lo), "_text"):
-                    context, code, at = code_grams(*text_bytes(part.column("_text")))
-                    held = np.union1d(held, _hash(np.repeat(_lang_hash(part.column("_lang")), np.diff(at)), context, code))
-        if held is not None:
-            yield send(now, held)
-
-    def send(batch, h):
-        ranges = (h >> np.uint64(64 - range_bits)).astype(np.int64)
-        return _record_batch([(int(ranges[lo]), 1, int(batch), hi - lo, textops.pack_keys(h[lo:hi]), None) for lo, hi in _runs(ranges)], RANGED)
+            for row in batch.to_pylist():
+                h = textops.unpack_keys(row["hashes"], row["n"])
+                ranges = (h >> np.uint64(64 - range_bits)).astype(np.int64)
+                yield _record_batch([(int(ranges[lo]), 1, row["batch"], hi - lo, textops.pack_keys(h[lo:hi]), None) for lo, hi in _runs(ranges)], RANGED)
 
-    return source.select("_batch", "_lang", "_text").mapInArrow(ask, RANGED)
+    return gathered.where("batch IS NOT NULL").select("batch", "n", "hashes").mapInArrow(ask, RANGED)
 
 
 def _answered(arrays: DataFrame, asked: DataFrame) -> DataFrame:
@@ -306,9 +359,10 @@ def _answered(arrays: DataFrame, asked: DataFrame) -> DataFrame:
                     parts.append((textops.unpack_keys(row["hashes"], row["n"]), textops.unsqueeze(row["bits"], "<u2")))
                     continue
                 if ready is None:
-                    ready = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                    known, steps = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    ready = Place(known), steps
                 h = textops.unpack_keys(row["hashes"], row["n"])
-                out.append((row["batch"], 0, row["n"], row["hashes"], textops.squeeze(ready[1][_place(ready[0], h)]), None))
+                out.append((row["batch"], 0, row["n"], row["hashes"], textops.squeeze(ready[1][ready[0].find(h)]), None))
             yield _record_batch(out, MET)
 
     both = arrays.unionByName(asked).repartition("range").sortWithinPartitions("range", "kind", "batch")
@@ -318,26 +372,20 @@ def _answered(arrays: DataFrame, asked: DataFrame) -> DataFrame:
 MET = "batch long, kind int, n int, hashes binary, bits binary, docs binary"
 
 
-def _place(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(known, h)
-    if len(h) and (not len(known) or at.max() == len(known) or (known[at] != h).any()):
-        raise ValueError("a batch holds n-grams that it did not ask for: its rows changed between two readings")
-    return at
-
-
 def score(docs: DataFrame, model: Trained, keep: list[str] | None = None, trained_on_docs: bool = False) -> DataFrame:
     """``row`` (a struct of the columns ``keep``, by default all), the base counts, bits (mean surprisal), spread (standard deviation of the surprisals; both null for an empty text) and n_scored of each of ``docs`` (lang, text).
 
     ``trained_on_docs``: the model is that of these documents, so it has seen all their n-grams.
     """
-    table, batch = in_batches(docs)
+    table, batch = in_batches(model.table if trained_on_docs else docs)
     keep = docs.columns if keep is None else keep
     row_type = StructType([docs.schema[c] for c in keep])
     source = table.select(batch.alias("_batch"), F.col("lang").cast("string").alias("_lang"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
-    seen = model.seen if trained_on_docs else count_grams(docs)
-    priced = materialize(surprisals(seen.select("lang", "context", "code").distinct() if not trained_on_docs else seen.drop("c"), model), "priced")
-    range_bits = max(1, (priced.count() // RANGE_GRAMS).bit_length())
-    answers = _answered(hash_arrays(priced, range_bits), _asked(source, range_bits))
+    gathered = model.gathered if trained_on_docs else gather(table)
+    seen = model.seen.drop("c") if trained_on_docs else gathered.where("batch IS NULL").select("lang", "context", "code").distinct()
+    priced = materialize(surprisals(seen, model), "priced")
+    range_bits = max(LEAST_RANGES.bit_length() - 1, (priced.count() // RANGE_GRAMS).bit_length())
+    answers = _answered(hash_arrays(priced, range_bits), _asked(gathered, range_bits))
     text_apart = "text" not in keep
 
     def pack(batches):
@@ -370,7 +418,7 @@ def score(docs: DataFrame, model: Trained, keep: list[str] | None = None, traine
                 if ready is None:
                     h, steps = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint16))
                     order = np.argsort(h, kind="stable")
-                    ready, parts = (h[order], (steps[order] / STEPS).astype(np.float32)), []
+                    ready, parts = (Place(h[order]), steps[order] / STEPS), []
                 for part in pa.ipc.open_stream(batch.column(5)[i].as_buffer()):
                     yield scored(part, *ready)
 
@@ -379,7 +427,7 @@ def score(docs: DataFrame, model: Trained, keep: list[str] | None = None, traine
         data, offsets = text_bytes(part.column("_text") if text_apart else row.field("text"))
         base, (context, code, at) = base_features(data, offsets), code_grams(data, offsets)
         n = np.diff(at)
-        bits = known_bits[_place(known, _hash(np.repeat(_lang_hash(part.column("_lang")), n), context, code))].astype(np.float64)
+        bits = known_bits[known.find(_hash(np.repeat(_lang_hash(part.column("_lang")), n), context, code))]
         mean, square = (np.diff(np.concatenate([[0], np.cumsum(x)])[at]) / np.maximum(n, 1) for x in (bits, bits * bits))
         spread = np.sqrt(np.maximum(square - mean * mean, 0))
         return pa.record_batch([row, *(pa.array(base[c].astype(np.int64)) for c in BASE), pa.array(mean, mask=n == 0), pa.array(spread, mask=n == 0), pa.array(n)], names=["row", *BASE, "bits", "spread", "n_scored"])

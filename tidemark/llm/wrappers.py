@@ -1,23 +1,31 @@
 """HTML extraction by union-free wrappers, inferred for each host (operator 1).
 
-A page becomes a tree of tokens: elements (tag with class and id, digits dropped) and text. Pages of a host are
-aligned one after another with the host's wrapper so far. Where they differ, the mismatch is resolved without
-unions: text that differs becomes a slot, elements on one side only become optional, and neighbours (or runs of
-up to four elements) that repeat become one repeated group. Each part of the wrapper knows how much text and
-linked text it holds over all pages. Partial wrappers of parts of a host are merged by the same alignment, so a
-host of any size is spread over tasks and every task holds one wrapper at a time.
-
-From a finished wrapper one region is the article: its ``article`` elements, else ``main``, else the element
-that holds most of the unlinked text. Menus, notices, adverts, forms, comments and the like are known by tag,
-role, class and id. Each page is aligned with its host's wrapper, and the text of the region is taken.
+A page becomes a tree of tokens: elements (tag with class and id, names with digits dropped) and text. Pages of a host
+are aligned one after another with the host's wrapper so far. Where they differ, the mismatch is resolved without
+unions: text that differs becomes a slot, elements on one side only become optional, and neighbours (or runs of up to
+four elements) that repeat become one repeated group. Each part of the wrapper knows how much text and linked text it
+holds over all pages, and each text the few strings that are frequent there, so template words are known within a
+repeated group, too. Partial wrappers of parts of a host are merged by the same alignment, so a host of any size is
+spread over tasks and every task holds one wrapper at a time; a part with very many different optional children
+(generated class names) is generalised to one repeated group a tag, which bounds the wrapper.
+
+From a finished wrapper one region is the article: the smallest part that holds the text that varies from page to page
+and isn't linked, with its headings. ``article`` and ``main`` elements decide where they hold at least half of that
+text, or where a host has too few pages to compare. What is around an article is known by tag and role, and by class
+and id names that consist of such words; a name is overruled if most of the host's varying text is within. Each page is
+aligned with its host's wrapper, and the text of the region is taken, whole, but for strings that open or close the
+region on most pages of the host (share bars, calls to subscribe).
 
 Results defined for odd input: null html gives empty text; a null or odd url belongs to the host ''; null and
-repeated page_ids are extracted row by row; broken markup never fails (unclosed elements end with their parent,
-nesting under 200 levels is flattened); an empty table gives no rows; other columns are ignored.
+repeated page_ids are extracted row by row; broken markup never fails and loses no text (unclosed elements end with
+their parent, elements nested deeper than DEEPEST count as that deep, a tag or comment that the page doesn't close is
+text or lasts to its end, as in browsers); a page of any length is read whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -28,161 +36,241 @@ from pyspark.sql import functions as F
 
 from .common import arrow_type, materialize, read_table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(script|style|textarea|title|noscript|template|iframe|svg|math|object|canvas|select)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'){0,5000}+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]{0,5000}+)>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
+#: A comment, declaration or tag; attributes may hold '>' in quotes.
+TOKEN = re.compile(r"<!---?>|<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+#: Tags with an unclosed quote, after which quotes in tags no longer count on a page.
+MOST_UNCLOSED = 100
+#: Their content is no markup.
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
+ATTRIBUTE = re.compile(r"""(?<![\w:-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+FOREIGN = {"svg", "math"}
+#: Elements that end a paragraph, and those that bound a block of text; all others, also unknown ones, run on.
+ENDS_P = {"address", "article", "aside", "blockquote", "body", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul", "dt", "dd"}
+BLOCK = ENDS_P | {"html", "head", "br", "tr", "td", "th", "caption", "thead", "tbody", "tfoot", "option", "optgroup", "legend", "video", "audio", "picture", "frame", "frameset", "textarea", "title"} | {"noscript", "template", "canvas", "object", "select", "iframe"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A start tag of the key ends these open elements.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: ... which stay open beyond these.
 BARRIER = {"ul", "ol", "dl", "table", "tbody", "thead", "div", "article", "section", "main", "body", "nav", "aside", "footer", "header", "form"}
-AROUND_TAGS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "fieldset"}
+AROUND_TAGS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "fieldset", "noscript", "template", "svg", "canvas", "object", "select", "datalist"} | RAW
 AROUND_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
+#: A class or id names something around the article if it has a word of these ...
 AROUND_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "side", "rail", "menu", "nav", "navbar", "navigation",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "rail", "menu", "nav", "navbar", "navigation",
     "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "social", "share", "sharing",
     "related", "recommended", "recommendations", "comment", "comments", "disqus", "respond", "reply", "replies", "footer", "widget", "toolbar", "pagination", "pager", "login", "search", "copyright", "skip",
 }
+#: ... and no word but these besides.
+NEUTRAL_WORDS = {"area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "float", "form", "global", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "news", "page", "panel", "post", "posts", "right", "section", "site", "slot", "stories", "text", "thread", "top", "unit", "wrap", "wrapper"}
+COMMENT_WORDS = {"comment", "comments", "disqus", "respond", "reply", "replies"}
 HEAD_WORDS = {"header", "masthead", "topbar", "head"}
 DEEPEST = 200
 WRAPPERS = "host string, wrapper string"
-#: Wrappers go to every task while all of them together are this small, else by a join on the host.
+#: Wrappers go to every task while all of them together are this small, else by a join on the host; what comes out is the same.
 MOST_BROADCAST = 8 << 20
-TEMPLATE_PAGES = 5
+#: Pages from which a host can be compared; part of them that a template string is on at least; part of a region's text that varies if its pages are different articles.
+TEMPLATE_PAGES, TEMPLATE_PART, VARYING_PART = 3, 0.6, 0.8
+#: Frequent strings that a text of a wrapper remembers, and children of a wrapper's part before they are generalised.
+OFTEN, MOST_KIDS = 32, 200
+HOST = r"^[a-zA-Z][a-zA-Z0-9_+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 
 
 class Node:
-    """An element of a page or wrapper. ``n`` pages (or repeats) were seen, with ``chars`` of text, ``linked`` of it in links."""
+    """An element or text of a page or wrapper. ``n`` pages (or repeats) were seen, with ``chars`` of text, ``linked`` of it in links; ``often``: frequent strings of a text, by hash."""
 
-    __slots__ = ("sig", "kind", "kids", "n", "chars", "linked", "optional", "repeated", "text")
+    __slots__ = ("sig", "kind", "kids", "n", "chars", "linked", "optional", "repeated", "text", "often")
 
-    def __init__(self, sig: str, kind: str = "", kids=None, n=1, chars=0, linked=0, optional=False, repeated=False, text=None):
+    def __init__(self, sig: str, kind: str = "", kids=None, n=1, chars=0, linked=0, optional=False, repeated=False, text=None, often=None):
         self.sig, self.kind, self.kids, self.n, self.chars, self.linked = sig, kind, kids if kids is not None else [], n, chars, linked
-        self.optional, self.repeated, self.text = optional, repeated, text
+        self.optional, self.repeated, self.text, self.often = optional, repeated, text, often
+
+    @property
+    def tag(self) -> str:
+        return self.sig.partition(".")[0]
 
     def dump(self):
-        return [self.sig, self.kind, self.n, self.chars, self.linked, int(self.optional) + 2 * int(self.repeated), self.text, [k.dump() for k in self.kids]]
+        """As lists; strings that can't be frequent any more are left out."""
+        if self.often is not None and self.n > 4 * OFTEN:
+            self.often = {h: n for h, n in self.often.items() if n > self.n // (4 * OFTEN)}
+        return [self.sig, self.kind, self.n, self.chars, self.linked, int(self.optional) + 2 * int(self.repeated), self.text, self.often, [k.dump() for k in self.kids]]
 
     @classmethod
     def load(cls, x):
-        return cls(x[0], x[1], [cls.load(k) for k in x[7]], x[2], x[3], x[4], bool(x[5] & 1), bool(x[5] & 2), x[6])
+        return cls(x[0], x[1], [cls.load(k) for k in x[8]], x[2], x[3], x[4], bool(x[5] & 1), bool(x[5] & 2), x[6], x[7])
+
+
+def string_hash(text: str) -> str:
+    """A hash of a string, and its length."""
+    return f"{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=6).hexdigest()}.{len(text)}"
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", url or "")
-    return m[1].lower() if m else ""
+def _around(name: str) -> bool:
+    words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)}
+    return bool(words & AROUND_WORDS) and words <= AROUND_WORDS | NEUTRAL_WORDS
 
 
 def _element(tag: str, attributes: str) -> Node:
-    """kind: 'x' around the article, 'h' a page's head part unless within the article, 'a' article, 'm' main, '' any other."""
+    """kind: 'x' around the article by tag or role, 'c' by its names, 'h' a page's head part unless within the article, 'a' article, 'm' main, '' any other."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-    names = re.sub(r"\d+", "", f"{found.get('class', '')} #{found.get('id', '')}" if "id" in found else found.get("class", "")).split()
-    words = {w.lower() for x in names for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", x)} if names else set()
+    names = f"{found.get('class', '')} #{found.get('id', '')}".split() if found.get("id") else found.get("class", "").split()
     role, kind = found.get("role", "").lower(), ""
     if tag in ("html", "body"):
         pass
     elif tag in AROUND_TAGS or role in AROUND_ROLES or ("hidden" in found and tag != "a") or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         kind = "x"
+    elif any(map(_around, names)):
+        kind = "c"
     elif tag == "article" or role == "article" or found.get("itemprop", "").lower() == "articlebody":
-        kind = "x" if words & {"comment", "comments", "reply", "teaser", "related"} else "a"
+        kind = "a"
     elif tag == "main" or role == "main":
         kind = "m"
-    elif words & AROUND_WORDS:
-        kind = "x"
-    elif tag == "header" or words & HEAD_WORDS:
+    elif tag == "header" or any({w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", x)} & HEAD_WORDS for x in names):
         kind = "h"
-    return Node(".".join([tag, *sorted(set(names))]), kind)
+    return Node(".".join([tag, *sorted({x for x in names if not re.search(r"\d", x)}), *([f"!{kind}"] if kind else [])]), kind)
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text stands as nodes of sig '#'."""
     root = Node("")
     stack: list[tuple[str, Node]] = [("", root)]
-    at = 0
+    at = unclosed = 0
 
     def put(raw: str) -> None:
-        if raw and not raw.isspace():
-            stack[-1][1].kids.append(Node("#", text=html_lib.unescape(raw)))
-        elif raw:
-            stack[-1][1].kids.append(Node("#", text=" "))
-
-    for m in TOKEN.finditer(page):
-        put(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        if raw:
+            stack[-1][1].kids.append(Node("#", text=" " if raw.isspace() else html_lib.unescape(raw)))
+
+    look = 0
+    while (i := page.find("<", look)) >= 0:
+        m = TOKEN.match(page, i) if unclosed < MOST_UNCLOSED else LOOSE.match(page, i)
+        if m is None:
+            if page.find(">", i) < 0:
+                break
+            if (m := LOOSE.match(page, i)) is not None:
+                unclosed += 1
+        if m is None:
+            look = i + 1
+            continue
+        put(page[at:i])
+        at = look = m.end()
+        tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
                 stack[-1][1].kids.append(Node("#", text=m[0][9:].removesuffix("]]>")))
             continue
-        if m[2] or m[5]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+        if m[1]:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == tag:
+                    del stack[k:]
                     break
-                if stack[i][0] in BARRIER and tag in INLINE | {"p", "li"}:
+                if stack[k][0] in BARRIER and (tag not in BLOCK or tag in ("p", "li")):
                     break
             continue
-        ended = ENDS.get(tag) or (None if tag in INLINE or tag in VOID else {"p"})
+        ended = ENDS.get(tag) or ({"p"} if tag in ENDS_P else None)
         if ended:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ended:
-                    del stack[i:]
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in ended:
+                    del stack[k:]
                     break
-                if stack[i][0] in BARRIER:
+                if stack[k][0] in BARRIER:
                     break
-        node = _element(tag, m[4] or m[7] or "")
+        node = _element(tag, m[3] or "")
         stack[-1][1].kids.append(node)
-        if tag not in VOID and not (m[4] or m[7] or "").endswith("/") and len(stack) < DEEPEST:
-            stack.append((tag, node))
+        if tag in RAW:  # to its end tag, or the page's end
+            end = RAW_END[tag].search(page, at)
+            at = look = len(page) if end is None else end.start()
+        elif tag not in VOID and not ((m[3] or "").endswith("/") and (tag in FOREIGN or stack[-1][0] in FOREIGN)):
+            stack.append((tag, node if len(stack) < DEEPEST else stack[-1][1]))
     put(page[at:])
     return root
 
 
-def fold(node: Node, link: bool = False) -> Node:
-    """The page as a wrapper of its own: counts of text, neighbours that repeat as one group."""
-    link = link or node.sig.split(".")[0] == "a"
+def fold(page: Node) -> Node:
+    """The page as a wrapper of its own: counts of text, neighbours that repeat as one group. A string counts once a page."""
+    out = _fold(page, False)
+    todo = [out]
+    while todo:
+        node = todo.pop()
+        if node.often is not None:
+            node.often = dict.fromkeys(node.often, 1)
+        todo += node.kids
+    return out
+
+
+def _fold(node: Node, link: bool) -> Node:
+    link = link or node.tag == "a"
     kids: list[Node] = []
     for k in node.kids:
         if k.sig == "#":
             text = " ".join(k.text.split())
             if not text:
                 continue
-            new = Node("#", chars=len(text), linked=len(text) if link else 0, text=text if len(text) <= 200 else None)
+            new = Node("#", chars=len(text), linked=len(text) if link else 0, text=text if len(text) <= 200 else None, often={string_hash(text): 1})
         else:
-            new = fold(k, link)
+            new = _fold(k, link)
         if kids and kids[-1].sig == new.sig:
             kids[-1] = merge(kids[-1], new)
             kids[-1].repeated = True
         else:
             kids.append(new)
     for size in range(2, 5):
-        i = 0
-        while i + 2 * size <= len(kids):
-            if [k.sig for k in kids[i : i + size]] == [k.sig for k in kids[i + size : i + 2 * size]]:
+        i, kept = 0, []
+        while i < len(kids):
+            run = kids[i : i + size]
+            if len(kept) >= size and len(run) == size and [k.sig for k in kept[-size:]] == [k.sig for k in run]:
                 for j in range(size):
-                    kids[i + j] = merge(kids[i + j], kids[i + size + j])
-                    kids[i + j].repeated = True
-                del kids[i + size : i + 2 * size]
+                    kept[j - size] = merge(kept[j - size], run[j])
+                    kept[j - size].repeated = True
+                i += size
             else:
+                kept.append(kids[i])
                 i += 1
+        kids = kept
     return Node(node.sig, node.kind, kids, 1, sum(k.chars for k in kids), sum(k.linked for k in kids))
 
 
 def merge(a: Node, b: Node) -> Node:
     """Align two nodes of one sig."""
+    often = None
+    if a.often is not None and b.often is not None:
+        often = dict(a.often)
+        for h, n in b.often.items():
+            often[h] = often.get(h, 0) + n
+        if len(often) > 2 * OFTEN:  # counts may be too small by part of n, never too large
+            cut = sorted(often.values(), reverse=True)[OFTEN]
+            often = {h: n - cut for h, n in often.items() if n > cut}
     text = a.text if a.text == b.text else None
-    return Node(a.sig, a.kind, align(a.kids, b.kids), a.n + b.n, a.chars + b.chars, a.linked + b.linked, a.optional or b.optional, a.repeated or b.repeated, text)
+    return Node(a.sig, a.kind, align(a.kids, b.kids), a.n + b.n, a.chars + b.chars, a.linked + b.linked, a.optional or b.optional, a.repeated or b.repeated, text, often)
+
+
+def _general(kids: list[Node]) -> list[Node]:
+    """One optional, repeated group for each tag and kind, in order of their first."""
+    found: dict[tuple[str, str], Node] = {}
+    for k in kids:
+        k.sig = k.sig if k.sig == "#" else f"{k.tag}.*{k.kind}"
+        key = (k.sig, k.kind)
+        found[key] = merge(found[key], k) if key in found else k
+        found[key].optional = found[key].repeated = True
+    return list(found.values())
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
     """Align two sequences by a longest common subsequence of sigs; what stands on one side only becomes optional."""
-    if [k.sig for k in a] == [k.sig for k in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+    general = {k.sig: i for i, k in enumerate(a) if ".*" in k.sig} | {k.sig: i for i, k in enumerate(b) if ".*" in k.sig}
+    if general or len(a) > MOST_KIDS or len(b) > MOST_KIDS:
+        if not general or any(k.sig != "#" and ".*" not in k.sig for k in (*a, *b)) or [k.sig for k in a] != [k.sig for k in b]:
+            return _general([*a, *b])
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo].sig == b[lo].sig:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi].sig == b[-1 - hi].sig:
+        hi += 1
+    head = [merge(x, y) for x, y in zip(a[:lo], b[:lo], strict=True)]
+    tail = [merge(x, y) for x, y in zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)]
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -201,7 +289,7 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
             b[j].optional = True
             out.append(b[j])
             j += 1
-    return out
+    return head + out + tail
 
 
 def shape(wrapper: Node) -> str:
@@ -215,92 +303,168 @@ def shape(wrapper: Node) -> str:
     return f"({inner})?" if wrapper.optional else inner
 
 
-def mark_region(wrapper: Node) -> None:
-    """Set kind 'r' on the nodes whose text is the article."""
+def _template(part: Node, pages: int) -> set[str]:
+    """Hashes of the strings that a text of the wrapper has on most pages."""
+    if pages < TEMPLATE_PAGES or part.often is None:
+        return set()
+    return {h for h, n in part.often.items() if n >= TEMPLATE_PART * pages}
 
-    def find(node: Node, kind: str) -> list[Node]:
+
+def mark_region(wrapper: Node) -> None:
+    """Set kind 'r' on the parts whose text is the article; their texts of kind 't' hold template strings (in ``often``)."""
+    pages = wrapper.n
+
+    def mass(node: Node, varying: bool = True, around: str = "xc") -> int:
+        """Unlinked text, or of it what varies from page to page."""
+        if node.kind and node.kind in around:
+            return 0
+        if node.sig == "#":
+            known = sum(node.often[h] * int(h.partition(".")[2]) for h in _template(node, pages)) if varying else 0
+            return max(node.chars - node.linked - known, 0)
+        return sum(mass(k, varying, around) for k in node.kids)
+
+    whole, vary = mass(wrapper, False, "x"), mass(wrapper, True, "x")
+    varying = pages >= TEMPLATE_PAGES and vary > (1 - VARYING_PART) * whole  # else copies of few articles
+
+    def find(node: Node, kind: str, below: str = "xc") -> list[Node]:
         if node.kind == kind:
             return [node]
-        return [x for k in node.kids if k.kind != "x" for x in find(k, kind)]
+        return [y for k in node.kids if not (k.kind and k.kind in below) for y in find(k, kind, below)]
+
+    any_named = bool(find(wrapper, "a", "x") or find(wrapper, "m", "x"))
+
+    def overrule(node: Node) -> None:
+        """A name is no sign of what is around if it has the only article within, or most of a host's text where nothing is called an article."""
+        for k in node.kids:
+            if k.kind == "c" and not COMMENT_WORDS & {w.lower() for w in re.findall(r"[A-Za-z]+", k.sig)}:
+                inner = sum(mass(c, varying, "x") for c in k.kids)
+                all_of_it = vary if varying else whole
+                within = find(Node("", kids=k.kids), "a", "x") or find(Node("", kids=k.kids), "m", "x")
+                if (within and not find(wrapper, "a") and not find(wrapper, "m")) or (not any_named and inner * (2 if pages >= TEMPLATE_PAGES else 1.25) > all_of_it):
+                    k.kind = ""
+            if k.kind != "x":
+                overrule(k)
 
-    def text(node: Node) -> int:
-        return 0 if node.kind == "x" else node.chars - node.linked if not node.kids else sum(text(k) for k in node.kids)
+    overrule(wrapper)
 
+    def titled(node: Node) -> bool:
+        return node.kind not in ("x", "c", "h") and ((node.tag in HEADINGS and mass(node, varying) > 0) or any(map(titled, node.kids)))
+
+    total = mass(wrapper, varying)
     articles, mains = find(wrapper, "a"), find(wrapper, "m")
-    if articles and (not mains or 2 * sum(map(text, articles)) >= sum(map(text, mains))):
-        region = articles
-    elif mains and sum(map(text, mains)):
-        region = mains
+    held = [sum(mass(k, varying) for k in group) for group in (articles, mains)]
+    named = articles if articles and 2 * held[0] >= held[1] else mains
+    if named and (2 * max(held) >= total or pages < TEMPLATE_PAGES) and (max(held) or not total):
+        region = named
     else:
         node = wrapper
         while True:
-            kids = [k for k in node.kids if k.kind not in ("x", "h") and k.sig.split(".")[0] not in INLINE | {"p", "#"} | VOID]
-            top = max(kids, key=text, default=None)
-            if top is None or text(top) < 0.6 * text(node) or (top.repeated and len(kids) > 1):
+            kids = [k for k in node.kids if k.kind not in ("x", "c", "h") and k.tag not in VOID | HEADINGS | {"p", "#", "ul", "ol", "table", "blockquote", "a"}]
+            top = max(kids, key=lambda k: mass(k, varying), default=None)
+            if top is None or top.repeated or not mass(top, varying):
+                break
+            rest = [k for k in node.kids if k is not top and k.kind not in ("x", "c", "h")]
+            if 2 * sum(mass(k, varying) for k in rest) > mass(top, varying) or any(titled(k) or (k.tag in ("p", "#") and mass(k, varying)) for k in rest):
                 break
             node = top
         region = [node]
-        for part in _walk(node):  # the same words on every page of a host are its template
-            if part.sig == "#" and part.text is not None and part.n >= TEMPLATE_PAGES and not part.repeated:
-                part.kind = "x"
     for node in region:
         node.kind = "r"
 
+    def lead(node: Node) -> bool:
+        """Nothing that holds the region is left out for its name."""
+        found = node.kind == "r" or any([lead(k) for k in node.kids if k.kind != "x"])
+        if found and node.kind != "r":
+            node.kind = ""
+        return found
+
+    lead(wrapper)
+    inside, all_inside = (sum(sum(mass(c, v) for c in node.kids) for node in region) for v in (True, False))
+    if pages >= TEMPLATE_PAGES and inside >= VARYING_PART * all_inside:
+        for node in region:
+            for part in _walk(node):
+                if part.sig == "#" and (often := _template(part, pages)):
+                    part.kind, part.often = "t", dict.fromkeys(often, 1)
+
 
 def _walk(node: Node):
-    yield node
+    """The parts below, but for headings and what is around."""
     for k in node.kids:
-        if k.kind != "x":
+        if k.kind not in ("x", "c") and k.tag not in HEADINGS:
+            yield k
             yield from _walk(k)
 
 
 def extract(page: Node, wrapper: Node | None) -> str:
     """The article's text of a parsed page, by its host's wrapper; by a wrapper of the page alone if it doesn't fit."""
-    if wrapper is not None:
-        parts: list[str] = []
-        _take(page, wrapper, False, parts)
-        if text := " ".join("".join(parts).split()):
-            return text
+    if wrapper is not None and (text := _article(page, wrapper)):
+        return text
     own = fold(page)
     mark_region(own)
-    parts = []
-    _take(page, own, False, parts)
-    return " ".join("".join(parts).split())
-
-
-def _take(page: Node, wrapper: Node | None, inside: bool, parts: list[str]) -> None:
+    return _article(page, own)
+
+
+def _article(page: Node, wrapper: Node) -> str:
+    parts: list[tuple[str | None, bool]] = []
+    _take(page, wrapper, wrapper.kind == "r", parts)
+    blocks: list[tuple[str, bool]] = []
+    block: list[str] = []
+    template = True
+    for text, known in [*parts, (None, True)]:
+        if text is not None:
+            block.append(text)
+            template &= known or text.isspace()
+        elif block:
+            if words := " ".join("".join(block).split()):
+                blocks.append((words, template))
+            block, template = [], True
+    while blocks and blocks[0][1]:
+        blocks.pop(0)
+    while blocks and blocks[-1][1]:
+        blocks.pop()
+    return " ".join(words for words, _ in blocks)
+
+
+def _take(page: Node, wrapper: Node | None, inside: bool, parts: list[tuple[str | None, bool]]) -> None:
+    """Text of the region, with whether it is a template string; None between blocks."""
     at = 0
+    places: dict[str, list[int]] = {}
+    if wrapper is not None:
+        for i, k in enumerate(wrapper.kids):
+            places.setdefault(k.sig, []).append(i)
     for k in page.kids:
         match = None
         if wrapper is not None:
-            kids = wrapper.kids
-            for i in (*range(at, len(kids)), *range(at)):  # a repeated group starts over
-                if kids[i].sig == k.sig:
-                    match, at = kids[i], i
-                    break
-        kind = match.kind if match is not None else k.kind
+            found = places.get(k.sig) or places.get(f"{k.tag}.*{k.kind}")
+            if found:  # the next of its kind; a repeated group starts over
+                at = next((i for i in found if i >= at), found[0])
+                match = wrapper.kids[at]
         if k.sig == "#":
-            if inside and kind != "x":
-                parts.append(k.text)
+            if inside:
+                known = match is not None and match.kind == "t" and string_hash(" ".join(k.text.split())) in match.often
+                parts.append((k.text, known))
             continue
-        if kind == "x" or (k.kind == "h" and not inside):
+        kind = match.kind if match is not None else k.kind
+        if kind in ("x", "c") or (kind == "h" and not inside):
             continue
-        block = k.sig.split(".")[0] not in INLINE
+        block = k.tag in BLOCK
         if block:
-            parts.append(" ")
+            parts.append((None, True))
         _take(k, match, inside or kind == "r", parts)
         if block:
-            parts.append(" ")
+            parts.append((None, True))
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): each task aligns its pages of a host, then partial wrappers are merged, in two steps and always one at a time."""
+    """(host, wrapper) of ``pages`` (host, html): each task aligns its pages of a host, then partial wrappers are merged, in two steps and always one at a time."""
 
     def partial(batches):
         held: dict[str, Node] = {}
         for batch in batches:
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, new = host_of(url), fold(parse(page or ""))
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+                if not (page := page.as_py()):
+                    continue
+                new = fold(parse(page))
                 held[host] = merge(held[host], new) if host in held else new
                 if len(held) >= 1000:
                     yield send(held)
@@ -323,14 +487,15 @@ def infer(pages: DataFrame) -> DataFrame:
         if kept is not None:
             yield send({host: kept})
 
-    parts = pages.select("url", "html").mapInArrow(partial, WRAPPERS).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64)))
+    parts = pages.select("host", "html").mapInArrow(partial, WRAPPERS).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64)))
     once = parts.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper").mapInArrow(join, WRAPPERS)
     return materialize(once.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(join, WRAPPERS), "wrappers")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     wrappers = infer(rows)
     out = "page_id long, url string, text string, n_chars long"
     small = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0)).alias("b")).first()["b"] <= MOST_BROADCAST
@@ -350,17 +515,16 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             return ready[key]
 
         for batch in batches:
-            urls = batch.column("url").to_pylist()
+            hosts = batch.column("host").to_pylist()
             given = batch.column("wrapper").to_pylist() if "wrapper" in batch.schema.names else None
             texts = []
-            for i, url in enumerate(urls):
-                host, page = host_of(url), batch.column("html")[i].as_py()
+            for i, host in enumerate(hosts):
+                page = batch.column("html")[i].as_py()
                 texts.append(extract(parse(page), wrapper_of(host, given[i] if given else known.get(host))) if page else "")
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow_type(out))
 
     if not small:
-        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9_+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-        rows = rows.withColumn("host", host).join(wrappers, "host", "left").drop("host")
+        rows = rows.join(wrappers, "host", "left")
     return rows.mapInArrow(run, out)
 
 

@@ -15,32 +15,41 @@ MIN_WORDS lines, which bounds the rounds whatever the corpus.
 
 Results defined for odd input: lines are compared without white space at their ends; a null text stays null; an
 empty text stays empty; rows equal in doc_id and text are one document and are treated alike; null doc_ids come
-after all others; lines without a word stay; an empty table gives no rows; columns of ``docs`` keep their names,
-whatever they are.
+after all others; lines without a word stay; an empty table gives no rows; a text of any length is split
+once; the columns of ``docs`` come back in a struct, so that no name of theirs can clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fingerprint, materialize, read_table
 
 MIN_WORDS = 50
-GAP = r"[\x20\x09-\x0D]+"
+#: White space between words.
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def _n_words(line: Column) -> Column:
+    """Words of a line without white space at its ends: its single blanks and one more, where it has no other white space; else by a pattern."""
+    odd = F.translate(line, BLANK[1:], "") != line
+    plain = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    return F.when(odd | F.contains(line, F.lit("  ")), F.size(F.split(line, r"[\x20\x09-\x0D]+"))).otherwise(plain).cast("long")
 
 
 def _line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """One row a line with words: its position, its document, and how many lines the shortest runs from it and up to it have."""
     h1, h2 = fingerprint(F.col("_text"))
     lines = docs.where("_text IS NOT NULL").select(F.coalesce(F.col("_doc"), F.lit((1 << 63) - 1)).alias("d"), h1.alias("t"), h2.alias("t2"), F.posexplode(F.split("_text", "\n")).alias("line", "raw"))
-    words = lines.withColumn("raw", F.regexp_replace("raw", rf"^{GAP}|{GAP}$", "")).where("raw <> ''")
+    words = lines.withColumn("raw", F.btrim("raw", F.lit(BLANK))).where("raw <> ''")
     l1, l2 = fingerprint(F.col("raw"))
-    rows = words.select("d", "t", "t2", "line", l1.alias("l1"), l2.alias("l2"), F.size(F.split("raw", GAP)).cast("long").alias("w")).distinct()
+    rows = words.select("d", "t", "t2", "line", l1.alias("l1"), l2.alias("l2"), _n_words(F.col("raw")).alias("w")).distinct()
     own = Window.partitionBy("d", "t", "t2").orderBy("line")
     # words up to and before each line; the next two windows are over these sums
     sums = rows.withColumn("upto", F.sum("w").over(own)).withColumn("before", F.col("upto") - F.col("w")).withColumn("at", F.row_number().over(own)).withColumn("all", F.sum("w").over(Window.partitionBy("d", "t", "t2")))
-    ahead = Window.partitionBy("d", "t", "t2").orderBy("before").rangeBetween(min_words, Window.unboundedFollowing)
+    # from the end, as a frame that grows is summed row by row, while one that shrinks would be summed anew for each row
+    ahead = Window.partitionBy("d", "t", "t2").orderBy(-F.col("before")).rangeBetween(Window.unboundedPreceding, -min_words)
     behind = Window.partitionBy("d", "t", "t2").orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words)
     found = sums.withColumn("next", F.min("at").over(ahead)).withColumn("last", F.max("at").over(behind)).withColumn("count", F.count("*").over(Window.partitionBy("d", "t", "t2")))
     enough = F.col("all") - F.col("before") >= min_words
@@ -66,7 +75,7 @@ def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, t2, gone): for each document that loses lines, their numbers."""
+    """(d, t, t2, line): the lines that documents lose."""
     lines = _line_table(docs, min_words)
     start = F.col("pos")
     # the runs to test; a document's positions are consecutive, as one task wrote them in order
@@ -90,7 +99,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ranks = materialize(_ranked(materialize(pairs.withColumnRenamed("rank", "one"), "pairs"), ["one", "other"]), "ranks")
         depth *= 2
     if not hits:
-        return lines.select("d", "t", "t2", F.array("at").alias("gone")).limit(0)
+        return lines.select("d", "t", "t2", "line").limit(0)
     found = hits[0]
     for more in hits[1:]:
         found = found.unionByName(more)
@@ -98,27 +107,31 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     key, place = ["x", "r1", "r2"], F.struct("d", "t", "t2", "at")
     first = materialize(found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-copies")
     later = found.join(first, key).where(place > F.col("first")).select("d", "t", "t2", F.explode(F.expr("sequence(at, at + x - 1)")).alias("at")).distinct()
-    return later.join(lines.select("d", "t", "t2", "at", "line"), ["d", "t", "t2", "at"]).groupBy("d", "t", "t2").agg(F.collect_list("line").alias("gone"))
+    return later.join(lines.select("d", "t", "t2", "at", "line"), ["d", "t", "t2", "at"]).drop("at")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (with doc_id and text) with later copies of repeated runs cut out of text, and how many lines there were and went: _lines, _gone."""
-    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_text", F.col("text"))
-    gone = materialize(deleted_lines(keyed.select("_doc", "_text"), min_words), "gone")
+    """``row`` (a struct of the columns of ``docs``, which has doc_id and text, without text), text with later copies of repeated runs cut out, and how many lines there were and went: n_lines, n_deleted."""
     h1, h2 = fingerprint(F.col("text"))
-    keyed = keyed.withColumns({"_d": F.coalesce("_doc", F.lit((1 << 63) - 1)), "_t": h1, "_t2": h2})
-    gone = gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("t2").alias("_t2"), F.col("gone").alias("_cut"))
-    all_lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_cut"))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    gone = deleted_lines(docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").alias("_text")), min_words)
+    # which lines go, as one flag a line up to the last that goes: a column of its own, so that a text is split once and no list is searched
+    own = Window.partitionBy("d", "t", "t2").orderBy("line")
+    gaps = gone.withColumn("gap", F.col("line") - F.coalesce(F.lag("line").over(own), F.lit(-1)) - 1)
+    flags = gaps.groupBy("d", "t", "t2").agg(F.sort_array(F.collect_list(F.struct("line", "gap"))).alias("cut"))
+    flags = materialize(flags.select("d", "t", "t2", F.flatten(F.transform("cut", lambda c: F.concat(F.array_repeat(F.lit(False), c["gap"]), F.array(F.lit(True))))).alias("flags"), F.size("cut").alias("n")), "gone")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").alias("text"), doc.alias("d"), h1.alias("t"), h2.alias("t2"))
     # the plan is the same at every size: text is shuffled once, never held against a broadcast table
-    joined = keyed.join(gone.hint("merge"), ["_d", "_t", "_t2"], "left")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("_gone"))
+    joined = keyed.join(flags.hint("merge"), ["d", "t", "t2"], "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.get("flags", i), F.lit(False)))
+    text = F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0))
+    return joined.select("row", text.alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_deleted"))
 
 
 def op4_line_runs(spark, sf_dir: str) -> DataFrame:
     found = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_deleted"))
+    return found.select("row.doc_id", "text", "n_lines", "n_deleted")
 
 
 #: The same by text: runs are the joined lines themselves.

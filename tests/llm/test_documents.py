@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -190,12 +191,26 @@ def test_line_runs(spark):
         (1, "\n".join([line(10), passage, short]), "a"), (2, "\n".join([short, passage, line(30)]), "a"), (3, "\n".join([line(8), *run, line(9)]), "a"), (4, "\n".join([*run, "", "  ", short]), "a"),
         (5, "\n".join([*run[1:], line(5)]), "a"), (6, "\n".join([run[0], line(3), *run[1:3]]), "a"), (9, "\n".join([passage, passage]), "a"), (10, "\n".join(run + run), "a"), (11, "\n".join(["x y"] * 90), "a"), *ODD,
     ]
-    got = line_runs.dedup_lines(frame(spark, data).drop("_kept")).collect()
+    docs = frame(spark, data).withColumns({"_text": F.lit("mine"), "_gone": F.lit(2), "d": F.lit(3), "flags": F.lit(4), "n_lines": F.lit(5)})
+    got = line_runs.dedup_lines(docs).collect()
+    assert all((r["row"]["_text"], r["row"]["_gone"], r["row"]["d"], r["row"]["flags"], r["row"]["n_lines"], r["row"]["_kept"]) == ("mine", 2, 3, 4, 5, 9) for r in got)
     gone = cut_lines(data)
     assert len(got) == len(data)
     want = [(str(d), "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[(d, t)]) if t is not None else None, len(gone.get((d, t), ()))) for d, t, _ in data]
-    assert sorted(((str(r["doc_id"]), r["text"], r["_gone"]) for r in got), key=str) == sorted(want, key=str)
-    assert line_runs.dedup_lines(frame(spark, data).drop("_kept").limit(0)).count() == 0
+    assert sorted(((str(r["row"]["doc_id"]), r["text"], r["n_deleted"]) for r in got), key=str) == sorted(want, key=str)
+    assert line_runs.dedup_lines(frame(spark, data).limit(0)).count() == 0
+
+
+def test_line_runs_of_very_long_texts(spark):
+    """Two megabytes in 40,000 lines, twice, and half of them once more in another text."""
+    rng = random.Random(33)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(400)]
+    lines = [" ".join(rng.choices(words, k=8)) for _ in range(40_000)]
+    data = [(1, "\n".join(lines), "en"), (2, "\n".join(["first", *lines[10_000:30_000], "last"]), "en"), (3, "\n".join(lines), "en")]
+    began = time.monotonic()
+    got = {r["row"]["doc_id"]: (r["text"], r["n_deleted"]) for r in line_runs.dedup_lines(frame(spark, data)).collect()}
+    assert got == {1: (data[0][1], 0), 2: ("first\nlast", 20_000), 3: ("", 40_000)}
+    assert time.monotonic() - began < 60
 
 
 def classes(data, similarity=weighted_minhash.SIMILARITY):
@@ -243,9 +258,9 @@ def near_data():
 
 def test_near_classes(spark):
     data = near_data()
-    got = weighted_minhash.mark_near(frame(spark, data).drop("_kept")).collect()
-    assert sorted((str(r["doc_id"]), str(r["_class"])) for r in got) == sorted(classes(data))
-    assert all(r["_kept"] == (r["_class"] == r["doc_id"]) for r in got)
+    got = weighted_minhash.mark_near(frame(spark, data).withColumn("d", F.lit("mine")).withColumn("kept", F.lit(2)).withColumn("row", F.lit(3))).collect()
+    assert sorted((str(r["row"]["doc_id"]), str(r["class_id"])) for r in got) == sorted(classes(data))
+    assert all(r["kept"] == (r["class_id"] == r["row"]["doc_id"]) and (r["row"]["d"], r["row"]["kept"], r["row"]["_kept"]) == ("mine", 2, 9) for r in got)
 
 
 def test_one_row_of_a_class_stays_whatever_its_ids(spark):
@@ -255,21 +270,21 @@ def test_one_row_of_a_class_stays_whatever_its_ids(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = corpus_pipeline.near_dedup(spark, frame(spark, data), "").collect()
     assert Counter((r["doc_id"], (r["text"] or "none")[:20]) for r in got) == Counter({(None, a[:20]): 1, (3, b[:20]): 1, (8, c[:20]): 1, (None, d[:20]): 1, (None, "none"): 2})
-    marked = weighted_minhash.mark_near(frame(spark, data).drop("_kept")).where("doc_id IS NULL AND text IS NOT NULL AND _kept").collect()
-    assert Counter(r["text"][:20] for r in marked) == Counter({a[:20]: 1, d[:20]: 1})
+    marked = weighted_minhash.mark_near(frame(spark, data)).where("row.doc_id IS NULL AND row.text IS NOT NULL AND kept").collect()
+    assert Counter(r["row"]["text"][:20] for r in marked) == Counter({a[:20]: 1, d[:20]: 1})
 
 
 def test_near_classes_in_parts(spark, monkeypatch):
     """Buckets, blocks, pivots and hash ranges of a few give what large ones do."""
-    for name, v in (("SUB_BUCKET", 2), ("BLOCK_SHINGLES", 300), ("PIVOT_SHINGLES", 250), ("RANGE_SHINGLES", 1 << 10), ("BATCH_BYTES", 2000)):
+    for name, v in (("SUB_BUCKET", 2), ("BLOCK_SHINGLES", 300), ("PIVOT_SHINGLES", 250), ("BLOCK_ROWS", 3), ("PIVOT_ROWS", 2), ("RANGE_SHINGLES", 1 << 10), ("BATCH_BYTES", 2000)):
         monkeypatch.setattr(weighted_minhash, name, v)
     data = near_data()
-    got = weighted_minhash.mark_near(frame(spark, data).drop("_kept")).collect()
-    assert sorted((str(r["doc_id"]), str(r["_class"])) for r in got) == sorted(classes(data))
+    got = weighted_minhash.mark_near(frame(spark, data)).collect()
+    assert sorted((str(r["row"]["doc_id"]), str(r["class_id"])) for r in got) == sorted(classes(data))
 
 
 def test_near_classes_of_nothing(spark):
-    assert weighted_minhash.mark_near(frame(spark, ODD).drop("_kept").limit(0)).count() == 0
+    assert weighted_minhash.mark_near(frame(spark, ODD).limit(0)).count() == 0
 
 
 def test_samples_agree_as_similarity_says():

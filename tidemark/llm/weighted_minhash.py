@@ -7,9 +7,12 @@ clusters; within a cluster the weighted Jaccard similarity decides, exactly, and
 components of pairs at or over SIMILARITY. Nothing emits all pairs of a group, and no group is cut short:
 
 * equal texts are one class before anything else;
-* documents of a key beyond ``SUB_BUCKET`` meet in parts, whose leaders meet again;
-* a candidate cluster of any size is compared in blocks with a bounded set of pivots. Pivots then know all their
-  links. Rounds go on until all documents that were no pivot are in one class, so no link between classes is lost.
+* documents of a key beyond ``SUB_BUCKET`` meet in parts, other ones for each key. Where that leaves the leaders of a
+  key in several candidate clusters, all pairs of parts of its leaders meet again, with a limit lowered by what a
+  document and the leader that covers it may differ;
+* a candidate cluster of any size is compared in blocks of bounded rows and shingles with a bounded set of pivots.
+  Pivots then know all their links. Rounds go on until all documents that were no pivot are in one class, so no link
+  between classes is lost.
 
 Document frequencies don't need a row a shingle: texts are packed to batches, each batch sends its sorted, distinct
 shingles by hash range (differences, packed planes), and gets one byte a shingle back, the frequency on a
@@ -17,7 +20,7 @@ logarithmic scale, in the same order.
 
 Results defined for odd input: a null text is a class of its own, each row; equal texts (also empty ones) are one
 class; the kept row of a class has the smallest doc_id, and of rows with that doc_id one of them; null doc_ids
-come after all others; an empty table gives no rows; columns of ``docs`` keep their names.
+come after all others; an empty table gives no rows; the columns of ``docs`` come back in a struct, so that no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -41,12 +44,15 @@ BANDS, ROWS = 14, 4
 K = BANDS * ROWS
 #: Of K samples so many agree at least where two documents may be linked; and where one stands for the other.
 LINK, COVER = round(0.43 * K), round(0.85 * K)
+#: ... where two leaders are linked that cover documents of their parts: these may be 0.8 alike while their leaders are only 0.5 alike.
+LINK_LEADERS = round(0.3 * K)
 SUB_BUCKET = 4096
 BATCH_BYTES = 4 << 20
 #: Shingles a hash range, and the bits by which a range tells its shingles apart.
 RANGE_SHINGLES, RANGE_BITS = 1 << 22, 36
-#: Shingles a block of a candidate cluster, and those of its pivots in one round.
-BLOCK_SHINGLES, PIVOT_SHINGLES = 400_000, 200_000
+#: Shingles and rows a block of a candidate cluster, and those of its pivots in one round.
+BLOCK_SHINGLES, PIVOT_SHINGLES = 400_000, 100_000
+BLOCK_ROWS, PIVOT_ROWS = 1024, 512
 #: Shingles that are sampled together.
 IN_CACHE = 1 << 15
 _U = np.uint64
@@ -306,17 +312,45 @@ def leader_links(met: DataFrame) -> DataFrame:
     return met.select("key", "part", "cid", "samples").repartition("key", "part").sortWithinPartitions("key", "part", "cid").mapInArrow(run, out)
 
 
+def links_of_parts(met: DataFrame) -> DataFrame:
+    """(a, b) for leaders ``met`` (key, part, parts, cid, root, samples): a spanning forest of the links between those of different roots, for all pairs of parts of a key."""
+    out = "a long, b long"
+
+    def run(batches):
+        for rows in _groups(batches, ["key", "lo", "hi"]):
+            cids, roots, part = (np.array([r[c] for r in rows]) for c in ("cid", "root", "part"))
+            s = np.stack([np.frombuffer(r["samples"], "<u2") for r in rows])
+            p, q = [], []
+            inner = rows[0]["lo"] == rows[0]["hi"]
+            for i in range(len(rows)):
+                others = (roots != roots[i]) & ((np.arange(len(rows)) > i) if inner else (part > part[i]))
+                linked = np.flatnonzero(others & ((s == s[i]).sum(axis=1) >= LINK_LEADERS))
+                p.append(np.full(len(linked), i)), q.append(linked)
+            a, b = forest(np.concatenate(p), np.concatenate(q), len(rows))
+            yield pa.record_batch([pa.array(cids[a]), pa.array(cids[b])], schema=arrow_type(out))
+
+    pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    return pairs.select("key", "lo", "hi", "part", "cid", "root", "samples").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid").mapInArrow(run, out)
+
+
 def candidate_clusters(classes: DataFrame) -> DataFrame:
     """(cid, cluster) of the classes that a link joins with another."""
     n_classes = classes.count()
     keys = classes.where("bands IS NOT NULL").select("cid", F.explode("bands").alias("key"))
     counts = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes", n_classes)
-    parts = F.ceil(F.col("n") / SUB_BUCKET).cast("long")
-    met = materialize(keys.join(counts, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), parts).alias("part"), (F.col("n") > SUB_BUCKET).alias("split")), "bucket-members", BANDS * n_classes)
+    parts = lambda n: F.ceil(n / SUB_BUCKET).cast("long")
+    part = lambda n: F.pmod(F.xxhash64("cid", "key"), parts(n))
+    met = materialize(keys.join(counts, "key").select("cid", "key", part(F.col("n")).alias("part")), "bucket-members", BANDS * n_classes)
     first = materialize(leader_links(met.join(classes.select("cid", "samples"), "cid")), "leader-links")
-    again = first.where("b IS NULL").join(met.where("split").select("key").distinct(), "key", "left_semi")
-    second = leader_links(again.select("key", F.lit(0).alias("part"), F.col("a").alias("cid"), "samples"))
-    return components(first.where("b IS NOT NULL").select("a", "b").unionByName(second.where("b IS NOT NULL").select("a", "b")).distinct())
+    found = materialize(components(first.where("b IS NOT NULL").select("a", "b").distinct()), "candidates")
+    split = counts.where(F.col("n") > SUB_BUCKET).select("key")
+    if split.isEmpty():
+        return found
+    leaders = first.where("b IS NULL").select("key", F.col("a").alias("cid"), "samples").join(split, "key")
+    leaders = materialize(leaders.join(found.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "leaders")
+    apart = leaders.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "n")
+    again = links_of_parts(leaders.join(apart, "key").select("key", part(F.col("n")).alias("part"), parts(F.col("n")).alias("parts"), "cid", "root", "samples"))
+    return components(found.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(again))
 
 
 def _vectors(coded: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
@@ -392,14 +426,14 @@ def verified_classes(vectors: DataFrame, n_docs: int, similarity: float) -> Data
     rows = state.count()
     turn = 0
     while True:
-        open_ = state.where("todo").groupBy("cluster").agg(F.sum(F.when(F.col("may"), F.col("n"))).alias("eligible"))
-        sizes = state.groupBy("cluster").agg(F.sum("n").alias("size")).join(open_.where("eligible > 0"), "cluster")
+        open_ = state.where("todo").groupBy("cluster").agg(F.sum(F.when(F.col("may"), F.col("n"))).alias("eligible"), F.count(F.when(F.col("may"), 1)).alias("eligible_rows"))
+        sizes = state.groupBy("cluster").agg(F.sum("n").alias("size"), F.count("*").alias("members")).join(open_.where("eligible > 0"), "cluster")
         sizes = materialize(sizes, "cluster-sizes", rows)
         if sizes.isEmpty():
             break
-        blocks = F.ceil(F.col("size") / BLOCK_SHINGLES)
+        blocks = F.ceil(F.greatest(F.col("size") / BLOCK_SHINGLES, F.col("members") / BLOCK_ROWS))
         draw = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-        live = materialize(state.join(sizes, "cluster").select("cid", "cluster", "todo", "may", blocks.alias("blocks"), (F.col("todo") & F.col("may") & (draw * F.col("eligible") < PIVOT_SHINGLES)).alias("pivot")), "cluster-live", rows)
+        live = materialize(state.join(sizes, "cluster").select("cid", "cluster", "todo", "may", blocks.alias("blocks"), (F.col("todo") & F.col("may") & (draw * F.col("eligible") < PIVOT_SHINGLES) & (draw * F.col("eligible_rows") < PIVOT_ROWS)).alias("pivot")), "cluster-live", rows)
         body = live.join(vectors.drop("cluster"), "cid")
         spread = body.where("pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).unionByName(body.where("NOT pivot OR blocks > 1").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("pivot", F.lit(False)))
         found = materialize(similar_pairs(spread.select("cluster", F.col("block").cast("long").alias("block"), "cid", "pivot", "keys", "tf", "codes"), n_docs, similarity), "similar")
@@ -445,26 +479,27 @@ def components_with_roots(found: DataFrame) -> DataFrame:
 
 
 def mark_near(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` (with doc_id and text) with _class (the smallest doc_id of its class; null text: its own), _kept and _first.
+    """``row`` (a struct of the columns of ``docs``, which has doc_id and text), class_id (the smallest doc_id of its class; null text: its own), kept and first.
 
-    _first holds for exactly one row of each class: that of the smallest doc_id, nulls last, and of equal ids the
-    first row as written here. _kept is the same, but that all rows of a class's smallest doc_id have it.
+    first holds for exactly one row of each class: that of the smallest doc_id, nulls last, and of equal ids the
+    first row as written here. kept is the same, but that all rows of a class's smallest doc_id have it.
     """
     last = (1 << 63) - 1
     t1, t2 = fingerprint(F.col("text"))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), "_n": F.monotonically_increasing_id(), "_t1": F.when(F.col("text").isNotNull(), t1), "_t2": F.when(F.col("text").isNotNull(), t2)})
+    hashed = lambda h: F.when(F.col("text").isNotNull(), h)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("d"), F.monotonically_increasing_id().alias("n"), hashed(t1).alias("t1"), hashed(t2).alias("t2"))
     keyed = materialize(keyed, "near-rows")  # row numbers hold only once they are written
-    classes = near_classes(keyed.select(F.col("_n").alias("d"), "text"), similarity).toDF("_t1", "_t2", "_name")
-    named = keyed.where("_t1 IS NOT NULL").groupBy("_t1", "_t2").agg(F.min(F.struct("_d", "_n")).alias("_one")).join(classes, ["_t1", "_t2"])
+    classes = near_classes(keyed.select(F.col("n").alias("d"), F.col("row.text").alias("text")), similarity).withColumnRenamed("least", "name")
+    named = keyed.where("t1 IS NOT NULL").groupBy("t1", "t2").agg(F.min(F.struct("d", "n")).alias("one")).join(classes, ["t1", "t2"])
     named = materialize(named, "class-texts")
-    best = named.groupBy("_name").agg(F.min("_one").alias("_best"))
-    done = keyed.join(named.join(best, "_name").select("_t1", "_t2", "_best"), ["_t1", "_t2"], "left")
-    own = F.coalesce("_best._d", "_d")
-    first = F.col("_best").isNull() | (F.col("_best._n") == F.col("_n"))
-    kept = first | ((own == F.col("_d")) & (own != last))
-    return done.withColumn("_class", F.when(own != last, own)).withColumn("_first", first).withColumn("_kept", kept).drop("_d", "_n", "_t1", "_t2", "_best")
+    best = named.groupBy("name").agg(F.min("one").alias("best"))
+    done = keyed.join(named.join(best, "name").select("t1", "t2", "best"), ["t1", "t2"], "left")
+    own = F.coalesce("best.d", "d")
+    first = F.col("best").isNull() | (F.col("best.n") == F.col("n"))
+    kept = first | ((own == F.col("d")) & (own != last))
+    return done.select("row", F.when(own != last, own).alias("class_id"), kept.alias("kept"), first.alias("first"))
 
 
 def op7_weighted_minhash(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mark_near(docs).select("doc_id", F.col("_class").alias("class_id"), F.col("_kept").alias("kept"))
+    return mark_near(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), "class_id", "kept")

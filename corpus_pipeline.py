@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_runs, packing, quality, weighted_minhash
@@ -12,11 +12,6 @@ from tidemark.llm.common import materialize, tidy
 TOKENIZER: str | None = None
 
 
-def _packed(docs: DataFrame, leave_out: str = "") -> Column:
-    """The columns of docs as one struct, so that no name of theirs meets one of an operator's."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != leave_out]).alias("_row")
-
-
 @tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's perplexity bands; all columns as they were.
@@ -35,10 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows equal in doc_id and text are one document and are cut alike; null doc_ids come after all others; a null text
     stays null; a text of repeated lines only becomes empty; an empty table stays empty; all columns are kept.
     """
-    cut = line_runs.dedup_lines(docs.select("doc_id", "text", _packed(docs, "text")))
-    kept = {c: F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns}
+    cut = line_runs.dedup_lines(docs)
+    kept = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
     if "n_chars" in kept:
-        kept["n_chars"] = F.when(F.col("_gone") > 0, F.char_length("text")).otherwise(kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
+        kept["n_chars"] = F.when(F.col("n_deleted") > 0, F.char_length("text")).otherwise(kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return cut.select(*[v.alias(c) for c, v in kept.items()])
 
 
@@ -49,8 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each null text is a class of its own and stays; empty texts are one class; an empty table stays empty; all columns
     are kept.
     """
-    marked = weighted_minhash.mark_near(docs.select("doc_id", "text", _packed(docs, "text"))).where("_first")
-    return marked.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return weighted_minhash.mark_near(docs).where("first").select("row.*")
 
 
 @tidy

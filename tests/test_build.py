@@ -47,6 +47,36 @@ def test_command_line_builds_and_keeps_cloud_sessions(spark, raw, monkeypatch):
         cli.main(["all", "--out", out, "--no-cloud", "--zip", "x"])
 
 
+def test_duplicates_read_the_whole_first_text_and_rescans_reuse(spark, tmp_path):
+    """Texts that differ after 200 characters are no duplicates; a transcript whose time is unchanged isn't folded again; one that changed is."""
+    import os
+
+    from tidemark.sources import json_lines
+
+    other = "11234567-89ab-cdef-0123-456789abcdef"
+    folder = tmp_path / "t" / "p"
+    folder.mkdir(parents=True)
+    same = "the same beginning " * 20
+    line = lambda s: json.dumps({"type": "user", "cwd": "/w/app", "timestamp": "2025-01-01T00:00:00Z", "message": {"role": "user", "content": s}})
+    for name, end in ((ID, "one"), (other, "two")):
+        (folder / f"{name}.jsonl").write_text(line(same[:350] + end))
+    out = str(tmp_path / "out")
+    src = build.Sources(transcripts=str(tmp_path / "t"))
+    assert build.build(spark, src, out, NOW).count() == 0
+    assert spark.read.parquet(f"{out}/analysis/duplicates.exact").count() == 0
+    times = {r["raw_session_id"]: r["source_mtime_ms"] for r in spark.read.parquet(f"{out}/sessions").collect()}
+    assert set(times) == {ID, other}
+    (folder / f"{other}.jsonl").write_text(line(same[:350] + "one"))
+    os.utime(folder / f"{other}.jsonl", (2_000_000_000, 2_000_000_000))
+    lines = json_lines.transcripts(spark, src.transcripts)
+    good, again = build._changed(lines, spark.read.parquet(f"{out}/sessions"), "cli-direct")
+    assert [r["raw_session_id"] for r in good.collect()] == [ID] and {r["file_id"] for r in again.collect()} == {other}
+    assert build.build(spark, src, out, NOW).count() == 0
+    assert [r["size"] for r in spark.read.parquet(f"{out}/analysis/duplicates.exact").collect()] == [2]
+    record = spark.read.parquet(f"{out}/analysis/zombies.heuristic").first()
+    assert (record["display_name"], record["inference_source"], record["probe_ids"], record["burst_windows"]) == ("app", "project_field", [], [])
+
+
 def test_nothing_to_build(spark, tmp_path):
     with pytest.raises(ValueError, match="no source"):
         build.build(spark, build.Sources(), str(tmp_path), NOW)

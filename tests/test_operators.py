@@ -238,6 +238,57 @@ def test_complete_linkage_does_not_chain(spark):
     assert {tuple(r) for r in got.collect()} == {(0, 0), (1, 0), (2, 2), (3, 2)}
 
 
+@pytest.mark.parametrize("most", [5_000, 3])
+def test_complete_linkage_of_components_of_any_size(spark, monkeypatch, most):
+    """In one task and in rounds over pairs the clusters are those of one matrix; copies of a vector stay together."""
+    monkeypatch.setattr(topics, "MOST_LINKED", most)
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.vstack([x, x[:5]]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["pos"]: r["cluster"] for r in topics.complete_linkage(spark.createDataFrame(rows, "pos int, vec array<float>"), 0.5).collect()}
+    unique = x[:40].astype(np.float64)
+    want = {}
+    for g in topics.linkage(unique @ unique.T, 0.5):
+        want |= dict.fromkeys(g, min(g))
+    assert got == want | {40 + i: want[i] for i in range(5)}
+
+
+def test_normaliser_steps(spark):
+    """Fences, links, list and heading marks, directories and every kind of white space."""
+    cases = {
+        "# Title\n- item\n* star": "title item star", "see https://a.b/c?d now": "see now", "a ```x\ny``` b": "a b", "open src/lib/main.py please": "open main.py please",
+        "\u00a0a\u2003b\ufeff": "a b", "x\u2028## y\r- z": "x y z", "A\x0bB\x0cC": "a b c", "x" * 500: "x" * 400, "": "", "dash - kept": "dash - kept",
+    }
+    for raw, want in cases.items():
+        assert value(spark, text.normalize_for_hash(F.col("c")), c=raw) == want
+
+
+def test_parse_clusters(spark):
+    good = '{"id": "a", "hash": "h", "sessionIds": ["x", 3, "y"], "sampleText": "t"}'
+    files = [(f'{{"clusters": [{good}, 4, {{"id": 1}}, {{"id": "b", "hash": "h", "sessionIds": "no", "sampleText": "t"}}]}}',), ("[1]",), ("{broken",), (None,), ('{"clusters": 3}',)]
+    got = duplicates.parse_clusters(spark.createDataFrame(files, "value string")).collect()
+    assert [(r["id"], r["hash"], r["session_ids"], r["sample_text"]) for r in got] == [("a", "h", ["x", "y"], "t")]
+
+
+def test_formats(spark):
+    one = lambda f, v: spark.createDataFrame([(v,)], ["c"]).select(f(F.col("c"))).first()[0]
+    assert [one(text.format_usd, v) for v in (0.0, 9.5, 999.99, 1234.0)] == ["$0.00", "$9.50", "$999.99", "$1.2k"]
+    assert [one(text.format_count, v) for v in (7, 1500, 2_500_000)] == ["7", "1.5k", "2.5M"]
+    assert [one(text.format_average, v) for v in (9.96, 10.4)] == ["10.0", "10"]
+    assert one(text.inline_html, "<b> `x` **y** *z* [l](https://a.b)") == '&lt;b&gt; <code>x</code> <strong>y</strong> <em>z</em> <a href="https://a.b">l</a>'
+
+
+def test_kmeans_labels_and_plane(spark):
+    placed = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc int, cluster int")
+    tokens = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["b", "c"]), (3, [])], "doc int, tokens array<string>")
+    assert {tuple(r) for r in topics.kmeans_labels(placed, tokens, 2).collect()} == {(0, "b + a", 2), (1, "", 1)}
+    flat = topics.plane(spark.createDataFrame([(i, [float(i), 2.0 * i, 0.0]) for i in range(5)], "doc int, vec array<float>")).collect()
+    assert all(len(r["at"]) == 2 and abs(r["at"][1]) < 1e-6 for r in flat)
+
+
 def test_cluster_ids():
     assert kernels.fnv_id(["a", "bc"]) != kernels.fnv_id(["ab", "c"])
     assert kernels.fnv_id(["b", "a"]) == kernels.fnv_id(["a", "b"])
@@ -267,6 +318,12 @@ def test_line_preview(raw, want):
     assert kernels.preview_line(raw) == want
 
 
+def test_uploads_of_disjoint_ids(spark):
+    side = lambda rows, name: spark.createDataFrame([(*r, name) for r in rows], "id int, updated_at int, side string")
+    got = merge.merge_uploads(side([(1, 5), (2, 5), (3, 5)], "old"), side([(2, 6), (3, 4), (4, 1)], "new"))
+    assert {(r["id"], r["side"]) for r in got.collect()} == {(1, "old"), (2, "new"), (3, "old"), (4, "new")}
+
+
 def test_rescue_and_coherence(spark):
     tokens = spark.createDataFrame([(1, ["spark", "plan"]), (2, ["spark", "join"]), (3, ["cat"]), (4, [])], "doc int, tokens array<string>")
     labels = spark.createDataFrame([(1, None), (2, "sql"), (3, None), (4, None)], "doc int, label string")

@@ -156,3 +156,37 @@ def test_streams_equal_batches_and_sessions_complete(spark, tmp_path):
     assert [(r["session"], r["chunks"], r["best"]) for r in got] == [(1, 2, 0.5)]
     lines = spark.createDataFrame([('{"type":"start","message":"Phase 2 begins"}',), ("oops",), ('{"type":"warn","message":"unknown line type x"}',)], "value string")
     assert [(r["kind"], r["phase"]) for r in activity.rescan_events(lines).collect()] == [("start", 2)]
+
+
+def test_guards_and_healing(spark, tmp_path):
+    from tidemark.sources import tables
+
+    path = str(tmp_path / "list")
+    assert tables.guarded(spark, path, {}) is None and tables.healed(spark, path, F.lit(True)) is None
+    rows = spark.createDataFrame([("a", 2), (None, 1), ("c", 0)], "name string, completed_at int")
+    rows.write.parquet(f"{path}/v=0")
+    good = F.col("name").isNotNull()
+    assert [r["name"] for r in tables.healed(spark, path, good).collect()] == ["c", "a"]
+    assert spark.read.parquet(path).count() == 2
+    assert [r["name"] for r in tables.healed(spark, path, good).collect()] == ["c", "a"]
+    assert tables.guarded(spark, f"{path}/v=1", {"name": "string"}).count() == 2
+    assert tables.guarded(spark, f"{path}/v=1", {"name": "int"}) is None
+
+
+def test_drift_of_keys_and_senders(spark):
+    from tidemark.sources import json_lines, manifests
+
+    messages = spark.createDataFrame([("1", "human"), ("3", "tool"), ("2", "tool"), ("4", None)], "id string, sender string")
+    assert [tuple(r) for r in json_lines.unknown_senders(messages).collect()] == [("tool", "2")]
+    assert len(manifests.KNOWN_KEYS) == 27
+
+
+def test_first_texts(spark):
+    from tidemark.sources import json_lines
+
+    lines = [
+        (1, '{"type":"user","message":{"role":"assistant","content":"not the role"}}'), (2, "{broken"), (3, '{"type":"user","message":{"role":"user","content":[{"type":"tool_result"},{"type":"text","text":""},{"type":"text","text":"b"}]}}'),
+        (4, '{"type":"user","message":{"role":"user","content":"later"}}'),
+    ]
+    df = spark.createDataFrame([("f", n, raw) for n, raw in lines] + [("g", 1, lines[3][1])], "file_id string, line_no long, raw string")
+    assert {tuple(r) for r in json_lines.first_texts(df).collect()} == {("f", ""), ("g", "later")}

@@ -7,6 +7,7 @@ import sys
 import tempfile
 import time
 
+from .operators.graph import fresh_folder
 from .plans import build as plan
 from .session import build
 from .sources import archives
@@ -37,8 +38,11 @@ def main(args: list[str] | None = None) -> int:
         src.transcripts, src.desktop = a.transcripts, a.desktop
     archive = None if a.no_cloud or a.verb not in ("all", "cloud") else a.zip or (archives.latest_export(spark, a.downloads) if a.downloads else None)
     if archive:
-        folder = tempfile.mkdtemp(prefix="tidemark-export-")
-        archives.extract(archive.removeprefix("file:"), folder)
+        # unpacked on the driver, then put where executors read
+        with tempfile.TemporaryDirectory(prefix="tidemark-export-") as local:
+            archives.extract(archive.removeprefix("file:"), local)
+            folder = fresh_folder(spark)
+            archives.upload(spark, local, folder)
         src.conversations, src.projects = f"{folder}/conversations.json", f"{folder}/projects.json"
     errors = plan.build(spark, src, a.out, now)
     bad = errors.count()

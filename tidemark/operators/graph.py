@@ -9,31 +9,39 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset in a local session (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/tidemark-graph"
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder: computed once, however often it is read, and nothing is lost with an executor."""
+    path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, root) of all vertices of ``edges`` (a, b); root is the least vertex of the component.
 
     Each round takes the least label around each vertex, then jumps to that label's label, so a path of length n
-    takes about log n rounds. Rounds are written tables; not converging within ``rounds`` is an error.
+    takes about log n rounds. Rounds are written tables, and end when nothing changes.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
-    for _ in range(rounds):
+    while True:
         around = both.join(labels.toDF("b", "near"), "b").groupBy(F.col("a").alias("v")).agg(F.min("near").alias("near"))
         stepped = labels.join(around, "v").select("v", F.least("root", "near").alias("root"))
         jumped = written(stepped.join(labels.toDF("root", "up"), "root", "left").select("v", F.least("root", F.coalesce("up", "root")).alias("root")))
@@ -41,4 +49,3 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = jumped
         if not changed:
             return labels
-    raise RuntimeError(f"components didn't settle within {rounds} rounds")

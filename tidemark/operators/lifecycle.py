@@ -32,6 +32,25 @@ def classify(sessions: DataFrame, now: int, probe: str = PROBE) -> DataFrame:
     return out.withColumn("classification", kind).drop("_dense")
 
 
+def project_records(sessions: DataFrame, now: int, probe: str = PROBE) -> DataFrame:
+    """What classify() gives for sessions with ``project`` (the inferred id), ``display_name`` and ``inference_source``, and besides: the name of the first-seen session, the most specific source (field, then folder, then keyword), first activity, the ids of probing sessions and the bursts."""
+    df = annotate(sessions, probe)
+    rank = F.when(F.col("inference_source") == "project_field", 2).when(F.col("inference_source") == "cwd_basename", 1).otherwise(0)
+    asked = F.col("asks") & (F.col("gap_days") >= GAP_DAYS) & ~F.col("dense_after")
+    more = df.groupBy("project").agg(
+        F.min_by("display_name", "pos").alias("display_name"), F.max_by("inference_source", rank).alias("inference_source"), F.min("started_at").alias("first_active_at"),
+        F.transform(F.array_sort(F.collect_list(F.when(asked, F.struct("started_at", "pos", "id")))), lambda s: s["id"]).alias("probe_ids"),
+    )
+    windows = bursts(sessions).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("start", "end", "n"))).alias("burst_windows"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,n:bigint>>")
+    return classify(sessions, now, probe).join(more, "project").join(windows, "project", "left").withColumn("burst_windows", F.coalesce("burst_windows", none))
+
+
+def displayed(lifecycle: DataFrame, every: bool = False) -> DataFrame:
+    """Zombies only, unless all are asked for."""
+    return lifecycle if every else lifecycle.where("classification = 'zombie'")
+
+
 def ordered(lifecycle: DataFrame) -> DataFrame:
     rank = F.when(F.col("classification") == "zombie", 0).when(F.col("classification") == "dormant", 1).otherwise(2)
     return lifecycle.orderBy(rank, F.desc("sessions"), "first_pos")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, MARGIN = 0.40, 0.02
+#: Centroids that may go to every task, and those in one row.
+MOST_CENTROIDS, MOST_PACKED = 50_000, 1_000
+#: Vectors a block of the blocked join.
+BLOCK = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -15,9 +21,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def centroid_similarities(vectors: DataFrame, centroids: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, ord, centroid_id, sim): the greatest over the chunks of a document. ``centroids`` (centroid_id, ord, vec) is a dimension: labels or projects, not rows of the corpus."""
-    # packed to one row: each vector meets all centroids in its own task, and chunks are combined before the shuffle
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("ord", "centroid_id", "vec"))).alias("_cs"))
-    pairs = vectors.crossJoin(F.broadcast(packed)).select(doc, "vec", F.explode("_cs").alias("c"))
+    # packed to rows of MOST_PACKED, so each vector meets some centroids at a time in its own task, and chunks are combined before the shuffle
+    rows = centroids.count()
+    if rows > MOST_CENTROIDS:
+        raise ValueError(f"{rows} centroids are no dimension: join blocks of them (pairs_in_blocks) instead")
+    packed = centroids.withColumn("_g", F.pmod(F.xxhash64("centroid_id"), F.lit(-(-max(rows, 1) // MOST_PACKED)))).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("ord", "centroid_id", "vec"))).alias("_cs"))
+    pairs = vectors.crossJoin(F.broadcast(packed.drop("_g"))).select(doc, "vec", F.explode("_cs").alias("c"))  # bounded by MOST_CENTROIDS
     return pairs.select(doc, F.col("c.ord").alias("ord"), F.col("c.centroid_id").alias("centroid_id"), dot(F.col("vec"), F.col("c.vec")).alias("sim")).groupBy(doc, "ord", "centroid_id").agg(F.max("sim").alias("sim"))
 
 
@@ -31,6 +40,31 @@ def nearest(vectors: DataFrame, centroids: DataFrame, threshold: float = THRESHO
     return top.select(doc, F.when(sure, best["centroid_id"]).alias("label"), best["sim"].alias("similarity"), second["sim"].alias("runner_up"))
 
 
+def pairs_in_blocks(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) for a < b of ``vectors`` (pos, vec) with a similarity of ``threshold`` or more.
+
+    Vectors are dealt to blocks by hash; each pair of blocks is one matrix product in one task, so a task holds two
+    blocks whatever the table's size, and vectors move once for each block instead of once for each vector.
+    """
+    n = vectors.count()
+    blocks = max(1, -(-n // BLOCK))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("pos"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "pos", "vec")
+
+    def join(table: pa.Table) -> pa.Table:
+        pos, block = table.column("pos").to_numpy(), table.column("block").to_numpy()
+        x = np.stack([np.asarray(v, np.float64) for v in table.column("vec").to_pylist()])
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        s = x[left] @ x[right].T
+        i, j = np.nonzero(s >= threshold)
+        a, b, sim = pos[left[i]], pos[right[j]], s[i, j]
+        keep = a < b if block.min() == block.max() else np.ones(len(a), bool)
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sim[keep]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())]))
+
+    # where one of two blocks is empty, the other is joined with itself once more; distinct drops what comes twice
+    return dealt.groupBy("lo", "hi").applyInArrow(join, "a long, b long, sim double").groupBy("a", "b").agg(F.first("sim").alias("sim"))
+
+
 def mean_pool(vectors: DataFrame, doc: str = "doc_id") -> DataFrame:
     """The normalised mean of a document's vectors; null if it is zero."""
     means = vectors.select(doc, F.posexplode("vec").alias("at", "x")).groupBy(doc, "at").agg(F.avg(F.col("x").cast("double")).alias("m"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import cluster_id
 from ..functions.text import cut_title
 from .graph import components, written
-from .similarity import dot, mean_pool, nearest, similar_pairs
+from .similarity import dot, mean_pool, nearest, pairs_in_blocks
 
 LINK, MIN_SIZE, TERMS, RESCUE, TOP_N, MOST_LINKED = 0.5, 3, 3, 0.30, 10, 5_000
 MIN_TOKENS, MIN_INPUTS = 3, 30
@@ -21,11 +21,19 @@ def doc_frequency(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+def inverse_frequency(tokens: DataFrame) -> DataFrame:
+    """(token, df, idf), written: ln(N / df) over all documents, also those without tokens."""
+    n = tokens.count()
+    return written(doc_frequency(tokens).withColumn("idf", F.ln(F.lit(float(n)) / F.col("df"))))
+
+
 def distinctive_terms(members: DataFrame, tokens: DataFrame, k: int = TERMS) -> DataFrame:
-    """(cluster, token, score, rank): tokens by the sum over members of ln(N / df). Equal scores: by token."""
-    n = tokens.agg(F.count("*").alias("_n"))
+    """(cluster, token, score, rank): tokens by the sum over members of ln(N / df). Equal scores: by token (a stated choice: the order of first use depends on how a corpus is cut up).
+
+    Members' tokens are summed to (cluster, token) before anything else; ranks up to k are cut before the shuffle.
+    """
     used = members.join(tokens, "doc").select("cluster", F.explode("tokens").alias("token")).groupBy("cluster", "token").agg(F.count("*").alias("tf"))
-    scored = used.join(doc_frequency(tokens), "token").crossJoin(F.broadcast(n)).withColumn("score", F.col("tf") * F.ln(F.col("_n") / F.col("df")))
+    scored = used.join(inverse_frequency(tokens), "token").select("cluster", "token", (F.col("tf") * F.col("idf")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 9)), "token"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("cluster", "token", "score", "rank")
 
@@ -73,20 +81,20 @@ def linkage(similarities: np.ndarray, threshold: float) -> list[list[int]]:
 def complete_linkage(vectors: DataFrame, threshold: float = LINK, pos: str = "pos") -> DataFrame:
     """(pos, cluster): the clusters of ``vectors`` (pos, vec), named by their first member.
 
-    A cluster needs all its pairs at the threshold, so it never leaves a connected component of the graph of
-    such pairs: components are found first, and each is clustered in a task of its own. A component beyond
-    MOST_LINKED needs a matrix that no task should hold, and is refused.
+    Equal vectors are one to begin with. A cluster needs all its pairs at the threshold, so it never leaves a
+    connected component of the graph of such pairs: components are found first. One of up to MOST_LINKED vectors is
+    clustered in a task of its own; larger ones are clustered by Spark, in rounds over their pairs.
     """
-    all_pairs = similar_pairs(vectors.select(F.col(pos).alias("vec_id"), "vec", F.lit(0).alias("label")), threshold - 1e-6)
-    pairs = written(all_pairs.select("a", "b"))
-    roots = components(pairs)
-    linked = roots.join(vectors.select(F.col(pos).alias("v"), "vec"), "v")
+    given = vectors.select(F.col(pos).cast("long").alias("pos"), "vec")
+    vectors = written(given.groupBy("vec").agg(F.min("pos").alias("pos"), F.collect_list("pos").alias("same")))
+    pairs = written(pairs_in_blocks(vectors.select("pos", "vec"), threshold - 1e-6))
+    roots = written(components(pairs.select("a", "b")))
+    large = roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > MOST_LINKED).select("root")
+    linked = roots.join(large, "root", "left_anti").join(vectors.select(F.col("pos").alias("v"), "vec"), "v")
 
     def cluster(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("v").to_numpy())
         at = table.column("v").to_numpy()[order]
-        if len(at) > MOST_LINKED:
-            raise ValueError(f"{len(at)} vectors in one component; raise the threshold or cluster a sample")
         x = np.stack([np.asarray(v, np.float64) for v in table.column("vec").to_pylist()])[order]
         groups = linkage(x @ x.T, threshold)
         name = np.empty(len(at), np.int64)
@@ -95,7 +103,42 @@ def complete_linkage(vectors: DataFrame, threshold: float = LINK, pos: str = "po
         return pa.table({"pos": pa.array(at, pa.int64()), "cluster": pa.array(name)})
 
     found = linked.groupBy("root").applyInArrow(cluster, "pos long, cluster long")
-    return vectors.select(F.col(pos).cast("long").alias("pos")).join(found, "pos", "left").select("pos", F.coalesce("cluster", "pos").alias("cluster"))
+    if not large.isEmpty():
+        inner = pairs.join(roots.join(large, "root", "left_semi").select(F.col("v").alias("a")), "a", "left_semi")
+        found = found.unionByName(linkage_rounds(inner.where(F.col("sim") >= threshold)))
+    placed = vectors.join(found, "pos", "left").select(F.explode("same").alias("pos"), F.coalesce("cluster", "pos").alias("cluster"))
+    return given.select("pos").join(placed, "pos", "left").select("pos", F.coalesce("cluster", "pos").alias("cluster"))
+
+
+def linkage_rounds(pairs: DataFrame) -> DataFrame:
+    """(pos, cluster) by complete linkage over ``pairs`` (a < b, sim) at the threshold, for components of any size.
+
+    Two clusters that are each other's best partner (greatest least similarity, then the lowest pair) may merge at
+    any time: complete linkage is reducible, so no later merge gives either a better one. Each round merges all such
+    pairs at once. A pair of clusters stays a pair only while all pairs of their members are pairs.
+    """
+    live = written(pairs.select("a", "b", F.col("sim").cast("float").alias("sim")))
+    sizes = written(live.select(F.explode(F.array("a", "b")).alias("pos")).distinct().select("pos", F.lit(1).cast("long").alias("n")))
+    names = sizes.select("pos", F.col("pos").alias("cluster"))
+    while not live.isEmpty():
+        key = F.struct("sim", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))
+        both = live.select(F.explode(F.array("a", "b")).alias("v"), key.alias("key"))
+        best = written(both.groupBy("v").agg(F.max("key").alias("key")))
+        agreed = best.groupBy("key").agg(F.count("*").alias("n")).where("n = 2")
+        merges = written(agreed.select((-F.col("key.x")).alias("a"), (-F.col("key.y")).alias("b")))
+        into = merges.select(F.col("b").alias("old"), F.col("a").alias("new"))
+        names = written(names.join(into.toDF("cluster", "new"), "cluster", "left").select("pos", F.coalesce("new", "cluster").alias("cluster")))
+        before = sizes
+        sizes = written(before.join(into.toDF("pos", "new"), "pos", "left").groupBy(F.coalesce("new", "pos").alias("pos")).agg(F.sum("n").alias("n")))
+        moved = live
+        for side in ("a", "b"):
+            parts = before.join(into.toDF("pos", "new"), "pos", "left").select(F.col("pos").alias(side), F.coalesce("new", "pos").alias(f"n{side}"), F.col("n").alias(f"w{side}"))
+            moved = moved.join(parts, side)
+        moved = moved.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "sim", (F.col("wa") * F.col("wb")).alias("n"))
+        joined = moved.groupBy("a", "b").agg(F.min("sim").alias("sim"), F.sum("n").alias("n"))
+        whole = joined.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(F.col("n") == F.col("sa") * F.col("sb"))
+        live = written(whole.select("a", "b", "sim"))
+    return names
 
 
 def discover(docs: DataFrame, threshold: float = LINK, min_size: int = MIN_SIZE, terms: int = TERMS, label: str = "terms") -> DataFrame:
@@ -122,14 +165,15 @@ def centroid_titles(placed: DataFrame) -> DataFrame:
 def rescue(labels: DataFrame, tokens: DataFrame, cluster_tokens: DataFrame, threshold: float = RESCUE) -> DataFrame:
     """Unlabelled documents to the cluster of greatest tf-idf cosine, if it is over 0 and at least ``threshold``.
 
-    ``labels`` (doc, label), ``tokens`` (doc, tokens) of all documents, ``cluster_tokens`` (label, ord, tokens).
-    Documents and clusters meet by shared tokens; N counts all documents, also those without tokens.
+    ``labels`` (doc, label), ``tokens`` (doc, distinct tokens) of all documents, ``cluster_tokens`` (label, ord, token,
+    n: how many of its documents have it), or (label, ord, tokens) of a few small ones. Documents and clusters meet by shared tokens; N counts all documents, also
+    those without tokens. A token that all documents have weighs nothing, so a word that is everywhere joins nothing.
     """
-    n = tokens.agg(F.count("*").alias("_n"))
-    idf = doc_frequency(tokens).crossJoin(F.broadcast(n)).select("token", F.ln(F.col("_n") / F.col("df")).alias("idf"))
-    weigh = lambda df, keys: df.groupBy(*keys, "token").agg(F.count("*").alias("tf")).join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    docs = weigh(labels.where("label IS NULL").join(tokens, "doc").select("doc", F.explode("tokens").alias("token")), ["doc"])
-    clusters = weigh(cluster_tokens.select(F.col("label").alias("to"), "ord", F.explode("tokens").alias("token")), ["to", "ord"])
+    if "tokens" in cluster_tokens.columns:
+        cluster_tokens = cluster_tokens.select("label", "ord", F.explode("tokens").alias("token")).groupBy("label", "ord", "token").agg(F.count("*").alias("n"))
+    idf = inverse_frequency(tokens).where("idf > 0").select("token", "idf")
+    docs = written(labels.where("label IS NULL").join(tokens, "doc").select("doc", F.explode("tokens").alias("token")).join(idf, "token").select("doc", "token", F.col("idf").alias("w")))
+    clusters = written(cluster_tokens.join(idf, "token").select(F.col("label").alias("to"), "ord", "token", (F.col("n") * F.col("idf")).alias("w")))
     norm = lambda df, keys, name: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
     dots = docs.select("doc", "token", F.col("w").alias("a")).join(clusters.select("to", "ord", "token", F.col("w").alias("b")), "token").groupBy("doc", "to", "ord").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
     sims = dots.join(norm(docs, ["doc"], "na"), "doc").join(norm(clusters, ["to"], "nb"), "to").where("na > 0 AND nb > 0").withColumn("sim", F.col("dot") / (F.col("na") * F.col("nb")))
@@ -142,9 +186,9 @@ def coherence(top_terms: DataFrame, tokens: DataFrame, top_n: int = TOP_N) -> Da
 
     Only candidate terms are joined, so documents pair the few terms that some cluster asks for.
     """
-    terms = top_terms.where(F.col("rank") <= top_n).select("cluster", "token", "rank")
+    terms = written(top_terms.where(F.col("rank") <= top_n).select("cluster", "token", "rank"))
     wanted = terms.select("token").distinct()
-    has = tokens.select("doc", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
+    has = written(tokens.select("doc", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi"))
     df = has.groupBy("token").agg(F.count("*").alias("df"))
     pairs = terms.select("cluster", F.col("token").alias("a"), F.col("rank").alias("i")).join(terms.select("cluster", F.col("token").alias("b"), F.col("rank").alias("j")), "cluster").where("i < j")
     asked = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
@@ -163,6 +207,26 @@ def kmeans(docs: DataFrame, k: int, seed: int = 42, max_iter: int = 100, min_siz
     return found.join(found.groupBy("cluster").count().where(F.col("count") >= min_size).select("cluster"), "cluster", "left_semi")
 
 
+def kmeans_labels(placed: DataFrame, tokens: DataFrame, k: int = TERMS) -> DataFrame:
+    """(cluster, label, size) for ``placed`` (doc, cluster) and ``tokens`` (doc, tokens, repeats allowed): the tokens of most members, then most uses, then by name."""
+    used = placed.join(tokens, "doc").select("cluster", "doc", F.explode("tokens").alias("token"))
+    counts = used.groupBy("cluster", "doc", "token").agg(F.count("*").alias("n")).groupBy("cluster", "token").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("docs"), F.desc("total"), "token"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= k)
+    names = top.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda s: s["token"]), " + ").alias("label"))
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("size"))
+    return sizes.join(names, "cluster", "left").select("cluster", F.coalesce("label", F.lit("")).alias("label"), "size")
+
+
+def plane(docs: DataFrame, dims: int = 2) -> DataFrame:
+    """(doc, at: dims numbers) by the principal components of ``docs`` (doc, vec): the nearest that Spark has to a neighbour embedding."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = docs.select("doc", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    return PCA(k=dims, inputCol="features", outputCol="out").fit(rows).transform(rows).select("doc", vector_to_array("out").alias("at"))
+
+
 def hybrid_labels(docs: DataFrame, chunks: DataFrame, centroids: DataFrame, threshold: float = 0.38, margin: float = 0.02, link: float = LINK, min_size: int = 4) -> DataFrame:
     """(doc, label): nearest centroids first, then topics discovered among the abstentions ('~' labels, only with enough of them), then the rescue."""
     known = nearest(chunks.withColumnRenamed("doc", "doc_id"), centroids, threshold, margin).select(F.col("doc_id").alias("doc"), "label")
@@ -172,6 +236,11 @@ def hybrid_labels(docs: DataFrame, chunks: DataFrame, centroids: DataFrame, thre
         topics = written(discover(open_, link, min_size).select("label", F.explode("members").alias("_doc")))
         found = topics.groupBy("_doc").agg(F.concat(F.lit("~"), F.min("label")).alias("topic"))
         labels = written(labels.join(found, labels["doc"].cast("string") == F.col("_doc"), "left").select("doc", F.coalesce("label", "topic").alias("label")))
-    groups = labels.where("label IS NOT NULL").join(docs.select("doc", "tokens"), "doc").groupBy("label").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    ordered = groups.withColumn("ord", F.row_number().over(Window.orderBy("label")))  # one row a label
-    return rescue(labels, docs.select("doc", "tokens"), ordered).select("doc", "label")
+    return rescue(labels, docs.select("doc", "tokens"), group_tokens(labels, docs)).select("doc", "label")
+
+
+def group_tokens(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """(label, ord, token, n) of labelled documents: how many of a label's documents have a token; ord: the place of the label's name."""
+    counts = labels.where("label IS NOT NULL").join(docs.select("doc", "tokens"), "doc").select("label", F.explode("tokens").alias("token")).groupBy("label", "token").agg(F.count("*").alias("n"))
+    order = labels.where("label IS NOT NULL").select("label").distinct().withColumn("ord", F.row_number().over(Window.orderBy("label")))  # one row a label
+    return counts.join(order, "label")

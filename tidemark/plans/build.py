@@ -31,24 +31,56 @@ def _shaped(df: DataFrame, pos: int) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SESSION.fields], (F.lit(pos) + F.lit(0)).alias("pos"))
 
 
-def scan(spark: SparkSession, src: Sources, out: str | None = None) -> list[tuple[str, DataFrame]]:
-    """(part, sessions) of each source that is given. Without conversations the cloud sessions of the last run stay."""
-    parts = []
+def _changed(lines: DataFrame, last: DataFrame | None, source: str, ids: str = "file_id") -> tuple[DataFrame | None, DataFrame]:
+    """(sessions of the last run that are still good, lines of files to read again), by the files' times."""
+    if last is None:
+        return None, lines
+    now = lines.select(F.lit(source).alias("source"), F.col(ids).alias("raw_session_id"), F.col("mtime_ms").alias("source_mtime_ms")).distinct()
+    good, _ = merge.reusable(now, last, ("source", "raw_session_id"))
+    return good, lines.join(good.select(F.col("raw_session_id").alias(ids)), ids, "left_anti")
+
+
+def scan(spark: SparkSession, src: Sources, out: str | None = None) -> tuple[list[tuple[str, DataFrame]], DataFrame | None]:
+    """(part, sessions) of each source that is given, and first human texts (source, raw_session_id, first_human_text).
+
+    Without conversations the cloud sessions of the last run stay; transcripts whose time is that of the last run are
+    not folded again.
+    """
+    parts, texts = [], []
+    last = tables.previous(spark, f"{out}/sessions") if out else None
+    known = tables.previous(spark, f"{out}/first_texts") if out else None
     desktop = manifests.valid(manifests.read_manifests(spark, src.desktop), manifests.DESKTOP_REQUIRED) if src.desktop else None
     if src.cowork:
         found = manifests.valid(manifests.read_manifests(spark, src.cowork), manifests.COWORK_REQUIRED)
         lines = json_lines.read_lines(spark, f"{src.audits or src.cowork}/*/*/*/audit.jsonl").withColumn("session_key", F.regexp_extract("path", r"/([^/]+)/audit\.jsonl$", 1))
         parts.append(("cowork", _shaped(sessions.from_cowork(found, json_lines.fold_audit(lines)), 0)))
+        own = json_lines.first_texts(lines, "session_key").join(found.select("session_key", F.coalesce("cli_session_id", "id").alias("raw_session_id")), "session_key")
+        texts.append(own.select(F.lit("cowork").alias("source"), "raw_session_id", "first_human_text"))
     if desktop is not None:
         parts.append(("cli-desktop", _shaped(sessions.desktop_stubs(desktop), 1)))
     if src.transcripts:
-        parts.append(("cli-direct", _shaped(sessions.from_transcripts(json_lines.fold_transcripts(json_lines.transcripts(spark, src.transcripts)), desktop), 2)))
+        lines = json_lines.transcripts(spark, src.transcripts)
+        good, lines = _changed(lines, last, "cli-direct")
+        parts.append(("cli-direct", _shaped(sessions.from_transcripts(json_lines.fold_transcripts(lines), desktop), 2)))
+        if good is not None:
+            parts.append(("cli-direct", _shaped(good, 2)))
+        own = json_lines.first_texts(lines)
+        texts += [own.select(F.lit(s).alias("source"), F.col("file_id").alias("raw_session_id"), "first_human_text") for s in ("cli-direct", "cli-desktop")]
     if src.conversations:
-        names = [(r["uuid"], r["name"]) for r in archives.read_projects(spark, src.projects).select("uuid", "name").collect()] if src.projects else []
-        parts.append(("cloud", _shaped(sessions.from_conversations(archives.read_conversations(spark, src.conversations), sessions.project_patterns(names)), 3)))
+        names = [(r["uuid"], r["name"]) for r in archives.read_projects(spark, src.projects).select("uuid", "name").collect()] if src.projects else []  # a person's projects
+        talks = archives.read_conversations(spark, src.conversations)
+        parts.append(("cloud", _shaped(sessions.from_conversations(talks, sessions.project_patterns(names)), 3)))
+        said = F.get(F.filter("chat_messages", lambda m: (m["sender"] == "human") & (F.length(m["text"]) > 0)), F.lit(0))["text"]
+        texts.append(talks.select(F.lit("cloud").alias("source"), F.col("uuid").alias("raw_session_id"), said.alias("first_human_text")))
     elif out and (kept := tables.previous(spark, f"{out}/sessions", "cloud")) is not None:
         parts.append(("cloud", _shaped(kept, 3)))
-    return parts
+    if not texts:
+        return parts, known
+    new = texts[0]
+    for more in texts[1:]:
+        new = new.unionByName(more)
+    new = new.where("first_human_text IS NOT NULL").dropDuplicates(["source", "raw_session_id"])
+    return parts, new if known is None else new.unionByName(known.join(new, ["source", "raw_session_id"], "left_anti"))
 
 
 def merged(parts: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -59,26 +91,29 @@ def merged(parts: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def analyse(spark: SparkSession, df: DataFrame, texts: DataFrame | None, out: str, now: int) -> None:
-    """Exact duplicates among cloud sessions (texts: id, first_human_text; else the preview) and the lifecycle of inferred projects."""
+    """Exact duplicates by first human text (``texts``: source, raw_session_id, first_human_text; without one the preview), and the lifecycle of inferred projects."""
     ordered = df.withColumn("_p", sessions.infer_project(F.col("project"), F.col("cwd"), F.col("title"))).withColumn("pos", F.xxhash64("source", "id"))
-    cloud = ordered.where(F.col("source") == "cloud").select("id", "pos", "preview")
+    said = ordered.select("source", "raw_session_id", "id", "pos", "preview")
     if texts is not None:
-        cloud = cloud.join(texts, "id", "left").withColumn("preview", F.coalesce("first_human_text", "preview"))
-    found = duplicates.exact_clusters(cloud, "preview")
-    life = lifecycle.classify(ordered.where("_p IS NOT NULL").withColumn("project", F.col("_p.id")), now)
-    tables.write_analysis(found, life.drop("first_pos"), df, out, now)
+        said = said.join(texts, ["source", "raw_session_id"], "left").withColumn("preview", F.coalesce("first_human_text", "preview"))
+    found = duplicates.exact_clusters(said, "preview")
+    named = ordered.where("_p IS NOT NULL").withColumns({"project": F.col("_p.id"), "display_name": F.col("_p.id"), "inference_source": F.col("_p.inference_source")})
+    tables.write_analysis(found, lifecycle.project_records(named, now).drop("first_pos"), df, out, now)
 
 
 def build(spark: SparkSession, src: Sources, out: str, now: int) -> DataFrame:
     """The whole build; gives the validation errors (none: valid), after everything is written."""
-    parts = scan(spark, src, out)
+    parts, texts = scan(spark, src, out)
     if not parts:
         raise ValueError("no source is given")
-    # read the last run's rows before its table is replaced
+    # read the last run's rows before its tables are replaced
     done = written(merged(parts))
+    texts = None if texts is None else written(texts)
     tables.write_sessions(done, f"{out}/sessions")
+    if texts is not None:
+        texts.write.mode("overwrite").parquet(f"{out}/first_texts")
     tables.manifest(done, now).write.mode("overwrite").parquet(f"{out}/manifest")
-    analyse(spark, done, None, f"{out}/analysis", now)
+    analyse(spark, done, texts, f"{out}/analysis", now)
     return merge.validation_errors(done)
 
 
@@ -87,4 +122,4 @@ def reanalyse(spark: SparkSession, out: str, now: int) -> None:
     df = spark.read.parquet(f"{out}/sessions")
     if "cost_is_estimate" not in df.columns:
         df = cost.price(df).drop("unknown_model")
-    analyse(spark, df, None, f"{out}/analysis", now)
+    analyse(spark, df, tables.previous(spark, f"{out}/first_texts"), f"{out}/analysis", now)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import relative
 from ..functions.kernels import chunks, line_preview
-from ..functions.text import normalize_for_hash, preview
+from ..functions.text import format_count, format_usd, inline_html, normalize_for_hash, preview
 from ..operators import cost, duplicates, lifecycle, merge, rollups, search, similarity, topics
 from ..operators import sessions as S
+from ..operators.graph import fresh_folder, written
+from ..sources import archives, fixtures, json_lines, manifests, tables
 from ..streaming import activity
 from ..schema import DAY_MS, PROBE
 from . import views as V
@@ -156,12 +158,25 @@ def neighbor_ids(spark, sf):
     return search.neighbours(V.sessions(spark, sf), "turns")
 
 
-@query(f"WITH s AS ({V.SESSIONS}) SELECT id, source, project FROM s ORDER BY coalesce(project, '~~') = '~~' DESC, project, updated_at DESC, pos LIMIT 50")
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, source, project FROM s ORDER BY CASE WHEN project = '' THEN 0 WHEN project IS NULL THEN 1 ELSE 2 END, project, updated_at DESC, pos LIMIT 50")
 def project_page(spark, sf):
-    return search.page(V.sessions(spark, sf).where("coalesce(project, 'x') <> ''"), "project").select("id", "source", "project")
+    return search.page(V.sessions(spark, sf), "project").select("id", "source", "project")
 
 
-ORACLES["project_page"] = f"WITH s AS ({V.SESSIONS}) SELECT id, source, project FROM s WHERE coalesce(project, 'x') <> '' ORDER BY (project IS NULL) DESC, project, updated_at DESC, pos LIMIT 50"
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, updated_at FROM s ORDER BY updated_at DESC, pos LIMIT 50")
+def recent_page(spark, sf):
+    return search.page(V.sessions(spark, sf), "recent").select("id", "updated_at")
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, updated_at FROM s ORDER BY updated_at, pos LIMIT 50")
+def oldest_page(spark, sf):
+    return search.page(V.sessions(spark, sf), "oldest").select("id", "updated_at")
+
+
+@query(f"WITH {V.PRICED} SELECT id, coalesce(cost, 0) AS cost FROM priced ORDER BY coalesce(cost, 0) DESC, updated_at DESC, pos LIMIT 50")
+def cost_page(spark, sf):
+    page = search.page(V.priced(spark, sf), "cost")
+    return page.select("id", F.coalesce("total_cost_usd", "cost_estimated_usd", F.lit(0.0)).alias("cost"))
 
 _TURNS = "SELECT conv_id AS id, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns, arg_min(text, turn) FILTER (WHERE role = 'user' AND text <> '') AS t FROM conversations GROUP BY 1"
 
@@ -187,22 +202,22 @@ def top3_tools(spark, sf):
     return maps.select("id", search.top_tools(F.col("m")).alias("tools"))
 
 
-@query(f"WITH s AS ({V.SESSIONS}), n AS (SELECT unnest(['cloud', 'cowork', 'cli-direct', 'cli-desktop']) AS source) SELECT n.source, count(s.id) AS n FROM n LEFT JOIN s ON s.source = n.source AND id % 3 = 0 AND id % 4 <> 1 GROUP BY 1")
+@query(f"WITH s AS ({V.SESSIONS}), n AS (SELECT unnest(['cloud', 'cowork', 'cli-direct', 'cli-desktop']) AS source) SELECT n.source, count(s.id) AS n FROM n LEFT JOIN s ON s.source = n.source GROUP BY 1")
 def source_counts(spark, sf):
-    return rollups.source_counts(V.sessions(spark, sf).where("id % 3 = 0 AND id % 4 <> 1"))
+    return rollups.source_counts(V.sessions(spark, sf))
 
 
 def _merge_parts(spark, sf):
     s = V.sessions(spark, sf).select("id", "source", "project", "topic", "title", "pos")
-    stub = s.where("id % 2 = 0").select("id", "source", F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("topic"), F.lit("stub").alias("title"), "pos")
-    again = s.where("id % 3 = 0").withColumn("title", F.concat("title", F.lit(" again")))
+    stub = s.select("id", "source", F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("topic"), F.lit("stub").alias("title"), "pos")
+    again = s.where("topic IS NOT NULL OR project IS NULL").withColumn("title", F.concat("title", F.lit(" again")))
     return ("cowork", stub), ("cli-direct", s), ("cloud", again)
 
 
 _MERGE = f"""s AS ({V.SESSIONS}), u AS (
-  SELECT id, source, NULL AS project, NULL AS topic, 'stub' AS title, pos, 0 AS part FROM s WHERE id % 2 = 0
+  SELECT id, source, NULL AS project, NULL AS topic, 'stub' AS title, pos, 0 AS part FROM s
   UNION ALL SELECT id, source, project, topic, title, pos, 2 FROM s
-  UNION ALL SELECT id, source, project, topic, concat(title, ' again'), pos, 3 FROM s WHERE id % 3 = 0)"""
+  UNION ALL SELECT id, source, project, topic, concat(title, ' again'), pos, 3 FROM s WHERE topic IS NOT NULL OR project IS NULL)"""
 
 
 @query(f"WITH {_MERGE} SELECT id, source, project, topic, title, pos FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY (project IS NOT NULL)::INT + (topic IS NOT NULL)::INT DESC, part DESC) AS k FROM u) WHERE k = 1")
@@ -210,27 +225,28 @@ def merge_richest(spark, sf):
     return merge.merge_sources(*_merge_parts(spark, sf))
 
 
-@query(f"""WITH s AS ({V.SESSIONS}), u AS (SELECT id, updated_at, 'old' AS side, 1 AS p FROM s WHERE id % 2 = 0 UNION ALL SELECT id, updated_at + (id % 3 - 1) * 1000, 'new', 0 FROM s WHERE id % 4 < 3)
+@query(f"""WITH s AS ({V.SESSIONS}), u AS (SELECT id, updated_at, 'old' AS side, 1 AS p FROM s UNION ALL SELECT id, updated_at + (id % 3 - 1) * 1000, 'new', 0 FROM s)
 SELECT id, updated_at, side FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, p DESC) AS k FROM u) WHERE k = 1""")
 def upload_merge_newest(spark, sf):
     s = V.sessions(spark, sf)
-    old = s.where("id % 2 = 0").select("id", "updated_at", F.lit("old").alias("side"))
-    new = s.where("id % 4 < 3").select("id", (F.col("updated_at") + (F.col("id") % 3 - 1) * 1000).alias("updated_at"), F.lit("new").alias("side"))
+    old = s.select("id", "updated_at", F.lit("old").alias("side"))
+    new = s.select("id", (F.col("updated_at") + (F.col("id") % 3 - 1) * 1000).alias("updated_at"), F.lit("new").alias("side"))
     return merge.merge_uploads(old, new)
 
 
-@query(f"""WITH s AS ({V.SESSIONS}), u AS (SELECT id, 'old' AS side, 0 AS p, updated_at FROM s WHERE id % 2 = 0 UNION ALL SELECT id, 'new', 1, updated_at FROM s WHERE id % 4 < 3)
+@query(f"""WITH s AS ({V.SESSIONS}), u AS (SELECT id, 'old' AS side, 0 AS p, updated_at FROM s UNION ALL SELECT id, 'new', 1, updated_at FROM s)
 SELECT id, updated_at, side FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, p DESC) AS k FROM u) WHERE k = 1""")
 def upload_merge_bodies(spark, sf):
     s = V.sessions(spark, sf)
-    side = lambda cond, name: s.where(cond).select("id", "updated_at", F.lit(name).alias("side"))
-    return merge.merge_uploads(side("id % 2 = 0", "old"), side("id % 4 < 3", "new"), tie="incoming")
+    side = lambda name: s.select("id", "updated_at", F.lit(name).alias("side"))
+    return merge.merge_uploads(side("old"), side("new"), tie="incoming")
 
 
-@query(f"WITH s AS ({V.SESSIONS}) SELECT id, source, title FROM s WHERE source <> 'cloud' UNION ALL SELECT id, source, concat(title, ' (uploaded)') FROM s WHERE id % 8 = 0")
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, source, title FROM s WHERE source <> 'cloud' UNION ALL SELECT id, source, concat(title, ' (uploaded)') FROM s WHERE source = 'cloud' AND o_orderstatus = 'F'")
 def overlay_cloud(spark, sf):
-    s = V.sessions(spark, sf).select("id", "source", "title")
-    return merge.overlay_uploaded(s, s.where("id % 8 = 0").withColumn("title", F.concat("title", F.lit(" (uploaded)"))))
+    s = V.sessions(spark, sf)
+    uploaded = s.where("source = 'cloud' AND o_orderstatus = 'F'").select("id", "source", "title")
+    return merge.overlay_uploaded(s.select("id", "source", "title"), uploaded.withColumn("title", F.concat("title", F.lit(" (uploaded)"))))
 
 
 @query(f"WITH s AS ({V.SESSIONS}) SELECT id, source, title FROM s WHERE source NOT IN ('cowork', 'cli-desktop')")
@@ -249,10 +265,12 @@ def stale_sessions(spark, sf):
     return merge.stale_ids(V.table(spark, sf, "documents"), V.table(spark, sf, "labels"), "doc_id")
 
 
-@query(f"WITH s AS ({V.SESSIONS}) SELECT source, id, 'reuse' AS action FROM s WHERE id % 10 <> 0 AND id % 7 <> 0 UNION ALL SELECT source, id, 'read' FROM s WHERE id % 10 = 0 OR id % 7 = 0")
+@query(f"WITH s AS ({V.SESSIONS}) SELECT source, id, CASE WHEN project IS NOT NULL AND topic IS NULL THEN 'reuse' ELSE 'read' END AS action FROM s")
 def incremental_rescan(spark, sf):
-    now = V.sessions(spark, sf).select("source", "id", F.col("updated_at").cast("double").alias("source_mtime_ms"))
-    before = now.where("id % 7 <> 0").withColumn("source_mtime_ms", F.col("source_mtime_ms") - F.when(F.col("id") % 10 == 0, 5).otherwise(0))
+    # the last run knew no session with a topic, and those without a project have changed since
+    s = V.sessions(spark, sf).select("source", "id", "project", "topic", F.col("updated_at").cast("double").alias("source_mtime_ms"))
+    now = s.drop("project", "topic")
+    before = s.where("topic IS NULL").withColumn("source_mtime_ms", F.col("source_mtime_ms") - F.when(F.col("project").isNull(), 5).otherwise(0)).drop("project", "topic")
     reuse, read = merge.reusable(now, before)
     return reuse.select("source", "id", F.lit("reuse").alias("action")).unionByName(read.select("source", "id", F.lit("read").alias("action")))
 
@@ -324,7 +342,8 @@ def project_match(spark, sf):
     return V.sessions(spark, sf).select("id", S.match_project(F.col("title"), F.col("preview"), S.project_patterns(_NAMES)).alias("matched"))
 
 
-_NORM = r"SELECT doc_id, left(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 400) AS norm FROM documents"
+_SQUEEZE = r"left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({t}), '```[\s\S]*?```', ' ', 'g'), 'https?://\S+', ' ', 'g'), '(?m)^[ \t]*[#\-*+]+\s+', '', 'g'), '(^|\s)(?:[\w.-]+/)+([\w.-]+\.\w+)', '\1\2', 'g'), '\s+', ' ', 'g')), 400)"
+_NORM = f"SELECT doc_id, {_SQUEEZE.format(t='text')} AS norm FROM documents"
 
 
 @query(f"SELECT sha256(norm) AS hash, left(sha256(norm), 12) AS cluster_id, count(*) AS size, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS session_ids, left(min(norm), 200) AS sample_text FROM ({_NORM}) WHERE length(norm) >= 40 GROUP BY norm HAVING count(*) >= 2")
@@ -344,7 +363,7 @@ m AS (SELECT concat('e', left(sha256(norm), 12)) AS c, 'exact' AS kind, 0 AS tie
 link AS (SELECT DISTINCT a.c AS a, b.c AS b FROM m a JOIN m b USING (doc_id)), reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a), root AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY 1)
 SELECT arg_min(c, (tier, pos, c)) AS representative, string_agg(DISTINCT kind, '+' ORDER BY kind) AS kind, count(DISTINCT doc_id) AS size FROM m JOIN root USING (c) GROUP BY root""")
 def duplicates_merged(spark, sf):
-    n = V.table(spark, sf, "documents").select("doc_id", normalize_for_hash(F.col("text")).alias("norm")).where("char_length(norm) >= 40")
+    n = written(V.table(spark, sf, "documents").select("doc_id", normalize_for_hash(F.col("text")).alias("norm"))).where("char_length(norm) >= 40")
     found = duplicates.merged_clusters(_tier(n, F.col("norm"), "e"), _tier(n, F.left("norm", F.lit(60)), "s"))
     return found.select("representative", "kind", F.size("session_ids").cast("long").alias("size"))
 
@@ -388,7 +407,7 @@ _RESCUE = 0.3
 
 
 @query(f"""WITH {_DF}, idf AS (SELECT token, ln((SELECT count(*) FROM w) / df) AS idf FROM df), l AS (SELECT doc, source, CASE WHEN doc % 4 <> 0 THEN source END AS label FROM w),
-d AS (SELECT doc, token, idf AS a FROM x JOIN idf USING (token) WHERE doc % 4 = 0), k AS (SELECT source AS t, token, count(*) * min(idf) AS b FROM x JOIN idf USING (token) WHERE doc % 4 <> 0 AND doc % 8 < 4 GROUP BY 1, 2),
+d AS (SELECT doc, token, idf AS a FROM x JOIN idf USING (token) WHERE doc % 4 = 0), k AS (SELECT source AS t, token, count(*) * min(idf) AS b FROM x JOIN idf USING (token) WHERE doc % 4 <> 0 GROUP BY 1, 2),
 nd AS (SELECT doc, sqrt(sum(a * a)) AS na FROM d GROUP BY 1), nk AS (SELECT t, sqrt(sum(b * b)) AS nb FROM k GROUP BY 1),
 sim AS (SELECT doc, t, round(sum(a * b) / (min(na) * min(nb)), 9) AS sim FROM d JOIN k USING (token) JOIN nd USING (doc) JOIN nk USING (t) GROUP BY 1, 2),
 best AS (SELECT doc, t, sim FROM sim WHERE sim > 0 AND sim >= {_RESCUE} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY sim DESC, t) = 1)
@@ -396,10 +415,8 @@ SELECT doc, coalesce(label, t) AS label, CASE WHEN label IS NULL THEN round(sim,
 def outlier_rescue(spark, sf):
     w = V.words(spark, sf)
     labels = w.select("doc", F.when(F.col("doc") % 4 != 0, F.col("source")).alias("label"))
-    # names order equal similarities: the rank of a source's name among the few sources
-    groups = w.where("doc % 4 <> 0 AND doc % 8 < 4").groupBy(F.col("source").alias("label")).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    groups = groups.withColumn("ord", F.row_number().over(Window.orderBy("label")))
-    return topics.rescue(labels, w.select("doc", "tokens"), groups, _RESCUE).withColumn("rescued_at", F.round("rescued_at", 6))
+    # every fourth document has no label; the names of labels order equal similarities
+    return topics.rescue(labels, w.select("doc", "tokens"), topics.group_tokens(labels, w), _RESCUE).withColumn("rescued_at", F.round("rescued_at", 6))
 
 
 _SIMS = f"c AS ({V.CENTROIDS}), sims AS (SELECT vec_id // 5 AS doc_id, ord, centroid_id, max(list_inner_product(embedding::DOUBLE[], vec)) AS sim FROM embeddings, c GROUP BY 1, 2, 3)"
@@ -422,9 +439,9 @@ def nearest_centroid(spark, sf):
 
 
 @query("""WITH m AS (SELECT vec_id // 5 AS doc_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, unnest(range(1, 65)) AS u(i) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(m * m)) AS n FROM m GROUP BY 1)
-SELECT doc_id, (i - 1)::INT AS at, round(m / n, 6) AS x FROM m JOIN n USING (doc_id) WHERE i <= 8""")
+SELECT doc_id, (i - 1)::INT AS at, round(m / n, 6) AS x FROM m JOIN n USING (doc_id)""")
 def mean_pool(spark, sf):
-    return similarity.mean_pool(_chunks(spark, sf)).select("doc_id", F.posexplode(F.slice("vec", 1, 8)).alias("at", "x")).withColumn("x", F.round("x", 6))
+    return similarity.mean_pool(_chunks(spark, sf)).select("doc_id", F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
@@ -457,9 +474,9 @@ def date_range(spark, sf):
     return rollups.date_range(V.sessions(spark, sf))
 
 
-@query(f"WITH s AS ({V.SESSIONS}) SELECT coalesce(bool_and(source = 'cloud'), false) AND count(*) > 0 AS all_cloud FROM s WHERE id % 4 = 0")
+@query(f"WITH s AS ({V.SESSIONS}) SELECT coalesce(bool_and(source = 'cloud'), false) AND count(*) > 0 AS all_cloud FROM s")
 def all_cloud(spark, sf):
-    return search.all_cloud(V.sessions(spark, sf).where("id % 4 = 0"))
+    return search.all_cloud(V.sessions(spark, sf))
 
 
 @query(f"""WITH s AS ({V.SESSIONS}) SELECT id, CASE WHEN {V.NOW} - updated_at < 0 OR {V.NOW} - updated_at >= 259200000 THEN strftime(make_timestamp(updated_at * 1000), '%Y-%m-%d') WHEN {V.NOW} - updated_at < 3600000 THEN concat(greatest(({V.NOW} - updated_at) // 60000, 1), 'm ago')
@@ -502,3 +519,198 @@ SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 12 HOUR AS ended, count(*
 def stream_sessions(spark, sf):
     out = activity.drain(activity.user_sessions(activity.read_events(spark, f"{sf}/events.parquet")), "complete")
     return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), F.col("w.end").cast("timestamp_ntz").alias("ended"), "n")
+
+
+# Sources: raw files are written from the tables, read by the sources and folded; the SQL says the same of the tables.
+_UUID = "concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', substr({h}, 13, 4), '-', substr({h}, 17, 4), '-', substr({h}, 21, 12))"
+
+
+def _uuid(c):
+    h = F.md5(c.cast("string"))
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def _files(rows, name, line, order, last=None):
+    """(name, text): lines of each file in order, and a last one."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("raw")))), lambda s: s["raw"]), "\n")
+    return rows.groupBy(name.alias("name")).agg((text if last is None else F.concat(text, F.lit("\n" + last))).alias("text"))
+
+
+def _transcripts(spark, sf):
+    """Each conversation as a transcript: system lines of a type that no reader knows, tool calls in every second turn, and a broken last line."""
+    m = V.table(spark, sf, "conversations")
+    at = F.concat(F.lit("2024-01-"), F.lpad((F.col("turn") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00.000Z"))
+    said = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("name"))
+    tool = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("tool-"), (F.col("turn") % 3).cast("string")).alias("name"))
+    user = F.struct(F.lit("user").alias("type"), at.alias("timestamp"), F.concat(F.lit("/work/app-"), (F.col("conv_id") % 7).cast("string")).alias("cwd"), F.struct(F.lit("user").alias("role"), F.col("text").alias("content")).alias("message"))
+    usage = F.struct(F.char_length("text").alias("input_tokens"), F.col("turn").alias("output_tokens"))
+    model = F.when(F.col("turn") % 4 == 1, "claude-opus-4-6").otherwise("claude-haiku-4-5")
+    content = F.when(F.col("turn") % 2 == 1, F.array(said, tool)).otherwise(F.array(said))
+    other = F.struct(F.lit("assistant").alias("type"), at.alias("timestamp"), F.struct(F.lit("assistant").alias("role"), model.alias("model"), content.alias("content"), usage.alias("usage")).alias("message"))
+    line = F.when(F.col("role") == "user", F.to_json(user)).when(F.col("role") == "assistant", F.to_json(other)).otherwise(F.to_json(F.struct(F.col("role").alias("type"))))
+    name = F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string"), F.lit("/"), _uuid(F.col("conv_id")), F.lit(".jsonl"))
+    folder = fresh_folder(spark)
+    fixtures.write_texts(_files(m, name, line, F.col("turn"), "{broken"), folder)
+    return json_lines.transcripts(spark, folder)
+
+
+_ID = _UUID.format(h="md5(conv_id::VARCHAR)")
+_TRANSCRIPT = f"""SELECT {_ID} AS id, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns, count(*) FILTER (WHERE role = 'assistant' AND turn % 2 = 1) AS tools,
+CASE WHEN count(*) FILTER (WHERE role = 'user') > 0 THEN concat('app-', conv_id % 7) END AS project, arg_max(CASE WHEN turn % 4 = 1 THEN 'claude-opus-4-6' ELSE 'claude-haiku-4-5' END, turn) FILTER (WHERE role = 'assistant') AS model,
+coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS input, coalesce(sum(turn) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS output, arg_min(text, turn) FILTER (WHERE role = 'user' AND text <> '') AS first_text,
+epoch_ms(min(make_timestamp(2024, 1, (turn % 28 + 1)::BIGINT, 0, 0, 0)) FILTER (WHERE role IN ('user', 'assistant'))) AS started_at FROM conversations GROUP BY conv_id"""
+
+
+@query(f"SELECT id, user_turns, assistant_turns, project, model, input, output, started_at, 1 AS malformed, tools, nullif(left(trim(regexp_replace(first_text, '\\s+', ' ', 'g')), 200), '') AS preview FROM ({_TRANSCRIPT})")
+def transcript_sessions(spark, sf):
+    folds = written(json_lines.fold_transcripts(_transcripts(spark, sf)))
+    s = S.from_transcripts(folds).join(folds.select(F.col("file_id").alias("id"), "malformed", F.col("token_totals").alias("t")), "id")
+    calls = F.aggregate(F.map_values("top_tools"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return s.select("id", "user_turns", "assistant_turns", "project", "model", "t.input", "t.output", "started_at", "malformed", F.coalesce(calls, F.lit(0)).cast("long").alias("tools"), "preview")
+
+
+@query(f"SELECT {_ID} AS id, arg_min(text, turn) AS first_human_text FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id")
+def transcript_first_texts(spark, sf):
+    return json_lines.first_texts(_transcripts(spark, sf)).withColumnRenamed("file_id", "id")
+
+
+@query("SELECT role AS type FROM conversations WHERE role NOT IN ('user', 'assistant') GROUP BY 1")
+def transcript_drift(spark, sf):
+    return json_lines.unknown_line_types(_transcripts(spark, sf)).select("type")
+
+
+_CLIENT = _UUID.format(h="md5(c_custkey::VARCHAR)")
+
+
+def _cowork(spark, sf):
+    """Each customer as a manifest, with an audit log of a result line an order; manifests of customers in debt lack a title, and those of one segment hold a member that no reader knows."""
+    c = V.table(spark, sf, "customer")
+    key = _uuid(F.col("c_custkey"))
+    made = F.to_json(F.struct(
+        F.concat(F.lit("local_"), key).alias("sessionId"), (F.col("c_custkey") * 1000).alias("createdAt"), (F.col("c_custkey") * 1000 + 500).alias("lastActivityAt"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("title"), F.lit("/w").alias("cwd"),
+        F.lit("claude-opus-4-6").alias("model"), F.col("c_mktsegment").alias("initialMessage"), F.when(F.col("c_mktsegment") == "BUILDING", F.lit(1)).alias("notKnown"),
+    ))
+    base = F.concat_ws("/", key, key, F.concat(F.lit("local_"), key))
+    o = V.table(spark, sf, "orders").withColumn("c_custkey", F.col("o_custkey")).join(c.select("c_custkey"), "c_custkey")
+    usage = F.create_map(F.when(F.col("o_orderkey") % 2 == 0, "claude-haiku-4-5").otherwise("claude-opus-4-6"), F.lit(1))
+    line = F.to_json(F.struct(F.lit("result").alias("type"), F.col("o_orderkey").alias("duration_ms"), F.lit(2).alias("duration_api_ms"), F.lit(1).alias("num_turns"), F.lit(0.5).alias("total_cost_usd"), usage.alias("modelUsage")))
+    folder = fresh_folder(spark)
+    fixtures.write_texts(c.select(F.concat(base, F.lit(".json")).alias("name"), made.alias("text")), folder)
+    fixtures.write_texts(_files(o, F.concat(base, F.lit("/audit.jsonl")), line, F.col("o_orderkey")), folder)
+    lines = json_lines.read_lines(spark, f"{folder}/*/*/*/audit.jsonl").withColumn("session_key", F.regexp_extract("path", r"/([^/]+)/audit\.jsonl$", 1))
+    return manifests.read_manifests(spark, folder), lines
+
+
+@query(f"""WITH o AS (SELECT o_custkey, count(*) AS n, sum(o_orderkey)::BIGINT AS ms, arg_max(o_orderkey, o_orderkey) AS last, bool_or(o_orderkey % 2 = 0) AND bool_or(o_orderkey % 2 = 1) AS two FROM orders GROUP BY 1)
+SELECT {_CLIENT} AS id, c_name AS title, c_mktsegment AS preview, 500 AS duration_ms, CASE WHEN n IS NOT NULL AND last % 2 = 0 THEN 'claude-haiku-4-5' ELSE 'claude-opus-4-6' END AS model, CASE WHEN two THEN 2 ELSE 1 END AS models, n * 0.5::DOUBLE AS total_cost_usd
+FROM customer LEFT JOIN o ON o_custkey = c_custkey WHERE c_acctbal >= 0""")
+def cowork_sessions(spark, sf):
+    found, lines = _cowork(spark, sf)
+    s = S.from_cowork(manifests.valid(found, manifests.COWORK_REQUIRED), json_lines.fold_audit(lines))
+    return s.select("id", "title", "preview", "duration_ms", "model", F.size("models_used").alias("models"), "total_cost_usd")
+
+
+@query(f"""SELECT concat('local_', {_CLIENT}) AS session_key, count(*) AS result_lines, sum(o_orderkey)::BIGINT AS duration_ms, (2 * count(*))::BIGINT AS duration_api_ms, count(*) AS num_turns, 0 AS malformed FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def audit_folds(spark, sf):
+    return json_lines.fold_audit(_cowork(spark, sf)[1]).select("session_key", "result_lines", "duration_ms", "duration_api_ms", "num_turns", "malformed")
+
+
+@query("SELECT 'notKnown' AS key FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def manifest_drift(spark, sf):
+    return manifests.drift(_cowork(spark, sf)[0]).select("key")
+
+
+def _export(spark, sf):
+    """The conversations as an export: one file with an array."""
+    m = V.table(spark, sf, "conversations")
+    message = F.struct(F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"), F.coalesce("text", F.lit("")).alias("text"))
+    talk = m.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda s: s["m"]).alias("chat_messages"))
+    made = F.to_json(F.struct(_uuid(F.col("conv_id")).alias("uuid"), F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("name"), F.when(F.col("conv_id") % 10 != 0, "2024-01-01T00:00:00Z").otherwise("never").alias("created_at"), F.lit("2024-01-02T00:00:00Z").alias("updated_at"), "chat_messages"))
+    folder = fresh_folder(spark)
+    whole = talk.select(made.alias("raw")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("raw"), ","), F.lit("]")).alias("text"))  # an export is one file
+    fixtures.write_texts(whole.select(F.lit("export/conversations.json").alias("name"), "text"), folder)
+    return archives.read_conversations(spark, f"{folder}/export/conversations.json")
+
+
+@query(rf"""SELECT {_ID} AS id, concat('talk ', conv_id) AS title, 86400000 AS duration_ms, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns,
+nullif(left(trim(regexp_replace(arg_min(text, turn) FILTER (WHERE role = 'user' AND text <> ''), '\s+', ' ', 'g')), 200), '') AS preview FROM conversations WHERE conv_id % 10 <> 0 GROUP BY conv_id""")
+def export_sessions(spark, sf):
+    """Those with unreadable times are left out by the operator itself."""
+    return S.from_conversations(_export(spark, sf)).select("id", "title", "duration_ms", "user_turns", "assistant_turns", "preview")
+
+
+@query("SELECT count(DISTINCT conv_id) FILTER (WHERE conv_id % 10 <> 0) AS kept, count(DISTINCT conv_id) FILTER (WHERE conv_id % 10 = 0) AS skipped FROM conversations")
+def export_skipped(spark, sf):
+    return S.skipped(_export(spark, sf))
+
+
+# Operators over results of others.
+@query(f"""WITH k AS (SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS n, left(sha256(norm), 12) AS cluster_id FROM ({_NORM}) WHERE length(norm) >= 40)
+SELECT cluster_id, (row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) - 1)::INT AS at, doc_id AS id, source FROM k JOIN documents USING (doc_id) WHERE n >= 2""")
+def cluster_members(spark, sf):
+    docs = V.table(spark, sf, "documents").withColumn("id", F.col("doc_id"))
+    return duplicates.cluster_members(duplicates.exact_clusters(docs, "text", "id", "id"), docs, ["source"])
+
+
+@query(f"WITH k AS (SELECT doc_id, norm FROM ({_NORM}) WHERE length(norm) >= 40 QUALIFY count(*) OVER (PARTITION BY norm) >= 2) SELECT doc_id AS session_id, left(sha256(norm), 12) AS cluster_id FROM k")
+def duplicate_index(spark, sf):
+    docs = V.table(spark, sf, "documents")
+    return duplicates.session_index(duplicates.exact_clusters(docs, "text", "doc_id", "doc_id").withColumn("pos", F.get("session_ids", F.lit(0))))
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT topic AS label, count(*) AS size FROM s WHERE source = 'cloud' AND topic IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def largest_clusters(spark, sf):
+    return duplicates.largest_labels(V.sessions(spark, sf).withColumn("label", F.col("topic")), 3)
+
+
+@query(f"""WITH {_LIFE}, f AS (SELECT project, min(started_at) AS first_active_at, arg_min(title, pos) AS display_name, max(CASE WHEN id % 3 = 0 THEN 2 WHEN id % 3 = 1 THEN 1 ELSE 0 END) AS r FROM s GROUP BY 1),
+q AS (SELECT project, string_agg(id::VARCHAR, ',' ORDER BY started_at, pos) AS probe_ids FROM d WHERE asks AND gap >= 60 AND NOT dense GROUP BY 1)
+SELECT c.project, classification, first_active_at, display_name, ['title_keyword', 'cwd_basename', 'project_field'][r + 1] AS inference_source, coalesce(probe_ids, '') AS probe_ids FROM c JOIN f USING (project) LEFT JOIN q USING (project)""")
+def lifecycle_records(spark, sf):
+    how = F.when(F.col("id") % 3 == 0, "project_field").when(F.col("id") % 3 == 1, "cwd_basename").otherwise("title_keyword")
+    s = _projects(spark, sf).withColumn("display_name", F.col("title")).withColumn("inference_source", how)
+    return lifecycle.project_records(s, V.NOW).select("project", "classification", "first_active_at", "display_name", "inference_source", F.array_join(F.transform("probe_ids", lambda x: x.cast("string")), ",").alias("probe_ids"))
+
+
+@query(f"WITH {_LIFE} SELECT project, sessions FROM c WHERE classification = 'zombie'")
+def lifecycle_displayed(spark, sf):
+    return lifecycle.displayed(lifecycle.classify(_projects(spark, sf), V.NOW)).select("project", "sessions")
+
+
+def _decimals(e, digits):
+    """Rounded half up in decimals, as both engines' double formats differ on ties."""
+    return f"CAST(CAST(round(CAST(({e})::VARCHAR AS DECIMAL(30, 12)), {digits}) AS DECIMAL(30, {digits})) AS VARCHAR)"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_totalprice >= 1000 THEN concat('$', {_decimals("o_totalprice / 1000", 1)}, 'k') ELSE concat('$', {_decimals("o_totalprice", 2)}) END AS usd,
+CASE WHEN o_orderkey >= 1000000 THEN concat({_decimals("o_orderkey / 1000000", 1)}, 'M') WHEN o_orderkey >= 1000 THEN concat({_decimals("o_orderkey / 1000", 1)}, 'k') ELSE o_orderkey::VARCHAR END AS count FROM orders""")
+def number_formats(spark, sf):
+    o = V.table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), format_usd(F.col("o_totalprice")).alias("usd"), format_count(F.col("o_orderkey")).alias("count"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, concat('## ', CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'Assistant' ELSE role END, chr(10), chr(10), coalesce(text, '')) AS part FROM conversations)
+SELECT conv_id AS id, string_agg(part, concat(chr(10), chr(10)) ORDER BY turn) AS markdown FROM t GROUP BY 1""")
+def markdown_export(spark, sf):
+    return tables.markdown(V.messages(spark, sf))
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT DISTINCT 'topic' AS kind, topic AS value FROM s WHERE topic IS NOT NULL")
+def current_labels(spark, sf):
+    """Labels of this corpus stay, those of an earlier one are discarded."""
+    s = V.sessions(spark, sf)
+    version = tables.corpus_version(s)
+    labels = s.where("topic IS NOT NULL").select(F.lit("topic").alias("kind"), F.col("topic").alias("value"), F.lit(version).alias("version")).distinct()
+    old = labels.withColumn("version", F.lit("earlier")).withColumn("value", F.concat("value", F.lit(" (earlier)")))
+    return tables.current_labels(labels.unionByName(old), version)
+
+
+@query("""WITH w AS (SELECT conv_id AS id, turn, regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '`([^`\n]+)`', '<code>\1</code>', 'g') AS html FROM conversations WHERE text NOT LIKE '%*%' AND text NOT LIKE '%](%') SELECT * FROM w""")
+def inline_markup(spark, sf):
+    m = V.table(spark, sf, "conversations").where("text NOT LIKE '%*%' AND text NOT LIKE '%](%'")
+    return m.select(F.col("conv_id").alias("id"), "turn", inline_html(F.col("text")).alias("html"))
+
+
+@query()
+def project_plane(spark, sf):
+    return topics.plane(V.vectors(spark, sf).select(F.col("vec_id").alias("doc"), "vec"))

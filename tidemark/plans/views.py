@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import cost
+from ..operators.graph import written
 from ..schema import DEFAULT_MODEL, RATES, STOPWORDS
-from ..sources.json_lines import ordered_distinct
 
 #: The day after the last order, for everything that depends on now.
 NOW = 996_710_400_000  # 2001-08-02
@@ -73,11 +73,12 @@ def token_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token sums and models of each order's lines."""
     lines = table(spark, sf_dir, "lineitem").withColumn("m", F.expr(_MODEL)).withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     total = lambda e: F.sum(F.expr(e)).cast("long")
-    sums = lines.groupBy(F.col("l_orderkey").alias("id")).agg(
+    # an order has a few lines, so its models are collected with their places in the one aggregate
+    used = F.array_sort(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("o", "m"))))
+    return lines.groupBy(F.col("l_orderkey").alias("id")).agg(
         F.struct(total("CAST(l_quantity AS BIGINT) * 100").alias("input"), total("CAST(floor(l_extendedprice) AS BIGINT)").alias("output"), total("CAST(l_partkey AS BIGINT)").alias("cache_creation"), total("CAST(l_suppkey AS BIGINT) * 1000").alias("cache_read")).alias("token_totals"),
-        F.max_by("m", F.when(F.col("m").isNotNull(), F.col("o"))).alias("model"),
+        F.max_by("m", F.when(F.col("m").isNotNull(), F.col("o"))).alias("model"), F.array_distinct(F.transform(used, lambda x: x["m"])).alias("models_used"),
     )
-    return sums.join(ordered_distinct(lines.withColumnRenamed("l_orderkey", "id"), "id", F.col("m"), "o", "models_used"), "id", "left")
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,8 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", tokens(F.col("text")).alias("tokens"))
+    """(doc, source, tokens), written: texts are cut to words once, however often a query reads them."""
+    return written(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", tokens(F.col("text")).alias("tokens")))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     """The conversations of an export; the file must be there and hold an array."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    head = spark.read.text(path, wholetext=True).select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()
-    if head is None or head["c"] != "[":
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()  # the first line with anything on it
+    if first is None or first["c"] != "[":
         raise ValueError(f"{path} holds no array")
     return spark.read.schema(CONVERSATION).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
@@ -50,6 +50,25 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROJECT).option("multiLine", True).json(path).where("uuid IS NOT NULL")
 
 
+def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Another member of an export (users: uuid, full_name, email_address; memories: conversations_memory, account_uuid); a missing or broken file gives no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    first = [c.split()[0] for c in schema.split(",")][0]
+    return spark.read.schema(schema).option("multiLine", True).json(path).where(F.col(first).isNotNull())
+
+
+USERS = "uuid string, full_name string, email_address string"
+MEMORIES = "conversations_memory string, account_uuid string"
+
+
+def upload(spark: SparkSession, local: str, folder: str) -> None:
+    """Copy a local folder of extracted files to a folder that executors can read."""
+    conf = spark._jsc.hadoopConfiguration()
+    to = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    to.getFileSystem(conf).copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), to)
+
+
 def mask_label(name: str) -> str:
     """A file name that doesn't tell whose export it is: long hexadecimal runs are cut to four digits."""
     return re.sub(r"[0-9a-f]{8,}(?:-[0-9a-f]{4,})*", lambda m: m[0][:4] + "…", name, flags=re.I)

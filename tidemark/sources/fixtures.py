@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import CONVERSATION, DAY_MS
 
@@ -72,3 +73,20 @@ def embed(texts: DataFrame, model: Callable[[list[str]], np.ndarray] = hashing_e
             yield pa.record_batch([part.column(0).cast(pa.string()), pa.array(vecs, pa.list_(pa.float32()))], names=["key", "vec"])
 
     return texts.select(key, text).mapInArrow(run, "key string, vec array<float>")
+
+
+def write_texts(files: DataFrame, folder: str) -> int:
+    """Write ``files`` (name, text) under a folder that executors share, each where it is; how many there were."""
+    from pyarrow import fs
+
+    def write(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                store.create_dir(f"{base}/{name.rpartition('/')[0]}", recursive=True)
+                with store.open_output_stream(f"{base}/{name}.open") as f:
+                    f.write(text.encode())
+                store.move(f"{base}/{name}.open", f"{base}/{name}")
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    return files.select("name", "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_ms
-from ..schema import KNOWN_LINE_TYPES
+from ..schema import KNOWN_LINE_TYPES, KNOWN_SENDERS
 
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 TRANSCRIPT_NAME = f"/[^/]+/({UUID})\\.jsonl$"
@@ -107,6 +107,21 @@ def _string_of(b: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(raw) == "STRING", F.try_variant_get(b, path, "string"))
 
 
+def first_texts(lines: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, first_human_text): of the first line of type and role 'user' that has a text: its content, or the text of the first text block, also an empty one."""
+    df = parse(lines)
+    content, blocks = F.try_variant_get("v", "$.message.content", "variant"), F.try_variant_get("v", "$.message.content", "array<variant>")
+    texts = F.filter(F.transform(F.filter(blocks, lambda b: _string_of(b, "$.type") == "text"), lambda b: _string_of(b, "$.text")), lambda s: s.isNotNull())
+    text = F.when(F.schema_of_variant(content) == "STRING", _string("v", "$.message.content")).otherwise(F.get(texts, F.lit(0)))
+    own = df.where((_string("v", "$.type") == "user") & (_string("v", "$.message.role") == "user")).select(key, "line_no", text.alias("text")).where("text IS NOT NULL")
+    return own.groupBy(key).agg(F.min_by("text", "line_no").alias("first_human_text"))
+
+
+def unknown_senders(messages: DataFrame) -> DataFrame:
+    """Senders of messages (id, sender) that aren't known, each once with the first session that has it."""
+    return messages.where(F.col("sender").isNotNull() & ~F.col("sender").isin(*KNOWN_SENDERS)).groupBy("sender").agg(F.min("id").alias("first_id"))
+
+
 def fold_audit(lines: DataFrame, key: str = "session_key") -> DataFrame:
     """One row an audit log: turns, and sums over its result lines, null without any; distinct model keys, the last result's last key."""
     df = parse(lines)

@@ -10,9 +10,13 @@ from .json_lines import UUID, _number, _string, exists
 #: Fields without which a manifest is refused.
 COWORK_REQUIRED = ("sessionId", "createdAt", "lastActivityAt", "title", "cwd")
 DESKTOP_REQUIRED = ("sessionId", "cliSessionId", "createdAt", "lastActivityAt", "title", "cwd", "model")
-#: Manifest members that are no drift.
+#: Manifest members that are no drift, of either kind.
 KNOWN_KEYS = (
-    "sessionId", "processName", "cliSessionId", "cwd", "createdAt", "lastActivityAt", "model", "title", "vmProcessName", "initialMessage", "error", "sessionType",
+    "sessionId", "processName", "cliSessionId", "cwd", "userSelectedFolders", "createdAt", "lastActivityAt", "model", "isArchived", "title", "vmProcessName", "initialMessage", "slashCommands", "enabledMcpTools",
+    "remoteMcpServersConfig", "egressAllowedDomains", "systemPrompt", "accountName", "emailAddress", "userApprovedFileAccessPaths", "mcqAnswers", "hostLoopMode", "orgCliExecPolicies", "memoryEnabled", "scheduledTaskId", "sessionType", "error",
+)
+DESKTOP_KNOWN_KEYS = (
+    "sessionId", "cliSessionId", "cwd", "originCwd", "createdAt", "lastActivityAt", "model", "effort", "isArchived", "title", "titleSource", "permissionMode", "chromePermissionMode", "enabledMcpTools", "remoteMcpServersConfig",
 )
 _NUMBERS = {"createdAt", "lastActivityAt"}
 _SHAPE = f"/{UUID}/{UUID}/local_[0-9a-f-]{{36}}\\.json$"

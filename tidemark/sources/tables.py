@@ -70,11 +70,61 @@ def markdown(messages: DataFrame, key: str = "id") -> DataFrame:
     return messages.withColumn("part", part).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda s: s["part"]), "\n\n").alias("markdown"))
 
 
+def guarded(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame | None:
+    """A stored table if it is there and has these columns of these types; else None, as if it weren't there."""
+    if not exists(spark, path):
+        return None
+    df = spark.read.parquet(path)
+    return df if columns.items() <= dict(df.dtypes).items() else None
+
+
+def healed(spark: SparkSession, path: str, good: Column, order: str = "completed_at") -> DataFrame | None:
+    """The good rows of a stored list, in order; rows that fail are deleted from the table (an atomic switch to a new folder under ``path``)."""
+    versions = f"{path}/v=*"
+    if not exists(spark, versions):
+        return None
+    rows = spark.read.option("basePath", path).parquet(versions)
+    last = rows.where(F.col("v") == rows.agg(F.max("v")).first()[0])
+    bad = last.where(~F.coalesce(good, F.lit(False))).count()
+    kept = last.where(good).drop("v")
+    if bad:
+        number = last.select("v").first()["v"]
+        kept.write.parquet(f"{path}/v={number + 1}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number}")
+        kept = spark.read.parquet(f"{path}/v={number + 1}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return kept.orderBy(order)
+
+
+def corpus_version(sessions: DataFrame) -> str:
+    """A name for what a corpus holds, whatever its order: the sum of its rows' hashes."""
+    row = sessions.agg(F.count("*").alias("n"), F.sum(F.xxhash64("source", "id", "updated_at").cast("decimal(38,0)")).alias("h")).first()
+    return f"{row['n']}-{row['h'] or 0}"
+
+
+def current_labels(labels: DataFrame, version: str) -> DataFrame:
+    """Labels (with version) that were made for this corpus; an upload changes the version, which discards them."""
+    return labels.where(F.col("version") == version).drop("version")
+
+
+def progress_lines(events: DataFrame) -> DataFrame:
+    """(value): one JSON object a line, for a log that others follow."""
+    return events.select(F.to_json(F.struct(*[F.col(c) for c in events.columns])).alias("value"))
+
+
 def csv_field(c: Column) -> Column:
     """Quoted only where a comma, a quote or a line end asks for it."""
     s = c.cast("string")
     return F.when(s.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(s, F.lit("")))
 
 
+def local_markdown(lines: DataFrame, key: str = "id") -> DataFrame:
+    """The local variant: (key, line_no, kind, body, at) as sections with the time and kind of a line, its body quoted as code unless it is a turn."""
+    head = F.concat_ws(" ", F.lit("###"), F.initcap(F.coalesce("kind", F.lit("line"))), F.concat(F.lit("("), F.col("at"), F.lit(")")))
+    body = F.when(F.col("kind").isin("user", "assistant"), F.col("body")).otherwise(F.concat(F.lit("```\n"), F.col("body"), F.lit("\n```")))
+    part = F.concat(head, F.lit("\n\n"), F.coalesce(body, F.lit("")))
+    return lines.withColumn("part", part).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part"))), lambda s: s["part"]), "\n\n").alias("markdown"))
+
+
 def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *[csv_field(F.col(c)) for c in df.columns]).alias("value"))

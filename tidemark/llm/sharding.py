@@ -1,11 +1,12 @@
 """Sharding by balanced label propagation (operator 5).
 
 Documents are linked through groups (equal texts here; any group column in general). They start in even random
-shards. In each round a document wants to move to the shard that holds most of its group; how many may go from
-one shard to another is a quota that keeps sizes within the capacity, and a hash draws who goes. At the end the
-law is met exactly: in each shard documents of groups rank first, and the few beyond the shard's share (mostly
-unlinked ones) fill the shards that lack some. Only (group, shard) counts are joined, so a group of any size is
-at most one row a shard there.
+shards, by a hash of doc_id and text, so how a table is cut into files doesn't matter. In each round a document wants
+to move to the shard that holds most of its group; how many may go from one shard to another is a quota that keeps the
+linked documents of a shard within its share, and a hash draws who goes. At the end the law is met exactly: in each
+shard linked documents rank first, and the few beyond the shard's share fill the shards that lack some. As linked
+documents alone never exceed a share by more than chance, these are unlinked ones wherever there are any. Only (group,
+shard) counts are joined, so a group of any size is at most one row a shard there.
 
 Results defined for odd input: a null text has no bytes (size 16, crc32 0) and no links; null and repeated
 doc_ids are sharded one by one; fewer documents than shards leave shards empty; an empty table gives no rows;
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import fingerprint, materialize, read_table
 
 SHARDS = 40
-ROUNDS = 5
-#: Shards may grow by this part over the even share between rounds.
-SLACK = 0.1
+ROUNDS = 6
+#: Part of an even share that linked documents may take between rounds; the rest takes what chance adds.
+SLACK = 0.95
 BUCKET_ROWS, LEAST_BUCKETS = 20_000, 4
 
 
@@ -41,9 +42,11 @@ def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in values]), index + 1)
 
 
-def propagate(linked: DataFrame, sizes: np.ndarray, shards: int, rounds: int) -> DataFrame:
-    """``linked`` (uid, group g1, g2, shard) after some rounds; ``sizes`` are all shards' rows and follow the moves."""
-    total = sizes.sum()
+def propagate(linked: DataFrame, shards: int, share: float, rounds: int) -> DataFrame:
+    """``linked`` (uid, group g1, g2, shard) after some rounds, at most; ``share``: linked rows that a shard may hold."""
+    sizes = np.zeros(shards)
+    for r in linked.groupBy("shard").count().collect():  # one row a shard
+        sizes[r["shard"]] = r["count"]
     for t in range(rounds):
         counts = linked.groupBy("g1", "g2", "shard").agg(F.count("*").alias("n"))
         top = materialize(counts.groupBy("g1", "g2").agg(F.max(F.struct("n", F.xxhash64("g1", "shard").alias("tie"), "shard"))["shard"].alias("target")), "top")
@@ -53,7 +56,7 @@ def propagate(linked: DataFrame, sizes: np.ndarray, shards: int, rounds: int) ->
             wanted[r["shard"], r["target"]] = r["count"]
         if not wanted.any():
             return linked
-        go = quotas(wanted, sizes, (1 + SLACK) * total / shards)
+        go = quotas(wanted, sizes, max(SLACK * share, sizes.sum() / shards))
         chance = np.divide(go, wanted, out=np.zeros_like(go), where=wanted > 0)
         sizes += go.sum(axis=0) - go.sum(axis=1)
         moves = _pick(chance.ravel().tolist(), F.col("shard") * shards + F.col("target"))
@@ -65,7 +68,7 @@ def settle(rows: DataFrame, shards: int) -> DataFrame:
     """Exact shares: ``rows`` (uid, linked, shard, ...) with shard and slot such that counts are at most one apart and slots gapless."""
     n = rows.count()
     buckets = max(LEAST_BUCKETS, -(-n // (shards * BUCKET_ROWS)))
-    spread = rows.withColumn("bucket", F.when(F.col("linked"), 0).otherwise(buckets) + F.pmod(F.xxhash64("uid", F.lit("slot")), F.lit(buckets)).cast("int"))
+    spread = rows.withColumn("bucket", F.when(F.col("linked"), 0).otherwise(buckets) + F.pmod(F.xxhash64("order", F.lit("slot")), F.lit(buckets)).cast("int"))
     counts = spread.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     have = np.zeros(shards, np.int64)
     for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row a shard
@@ -76,7 +79,7 @@ def settle(rows: DataFrame, shards: int) -> DataFrame:
     over_before, lack_ends = np.cumsum(over) - over, np.cumsum(lack)
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "bucket").orderBy("uid")
+    within = Window.partitionBy("shard", "bucket").orderBy("order", "uid")
     ranked = spread.join(bases, ["shard", "bucket"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
     extra = F.col("rank") - _pick(share.tolist(), F.col("shard"))
     number = extra + _pick(over_before.tolist(), F.col("shard"))
@@ -94,15 +97,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         g1.alias("g1"), g2.alias("g2"), F.col("text").isNotNull().alias("has_text"), F.monotonically_increasing_id().alias("uid"),
     )
-    rows = materialize(rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")), "shard-rows")
+    rows = materialize(rows.withColumn("order", F.xxhash64("doc_id", "g1", "g2")).withColumn("shard", F.pmod(F.col("order"), F.lit(shards)).cast("int")), "shard-rows")
     groups = materialize(rows.where("has_text").groupBy("g1", "g2").agg(F.count("*").alias("members")).where("members > 1"), "groups")
-    linked = materialize(rows.join(groups, ["g1", "g2"]).select("g1", "g2", "uid", "doc_id", "size", "text_crc32", "shard"), "linked")
-    sizes = np.zeros(shards)
-    for r in rows.groupBy("shard").count().collect():  # one row a shard
-        sizes[r["shard"]] = r["count"]
-    placed = propagate(linked, sizes, shards, rounds)
+    linked = materialize(rows.join(groups, ["g1", "g2"]).select("g1", "g2", "uid", "order", "doc_id", "size", "text_crc32", "shard"), "linked")
+    placed = propagate(linked, shards, rows.count() / shards, rounds)
     alone = rows.join(groups, ["g1", "g2"], "left_anti")
-    keep = ["uid", "doc_id", "size", "text_crc32", "shard"]
+    keep = ["uid", "order", "doc_id", "size", "text_crc32", "shard"]
     everything = materialize(placed.select(*keep, F.lit(True).alias("linked")).unionByName(alone.select(*keep, F.lit(False).alias("linked"))), "placed")
     return settle(everything, shards)
 

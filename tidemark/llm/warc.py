@@ -1,7 +1,7 @@
 """WARC: archives written and read, and captures assembled from their records (operator 3).
 
 Each capture is a request, a response (or a revisit of an equal payload) and a metadata record; request and
-metadata name the response in WARC-Concurrent-To. Files are ordinary ``.warc.gz`` archives, one gzip member a
+metadata name the response in WARC-Concurrent-To. A response holds the HTTP status and headers before its payload. Files are ordinary ``.warc.gz`` archives, one gzip member a
 record, in the folder that all executors share.
 
 Results defined for odd input: a null html is an empty payload; a null url leaves WARC-Target-URI out and comes
@@ -29,6 +29,8 @@ from .common import arrow_type, fresh_path, materialize, read_table
 LEAST_REVISIT = 100
 #: A file is closed once it holds this many bytes, so that one task reads it in bounded memory and time.
 FILE_BYTES = 8 << 20
+#: Archive bytes that a task reads, where there are enough.
+TASK_BYTES = 256 << 20
 #: Compressed bytes given to the decompressor at once.
 STEP = 1 << 14
 FILES = "path string, n_records long, n_bytes long"
@@ -110,7 +112,8 @@ def capture_records(page_id, url, payload: bytes, digest: str, first_id) -> list
     main, common = _name("main", page_id, digest), [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     digests = [("WARC-Payload-Digest", sha)]
     if first_id is None:
-        content = record("response", main, payload, [*common, *digests, ("Content-Type", "text/html; charset=utf-8")])
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+        content = record("response", main, http + payload, [*common, *digests, ("Content-Type", "application/http; msgtype=response")])
     else:
         content = record("revisit", main, b"", [*common, *digests, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{_name('main', first_id, digest)}>")])
     path = (uri or "/").partition("://")[2].partition("/")
@@ -185,6 +188,8 @@ def read_records(files: DataFrame, folder: str, with_payload: bool = True) -> Da
                 for headers, block in records(raw):
                     h = dict(headers)
                     kind, is_page = h["warc-type"], h["warc-type"] == "response"
+                    if is_page and h.get("content-type", "").startswith("application/http"):  # the payload is what follows status and headers
+                        block = block.partition(b"\r\n\r\n")[2]
                     fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if x) if kind == "metadata" else {}
                     claimed = h.get("warc-payload-digest")
                     digest = hashlib.sha256(block).hexdigest() if is_page else base64.b32decode(claimed.partition(":")[2]).hex() if claimed else None
@@ -205,7 +210,9 @@ def read_records(files: DataFrame, folder: str, with_payload: bool = True) -> Da
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow_type(RECORDS))
 
-    return files.repartitionByRange(max(1, files.count()), "path").mapInArrow(read, RECORDS)
+    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
+    tasks = min(total["n"], max(4 * files.sparkSession.sparkContext.defaultParallelism, total["b"] // TASK_BYTES))
+    return files.repartition(max(1, tasks), "path").mapInArrow(read, RECORDS)
 
 
 def assemble(found: DataFrame) -> DataFrame:

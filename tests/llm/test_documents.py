@@ -201,6 +201,26 @@ def test_line_runs(spark):
     assert line_runs.dedup_lines(frame(spark, data).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 4, 50])
+def test_line_runs_of_any_length(spark, least):
+    """Against brute force, for lines of a small alphabet, where runs of many lengths overlap; and the maximal runs cover what is deleted."""
+    rng = random.Random(least)
+    line = lambda: rng.choice(["a b", "c", "d e f", "g " * 20, "h i"])
+    data = [(i, "\n".join(line() if rng.random() < 0.9 else f"only {i} {rng.random()}" for _ in range(rng.randint(1, 30))), "en") for i in range(25)]
+    gone = cut_lines(data, least)
+    got = {r["row"]["doc_id"]: r["n_deleted"] for r in line_runs.dedup_lines(frame(spark, data), least).collect()}
+    assert got == {d: len(gone[(d, t)]) for d, t, _ in data}
+    texts = {d: t.split("\n") for d, t, _ in data}
+    covered = {d: set() for d in texts}
+    for r in line_runs.repeated_runs(frame(spark, data), least).collect():
+        here, there = texts[r["doc_id"]], texts[r["first_doc_id"]]
+        run = here[r["from_line"] : r["to_line"] + 1]
+        assert run == there[r["first_line"] : r["first_line"] + len(run)] and len(run) == r["n_lines"]
+        assert sum(len(s.split()) for s in run) == r["n_words"] >= least
+        covered[r["doc_id"]].update(range(r["from_line"], r["to_line"] + 1))
+    assert covered == {d: gone[(d, t)] for d, t, _ in data}
+
+
 def test_line_runs_of_very_long_texts(spark):
     """Two megabytes in 40,000 lines, twice, and half of them once more in another text."""
     rng = random.Random(33)

@@ -7,11 +7,15 @@ longest-common-prefix interval of depth 2**k of the suffix array; a rank is name
 position, and positions alone in their interval drop out, for no repeated run begins there. Any depth x between
 2**k and 2**(k + 1) is the pair of the ranks at both ends of the run.
 
-A repeated run counts from ``MIN_WORDS`` words on. A line is deleted if it lies in such a run that occurs
-earlier, in ascending (doc_id, text hash, line). Every line of a run of MIN_WORDS words or more lies in a
-shortest such run that begins or ends within it, and a part of a repeated run is repeated, so only two runs a
-position are tested: the shortest that begins there and the shortest that ends there. They hold at most
-MIN_WORDS lines, which bounds the rounds whatever the corpus.
+A repeated run counts from ``min_words`` words on (MIN_WORDS by default; 1: every repeated line). Two runs a position
+are looked up in the intervals: the shortest that begins there and the shortest that ends there; every line of a run of
+``min_words`` words or more lies in one of them that is within the run, and a part of a repeated run is repeated. The
+rounds go on until these depths are reached or no rank is shared any more. Looked-up runs whose first copies lie on one
+diagonal (the same distance before them) and touch are one run: these are the maximal repeated runs, each with its
+first copy, which repeated_runs() returns. Later copies, in ascending (doc_id, text hash, line), are deleted.
+
+What is left out of a full suffix array is the order of intervals among each other: deletion needs to know which
+suffixes share an interval, and which of them comes first in the corpus, not which sorts before which.
 
 Results defined for odd input: lines are compared without white space at their ends; a null text stays null; an
 empty text stays empty; rows equal in doc_id and text are one document and are treated alike; null doc_ids come
@@ -58,7 +62,7 @@ def _line_table(docs: DataFrame, min_words: int) -> DataFrame:
             "d", "t", "t2", "line", "l1", "l2", F.col("at").cast("long").alias("at"),
             F.when(enough, F.coalesce(F.col("next"), F.col("count") + 1) - F.col("at")).cast("int").alias("from_here"),
             F.when(F.col("upto") >= min_words, F.col("at") - F.coalesce(F.col("last"), F.lit(0))).cast("int").alias("up_to_here"),
-            (F.monotonically_increasing_id()).alias("pos"), F.col("count").cast("long").alias("count"),
+            (F.monotonically_increasing_id()).alias("pos"), F.col("count").cast("long").alias("count"), "before", "upto",
         ),
         "lines",
     )
@@ -74,11 +78,11 @@ def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return keyed.join(intervals, keys).drop(*keys)
 
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, t2, line): the lines that documents lose."""
+def _later_copies(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame | None]:
+    """The line table, and (d, t, t2, at, x, begin, first): runs of x lines from the at-th of a document, and the position of their first copy, which is another one."""
     lines = _line_table(docs, min_words)
     start = F.col("pos")
-    # the runs to test; a document's positions are consecutive, as one task wrote them in order
+    # the runs to look up; a document's positions are consecutive, as one task wrote them in order
     runs = materialize(
         lines.where("from_here IS NOT NULL").select(start.alias("begin"), F.col("from_here").alias("x"), "d", "t", "t2", "at")
         .unionByName(lines.where("up_to_here IS NOT NULL").select((start - F.col("up_to_here") + 1).alias("begin"), F.col("up_to_here").alias("x"), "d", "t", "t2", (F.col("at") - F.col("up_to_here") + 1).alias("at"))).distinct(),
@@ -87,27 +91,59 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     longest = runs.agg(F.max("x").alias("x")).first()["x"] or 0
     ranks = materialize(_ranked(lines.select("pos", "l1", "l2", (start - F.col("at") + F.col("count")).alias("end")), ["l1", "l2"]), "ranks")
     hits, depth = [], 1
-    while depth <= longest:
+    while depth <= longest and not ranks.isEmpty():
         mine = runs.where((F.col("x") >= depth) & (F.col("x") < 2 * depth)).withColumn("second", F.col("begin") + F.col("x") - depth)
         rank = ranks.select("pos", "rank")
         tested = mine.join(rank.toDF("begin", "r1"), "begin")
         tested = tested.withColumn("r2", F.col("r1")) if depth == 1 else tested.join(rank.toDF("second", "r2"), "second")
-        hits.append(tested.select("x", "r1", "r2", "d", "t", "t2", "at"))
+        hits.append(tested.select("x", "r1", "r2", "d", "t", "t2", "at", "begin"))
         if 2 * depth > longest:
             break
         pairs = ranks.join(rank.select((F.col("pos") - depth).alias("pos"), F.col("rank").alias("other")), "pos").where(F.col("pos") + 2 * depth - 1 <= F.col("end"))
         ranks = materialize(_ranked(materialize(pairs.withColumnRenamed("rank", "one"), "pairs"), ["one", "other"]), "ranks")
         depth *= 2
     if not hits:
-        return lines.select("d", "t", "t2", "line").limit(0)
+        return lines, None
     found = hits[0]
     for more in hits[1:]:
         found = found.unionByName(more)
     found = materialize(found, "hits")
-    key, place = ["x", "r1", "r2"], F.struct("d", "t", "t2", "at")
-    first = materialize(found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-copies")
-    later = found.join(first, key).where(place > F.col("first")).select("d", "t", "t2", F.explode(F.expr("sequence(at, at + x - 1)")).alias("at")).distinct()
-    return later.join(lines.select("d", "t", "t2", "at", "line"), ["d", "t", "t2", "at"]).drop("at")
+    key, place = ["x", "r1", "r2"], F.struct("d", "t", "t2", "at", "begin")
+    first = materialize(found.groupBy(*key).agg(F.min(place).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-copies")
+    return lines, found.join(first, key).where(place > F.col("one")).select("d", "t", "t2", "at", "x", "begin", F.col("one.begin").alias("first"))
+
+
+def _maximal(later: DataFrame) -> DataFrame:
+    """(d, t, t2, at, until, begin, first): runs on one diagonal that overlap or touch, as one."""
+    diagonal = Window.partitionBy("d", "t", "t2", "shift").orderBy("at", "until")
+    rows = later.select("d", "t", "t2", "at", (F.col("at") + F.col("x") - 1).alias("until"), "begin", "first", (F.col("begin") - F.col("first")).alias("shift"))
+    reach = F.max("until").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("fresh", F.coalesce((F.col("at") > reach + 1).cast("int"), F.lit(1)))
+    islands = marked.withColumn("island", F.sum("fresh").over(diagonal.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return islands.groupBy("d", "t", "t2", "shift", "island").agg(F.min("at").alias("at"), F.max("until").alias("until"), F.min("begin").alias("begin"), F.min("first").alias("first")).drop("shift", "island")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Maximal repeated runs of ``docs`` (doc_id, text): doc_id, from_line, to_line (as the text counts them, from 0), n_lines (with words), n_words, and where the first copy is: first_doc_id, first_line."""
+    named = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").alias("_text"))
+    lines, later = _later_copies(named, min_words)
+    last = (1 << 63) - 1
+    doc = lambda c: F.when(F.col(c) != last, F.col(c))
+    if later is None:
+        return lines.limit(0).select(doc("d").alias("doc_id"), F.col("line").alias("from_line"), F.col("line").alias("to_line"), F.col("at").alias("n_lines"), F.col("at").alias("n_words"), doc("d").alias("first_doc_id"), F.col("line").alias("first_line"))
+    runs = materialize(_maximal(later).withColumn("end", F.col("begin") + F.col("until") - F.col("at")), "maximal-runs")
+    at = lambda key, *cols: lines.select(F.col("pos").alias(key), *cols)
+    found = runs.join(at("begin", F.col("line").alias("from_line"), F.col("before").alias("_b")), "begin").join(at("end", F.col("line").alias("to_line"), F.col("upto").alias("_u")), "end").join(at("first", F.col("d").alias("_fd"), F.col("line").alias("first_line")), "first")
+    return found.select(doc("d").alias("doc_id"), "from_line", "to_line", (F.col("until") - F.col("at") + 1).alias("n_lines"), (F.col("_u") - F.col("_b")).alias("n_words"), doc("_fd").alias("first_doc_id"), "first_line")
+
+
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(d, t, t2, line): the lines that documents lose."""
+    lines, later = _later_copies(docs, min_words)
+    if later is None:
+        return lines.select("d", "t", "t2", "line").limit(0)
+    gone = _maximal(later).select("d", "t", "t2", F.explode(F.expr("sequence(at, until)")).alias("at")).distinct()
+    return gone.join(lines.select("d", "t", "t2", "at", "line"), ["d", "t", "t2", "at"]).drop("at")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

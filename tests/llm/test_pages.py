@@ -224,3 +224,18 @@ def test_near_vectors(spark, monkeypatch, block):
     got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in epsilon_grid.near_vectors(df).collect())
     assert got == brute_vectors(rows)
     assert epsilon_grid.near_vectors(df.limit(0)).count() == 0
+
+
+def test_distant_intervals_are_skipped():
+    """On clustered vectors most pairs are never compared, and no link is lost."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(64, 32))
+    x = epsilon_grid._unit(np.repeat(centres, 32, axis=0) + 0.03 * rng.normal(size=(2048, 32)))
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    axes = vectors[:, np.argsort(-values)[: epsilon_grid.BOUND_DIMS]]
+    eps = np.sqrt(2 - 2 * 0.98)
+    x = x[np.lexsort(np.floor(x @ axes[:, : epsilon_grid.GRID_DIMS] / eps).T[::-1])]
+    tree, found = epsilon_grid._tree(epsilon_grid.coordinates(x, axes)), []
+    compared = epsilon_grid._descend(x, x, tree, tree, (0, len(x)), (0, len(x)), 0.98, True, found)
+    assert sum(len(p) for p, _ in found) == (np.triu(x @ x.T >= 0.98, 1)).sum()
+    assert compared < 0.5 * len(x) ** 2 / 2

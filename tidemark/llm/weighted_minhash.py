@@ -46,7 +46,7 @@ K = BANDS * ROWS
 LINK, COVER = round(0.43 * K), round(0.85 * K)
 #: ... where two leaders are linked that cover documents of their parts: these may be 0.8 alike while their leaders are only 0.5 alike.
 LINK_LEADERS = round(0.3 * K)
-SUB_BUCKET = 4096
+SUB_BUCKET = 1024
 BATCH_BYTES = 4 << 20
 #: Shingles a hash range, and the bits by which a range tells its shingles apart.
 RANGE_SHINGLES, RANGE_BITS = 1 << 22, 36

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_trie, common, packing, token_files, tokens
+from tidemark.llm import bpe_trie, common, packing, textops, token_files, tokens
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -54,6 +54,16 @@ def test_tables_that_forget(monkeypatch):
     assert encode(lambda _: small, WORD, texts[:20]) + encode(lambda _: small, WORD, texts[20:]) == library_ids(WORD, texts)
 
 
+def test_hits_are_held_against_the_bytes(monkeypatch):
+    """With a hash of a few values nearly all hits are wrong ones; the ids aren't."""
+    good = textops.hash_spans
+    monkeypatch.setattr(textops, "hash_spans", lambda *a: good(*a) % np.uint64(7) + np.uint64(1))
+    texts = [*ODD, *(f"word{i} and more {i}" for i in range(40))]
+    for enc, path in ((bpe_trie.TrieEncoder(BYTE), BYTE), (tokens.DocumentEncoder(WORD), WORD)):
+        for _ in range(2):
+            assert encode(lambda _, e=enc: e, path, texts) == library_ids(path, texts)
+
+
 def documents(spark):
     data = [(i, t, "x") for i, t in enumerate(ODD)] + [(None, "null id", "x"), (3, "again three", "x"), (3, "again three", "x")]
     return spark.createDataFrame(data, "doc_id long, text string, ids string"), data

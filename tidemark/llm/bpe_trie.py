@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .common import arrow_type, ragged_take, read_table, text_bytes, text_slices
-from .tokens import SPACE, Growing, Numbered
+from .tokens import SPACE, Growing, Numbered, Spans
 
 #: The published splitting pattern of this byte-level family, with white space spelled out (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,7 +135,7 @@ class TrieEncoder:
 
         self.vocabulary = Vocabulary(path)
         self.split = regex.compile(SPLIT.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]"))
-        self.table, self.chunks = textops.HashTable(limit), Growing(np.int32)
+        self.table, self.chunks, self.spans = textops.HashTable(limit), Growing(np.int32), Spans()
         self.numbers, self.words = Numbered(), Growing(np.int32)
         names = [self.vocabulary.bytes.get(i, b"") for i in range(self.vocabulary.size)]
         for t, i in self.vocabulary.special.items():
@@ -198,15 +198,20 @@ class TrieEncoder:
         if len(missing := np.flatnonzero(number < 0)):
             fresh, where = np.unique(h[missing], return_index=True)
             if self.table.count + len(fresh) > self.table.limit:
-                self.table.clear(), self.chunks.clear(), self.words.clear(), self.numbers.clear()
+                self.table.clear(), self.chunks.clear(), self.spans.clear(), self.words.clear(), self.numbers.clear()
                 missing = np.arange(len(h))
                 fresh, where = np.unique(h, return_index=True)
                 if len(fresh) > self.table.limit:
                     self.table = textops.HashTable(1 << int(len(fresh)).bit_length())
             where, raw = missing[where], data.tobytes()
             self._learn([raw[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)])
+            self.spans.extend(data, starts[where], stops[where])
             self.table.add(fresh)
             number[missing] = self.table.find(h[missing])
+        if len(bad := self.spans.unlike(data, starts, stops, number)):  # another stretch has the same hash
+            self._learn([data[a:b].tobytes() for a, b in zip(starts[bad].tolist(), stops[bad].tolist(), strict=True)])
+            self.spans.extend(data, starts[bad], stops[bad])
+            number[bad] = self.table.skip(len(bad))
         flat, lengths = ragged_take(self.chunks.flat, self.chunks.offsets, number.astype(np.int64))
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return flat, np.diff(ends[np.searchsorted(starts, offsets)])

@@ -89,6 +89,11 @@ class HashTable:
             which, slot = which[on], (slot[on] + 1) & int(self.mask)
         return out
 
+    def skip(self, n: int) -> np.ndarray:
+        """Numbers for n entries that no hash finds."""
+        self.count += n
+        return np.arange(self.count - n, self.count, dtype=np.int32)
+
     def add(self, h: np.ndarray) -> None:
         """Number new, distinct hashes in their order."""
         number = np.arange(self.count, self.count + len(h), dtype=np.int32)

@@ -1,8 +1,8 @@
 """Token ids of the tokenizers library, each distinct stretch between white space encoded once a worker.
 
 For a vocabulary whose normaliser and splitter drop white space (word_bpe), the ids of a text are those of
-its stretches, joined. Stretches are found and looked up by hash for a whole slice of documents at once;
-only new ones reach the library. Any other vocabulary goes through ``encode_batch`` as it is.
+its stretches, joined. Stretches are found and looked up by hash for a whole slice of documents at once, and
+held against the bytes kept for the hash; only new ones reach the library. Any other vocabulary goes through ``encode_batch`` as it is.
 """
 
 from __future__ import annotations
@@ -39,6 +39,40 @@ class Growing:
         self.n = self.rows = 0
 
 
+class Spans:
+    """The bytes of numbered stretches, to hold hits of a hash against."""
+
+    def __init__(self):
+        self.kept = Growing(np.uint8)
+
+    def clear(self) -> None:
+        self.kept.clear()
+
+    def extend(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        flat, lengths = take_spans(data, starts, stops)
+        self.kept.extend(flat, lengths)
+
+    def unlike(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The stretches that aren't the bytes kept under their number."""
+        lengths = np.diff(self.kept.offsets[: self.kept.rows + 1])[number]
+        bad = lengths != stops - starts
+        rest = np.flatnonzero(~bad)
+        mine, n = take_spans(data, starts[rest], stops[rest])
+        theirs, _ = ragged_take(self.kept.flat, self.kept.offsets, number[rest].astype(np.int64))
+        if len(wrong := np.flatnonzero(mine != theirs)):
+            bad[rest[np.searchsorted(np.cumsum(n), wrong, side="right")]] = True
+        return np.flatnonzero(bad)
+
+
+def take_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans, joined, and their lengths."""
+    lengths = stops - starts
+    ends = np.cumsum(lengths)
+    if not len(ends) or not ends[-1]:
+        return data[:0], lengths
+    return data[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)], lengths
+
+
 class Numbered(dict):
     """Gives each new key the next number and remembers it as new."""
 
@@ -73,7 +107,7 @@ class DocumentEncoder:
         vocab = spec["model"]["vocab"]
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.table, self.chunks = textops.HashTable(limit), Growing(np.int32)
+        self.table, self.chunks, self.spans = textops.HashTable(limit), Growing(np.int32), Spans()
         self.numbers, self.pieces = Numbered(), Growing(np.int32)
 
     @staticmethod
@@ -122,7 +156,7 @@ class DocumentEncoder:
         if len(missing := np.flatnonzero(number < 0)):
             fresh, where = np.unique(h[missing], return_index=True)
             if self.table.count + len(fresh) > self.table.limit:
-                self.table.clear(), self.chunks.clear(), self.pieces.clear(), self.numbers.clear()
+                self.table.clear(), self.chunks.clear(), self.spans.clear(), self.pieces.clear(), self.numbers.clear()
                 missing = np.arange(len(h))
                 fresh, where = np.unique(h, return_index=True)
                 if len(fresh) > self.table.limit:
@@ -130,8 +164,13 @@ class DocumentEncoder:
             where = missing[where]
             raw = data.tobytes()
             self._learn([raw[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)])
+            self.spans.extend(data, starts[where], stops[where])
             self.table.add(fresh)
             number[missing] = self.table.find(h[missing])
+        if len(bad := self.spans.unlike(data, starts, stops, number)):  # another stretch has the same hash
+            self._learn([data[a:b].tobytes() for a, b in zip(starts[bad].tolist(), stops[bad].tolist(), strict=True)])
+            self.spans.extend(data, starts[bad], stops[bad])
+            number[bad] = self.table.skip(len(bad))
         flat, lengths = ragged_take(self.chunks.flat, self.chunks.offsets, number.astype(np.int64))
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return flat, np.diff(ends[first])

@@ -70,15 +70,22 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token sums and models of each order's lines."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("m", F.expr(_MODEL)).withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    """Token sums and models of each order's lines, in one hash aggregate: all its values are numbers.
+
+    A line's place is one number (line, part and supplier, 3, 34 and 26 bits), from which its model follows; the first
+    place of each model gives the order of models.
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumn("o", F.shiftleft(F.col("l_linenumber").cast("long"), 60) + F.shiftleft("l_partkey", 26) + F.col("l_suppkey")).withColumn("r", F.col("l_suppkey") % 9)
     total = lambda e: F.sum(F.expr(e)).cast("long")
-    # an order has a few lines, so its models are collected with their places in the one aggregate
-    used = F.array_sort(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("o", "m"))))
-    return lines.groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.struct(total("CAST(l_quantity AS BIGINT) * 100").alias("input"), total("CAST(floor(l_extendedprice) AS BIGINT)").alias("output"), total("CAST(l_partkey AS BIGINT)").alias("cache_creation"), total("CAST(l_suppkey AS BIGINT) * 1000").alias("cache_read")).alias("token_totals"),
-        F.max_by("m", F.when(F.col("m").isNotNull(), F.col("o"))).alias("model"), F.array_distinct(F.transform(used, lambda x: x["m"])).alias("models_used"),
+    models = [*RATES, "unlisted-model"]
+    name = F.element_at(F.array(*map(F.lit, models)), ((F.col("last").bitwiseAND(F.lit((1 << 26) - 1))) % 9 + 1).cast("int"))
+    sums = lines.groupBy(F.col("l_orderkey").alias("id")).agg(
+        total("CAST(l_quantity AS BIGINT) * 100").alias("input"), total("CAST(floor(l_extendedprice) AS BIGINT)").alias("output"), total("CAST(l_partkey AS BIGINT)").alias("cache_creation"), total("CAST(l_suppkey AS BIGINT) * 1000").alias("cache_read"),
+        F.max(F.when(F.col("r") < len(models), F.col("o"))).alias("last"), *[F.min(F.when(F.col("r") == i, F.col("o"))).alias(f"m{i}") for i in range(len(models))],
     )
+    firsts = F.array(*[F.when(F.col(f"m{i}").isNotNull(), F.struct(F.col(f"m{i}").alias("o"), F.lit(m).alias("m"))) for i, m in enumerate(models)])
+    used = F.transform(F.array_sort(F.filter(firsts, lambda s: s.isNotNull())), lambda s: s["m"])
+    return sums.select("id", F.struct("input", "output", "cache_creation", "cache_read").alias("token_totals"), F.when(F.col("last").isNotNull(), name).alias("model"), used.alias("models_used"))
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:

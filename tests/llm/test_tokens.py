@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -136,6 +138,36 @@ def test_plan_holds_every_piece(histogram):
     assert bins <= 2 * math.ceil(total / 40)
 
 
+def least_bins(pieces, capacity):
+    """The optimum, by trying all ways."""
+    best = [len(pieces)]
+    pieces = sorted(pieces, reverse=True)
+
+    def place(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(room)
+            return
+        for r in sorted({r for r in room if r >= pieces[i]}):
+            k = room.index(r)
+            place(i + 1, [*room[:k], r - pieces[i], *room[k + 1 :]])
+        place(i + 1, [*room, capacity - pieces[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plans_are_near_the_optimum():
+    rng, more = random.Random(5), 0
+    for _ in range(150):
+        pieces = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        bins = sum(t for t, _ in packing.plan_bins(dict(Counter(pieces)), 20))
+        assert least_bins(pieces, 20) <= bins <= least_bins(pieces, 20) + 1
+        more += bins > least_bins(pieces, 20)
+    assert more <= 8
+
+
 def test_two_that_fit_better_take_the_smallest_ones_place():
     # greedy fills 6 + 3 and leaves a gap of 1; 6 + 2 + 2 closes it
     assert packing.plan_bins({6: 1, 3: 1, 2: 2}, 10)[0] == (1, [(6, 1), (2, 2)])

@@ -32,6 +32,25 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_entry_without_the_optional_folder_and_with_a_broken_one(tmp_path):
+    """Without the folder the other queries are there; an import error within it isn't hidden."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).parent.parent
+    shutil.copytree(repo / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert run().stdout.strip() == str(len(QUERIES))
+    (tmp_path / "tidemark" / "llm").mkdir()
+    (tmp_path / "tidemark" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "tidemark" / "llm" / "queries.py").write_text("import no_such_module")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    assert "no_such_module" in run().stderr
+
+
 def test_facets_partition_the_rows(spark, sf):
     from tidemark.plans import views
 

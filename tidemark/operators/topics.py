@@ -174,11 +174,13 @@ def rescue(labels: DataFrame, tokens: DataFrame, cluster_tokens: DataFrame, thre
     idf = inverse_frequency(tokens).where("idf > 0").select("token", "idf")
     docs = written(labels.where("label IS NULL").join(tokens, "doc").select("doc", F.explode("tokens").alias("token")).join(idf, "token").select("doc", "token", F.col("idf").alias("w")))
     clusters = written(cluster_tokens.join(idf, "token").select(F.col("label").alias("to"), "ord", "token", (F.col("n") * F.col("idf")).alias("w")))
-    norm = lambda df, keys, name: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = docs.select("doc", "token", F.col("w").alias("a")).join(clusters.select("to", "ord", "token", F.col("w").alias("b")), "token").groupBy("doc", "to", "ord").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    sims = dots.join(norm(docs, ["doc"], "na"), "doc").join(norm(clusters, ["to"], "nb"), "to").where("na > 0 AND nb > 0").withColumn("sim", F.col("dot") / (F.col("na") * F.col("nb")))
-    best = sims.groupBy("doc").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("ord")).alias("o"), "to")).alias("b")).where((F.col("b.sim") > 0) & (F.col("b.sim") >= threshold))
-    return labels.join(best, "doc", "left").select("doc", F.coalesce("label", "b.to").alias("label"), F.when(F.col("label").isNull(), F.col("b.sim")).alias("rescued_at"))
+    norm = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
+    names = clusters.select("ord", "to").distinct()
+    dots = docs.select("doc", "token", F.col("w").alias("a")).join(clusters.select("ord", "token", F.col("w").alias("b")), "token").groupBy("doc", "ord").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    sims = dots.join(norm(docs, "doc", "na"), "doc").join(norm(clusters, "ord", "nb"), "ord").where("na > 0 AND nb > 0").withColumn("sim", F.col("dot") / (F.col("na") * F.col("nb")))
+    best = sims.groupBy("doc").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("ord")).alias("o"))).alias("b")).where((F.col("b.sim") > 0) & (F.col("b.sim") >= threshold))
+    best = best.select("doc", "b.sim", (-F.col("b.o")).alias("ord")).join(names, "ord")
+    return labels.join(best, "doc", "left").select("doc", F.coalesce("label", "to").alias("label"), F.when(F.col("label").isNull(), F.col("sim")).alias("rescued_at"))
 
 
 def coherence(top_terms: DataFrame, tokens: DataFrame, top_n: int = TOP_N) -> DataFrame:

@@ -190,3 +190,14 @@ def test_first_texts(spark):
     ]
     df = spark.createDataFrame([("f", n, raw) for n, raw in lines] + [("g", 1, lines[3][1])], "file_id string, line_no long, raw string")
     assert {tuple(r) for r in json_lines.first_texts(df).collect()} == {("f", ""), ("g", "later")}
+
+
+def test_partial_results_are_those_so_far(spark, sf, tmp_path):
+    def stream():
+        return activity.weekly(activity.read_events(spark, f"{sf}/events.parquet")).select("event_type", "n")
+
+    query = activity.flush(stream(), str(tmp_path / "live"))
+    query.processAllAvailable()
+    query.stop()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(activity.latest(spark, str(tmp_path / "live"))) == rows(activity.drain(stream(), "complete"))

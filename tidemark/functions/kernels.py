@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Characters of a chunk, of a block's and a line's preview, and from where a line may be expanded. The words
+#: that previews put around what they cut (such as "error", "snapshot", "tracked file") are fixed values, too.
 CHUNK, BLOCK_CAP, TOTAL_CAP, EXPAND = 1800, 600, 1500, 1200
 _WS = re.compile(r"[\t-\r    -     　﻿]+")
 

@@ -75,3 +75,18 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = f"{base}/out/all" if mode == "complete" else f"{base}/out"
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def flush(stream: DataFrame, path: str, every: str = "250 milliseconds"):
+    """Start a stream whose whole result so far is written to ``path`` at every interval: a folder a batch, so a reader never sees half a result. latest() reads the newest; stop the returned query when drain() has the final one."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    return stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime=every).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """What the last finished interval of flush() wrote."""
+    rows = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/batch=*")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")

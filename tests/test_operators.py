@@ -324,6 +324,26 @@ def test_uploads_of_disjoint_ids(spark):
     assert {(r["id"], r["side"]) for r in got.collect()} == {(1, "old"), (2, "new"), (3, "old"), (4, "new")}
 
 
+def test_hybrid_labels_take_the_first_source_that_answers(spark):
+    """Near centroids first; among 30 or more abstentions topics are found; who is left is rescued by words, or stays without a label."""
+    def unit(*v):
+        v = np.array(v, float)
+        return (v / np.linalg.norm(v)).tolist()
+
+    rows = [(i, i, unit(1, 0.01 * i, 0, 0), ["sql", "plan"]) for i in range(3)]  # near the centroid
+    rows += [(10 + i, 10 + i, unit(0, 0, 1, 0.001 * i), ["garden", "rose", f"w{chr(97 + i % 20)}w"]) for i in range(30)]  # a topic of their own
+    rows += [(50, 50, unit(0, 1, 0, -1), ["sql", "plan"]), (51, 51, unit(0, -1, 0, -1), ["alone", "words", "here"])]
+    docs = spark.createDataFrame(rows, "pos int, doc int, vec array<double>, tokens array<string>").withColumn("text", F.lit(""))
+    centroids = spark.createDataFrame([("db", 0, [1.0, 0.0, 0.0, 0.0])], "centroid_id string, ord int, vec array<double>")
+    got = {r["doc"]: r["label"] for r in topics.hybrid_labels(docs, docs.select("doc", "vec"), centroids, 0.5).collect()}
+    assert {got[i] for i in range(3)} == {"db"}
+    topic = {got[10 + i] for i in range(30)}
+    assert len(topic) == 1 and next(iter(topic)).startswith("~")
+    assert got[50] == "db" and got[51] is None
+    few = docs.where("doc < 3 OR doc > 45")
+    assert {r["doc"]: r["label"] for r in topics.hybrid_labels(few, few.select("doc", "vec"), centroids, 0.5).collect()} == {0: "db", 1: "db", 2: "db", 50: "db", 51: None}
+
+
 def test_rescue_and_coherence(spark):
     tokens = spark.createDataFrame([(1, ["spark", "plan"]), (2, ["spark", "join"]), (3, ["cat"]), (4, [])], "doc int, tokens array<string>")
     labels = spark.createDataFrame([(1, None), (2, "sql"), (3, None), (4, None)], "doc int, label string")

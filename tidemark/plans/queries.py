@@ -491,7 +491,8 @@ def chunk_text(spark, sf):
     return docs.select("doc_id", F.posexplode(chunks("t", "s", "turns")).alias("at", "chunk"))
 
 
-@query()
+@query(r"""WITH q AS (SELECT conv_id AS id, turn AS pos, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations)
+SELECT id, pos, CASE WHEN length(t) <= 600 THEN t ELSE concat(left(t, 600), '…(+', length(t) - 600, ' chars)') END AS preview FROM q""")
 def line_previews(spark, sf):
     lines = V.messages(spark, sf).select("id", "pos", F.to_json(F.struct(F.when(F.col("sender") == "human", "user").otherwise("assistant").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("message"))).alias("raw"))
     return lines.select("id", "pos", line_preview("raw").alias("preview"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,35 @@ def _folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/tidemark-graph"
 
 
+#: Folders of intermediate tables made in this thread's call of a tidy() function; None outside of one.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+def tidy(f):
+    """``f`` (spark, ...) -> DataFrame; the intermediate tables that it made and that its result doesn't read are deleted at its end. No other call's tables are touched."""
+
+    @functools.wraps(f)
+    def run(spark, *args):
+        token = _made.set([])
+        try:
+            out = f(spark, *args)
+            read = " ".join(out.inputFiles())
+            for path in _made.get():
+                if path.rpartition("/")[2] not in read:
+                    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        finally:
+            _made.reset(token)
+        return out
+
+    return run
+
+
 def fresh_folder(spark: SparkSession) -> str:
-    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:

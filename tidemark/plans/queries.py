@@ -12,7 +12,7 @@ from ..functions.kernels import chunks, line_preview
 from ..functions.text import format_count, format_usd, inline_html, normalize_for_hash, preview
 from ..operators import cost, duplicates, lifecycle, merge, rollups, search, similarity, topics
 from ..operators import sessions as S
-from ..operators.graph import fresh_folder, written
+from ..operators.graph import fresh_folder, tidy, written
 from ..sources import archives, fixtures, json_lines, manifests, tables
 from ..streaming import activity
 from ..schema import DAY_MS, PROBE
@@ -24,7 +24,7 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = tidy(f)
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f

@@ -153,11 +153,16 @@ def sorted_page(spark, sf):
     return search.ranked_page(V.sessions(spark, sf), "turns").select("rank", "id", "user_turns")
 
 
-@query(f"WITH {_PAGE} SELECT id, rank::INT AS rank, CASE WHEN rank > 1 THEN lag(id) OVER (ORDER BY rank) END AS previous_id, CASE WHEN rank < 50 THEN lead(id) OVER (ORDER BY rank) END AS next_id FROM p WHERE rank <= 50")
+@query(f"WITH {_PAGE} SELECT id, rank, lag(id) OVER (ORDER BY rank) AS previous_id, lead(id) OVER (ORDER BY rank) AS next_id FROM p")
 def neighbor_ids(spark, sf):
     return search.neighbours(V.sessions(spark, sf), "turns")
 
 
+@query(f"WITH {_PAGE} SELECT id, rank FROM p WHERE rank BETWEEN 201 AND 250")
+def fifth_page(spark, sf):
+    return search.nth_page(V.sessions(spark, sf), "turns", 5)
+
+
 @query(f"WITH s AS ({V.SESSIONS}) SELECT id, source, project FROM s ORDER BY CASE WHEN project = '' THEN 0 WHEN project IS NULL THEN 1 ELSE 2 END, project, updated_at DESC, pos LIMIT 50")
 def project_page(spark, sf):
     return search.page(V.sessions(spark, sf), "project").select("id", "source", "project")
@@ -622,15 +627,14 @@ def manifest_drift(spark, sf):
 
 
 def _export(spark, sf):
-    """The conversations as an export: one file with an array."""
+    """The conversations as an export: a file with an array for each partition."""
     m = V.table(spark, sf, "conversations")
     message = F.struct(F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"), F.coalesce("text", F.lit("")).alias("text"))
     talk = m.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda s: s["m"]).alias("chat_messages"))
     made = F.to_json(F.struct(_uuid(F.col("conv_id")).alias("uuid"), F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("name"), F.when(F.col("conv_id") % 10 != 0, "2024-01-01T00:00:00Z").otherwise("never").alias("created_at"), F.lit("2024-01-02T00:00:00Z").alias("updated_at"), "chat_messages"))
     folder = fresh_folder(spark)
-    whole = talk.select(made.alias("raw")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("raw"), ","), F.lit("]")).alias("text"))  # an export is one file
-    fixtures.write_texts(whole.select(F.lit("export/conversations.json").alias("name"), "text"), folder)
-    return archives.read_conversations(spark, f"{folder}/export/conversations.json")
+    fixtures.write_arrays(talk.select(made.alias("raw")), f"{folder}/export")
+    return archives.read_conversations(spark, f"{folder}/export/part-*")
 
 
 @query(rf"""SELECT {_ID} AS id, concat('talk ', conv_id) AS title, 86400000 AS duration_ms, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns,

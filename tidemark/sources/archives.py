@@ -8,8 +8,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import CONVERSATION, PROJECT
+from .json_arrays import elements
 from .json_lines import exists
 
 
@@ -33,29 +35,30 @@ def extract(archive: str, folder: str) -> list[str]:
         return z.namelist()
 
 
+def _rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    return elements(spark, path).select(F.from_json("raw", schema).alias("c")).select("c.*")
+
+
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """The conversations of an export; the file must be there and hold an array."""
+    """The conversations of an export; the file must be there and hold an array. A path may match several files, each with an array."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    first = spark.read.text(path).where(F.trim("value") != "").select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()  # the first line with anything on it
-    if first is None or first["c"] != "[":
-        raise ValueError(f"{path} holds no array")
-    return spark.read.schema(CONVERSATION).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return _rows(spark, path, CONVERSATION)
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """The projects of an export; a missing or broken file gives none."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], PROJECT)
-    return spark.read.schema(PROJECT).option("multiLine", True).json(path).where("uuid IS NOT NULL")
+def read_optional(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Another member of an export (USERS, MEMORIES, projects); a missing or broken file gives no rows, and so does an element without the first member."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    try:
+        found = _rows(spark, path, schema) if exists(spark, path) else None
+    except ValueError:
+        found = None
+    return spark.createDataFrame([], schema) if found is None else found.where(F.col(schema[0].name).isNotNull())
 
 
-def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Another member of an export (users: uuid, full_name, email_address; memories: conversations_memory, account_uuid); a missing or broken file gives no rows."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    first = [c.split()[0] for c in schema.split(",")][0]
-    return spark.read.schema(schema).option("multiLine", True).json(path).where(F.col(first).isNotNull())
+def read_projects(spark: SparkSession, path: str) -> DataFrame:
+    """The projects of an export; a missing or broken file gives none."""
+    return read_optional(spark, path, PROJECT)
 
 
 USERS = "uuid string, full_name string, email_address string"

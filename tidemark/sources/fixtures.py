@@ -90,3 +90,18 @@ def write_texts(files: DataFrame, folder: str) -> int:
             yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
 
     return files.select("name", "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_arrays(elements: DataFrame, folder: str) -> None:
+    """Write ``elements`` (raw, JSON texts) as files with one array each on one line, a file for each partition; rows stream."""
+
+    def lines(batches):
+        some = False
+        for batch in batches:
+            raws = [x for x in batch.column("raw").to_pylist() if x is not None]
+            yield pa.record_batch([pa.array([("," if some or k else "[") + raw for k, raw in enumerate(raws)], pa.string())], names=["value"])
+            some = some or bool(raws)
+        yield pa.record_batch([pa.array(["]" if some else "[]"])], names=["value"])
+
+    none = elements.sparkSession.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias("raw"))  # so that no elements are an empty array, not no file
+    elements.select("raw").unionByName(none).mapInArrow(lines, "value string").write.option("lineSep", " ").text(folder)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_ms
+from ..operators.graph import written
 from ..schema import KNOWN_LINE_TYPES, KNOWN_SENDERS
 
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -21,12 +22,26 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_lines(spark: SparkSession, glob: str) -> DataFrame:
     """(path, mtime_ms, line_no, raw) of all lines but empty ones, which count in the numbering; no rows if nothing matches.
 
-    A file is read whole and split, which gives lines their numbers; that fits logs of some hundred megabytes.
+    Files are read by splits, so a log of any size is read by many tasks. Lines get their numbers in two passes: the
+    first counts the lines of each split, whose prefix sums along a file are the splits' offsets; the second adds a
+    line's place within its split. Both passes have to cut files alike; where the cut has changed between them (the
+    files have, or the cluster's size), a line falls out of its split's range and the job fails instead of numbering
+    lines wrongly. Lines end with a line feed, with or without a carriage return before it.
     """
     if not exists(spark, glob):
         return spark.createDataFrame([], "path string, mtime_ms double, line_no long, raw string")
-    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), (F.unix_micros("_metadata.file_modification_time") / 1000.0).alias("mtime_ms"), "value")
-    return files.select("path", "mtime_ms", F.posexplode(F.split("value", "\r?\n")).alias("at", "raw")).where("raw <> ''").select("path", "mtime_ms", (F.col("at") + 1).cast("long").alias("line_no"), "raw")
+    split = ["path", "split_start", "split_length"]
+    lines = spark.read.option("lineSep", "\n").text(glob).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split_start"), F.col("_metadata.file_block_length").alias("split_length"), (F.unix_micros("_metadata.file_modification_time") / 1000.0).alias("mtime_ms"),
+        F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("raw"),
+    )
+    # one row a split
+    counts = written(lines.groupBy(*split).agg(F.count("*").alias("n"), F.min("at").alias("first")))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("before", F.coalesce(before, F.lit(0)))
+    place = F.col("at") - F.col("first")
+    number = F.when((place >= 0) & (place < F.col("n")), F.col("before") + place + 1).otherwise(F.raise_error(F.lit("the files were cut into other splits than when their lines were counted; run again")))
+    return lines.join(offsets, split, "left").select("path", "mtime_ms", number.cast("long").alias("line_no"), "raw").where("raw <> ''")
 
 
 def parse(lines: DataFrame, strict_objects: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_ms
 from ..functions.text import basename, none_if_empty, preview, truncate, word_pattern
+from .graph import written
 from ..schema import MIN_PROJECT_NAME, PROJECT_DENYLIST, PROJECT_KEYWORDS, UNTITLED
 
 
@@ -22,6 +23,41 @@ def match_project(title: Column, summary: Column, patterns: list[tuple[str, str]
     return F.coalesce(*[F.when(c.rlike(p), F.lit(name)) for c, name, p in tries]) if tries else F.lit(None).cast("string")
 
 
+def _word_tokens(c: Column) -> Column:
+    """Runs of ASCII word characters, and every other character but white space, in lower case. A name that stands between word boundaries of a text has its tokens in a row there."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+|[^a-z0-9_\s]"), 0)
+
+
+def _pattern_of(name: Column) -> Column:
+    """word_pattern() of a column."""
+    word = "[A-Za-z0-9_]"
+    lead = F.when(name.rlike(f"^{word}"), f"(?<!{word})").otherwise(f"(?<={word})")
+    tail = F.when(name.rlike(f"{word}$"), f"(?!{word})").otherwise(f"(?={word})")
+    literal = F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.concat(F.lit("(?iu)"), lead, literal, tail)
+
+
+def match_projects(sessions: DataFrame, projects: DataFrame, title: str = "title", summary: str = "summary") -> DataFrame:
+    """Sessions with ``project``: the first of ``projects`` (name, pos) by pos whose name stands in the title; if none, in the summary.
+
+    What match_project() says for a list at hand, for any number of names: names are joined with the token runs of texts
+    of their lengths, and the pairs found are held against the name itself. Each distinct text is looked at once.
+    """
+    name = F.btrim("name", F.lit(" \t\n\r\f\x0b\u00a0"))
+    kept = projects.select(name.alias("name"), "pos").where((F.char_length("name") >= MIN_PROJECT_NAME) & ~F.lower("name").isin(*PROJECT_DENYLIST))
+    named = kept.groupBy("name").agg(F.min("pos").alias("pos")).select("name", "pos", _pattern_of(F.col("name")).alias("pattern"), _word_tokens(F.col("name")).alias("t"))
+    named = written(named.select("name", "pos", "pattern", F.size("t").alias("n"), F.array_join("t", " ").alias("run")))
+    lengths = sorted(r["n"] for r in named.select("n").distinct().collect())  # lengths, not names
+    texts = sessions.select(F.col(title).alias("text")).unionByName(sessions.select(F.col(summary).alias("text"))).where("text <> ''").distinct()
+    t = F.col("t")
+    runs = F.flatten(F.transform(F.filter(F.array(*map(F.lit, lengths or [1])), lambda n: n <= F.size(t)), lambda n: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))))
+    found = texts.withColumn("t", _word_tokens(F.col("text"))).select("text", F.explode(F.array_distinct(runs)).alias("run")).join(named, "run").where(F.expr("text rlike pattern"))
+    best = found.groupBy("text").agg(F.min_by("name", "pos").alias("name"))
+    by = lambda column, out: best.select(F.col("text").alias(column), F.col("name").alias(out))
+    df = sessions.join(by(title, "_t"), title, "left").join(by(summary, "_s"), summary, "left")
+    return df.withColumn("project", F.coalesce("_t", "_s")).drop("_t", "_s")
+
+
 def infer_project(project: Column, cwd: Column, title: Column, keywords=PROJECT_KEYWORDS) -> Column:
     """struct(id, inference_source): the field, else the directory's name, else a keyword of the title."""
     of = lambda c, how: F.when(c.isNotNull(), F.struct(c.alias("id"), F.lit(how).alias("inference_source")))
@@ -111,7 +147,7 @@ def from_cowork(manifests: DataFrame, audits: DataFrame) -> DataFrame:
     return df.select(
         "id", F.lit("cowork").alias("source"), F.coalesce("cli_session_id", "id").alias("raw_session_id"), F.col("created_at").alias("started_at"), F.col("last_activity_at").alias("updated_at"), (F.col("last_activity_at") - F.col("created_at")).alias("duration_ms"),
         "title", F.lit("manifest").alias("title_source"), F.lit("vm").alias("cwd_kind"), F.coalesce("user_turns", F.lit(0)).alias("user_turns"), F.coalesce("assistant_turns", F.lit(0)).alias("assistant_turns"),
-        preview(F.col("initial_message")).alias("preview"), F.coalesce("last_result_model", "manifest_model").alias("model"), used.alias("models_used"), "cwd", F.col("total_cost_usd"),
+        preview(F.col("initial_message")).alias("preview"), F.coalesce("last_result_model", "manifest_model").alias("model"), used.alias("models_used"), "cwd", F.col("total_cost_usd"), F.col("mtime_ms").alias("source_mtime_ms"),
     )
 
 

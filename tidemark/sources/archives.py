@@ -56,6 +56,17 @@ def read_optional(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema) if found is None else found.where(F.col(schema[0].name).isNotNull())
 
 
+def project_names(spark: SparkSession, path: str) -> DataFrame:
+    """(name, pos) of the projects of an export, pos ascending in its order; a missing or broken file gives none."""
+    try:
+        found = elements(spark, path) if exists(spark, path) else None
+    except ValueError:
+        found = None
+    if found is None:
+        return spark.createDataFrame([], "name string, pos string")
+    return found.select(F.from_json("raw", PROJECT).alias("c"), F.col("at").alias("pos")).where("c.uuid IS NOT NULL AND c.name IS NOT NULL").select("c.name", "pos")
+
+
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
     """The projects of an export; a missing or broken file gives none."""
     return read_optional(spark, path, PROJECT)

@@ -19,7 +19,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
-def read_lines(spark: SparkSession, glob: str) -> DataFrame:
+def files(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, mtime_ms) of the files that match; their contents aren't read."""
+    if not exists(spark, glob):
+        return spark.createDataFrame([], "path string, mtime_ms double")
+    return spark.read.format("binaryFile").load(glob).select("path", (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"))
+
+
+def read_lines(spark: SparkSession, glob: str | list[str]) -> DataFrame:
     """(path, mtime_ms, line_no, raw) of all lines but empty ones, which count in the numbering; no rows if nothing matches.
 
     Files are read by splits, so a log of any size is read by many tasks. Lines get their numbers in two passes: the
@@ -28,7 +35,7 @@ def read_lines(spark: SparkSession, glob: str) -> DataFrame:
     files have, or the cluster's size), a line falls out of its split's range and the job fails instead of numbering
     lines wrongly. Lines end with a line feed, with or without a carriage return before it.
     """
-    if not exists(spark, glob):
+    if not (glob if isinstance(glob, list) else exists(spark, glob)):
         return spark.createDataFrame([], "path string, mtime_ms double, line_no long, raw string")
     split = ["path", "split_start", "split_length"]
     lines = spark.read.option("lineSep", "\n").text(glob).select(
@@ -54,12 +61,30 @@ def parse(lines: DataFrame, strict_objects: bool = False) -> DataFrame:
     return df.withColumn("malformed", bad)
 
 
-def transcripts(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of root/<dir>/<uuid>.jsonl, one level deep, with file_id."""
-    lines = read_lines(spark, f"{root.rstrip('/')}/*/*.jsonl")
+def transcript_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime_ms, file_id) of root/<dir>/<uuid>.jsonl, one level deep."""
+    return files(spark, f"{root.rstrip('/')}/*/*.jsonl").withColumn("file_id", F.regexp_extract("path", TRANSCRIPT_NAME, 1)).where("file_id <> ''")
+
+
+def transcripts(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """Lines of root/<dir>/<uuid>.jsonl, one level deep, with file_id; of ``paths`` only, if they are given."""
+    lines = read_lines(spark, f"{root.rstrip('/')}/*/*.jsonl" if paths is None else paths)
     return lines.withColumn("file_id", F.regexp_extract("path", TRANSCRIPT_NAME, 1)).where("file_id <> ''")
 
 
+AUDIT_NAME = r"/([^/]+)/audit\.jsonl$"
+
+
+def audit_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime_ms, session_key) of root/*/*/<session key>/audit.jsonl."""
+    return files(spark, f"{root.rstrip('/')}/*/*/*/audit.jsonl").withColumn("session_key", F.regexp_extract("path", AUDIT_NAME, 1))
+
+
+def audits(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """Lines of root/*/*/<session key>/audit.jsonl, with session_key."""
+    return read_lines(spark, f"{root.rstrip('/')}/*/*/*/audit.jsonl" if paths is None else paths).withColumn("session_key", F.regexp_extract("path", AUDIT_NAME, 1))
+
+
 def _string(v: str, path: str) -> Column:
     """A member that is a JSON string; anything else is null (variant_get alone would convert numbers)."""
     raw = F.try_variant_get(v, path, "variant")

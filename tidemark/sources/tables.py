@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 
 from ..operators.lifecycle import class_counts
 from ..operators.rollups import source_counts
-from ..schema import SOURCES
+from ..schema import SESSION, SOURCES
 from .json_lines import exists
 
 #: Names of optional results.
 RESERVED = ("duplicates.exact", "zombies.heuristic", "meta", "duplicates.semantic", "zombies.semantic", "reloops")
 
 
-def write_sessions(sessions: DataFrame, path: str) -> None:
-    """One folder a source, so that a filter on source prunes; a source may be replaced or dropped alone."""
-    sessions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+def write_sessions(sessions: DataFrame, path: str, sources: tuple[str, ...] = SOURCES) -> None:
+    """One folder a source, so that a filter on source prunes. ``sources`` are replaced: those of them without sessions lose their folder, others keep what they have."""
+    spark = sessions.sparkSession
+    mine = sessions.where(F.col("source").isin(*sources))
+    mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    present = {r["source"] for r in mine.select("source").distinct().collect()}  # four at most
+    for source in sources:
+        if source not in present:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/source={source}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def all_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """All stored sessions, of any run; none if there are none."""
+    found = previous(spark, path)
+    return spark.createDataFrame([], SESSION) if found is None else found
 
 
 def write_conversations(conversations: DataFrame, sessions: DataFrame, folder: str) -> None:
@@ -42,7 +55,7 @@ def manifest(sessions: DataFrame, generated_at: int) -> DataFrame:
 
 def previous(spark: SparkSession, path: str, source: str | None = None) -> DataFrame | None:
     """An earlier run's records, or None; a source reads its own folder only."""
-    if not exists(spark, path):
+    if not (exists(spark, f"{path}/*.parquet") or exists(spark, f"{path}/*/*.parquet")):
         return None
     df = spark.read.parquet(path)
     return df if source is None else df.where(F.col("source") == source)
@@ -107,9 +120,9 @@ def current_labels(labels: DataFrame, version: str) -> DataFrame:
     return labels.where(F.col("version") == version).drop("version")
 
 
-def progress_lines(events: DataFrame) -> DataFrame:
-    """(value): one JSON object a line, for a log that others follow."""
-    return events.select(F.to_json(F.struct(*[F.col(c) for c in events.columns])).alias("value"))
+def store_labels(labels: DataFrame, sessions: DataFrame, path: str) -> None:
+    """Keep labels (id, label) of a corpus, with its version."""
+    labels.select("id", "label").withColumn("version", F.lit(corpus_version(sessions))).write.mode("overwrite").parquet(path)
 
 
 def csv_field(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import relative
 from ..functions.kernels import chunks, line_preview
 from ..functions.text import format_count, format_usd, inline_html, normalize_for_hash, preview
-from ..operators import cost, duplicates, lifecycle, merge, rollups, search, similarity, topics
+from ..operators import cost, duplicates, lifecycle, merge, rollups, search, search_index, similarity, topics
 from ..operators import sessions as S
 from ..operators.graph import fresh_folder, tidy, written
 from ..sources import archives, fixtures, json_lines, manifests, tables
@@ -135,9 +135,40 @@ def facet_top8_pinned(spark, sf):
     return rollups.capped_facets(rollups.facet_counts(V.sessions(spark, sf)), 8, ["project-39", "~topic-4"])
 
 
-@query(f"WITH s AS ({V.SESSIONS}) SELECT id, title, source FROM s WHERE user_turns > 0 AND (contains(lower(title), 'revisit order 1') OR contains(lower(preview), 'revisit order 1') OR contains(lower(coalesce(project, '')), 'revisit order 1'))")
+def _searchable(spark, sf):
+    """Sessions with the tools and models that search looks at."""
+    maps = V.tools(spark, sf).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tool", "n"))).alias("top_tools"))
+    models = V.token_sessions(spark, sf).select("id", "models_used")
+    return V.sessions(spark, sf).join(maps, "id", "left").join(models, "id", "left")
+
+
+#: Words of titles, tools, models and previews, of one to sixteen characters, and one that nothing has.
+_SEARCHES = ("  Revisit ORDER 1", "click", "HAIKU-4", "urgent order 77", "f", "t-9", "no such words")
+_FOUND = f"""s AS ({V.SESSIONS}), q AS (SELECT unnest([{", ".join(f"'{q}'" for q in _SEARCHES)}]) AS query), k AS (SELECT query, lower(trim(query)) AS q FROM q),
+names AS (SELECT DISTINCT user_id AS id, event_type AS name FROM events UNION SELECT id, m FROM ({V.USED})),
+f AS (SELECT query, id FROM s, k WHERE contains(lower(title), q) OR contains(lower(preview), q) OR contains(lower(coalesce(project, '')), q) UNION SELECT query, id FROM names JOIN s USING (id), k WHERE contains(lower(name), q))"""
+
+
+@query(f"WITH {_FOUND} SELECT query, id, title, source FROM f JOIN s USING (id) WHERE user_turns > 0")
 def search_sessions(spark, sf):
-    return search.filter_sessions(V.sessions(spark, sf), "  Revisit ORDER 1", columns=("title", "preview", "project"), tools=None, models=None).select("id", "title", "source")
+    """By scans, all arms on."""
+    s, found = written(_searchable(spark, sf)), None
+    for q in _SEARCHES:
+        one = search.filter_sessions(s, q, columns=("title", "preview", "project")).select(F.lit(q).alias("query"), "id", "title", "source")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(f"WITH {_FOUND} SELECT query, id, title, source FROM f JOIN s USING (id)")
+def search_indexed(spark, sf):
+    """The same by posting lists; sessions without turns too."""
+    folder, found = fresh_folder(spark), None
+    columns = ("title", "preview", "project")
+    search_index.write(_searchable(spark, sf), folder, columns)
+    for q in _SEARCHES:
+        one = search_index.search(spark, folder, q, columns).select(F.lit(q).alias("query"), "id", "title", "source")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query(f"WITH s AS ({V.SESSIONS}) SELECT id, project, topic, source FROM s WHERE user_turns > 0 AND source IN ('cloud', 'cli-direct') AND (project IN ('project-2', 'project-12') OR coalesce(project, '') = '') AND topic IN ('~topic-0', '~topic-2')")
@@ -347,6 +378,15 @@ def project_match(spark, sf):
     return V.sessions(spark, sf).select("id", S.match_project(F.col("title"), F.col("preview"), S.project_patterns(_NAMES)).alias("matched"))
 
 
+@query(f"""WITH s AS ({V.SESSIONS}) SELECT id, CASE WHEN id % 3 = 0 THEN concat('order ', id) WHEN o_orderstatus <> 'P' THEN concat('STATUS ', o_orderstatus) END AS project FROM s""")
+def project_names(spark, sf):
+    """As many names as there are orders: in a third of the titles, else two in the previews, of which one is listed later."""
+    s = V.sessions(spark, sf).drop("project")
+    names = s.where("id % 3 = 0").select(F.concat(F.lit(" order "), F.col("id").cast("string")).alias("name"), F.col("pos").cast("long").alias("pos"))
+    more = spark.createDataFrame([("STATUS F", 1 << 60), ("STATUS O", 0), ("Stat", 0), ("tests", 0)], "name string, pos long")
+    return S.match_projects(s, names.unionByName(more), "title", "preview").select("id", "project")
+
+
 _SQUEEZE = r"left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({t}), '```[\s\S]*?```', ' ', 'g'), 'https?://\S+', ' ', 'g'), '(?m)^[ \t]*[#\-*+]+\s+', '', 'g'), '(^|\s)(?:[\w.-]+/)+([\w.-]+\.\w+)', '\1\2', 'g'), '\s+', ' ', 'g')), 400)"
 _NORM = f"SELECT doc_id, {_SQUEEZE.format(t='text')} AS norm FROM documents"
 
@@ -626,6 +666,41 @@ def manifest_drift(spark, sf):
     return manifests.drift(_cowork(spark, sf)[0]).select("key")
 
 
+def _desktop(spark, sf):
+    """A desktop manifest for every third conversation, and one without a transcript for every fifth; a sixth of the latter lack a model."""
+    m = V.table(spark, sf, "conversations").select("conv_id").distinct()
+    has = m.where("conv_id % 3 = 0").select(F.col("conv_id"), _uuid(F.col("conv_id")).alias("key"))
+    alone = m.where("conv_id % 5 = 0").select(F.col("conv_id"), _uuid(F.concat(F.lit("alone "), F.col("conv_id").cast("string"))).alias("key"))
+    no_model = F.col("alone") & (F.col("conv_id") % 30 == 0)
+    every = has.withColumn("alone", F.lit(False)).unionByName(alone.withColumn("alone", F.lit(True)))
+    made = F.to_json(F.struct(
+        F.concat(F.lit("local_"), F.col("key")).alias("sessionId"), F.col("key").alias("cliSessionId"), (F.col("conv_id") * 1000).alias("createdAt"), (F.col("conv_id") * 1000 + F.col("conv_id") % 7 - 3).alias("lastActivityAt"),
+        F.concat(F.lit("desk "), F.col("conv_id").cast("string")).alias("title"), F.concat(F.lit("D:\\work\\desk-"), (F.col("conv_id") % 4).cast("string")).alias("cwd"), F.when(~no_model, "claude-sonnet-4-6").alias("model"),
+    ))
+    folder = fresh_folder(spark)
+    fixtures.write_texts(every.select(F.concat_ws("/", "key", "key", F.concat(F.lit("local_"), F.col("key"), F.lit(".json"))).alias("name"), made.alias("text")), folder)
+    return manifests.valid(manifests.read_manifests(spark, folder), manifests.DESKTOP_REQUIRED)
+
+
+_ALONE = _UUID.format(h="md5(concat('alone ', conv_id))")
+
+
+@query(f"""WITH t AS (SELECT *, conv_id % 3 = 0 AS desk FROM (SELECT conv_id, {_ID} AS id, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE role = 'assistant') AS a,
+  arg_max(CASE WHEN turn % 4 = 1 THEN 'claude-opus-4-6' ELSE 'claude-haiku-4-5' END, turn) FILTER (WHERE role = 'assistant') AS model FROM conversations GROUP BY 1))
+SELECT id, CASE WHEN desk THEN 'cli-desktop' ELSE 'cli-direct' END AS source, user_turns, CASE WHEN desk THEN concat('desk ', conv_id) END AS title, CASE WHEN desk THEN concat('desk-', conv_id % 4) WHEN user_turns > 0 THEN concat('app-', conv_id % 7) END AS project,
+CASE WHEN desk THEN coalesce(model, 'claude-sonnet-4-6') ELSE model END AS model FROM t""")
+def desktop_enriched(spark, sf):
+    """Transcripts under their manifests' id, title and folder; those without one as they are."""
+    s = S.from_transcripts(written(json_lines.fold_transcripts(_transcripts(spark, sf))), _desktop(spark, sf))
+    return s.select("id", "source", "user_turns", F.when(F.col("title_source") == "manifest", F.col("title")).alias("title"), "project", "model")
+
+
+@query(f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations), m AS (SELECT conv_id, {_ID} AS id FROM c WHERE conv_id % 3 = 0 UNION ALL SELECT conv_id, {_ALONE} FROM c WHERE conv_id % 5 = 0 AND conv_id % 30 <> 0)
+SELECT id, 'cli-desktop' AS source, concat('desk ', conv_id) AS title, greatest(conv_id % 7 - 3, 0)::BIGINT AS duration_ms, 0::BIGINT AS user_turns, concat('desk-', conv_id % 4) AS project, 'claude-sonnet-4-6' AS model FROM m""")
+def desktop_stubs(spark, sf):
+    return S.desktop_stubs(_desktop(spark, sf)).select("id", "source", "title", "duration_ms", "user_turns", "project", "model")
+
+
 def _export(spark, sf):
     """The conversations as an export: a file with an array for each partition."""
     m = V.table(spark, sf, "conversations")

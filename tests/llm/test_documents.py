@@ -221,6 +221,53 @@ def test_line_runs_of_any_length(spark, least):
     assert covered == {d: gone[(d, t)] for d, t, _ in data}
 
 
+def held_runs(data, rows, least):
+    """Each run is a repetition within one document on both sides, as long as can be, in no other run of its document; all of them cover what goes."""
+    texts = {d: t.split("\n") for d, t, _ in data}
+    worded = {d: [(i, x.strip()) for i, x in enumerate(t) if x.strip()] for d, t in texts.items()}
+    spans, covered = {}, {d: set() for d in texts}
+    for r in rows:
+        here, there = worded[r["doc_id"]], worded[r["first_doc_id"]]
+        a = next(k for k, (i, _) in enumerate(here) if i == r["from_line"])
+        b = next(k for k, (i, _) in enumerate(there) if i == r["first_line"])
+        n = r["n_lines"]
+        assert here[a + n - 1][0] == r["to_line"] and (r["first_doc_id"], b) < (r["doc_id"], a)
+        assert [x for _, x in here[a : a + n]] == [x for _, x in there[b : b + n]]
+        assert a == 0 or b == 0 or here[a - 1][1] != there[b - 1][1]
+        assert a + n == len(here) or b + n == len(there) or here[a + n][1] != there[b + n][1]
+        assert sum(len(x.split()) for _, x in here[a : a + n]) == r["n_words"] >= least
+        spans.setdefault(r["doc_id"], []).append((r["from_line"], r["to_line"]))
+        covered[r["doc_id"]].update(i for i, _ in here[a : a + n])
+    assert all(not (c <= a and b <= d) for own in spans.values() for k, (a, b) in enumerate(own) for m, (c, d) in enumerate(own) if k != m)
+    gone = cut_lines(data, least)
+    assert covered == {d: gone[(d, t)] for d, t, _ in data}
+
+
+def test_runs_stay_within_documents_and_are_maximal(spark):
+    data = [(1, "a b\nc d", "en"), (2, "e f\ng h", "en"), (3, "a b\nc d\ne f\ng h", "en"), (4, "a b\nc d\n\ne f\ng h", "en")]
+    rows = line_runs.repeated_runs(frame(spark, data), 4).collect()
+    held_runs(data, rows, 4)
+    got = sorted((r["doc_id"], r["from_line"], r["to_line"], r["first_doc_id"], r["first_line"]) for r in rows)
+    assert got == [(3, 0, 1, 1, 0), (3, 2, 3, 2, 0), (4, 0, 4, 3, 0)]
+    odd = [(None, "a b\nc d", "en"), (None, "a b\nc d", "en"), (5, "a b\nc d\nx", "en"), (6, None, "en"), (7, "", "en")]
+    assert [tuple(r) for r in line_runs.repeated_runs(frame(spark, odd), 4).collect()] == [(None, 0, 1, 2, 4, 5, 0)]
+    assert line_runs.repeated_runs(frame(spark, odd).limit(0), 4).count() == 0 and line_runs.repeated_runs(frame(spark, odd), 400).count() == 0
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_runs_of_texts_cut_at_random(spark, seed):
+    """Copies of parts of one another, also of a text within itself and of periods, cut into documents at random."""
+    rng = random.Random(seed)
+    long = [f"line {rng.randint(0, 25)}" for _ in range(120)]
+    data = []
+    for i in range(14):
+        parts = [long[(a := rng.randrange(110)) : a + rng.randint(1, 40)] for _ in range(rng.randint(1, 4))] + [["same same"] * rng.randint(0, 9)]
+        rng.shuffle(parts)
+        data.append((i, "\n".join(x for p in parts for x in p) or "x", "en"))
+    for least in (2, 8, 30):
+        held_runs(data, line_runs.repeated_runs(frame(spark, data), least).collect(), least)
+
+
 def test_line_runs_of_very_long_texts(spark):
     """Two megabytes in 40,000 lines, twice, and half of them once more in another text."""
     rng = random.Random(33)

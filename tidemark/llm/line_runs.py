@@ -10,9 +10,10 @@ position, and positions alone in their interval drop out, for no repeated run be
 A repeated run counts from ``min_words`` words on (MIN_WORDS by default; 1: every repeated line). Two runs a position
 are looked up in the intervals: the shortest that begins there and the shortest that ends there; every line of a run of
 ``min_words`` words or more lies in one of them that is within the run, and a part of a repeated run is repeated. The
-rounds go on until these depths are reached or no rank is shared any more. Looked-up runs whose first copies lie on one
-diagonal (the same distance before them) and touch are one run: these are the maximal repeated runs, each with its
-first copy, which repeated_runs() returns. Later copies, in ascending (doc_id, text hash, line), are deleted.
+rounds go on until these depths are reached or no rank is shared any more. Later copies, in ascending (doc_id, text
+hash, line), are deleted; together they are the later copies of all repeated runs. repeated_runs() reports maximal runs:
+its rounds go on until no rank is shared; looked-up runs on one diagonal (the same distance before them, in one other
+document) that touch are one run, which is then stretched at both ends by falling powers of two of the ranks.
 
 What is left out of a full suffix array is the order of intervals among each other: deletion needs to know which
 suffixes share an interval, and which of them comes first in the corpus, not which sorts before which.
@@ -78,8 +79,12 @@ def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return keyed.join(intervals, keys).drop(*keys)
 
 
-def _later_copies(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame | None]:
-    """The line table, and (d, t, t2, at, x, begin, first): runs of x lines from the at-th of a document, and the position of their first copy, which is another one."""
+def _later_copies(docs: DataFrame, min_words: int, levels: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The line table, and (d, t, t2, at, x, begin, first): runs of x lines from the at-th of a document, and the position of their first copy, which is another one.
+
+    ``levels`` gets (pos, rank) of each depth 1, 2, 4, ..., until no rank is shared; without it the rounds end with the
+    longest run to look up.
+    """
     lines = _line_table(docs, min_words)
     start = F.col("pos")
     # the runs to look up; a document's positions are consecutive, as one task wrote them in order
@@ -91,13 +96,16 @@ def _later_copies(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame
     longest = runs.agg(F.max("x").alias("x")).first()["x"] or 0
     ranks = materialize(_ranked(lines.select("pos", "l1", "l2", (start - F.col("at") + F.col("count")).alias("end")), ["l1", "l2"]), "ranks")
     hits, depth = [], 1
-    while depth <= longest and not ranks.isEmpty():
+    while (depth <= longest or levels is not None) and not ranks.isEmpty():
+        if levels is not None:
+            levels.append(ranks.select("pos", "rank"))
         mine = runs.where((F.col("x") >= depth) & (F.col("x") < 2 * depth)).withColumn("second", F.col("begin") + F.col("x") - depth)
         rank = ranks.select("pos", "rank")
         tested = mine.join(rank.toDF("begin", "r1"), "begin")
         tested = tested.withColumn("r2", F.col("r1")) if depth == 1 else tested.join(rank.toDF("second", "r2"), "second")
-        hits.append(tested.select("x", "r1", "r2", "d", "t", "t2", "at", "begin"))
-        if 2 * depth > longest:
+        if depth <= longest:
+            hits.append(tested.select("x", "r1", "r2", "d", "t", "t2", "at", "begin"))
+        if 2 * depth > longest and levels is None:
             break
         pairs = ranks.join(rank.select((F.col("pos") - depth).alias("pos"), F.col("rank").alias("other")), "pos").where(F.col("pos") + 2 * depth - 1 <= F.col("end"))
         ranks = materialize(_ranked(materialize(pairs.withColumnRenamed("rank", "one"), "pairs"), ["one", "other"]), "ranks")
@@ -113,28 +121,63 @@ def _later_copies(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame
     return lines, found.join(first, key).where(place > F.col("one")).select("d", "t", "t2", "at", "x", "begin", F.col("one.begin").alias("first"))
 
 
-def _maximal(later: DataFrame) -> DataFrame:
-    """(d, t, t2, at, until, begin, first): runs on one diagonal that overlap or touch, as one."""
-    diagonal = Window.partitionBy("d", "t", "t2", "shift").orderBy("at", "until")
-    rows = later.select("d", "t", "t2", "at", (F.col("at") + F.col("x") - 1).alias("until"), "begin", "first", (F.col("begin") - F.col("first")).alias("shift"))
-    reach = F.max("until").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("fresh", F.coalesce((F.col("at") > reach + 1).cast("int"), F.lit(1)))
-    islands = marked.withColumn("island", F.sum("fresh").over(diagonal.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return islands.groupBy("d", "t", "t2", "shift", "island").agg(F.min("at").alias("at"), F.max("until").alias("until"), F.min("begin").alias("begin"), F.min("first").alias("first")).drop("shift", "island")
+def _joined(later: DataFrame, *along: str) -> DataFrame:
+    """Rows (d, t, t2, at, until, ...): stretches of a document's lines that overlap or touch, and agree in ``along``, as one, with the least begin and first."""
+    own = Window.partitionBy("d", "t", "t2", *along).orderBy("at", "until")
+    reach = F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = later.withColumn("until", F.col("at") + F.col("x") - 1).withColumn("fresh", F.coalesce((F.col("at") > reach + 1).cast("int"), F.lit(1)))
+    islands = marked.withColumn("island", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return islands.groupBy("d", "t", "t2", *along, "island").agg(F.min("at").alias("at"), F.max("until").alias("until"), F.min("begin").alias("begin"), F.min("first").alias("first")).drop("island")
+
+
+def _stretched(runs: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Runs (begin, x, first, room: lines of the document before begin) made as long as both copies agree, each within its document: first to the right, then to the left, by falling powers of two. Ranks at a depth are equal where so many lines are."""
+    for side in ("right", "left"):
+        for k in range(len(levels) - 1, -1, -1):
+            step = 1 << k
+            here, there = ("begin + x", "first + x") if side == "right" else (f"begin - {step}", f"first - {step}")
+            asked = runs.withColumn("_here", F.expr(here)).withColumn("_there", F.expr(there))
+            asked = asked.join(levels[k].toDF("_here", "_r1"), "_here", "left").join(levels[k].toDF("_there", "_r2"), "_there", "left")
+            # to the right ranks end at both documents' ends, but the lines from begin + x on may be another document's
+            free = (F.col("x") + step <= F.least("after", "first_after")) if side == "right" else (F.col("room") >= step) & (F.col("first_room") >= step)
+            more = F.coalesce((F.col("_r1") == F.col("_r2")) & free, F.lit(False))
+            grown = {"x": F.when(more, F.col("x") + step).otherwise(F.col("x"))}
+            if side == "left":
+                less = lambda c: F.when(more, F.col(c) - step).otherwise(F.col(c))  # noqa: B023, E731
+                grown |= {c: less(c) for c in ("begin", "first", "room", "first_room")}
+                grown |= {c: F.when(more, F.col(c) + step).otherwise(F.col(c)) for c in ("after", "first_after")}
+            runs = materialize(asked.withColumns(grown).drop("_here", "_there", "_r1", "_r2"), "stretched")
+    return runs
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Maximal repeated runs of ``docs`` (doc_id, text): doc_id, from_line, to_line (as the text counts them, from 0), n_lines (with words), n_words, and where the first copy is: first_doc_id, first_line."""
+    """Maximal repeated runs of ``docs`` (doc_id, text): doc_id, from_line, to_line (as the text counts them, from 0), n_lines (with words), n_words, and where the other copy is, which comes before it: first_doc_id, first_line.
+
+    A run and its other copy each lie within one document and can't be made longer at either end; no run lies within
+    another one of its document with the same or another copy; together they cover the lines that dedup_lines()
+    deletes. The other copy is the first one of a part of the run. Rows equal in doc_id and text are one document; a
+    null doc_id comes back as null; an empty table, and texts without repeats, give no rows.
+    """
     named = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").alias("_text"))
-    lines, later = _later_copies(named, min_words)
+    levels: list[DataFrame] = []
+    lines, later = _later_copies(named, min_words, levels)
     last = (1 << 63) - 1
     doc = lambda c: F.when(F.col(c) != last, F.col(c))
     if later is None:
         return lines.limit(0).select(doc("d").alias("doc_id"), F.col("line").alias("from_line"), F.col("line").alias("to_line"), F.col("at").alias("n_lines"), F.col("at").alias("n_words"), doc("d").alias("first_doc_id"), F.col("line").alias("first_line"))
-    runs = materialize(_maximal(later).withColumn("end", F.col("begin") + F.col("until") - F.col("at")), "maximal-runs")
+    there = lines.select(F.col("pos").alias("first"), (F.col("at") - 1).alias("first_room"), (F.col("count") - F.col("at") + 1).alias("first_after"))
+    here = lines.select(F.col("pos").alias("begin"), (F.col("at") - 1).alias("room"), (F.col("count") - F.col("at") + 1).alias("after"))
+    # one diagonal is one distance of positions, and one other document: where that begins
+    placed = later.join(there, "first").withColumn("shift", F.col("begin") - F.col("first")).withColumn("other", F.col("first") - F.col("first_room"))
+    joined = _joined(placed, "shift", "other").select("begin", (F.col("until") - F.col("at") + 1).cast("long").alias("x"), "first")
+    long = _stretched(materialize(joined.join(here, "begin").join(there, "first"), "joined-runs"), levels)
+    own = Window.partitionBy("document").orderBy("begin", F.desc("x"), "first")
+    spans = long.select("begin", "x", "first", (F.col("begin") - F.col("room")).alias("document"), (F.col("begin") + F.col("x")).alias("stop"))
+    outside = spans.withColumn("reach", F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))).where(F.col("reach").isNull() | (F.col("stop") > F.col("reach")))
+    runs = materialize(outside.withColumn("end", F.col("stop") - 1), "maximal-runs")
     at = lambda key, *cols: lines.select(F.col("pos").alias(key), *cols)
-    found = runs.join(at("begin", F.col("line").alias("from_line"), F.col("before").alias("_b")), "begin").join(at("end", F.col("line").alias("to_line"), F.col("upto").alias("_u")), "end").join(at("first", F.col("d").alias("_fd"), F.col("line").alias("first_line")), "first")
-    return found.select(doc("d").alias("doc_id"), "from_line", "to_line", (F.col("until") - F.col("at") + 1).alias("n_lines"), (F.col("_u") - F.col("_b")).alias("n_words"), doc("_fd").alias("first_doc_id"), "first_line")
+    found = runs.join(at("begin", "d", F.col("line").alias("from_line"), F.col("before").alias("_b")), "begin").join(at("end", F.col("line").alias("to_line"), F.col("upto").alias("_u")), "end").join(at("first", F.col("d").alias("_fd"), F.col("line").alias("first_line")), "first")
+    return found.select(doc("d").alias("doc_id"), "from_line", "to_line", F.col("x").alias("n_lines"), (F.col("_u") - F.col("_b")).alias("n_words"), doc("_fd").alias("first_doc_id"), "first_line")
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -142,7 +185,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines, later = _later_copies(docs, min_words)
     if later is None:
         return lines.select("d", "t", "t2", "line").limit(0)
-    gone = _maximal(later).select("d", "t", "t2", F.explode(F.expr("sequence(at, until)")).alias("at")).distinct()
+    gone = _joined(later).select("d", "t", "t2", F.explode(F.expr("sequence(at, until)")).alias("at"))
     return gone.join(lines.select("d", "t", "t2", "at", "line"), ["d", "t", "t2", "at"]).drop("at")
 
 

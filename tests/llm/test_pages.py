@@ -117,6 +117,28 @@ def test_the_wrapper_decides(spark):
     assert len(alone) > 900
 
 
+@pytest.mark.parametrize("n", [1, 2, 10, 1000])
+def test_strings_that_only_repeat_stay(spark, n):
+    """Lines of the author and of the desk, on hosts of any size, with the title around them or not."""
+    rng = random.Random(n)
+    rows, want = [], {}
+    for i in range(n):
+        title, body = random_words(rng, 4), random_words(rng, 60)
+        inner = f"<p>By Anna Smith, staff writer</p><h1>{title}</h1><p>{body}</p><p>Reporting by the Harbour Desk.</p>"
+        rows.append((i, "https://desk.example/a", f'<body><div class="top"><a href="/">Home</a></div><div class="story">{inner}</div><div class="foot"><a>About</a></div></body>'))
+        want[i] = f"By Anna Smith, staff writer {title} {body} Reporting by the Harbour Desk."
+    assert {r["page_id"]: r["text"] for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
+def test_pages_of_links_have_no_article(spark):
+    rng = random.Random(9)
+    rows = [(i, "https://h.example/x", f'<body><div class="story"><h1>{random_words(rng, 3)}</h1><p>{random_words(rng, 50)}</p></div></body>') for i in range(9)]
+    index = '<body><div class="list"><p><a>one story</a></p><p><a>two story</a></p></div><p>contact us</p></body>'
+    rows += [(100, "https://h.example/", index), (101, "https://alone.example/", index)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[100] == got[101] == "" and all(got[i] for i in range(9))
+
+
 def test_wrappers_stay_small():
     """Generated class names and ever new structure don't grow a wrapper without end."""
     rng = random.Random(2)

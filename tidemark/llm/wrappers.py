@@ -13,11 +13,13 @@ From a finished wrapper one region is the article: the smallest part that holds
 and isn't linked, with its headings. ``article`` and ``main`` elements decide where they hold at least half of that
 text, or where a host has too few pages to compare. What is around an article is known by tag and role, and by class
 and id names that consist of such words; a name is overruled if most of the host's varying text is within. Each page is
-aligned with its host's wrapper, and the text of the region is taken, whole, but for strings that open or close the
-region on most pages of the host (share bars, calls to subscribe).
+aligned with its host's wrapper, and the text of the region is taken, whole, but for notices that open or close the
+region: short strings that say so (share bars, calls to subscribe) and stand there on most pages of the host. A string
+that only repeats (a line of the author, a desk's name) stays, on hosts of any size.
 
 Results defined for odd input: null html gives empty text; a null or odd url belongs to the host ''; null and
-repeated page_ids are extracted row by row; broken markup never fails and loses no text (unclosed elements end with
+repeated page_ids are extracted row by row; a page whose text is mostly links and where nothing is called an article
+(an index) has none and gives empty text; broken markup never fails and loses no text (unclosed elements end with
 their parent, elements nested deeper than DEEPEST count as that deep, a tag or comment that the page doesn't close is
 text or lasts to its end, as in browsers); a page of any length is read whole; an empty table gives no rows; other
 columns are ignored.
@@ -67,6 +69,9 @@ AROUND_WORDS = {
 NEUTRAL_WORDS = {"area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "float", "form", "global", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "news", "page", "panel", "post", "posts", "right", "section", "site", "slot", "stories", "text", "thread", "top", "unit", "wrap", "wrapper"}
 COMMENT_WORDS = {"comment", "comments", "disqus", "respond", "reply", "replies"}
 HEAD_WORDS = {"header", "masthead", "topbar", "head"}
+#: A short block at an end of the article that most pages of a host have is a notice if it has one of these words.
+CALL_WORDS = {"share", "subscribe", "newsletter", "advertisement", "cookies", "login", "signup", "follow", "print", "comment", "comments", "related"}
+MOST_CALL = 8
 DEEPEST = 200
 WRAPPERS = "host string, wrapper string"
 #: Wrappers go to every task while all of them together are this small, else by a join on the host; what comes out is the same.
@@ -395,8 +400,14 @@ def _walk(node: Node):
             yield from _walk(k)
 
 
+def _calls(block: str) -> bool:
+    """A short block that says it is a notice: a share bar, a call to subscribe."""
+    said = re.findall(r"[a-z]+", block.lower())
+    return len(said) <= MOST_CALL and bool(CALL_WORDS & set(said))
+
+
 def extract(page: Node, wrapper: Node | None) -> str:
-    """The article's text of a parsed page, by its host's wrapper; by a wrapper of the page alone if it doesn't fit."""
+    """The article's text of a parsed page, by its host's wrapper; by a wrapper of the page alone if it doesn't fit. A page whose text is mostly links, and that calls nothing an article, has none."""
     if wrapper is not None and (text := _article(page, wrapper)):
         return text
     own = fold(page)
@@ -406,7 +417,10 @@ def extract(page: Node, wrapper: Node | None) -> str:
 
 def _article(page: Node, wrapper: Node) -> str:
     parts: list[tuple[str | None, bool]] = []
-    _take(page, wrapper, wrapper.kind == "r", parts)
+    counts = [0, 0]
+    _take(page, wrapper, wrapper.kind == "r", parts, counts)
+    if 2 * counts[1] > counts[0] and not any(k.kind in ("a", "m") for k in _walk(page)):
+        return ""
     blocks: list[tuple[str, bool]] = []
     block: list[str] = []
     template = True
@@ -418,15 +432,15 @@ def _article(page: Node, wrapper: Node) -> str:
             if words := " ".join("".join(block).split()):
                 blocks.append((words, template))
             block, template = [], True
-    while blocks and blocks[0][1]:
+    while blocks and blocks[0][1] and _calls(blocks[0][0]):
         blocks.pop(0)
-    while blocks and blocks[-1][1]:
+    while blocks and blocks[-1][1] and _calls(blocks[-1][0]):
         blocks.pop()
     return " ".join(words for words, _ in blocks)
 
 
-def _take(page: Node, wrapper: Node | None, inside: bool, parts: list[tuple[str | None, bool]]) -> None:
-    """Text of the region, with whether it is a template string; None between blocks."""
+def _take(page: Node, wrapper: Node | None, inside: bool, parts: list[tuple[str | None, bool]], counts: list[int], link: bool = False) -> None:
+    """Text of the region, with whether it is a template string; None between blocks. ``counts``: its characters, and those in links."""
     at = 0
     places: dict[str, list[int]] = {}
     if wrapper is not None:
@@ -443,6 +457,9 @@ def _take(page: Node, wrapper: Node | None, inside: bool, parts: list[tuple[str
             if inside:
                 known = match is not None and match.kind == "t" and string_hash(" ".join(k.text.split())) in match.often
                 parts.append((k.text, known))
+                size = len(k.text.strip())
+                counts[0] += size
+                counts[1] += size if link else 0
             continue
         kind = match.kind if match is not None else k.kind
         if kind in ("x", "c") or (kind == "h" and not inside):
@@ -450,7 +467,7 @@ def _take(page: Node, wrapper: Node | None, inside: bool, parts: list[tuple[str
         block = k.tag in BLOCK
         if block:
             parts.append((None, True))
-        _take(k, match, inside or kind == "r", parts)
+        _take(k, match, inside or kind == "r", parts, counts, link or k.tag == "a")
         if block:
             parts.append((None, True))
 

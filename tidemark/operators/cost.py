@@ -5,42 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_key, month_label
+from ..functions.dates import month_key, month_label, timestamp
 from ..schema import DEFAULT_MODEL, RATES
+from .graph import written
 
 
-def _rate_map(rates: dict, at: int) -> Column:
-    """One rate of each model as a literal map: a lookup in the scan stage instead of a join (the table has a few rows and is fixed)."""
-    return F.create_map(*[x for name, r in rates.items() for x in (F.lit(name), F.lit(r[at]))])
+def _rate(rates: dict, at: int, model: Column) -> Column:
+    """One rate of a model, null if it isn't known: one comparison for each distinct rate, in the scan stage instead of a join (the table has a few rows and is fixed)."""
+    levels: dict[float, list[str]] = {}
+    for name, r in rates.items():
+        levels.setdefault(r[at], []).append(name)
+    out = F.lit(None).cast("double")
+    for rate, names in levels.items():
+        out = F.when(model.isin(*names), F.lit(rate)).otherwise(out)
+    return out
 
 
 def pick_model(model: Column, used: Column, rates: dict = RATES) -> tuple[Column, Column]:
     """(model to price on, note). Of several used models the one with the dearest output; of equals the session's own model, then the first."""
-    out = _rate_map(rates, 1)
-    known = F.filter(used, lambda m: F.map_contains_key(out, m))
-    scored = F.transform(known, lambda m, i: F.struct(F.element_at(out, m).alias("rate"), (m == F.coalesce(model, F.lit(""))).alias("own"), (-i).alias("back"), m.alias("m")))
-    best = F.array_max(scored)["m"]
+    levels: dict[float, list[str]] = {}
+    for name, r in rates.items():
+        levels.setdefault(r[1], []).append(name)
+    best = F.lit(None).cast("string")
+    for rate in sorted(levels):  # the dearest is asked for first
+        names = F.array(*[F.lit(x) for x in levels[rate]])
+        own = F.when(model.isin(*levels[rate]) & F.array_contains(used, model), model)
+        best = F.when(F.arrays_overlap(used, names), F.coalesce(own, F.get(F.array_intersect(used, names), F.lit(0)))).otherwise(best)
     n = F.coalesce(F.size(used), F.lit(0))
-    n = F.when(n < 0, 0).otherwise(n)
-    chosen = F.when(n == 1, used[0]).when(n > 1, F.coalesce(best, used[0])).otherwise(F.coalesce(model, F.lit(DEFAULT_MODEL)))
-    note = F.when((n > 1) & best.isNotNull(), F.lit("cost-weighted model selection")).when((n == 0) & model.isNull(), F.lit("assumed_model"))
+    best = F.when(n > 1, best)
+    chosen = F.when(n > 1, F.coalesce(best, F.get(used, F.lit(0)))).when(n == 1, F.get(used, F.lit(0))).otherwise(F.coalesce(model, F.lit(DEFAULT_MODEL)))
+    note = F.when((n > 1) & best.isNotNull(), F.lit("cost-weighted model selection")).when((n <= 0) & model.isNull(), F.lit("assumed_model"))
     return chosen, note
 
 
 def price(sessions: DataFrame, rates: dict = RATES) -> DataFrame:
     """Adds cost_estimated_usd, cost_is_estimate, cost_breakdown and unknown_model. An exact cost wins; without tokens or a known rate there is no estimate."""
-    t = F.col("token_totals")
-    df = sessions.withColumn("_pick", F.struct(*[c.alias(n) for c, n in zip(pick_model(F.col("model"), F.col("models_used"), rates), ("m", "note"), strict=True)]))
-    m, exact = F.col("_pick.m"), F.col("total_cost_usd")
-    known = F.map_contains_key(_rate_map(rates, 0), m)
-    parts = [t[field] * F.element_at(_rate_map(rates, i), m) / 1_000_000 for i, field in enumerate(("input", "output", "cache_creation", "cache_read"))]
-    total = parts[0] + parts[1] + parts[2] + parts[3]
-    estimated = exact.isNull() & t.isNotNull() & known
+    t, own = F.col("token_totals"), list(sessions.columns)
+    chosen, note = pick_model(F.col("model"), F.col("models_used"), rates)
+    m, exact, fields = F.col("_m"), F.col("total_cost_usd"), ("input", "output", "cache_creation", "cache_read")
+    df = sessions.withColumns({"_m": chosen, "_note": note})
+    df = df.withColumns({f"_r{i}": _rate(rates, i, m) for i in range(4)})
+    df = df.withColumns({f"_p{i}": t[f] * F.col(f"_r{i}") / 1_000_000 for i, f in enumerate(fields)} | {"_known": F.col("_r0").isNotNull()})
+    total = F.col("_p0") + F.col("_p1") + F.col("_p2") + F.col("_p3")
+    estimated = exact.isNull() & t.isNotNull() & F.col("_known")
     names = ("input_usd", "output_usd", "cache_write_usd", "cache_read_usd")
     return df.select(
-        *sessions.columns, F.when(exact.isNotNull(), exact).when(estimated, total).alias("cost_estimated_usd"), estimated.alias("cost_is_estimate"),
-        F.when(estimated, F.struct(m.alias("model_id_used"), *[p.alias(n) for p, n in zip(parts, names, strict=True)], F.col("_pick.note").alias("note"))).alias("cost_breakdown"),
-        F.when(exact.isNull() & t.isNotNull() & ~known, m).alias("unknown_model"),
+        *own, F.when(exact.isNotNull(), exact).when(estimated, total).alias("cost_estimated_usd"), estimated.alias("cost_is_estimate"),
+        F.when(estimated, F.struct(m.alias("model_id_used"), *[F.col(f"_p{i}").alias(n) for i, n in enumerate(names)], F.col("_note").alias("note"))).alias("cost_breakdown"),
+        F.when(exact.isNull() & t.isNotNull() & ~F.col("_known"), m).alias("unknown_model"),
     )
 
 
@@ -59,8 +71,12 @@ def _sums() -> list[Column]:
 
 
 def by_month(priced: DataFrame) -> DataFrame:
-    """Exact and estimated cost of each month (UTC, of updated_at) that has sessions with a cost."""
-    return priced.where(effective_cost().isNotNull()).groupBy(month_key(F.col("updated_at")).alias("month"), month_label(F.col("updated_at")).alias("label")).agg(*_sums())
+    """Exact and estimated cost of each month (UTC, of updated_at) that has sessions with a cost. Months are numbers until they are few."""
+    at = timestamp(F.col("updated_at"))
+    # counted, not filtered by cost: a filter on a price is a second pricing of each row
+    sums = priced.groupBy((F.year(at) * 12 + F.month(at) - 1).alias("_m")).agg(F.count(effective_cost()).alias("sessions"), *_sums()[1:]).where("sessions > 0")
+    start = F.unix_millis(F.make_timestamp(F.floor(F.col("_m") / 12).cast("int"), F.pmod("_m", F.lit(12)) + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    return sums.select(month_key(start).alias("month"), month_label(start).alias("label"), "sessions", "exact_usd", "estimate_usd")
 
 
 def by_model(priced: DataFrame) -> DataFrame:
@@ -72,7 +88,7 @@ def by_model(priced: DataFrame) -> DataFrame:
 
 def by_project(priced: DataFrame, top: int = 8) -> DataFrame:
     """The dearest projects and the rest as one row. Only a missing project is untagged; an empty name is a name."""
-    sums = priced.groupBy(F.coalesce("project", F.lit("__untagged__")).alias("project")).agg(*_sums())
+    sums = written(priced.groupBy(F.coalesce("project", F.lit("__untagged__")).alias("project")).agg(*_sums()))  # one row a project, read twice
     cost = F.col("exact_usd") + F.col("estimate_usd")
     first = sums.orderBy(cost.desc(), "project").limit(top).select("project", "sessions", "exact_usd", "estimate_usd", F.lit(1).alias("n_projects"))
     rest = sums.join(F.broadcast(first.select("project")), "project", "left_anti")  # `top` rows
@@ -86,7 +102,8 @@ def unknown_models(priced: DataFrame) -> DataFrame:
 
 def most_expensive(priced: DataFrame, n: int = 20, tool: str | None = None) -> DataFrame:
     df = priced if tool is None else priced.where(F.map_contains_key("top_tools", F.lit(tool)))
-    return df.where(effective_cost().isNotNull()).withColumn("cost", effective_cost()).orderBy(F.desc("cost"), "id").limit(n)
+    # nulls come last, so they are left out of the few rows instead of all
+    return df.withColumn("cost", effective_cost()).orderBy(F.desc_nulls_last("cost"), "id").limit(n).where("cost IS NOT NULL")
 
 
 def kpis(priced: DataFrame, tools: DataFrame | None = None) -> DataFrame:

@@ -122,12 +122,12 @@ def _later_copies(docs: DataFrame, min_words: int, levels: list[DataFrame] | Non
 
 
 def _joined(later: DataFrame, *along: str) -> DataFrame:
-    """Rows (d, t, t2, at, until, ...): stretches of a document's lines that overlap or touch, and agree in ``along``, as one, with the least begin and first."""
+    """Rows (d, t, t2, at, until, ...): stretches of a document's lines that overlap or touch, and agree in ``along``, as one, with the least begin and first where there are such columns."""
     own = Window.partitionBy("d", "t", "t2", *along).orderBy("at", "until")
     reach = F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.withColumn("until", F.col("at") + F.col("x") - 1).withColumn("fresh", F.coalesce((F.col("at") > reach + 1).cast("int"), F.lit(1)))
     islands = marked.withColumn("island", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return islands.groupBy("d", "t", "t2", *along, "island").agg(F.min("at").alias("at"), F.max("until").alias("until"), F.min("begin").alias("begin"), F.min("first").alias("first")).drop("island")
+    return islands.groupBy("d", "t", "t2", *along, "island").agg(F.min("at").alias("at"), F.max("until").alias("until"), *[F.min(c).alias(c) for c in ("begin", "first") if c in later.columns]).drop("island")
 
 
 def _stretched(runs: DataFrame, levels: list[DataFrame]) -> DataFrame:
@@ -185,7 +185,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines, later = _later_copies(docs, min_words)
     if later is None:
         return lines.select("d", "t", "t2", "line").limit(0)
-    gone = _joined(later).select("d", "t", "t2", F.explode(F.expr("sequence(at, until)")).alias("at"))
+    gone = _joined(later.select("d", "t", "t2", "at", "x")).select("d", "t", "t2", F.explode(F.expr("sequence(at, until)")).alias("at"))
     return gone.join(lines.select("d", "t", "t2", "at", "line"), ["d", "t", "t2", "at"]).drop("at")
 
 

@@ -28,12 +28,25 @@ def inverse_frequency(tokens: DataFrame) -> DataFrame:
 
 
 def distinctive_terms(members: DataFrame, tokens: DataFrame, k: int = TERMS) -> DataFrame:
-    """(cluster, token, score, rank): tokens by the sum over members of ln(N / df). Equal scores: by token (a stated choice: the order of first use depends on how a corpus is cut up).
+    """(cluster, token, score, rank): tokens by the sum over members (cluster, doc) of ln(N / df). Equal scores: by token (a stated choice: the order of first use depends on how a corpus is cut up). A document is in one cluster at most."""
+    return terms_of(tokens.join(members, "doc", "left"), k)
 
-    Members' tokens are summed to (cluster, token) before anything else; ranks up to k are cut before the shuffle.
-    """
-    used = members.join(tokens, "doc").select("cluster", F.explode("tokens").alias("token")).groupBy("cluster", "token").agg(F.count("*").alias("tf"))
-    scored = used.join(inverse_frequency(tokens), "token").select("cluster", "token", (F.col("tf") * F.col("idf")).alias("score"))
+
+def label_counts(placed: DataFrame, by: str) -> DataFrame:
+    """(by, token, n), written: how many documents of ``placed`` (by: null for none, tokens) have a token, by label or cluster. Their sums over all of them are document frequencies."""
+    return written(placed.select(by, F.explode("tokens").alias("token")).groupBy(by, "token").agg(F.count("*").alias("n")))
+
+
+def frequencies(counts: DataFrame, documents: int) -> DataFrame:
+    """(token, df, idf) of label_counts()."""
+    df = counts.groupBy("token").agg(F.sum("n").alias("df"))
+    return df.withColumn("idf", F.ln(F.lit(float(documents)) / F.col("df")))
+
+
+def terms_of(placed: DataFrame, k: int = TERMS) -> DataFrame:
+    """distinctive_terms() of documents ``placed`` (cluster: null for none, tokens): tokens are counted once, and ranks up to k are cut before the shuffle."""
+    counts = label_counts(placed, "cluster")
+    scored = counts.where("cluster IS NOT NULL").join(frequencies(counts, placed.count()), "token").select("cluster", "token", (F.col("n") * F.col("idf")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 9)), "token"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("cluster", "token", "score", "rank")
 
@@ -162,6 +175,14 @@ def centroid_titles(placed: DataFrame) -> DataFrame:
     return near.groupBy("cluster").agg(cut_title(F.max_by("text", F.struct("sim", -F.col("pos")))).alias("title"))
 
 
+def rescue_placed(placed: DataFrame, threshold: float = RESCUE) -> DataFrame:
+    """rescue() of documents ``placed`` (doc, label: null for none, tokens): one count of tokens by label gives both document frequencies and the labels' tokens; labels are ordered by name."""
+    counts = label_counts(placed, "label")
+    idf = written(frequencies(counts, placed.count()).where("idf > 0").select("token", "idf"))
+    order = counts.where("label IS NOT NULL").select("label").distinct().withColumn("ord", F.row_number().over(Window.orderBy("label")))  # one row a label
+    return _rescued(placed.select("doc", "label"), placed.where("label IS NULL").select("doc", "tokens"), counts.join(order, "label"), idf, threshold)
+
+
 def rescue(labels: DataFrame, tokens: DataFrame, cluster_tokens: DataFrame, threshold: float = RESCUE) -> DataFrame:
     """Unlabelled documents to the cluster of greatest tf-idf cosine, if it is over 0 and at least ``threshold``.
 
@@ -172,7 +193,11 @@ def rescue(labels: DataFrame, tokens: DataFrame, cluster_tokens: DataFrame, thre
     if "tokens" in cluster_tokens.columns:
         cluster_tokens = cluster_tokens.select("label", "ord", F.explode("tokens").alias("token")).groupBy("label", "ord", "token").agg(F.count("*").alias("n"))
     idf = inverse_frequency(tokens).where("idf > 0").select("token", "idf")
-    docs = written(labels.where("label IS NULL").join(tokens, "doc").select("doc", F.explode("tokens").alias("token")).join(idf, "token").select("doc", "token", F.col("idf").alias("w")))
+    return _rescued(labels, labels.where("label IS NULL").select("doc").join(tokens, "doc"), cluster_tokens, idf, threshold)
+
+
+def _rescued(labels: DataFrame, open_: DataFrame, cluster_tokens: DataFrame, idf: DataFrame, threshold: float) -> DataFrame:
+    docs = written(open_.select("doc", F.explode("tokens").alias("token")).join(idf, "token").select("doc", "token", F.col("idf").alias("w")))
     clusters = written(cluster_tokens.join(idf, "token").select(F.col("label").alias("to"), "ord", "token", (F.col("n") * F.col("idf")).alias("w")))
     norm = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
     names = clusters.select("ord", "to").distinct()
@@ -238,7 +263,7 @@ def hybrid_labels(docs: DataFrame, chunks: DataFrame, centroids: DataFrame, thre
         topics = written(discover(open_, link, min_size).select("label", F.explode("members").alias("_doc")))
         found = topics.groupBy("_doc").agg(F.concat(F.lit("~"), F.min("label")).alias("topic"))
         labels = written(labels.join(found, labels["doc"].cast("string") == F.col("_doc"), "left").select("doc", F.coalesce("label", "topic").alias("label")))
-    return rescue(labels, docs.select("doc", "tokens"), group_tokens(labels, docs)).select("doc", "label")
+    return rescue_placed(docs.select("doc", "tokens").join(labels, "doc")).select("doc", "label")
 
 
 def group_tokens(labels: DataFrame, docs: DataFrame) -> DataFrame:

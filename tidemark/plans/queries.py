@@ -418,16 +418,16 @@ _DF = f"w AS ({V.WORDS}), x AS (SELECT doc, source, unnest(tokens) AS token FROM
 
 @query(f"WITH {_DF} SELECT token, df FROM df")
 def doc_frequency(spark, sf):
-    return topics.doc_frequency(V.words(spark, sf))
+    return topics.doc_frequency(V.words(spark, sf, once=True))
 
 
 _TERMS = f"""{_DF}, sc AS (SELECT source AS cluster, token, count(*) * ln((SELECT count(*) FROM w) / min(df)) AS score FROM x JOIN df USING (token) GROUP BY 1, 2),
 tt AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, token) AS rank FROM sc QUALIFY rank <= 5)"""
 
 
-def _terms(spark, sf):
-    w = V.words(spark, sf)
-    return topics.distinctive_terms(w.select("doc", F.col("source").alias("cluster")), w.select("doc", "tokens"), 5), w.select("doc", "tokens")
+def _terms(spark, sf, once=True):
+    w = V.words(spark, sf, once)
+    return topics.terms_of(w.select(F.col("source").alias("cluster"), "tokens"), 5), w.select("doc", "tokens")
 
 
 @query(f"WITH {_TERMS} SELECT cluster, token, round(score, 6) AS score, rank::INT AS rank FROM tt")
@@ -444,7 +444,7 @@ def topic_labels(spark, sf):
 co AS (SELECT u.token AS a, v.token AS b, count(*) AS co FROM h u JOIN h v ON u.doc = v.doc AND u.token <> v.token GROUP BY 1, 2)
 SELECT cluster, round(avg(ln((coalesce(co, 0) + 1) / df)), 6) AS coherence, count(*) AS pairs FROM p LEFT JOIN co USING (a, b) JOIN df ON df.token = p.b GROUP BY 1""")
 def umass_coherence(spark, sf):
-    terms, words = _terms(spark, sf)
+    terms, words = _terms(spark, sf, once=False)
     return topics.coherence(terms, words).withColumn("coherence", F.round("coherence", 6))
 
 
@@ -458,10 +458,9 @@ sim AS (SELECT doc, t, round(sum(a * b) / (min(na) * min(nb)), 9) AS sim FROM d
 best AS (SELECT doc, t, sim FROM sim WHERE sim > 0 AND sim >= {_RESCUE} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY sim DESC, t) = 1)
 SELECT doc, coalesce(label, t) AS label, CASE WHEN label IS NULL THEN round(sim, 6) END AS rescued_at FROM l LEFT JOIN best USING (doc)""")
 def outlier_rescue(spark, sf):
-    w = V.words(spark, sf)
-    labels = w.select("doc", F.when(F.col("doc") % 4 != 0, F.col("source")).alias("label"))
     # every fourth document has no label; the names of labels order equal similarities
-    return topics.rescue(labels, w.select("doc", "tokens"), topics.group_tokens(labels, w), _RESCUE).withColumn("rescued_at", F.round("rescued_at", 6))
+    placed = V.words(spark, sf).select("doc", F.when(F.col("doc") % 4 != 0, F.col("source")).alias("label"), "tokens")
+    return topics.rescue_placed(placed, _RESCUE).withColumn("rescued_at", F.round("rescued_at", 6))
 
 
 _SIMS = f"c AS ({V.CENTROIDS}), sims AS (SELECT vec_id // 5 AS doc_id, ord, centroid_id, max(list_inner_product(embedding::DOUBLE[], vec)) AS sim FROM embeddings, c GROUP BY 1, 2, 3)"

@@ -212,3 +212,14 @@ def test_projects_senders_and_labels_of_an_upload(spark, tmp_path):
     path.write_text(json.dumps([talk("a", "on Garden plan"), talk("cc", "new")]))
     build.build(spark, src, out, NOW)
     assert "Shelf" not in {r["project"] for r in spark.read.parquet(f"{out}/analysis/zombies.heuristic").collect()} and tables.previous(spark, f"{out}/labels") is None
+
+
+def test_bodies_are_stored_apart_from_slim_records(spark, tmp_path):
+    from tidemark.sources import tables
+
+    talks = fixtures.demo_conversations(spark)
+    records = sessions.from_conversations(talks)
+    tables.write_conversations(talks, records, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/messages").count() == talks.count()
+    slim = spark.read.parquet(f"{tmp_path}/sessions")
+    assert "human_texts" not in slim.columns and slim.count() == records.count()

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import relative
-from ..functions.kernels import chunks, line_preview
-from ..functions.text import format_count, format_usd, inline_html, normalize_for_hash, preview
+from ..functions.kernels import chunks, line_body, line_preview, should_expand
+from ..functions.text import format_bytes, format_count, format_usd, inline_html, normalize_for_hash, preview, strip_markdown
 from ..operators import cost, duplicates, lifecycle, merge, rollups, search, search_index, similarity, topics
 from ..operators import sessions as S
 from ..operators.graph import fresh_folder, tidy, written
@@ -793,3 +793,84 @@ def inline_markup(spark, sf):
 @query()
 def project_plane(spark, sf):
     return topics.plane(V.vectors(spark, sf).select(F.col("vec_id").alias("doc"), "vec"))
+
+
+def _turn_lines(spark, sf):
+    """(id, pos, kind, raw): each turn as a transcript line; every third turn answers with a tool call, every fifth is one string."""
+    pos, text = F.col("pos"), F.col("text")
+    said = F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<command: string>").alias("input"))
+    call = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("Bash").alias("name"), F.struct(F.concat(F.lit("run "), pos.cast("string")).alias("command")).alias("input"))
+    blocks = F.when(pos % 3 == 1, F.array(said, call)).otherwise(F.array(said))
+    kind = F.when(F.col("sender") == "human", "user").otherwise("assistant")
+    line = F.when(pos % 5 == 2, F.to_json(F.struct(kind.alias("type"), F.struct(text.alias("content")).alias("message")))).otherwise(F.to_json(F.struct(kind.alias("type"), F.struct(blocks.alias("content")).alias("message"))))
+    return V.messages(spark, sf).select("id", "pos", kind.alias("kind"), line.alias("raw"))
+
+
+_BODY = """SELECT conv_id AS id, turn AS pos, coalesce(text, '') AS t, turn % 5 <> 2 AND turn % 3 = 1 AS calls, turn % 5 = 2 AS plain FROM conversations"""
+
+
+@query(rf"""WITH b AS (SELECT id, pos, CASE WHEN calls THEN concat(t, CASE WHEN t <> '' THEN concat(chr(10), chr(10), '---', chr(10), chr(10)) ELSE '' END, 'Bash', chr(10), '{{', chr(10), '  "command": "run ', pos, '"', chr(10), '}}') ELSE t END AS body,
+  trim(regexp_replace(t, '\s+', ' ', 'g')) AS s, calls, plain FROM ({_BODY})),
+p AS (SELECT *, CASE WHEN plain AND length(s) > 1500 THEN concat(left(s, 1500), '…(+', length(s) - 1500, ' chars)') WHEN NOT plain AND length(s) > 600 THEN concat(left(s, 600), '…(+', length(s) - 600, ' chars)') ELSE s END AS said FROM b)
+SELECT id, pos, body, body <> '' AND length(body) > 1200 AND body <> CASE WHEN calls THEN concat(said, CASE WHEN said <> '' THEN ' · ' ELSE '' END, 'Bash · run ', pos) ELSE said END AS expands FROM p""")
+def line_bodies(spark, sf):
+    """Whole bodies of lines, and whether a preview leaves something to expand."""
+    lines = _turn_lines(spark, sf).withColumn("body", line_body("raw")).withColumn("preview", line_preview("raw"))
+    return lines.select("id", "pos", "body", should_expand(F.col("preview"), F.col("body")).alias("expands"))
+
+
+@query("SELECT p_partkey AS id, left(concat_ws(chr(10), nullif(p_name, ''), CASE WHEN p_size % 2 = 0 THEN repeat(concat(p_brand, ' '), 300) END, nullif(p_type, '')), 2000) AS text FROM part")
+def project_texts(spark, sf):
+    """What projects are embedded by: names, descriptions (some missing, some long), templates."""
+    p = V.table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), S.project_text(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.repeat(F.concat("p_brand", F.lit(" ")), F.lit(300))), F.col("p_type")).alias("text"))
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, CASE WHEN source = 'cloud' THEN 'cloud + upload' ELSE concat(source, ' + cloud + upload') END AS sources FROM s")
+def merged_labels(spark, sf):
+    s = V.sessions(spark, sf)
+    return s.select("id", merge.merge_labels(F.col("source"), F.concat(F.lit("cloud + "), F.col("source")), F.lit("upload + cloud")).alias("sources"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, n_chars * (CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 100 ELSE 100000 END) AS n FROM documents)
+SELECT doc_id, CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN concat({_decimals("n / 1024", 1)}, ' KB') ELSE concat({_decimals("n / 1048576", 1)}, ' MB') END AS shown FROM d""")
+def byte_sizes(spark, sf):
+    n = F.col("n_chars") * F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 100).otherwise(100_000)
+    return V.table(spark, sf, "documents").select("doc_id", format_bytes(n).alias("shown"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[#*`>]', '', 'g') AS text FROM documents")
+def stripped_markdown(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", strip_markdown(F.col("text")).alias("text"))
+
+
+@query(f"SELECT {_ID} AS id, nullif(arg_min(coalesce(text, ''), turn) FILTER (WHERE role = 'user'), '') AS text FROM conversations GROUP BY conv_id")
+def first_messages(spark, sf):
+    """The stricter rule: the first human message alone."""
+    return S.first_message_text(_export(spark, sf))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END AS head, coalesce(text, '') AS body FROM conversations)
+SELECT conv_id AS id, string_agg(concat('### ', head, ' (', turn, ')', chr(10), chr(10), body), concat(chr(10), chr(10)) ORDER BY turn) AS markdown FROM t GROUP BY 1""")
+def local_markdown_export(spark, sf):
+    """The local variant of a transcript as Markdown."""
+    m = V.messages(spark, sf)
+    lines = m.select("id", F.col("pos").alias("line_no"), F.when(F.col("sender") == "human", "user").otherwise("assistant").alias("kind"), F.col("text").alias("body"), F.col("pos").cast("string").alias("at"))
+    return tables.local_markdown(lines)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_once(spark, sf):
+    """A stream that brings every event twice, each kept once."""
+    events = activity.read_events(spark, f"{sf}/events.parquet")
+    return activity.drain(activity.once(events.union(events))).select("event_id", "user_id", "event_type")
+
+
+@query(rf"""WITH x AS (SELECT source AS cluster, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS token FROM documents), c AS (SELECT cluster, token, count(DISTINCT doc_id) AS docs, count(*) AS total FROM x GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY docs DESC, total DESC, token) AS k FROM c), n AS (SELECT source AS cluster, count(*) AS size FROM documents GROUP BY 1)
+SELECT n.cluster, coalesce(string_agg(token, ' + ' ORDER BY k), '') AS label, any_value(size) AS size FROM n LEFT JOIN r ON r.cluster = n.cluster AND k <= 3 GROUP BY 1""")
+def cluster_terms(spark, sf):
+    """Labels that k-means clusters get, for clusters that SQL knows too: tokens of most members, then most uses, then by name."""
+    d = V.table(spark, sf, "documents")
+    runs = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.octet_length(w) > 2)
+    return topics.kmeans_labels(d.select(F.col("doc_id").alias("doc"), F.col("source").alias("cluster")), d.select(F.col("doc_id").alias("doc"), runs.alias("tokens")))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
+
 THRESHOLD, MARGIN = 0.40, 0.02
 #: Centroids that may go to every task, and those in one row.
 MOST_CENTROIDS, MOST_PACKED = 50_000, 1_000
-#: Vectors a block of the blocked join.
-BLOCK = 2048
+#: Vectors a block of the blocked join, reference vectors, groups of a block's partners, and what angles and products may be off by rounding.
+BLOCK, REFERENCES, PARTNERS, ROUNDING = 2048, 64, 8, 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,29 +43,156 @@ def nearest(vectors: DataFrame, centroids: DataFrame, threshold: float = THRESHO
     return top.select(doc, F.when(sure, best["centroid_id"]).alias("label"), best["sim"].alias("similarity"), second["sim"].alias("runner_up"))
 
 
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+
+
+def _products(pos: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Pairs at the threshold of two sets of vectors, each pair once, the lower position first."""
+    s = x @ y.T
+    i, j = np.nonzero(s >= threshold)
+    a, b, sim = pos[i], others[j], s[i, j]
+    if pos is others:
+        keep = a < b
+        a, b, sim = a[keep], b[keep], sim[keep]
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sim)], schema=_PAIRS)
+
+
+def _matrix(column) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+
+
 def pairs_in_blocks(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim) for a < b of ``vectors`` (pos, vec) with a similarity of ``threshold`` or more.
+    """(a, b, sim) for a < b of ``vectors`` (pos, vec) with a dot product of ``threshold`` or more."""
+    return pairs_within(vectors.select(F.lit(0).alias("within"), F.col("pos").cast("long").alias("pos"), "vec"), threshold)
+
 
-    Vectors are dealt to blocks by hash; each pair of blocks is one matrix product in one task, so a task holds two
-    blocks whatever the table's size, and vectors move once for each block instead of once for each vector.
+def pairs_within(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) for a < b of ``vectors`` (within, pos, vec) that agree in ``within``, with a dot product of ``threshold`` or more.
+
+    Up to BLOCK vectors are one matrix product for each ``within``. More are cut into blocks around reference vectors
+    (blocks()); pairs of blocks that are provably too far apart by the triangle inequality of angles never meet, the
+    others are matrix products. Vectors without ``within`` have no pairs.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("pos"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "pos", "vec")
+    vectors = vectors.where("within IS NOT NULL")
+    if vectors.count() > BLOCK:
+        cut = blocks(vectors)
+        return products(cut, near_blocks(cut, threshold), threshold)
+
+    def whole(table: pa.Table) -> pa.Table:
+        pos = table.column("pos").to_numpy()
+        x = _matrix(table.column("vec"))
+        return pa.Table.from_batches([_products(pos, x, pos, x, threshold)])
+
+    return vectors.groupBy("within").applyInArrow(whole, "a long, b long, sim double")
+
 
-    def join(table: pa.Table) -> pa.Table:
-        pos, block = table.column("pos").to_numpy(), table.column("block").to_numpy()
-        x = np.stack([np.asarray(v, np.float64) for v in table.column("vec").to_pylist()])
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        s = x[left] @ x[right].T
-        i, j = np.nonzero(s >= threshold)
-        a, b, sim = pos[left[i]], pos[right[j]], s[i, j]
-        keep = a < b if block.min() == block.max() else np.ones(len(a), bool)
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sim[keep]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())]))
+def _angles(x: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles of vectors to the reference vectors, and their lengths; a vector without length has a right angle to all."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    unit = x / np.where(norm > 0, norm, 1)[:, None]
+    return np.arccos(np.clip(unit @ references.T, -1, 1)), norm
 
-    # where one of two blocks is empty, the other is joined with itself once more; distinct drops what comes twice
-    return dealt.groupBy("lo", "hi").applyInArrow(join, "a long, b long, sim double").groupBy("a", "b").agg(F.first("sim").alias("sim"))
+
+def blocks(vectors: DataFrame) -> DataFrame:
+    """Vectors in blocks of up to BLOCK: within, block, cell (the nearest reference vector), lo and hi (the block's least and greatest angle to each reference), top (the greatest length), and the packed pos and vecs. Written.
+
+    References are REFERENCES vectors by hash. Vectors are sorted by cell and angle to its reference, so blocks are
+    rings around references.
+    """
+    # REFERENCES rows
+    chosen = vectors.orderBy(F.xxhash64("pos"), "pos").select("vec").limit(REFERENCES).collect()
+    references = np.array([r["vec"] for r in chosen], np.float64)
+    norms = np.sqrt((references * references).sum(axis=1, keepdims=True))
+    references = (references / np.where(norms > 0, norms, 1))[norms[:, 0] > 0]
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                angles, _ = _angles(_matrix(batch.column("vec")), references)
+                cell = angles.argmin(axis=1) if len(references) else np.zeros(batch.num_rows, np.int64)
+                near = angles.min(axis=1) if len(references) else np.zeros(batch.num_rows)
+                yield pa.record_batch([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(near)], names=[*batch.schema.names, "cell", "near"])
+
+    def cut(batches):
+        held, number = [], TaskContext.get().partitionId() << 40
+
+        def block():
+            x = np.array([r[2] for r in held], np.float64)
+            angles, norm = _angles(x, references)
+            return pa.record_batch([
+                pa.array([held[0][0]], types["within"]), pa.array([number]), pa.array([held[0][3]], pa.int32()), pa.array([angles.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([angles.max(axis=0).tolist()], pa.list_(pa.float64())),
+                pa.array([float(norm.max())]), pa.array([np.array([r[1] for r in held], np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()),
+            ], names=["within", "block", "cell", "lo", "hi", "top", "pos", "vecs"])
+
+        types = {}
+        for batch in batches:
+            types["within"] = batch.schema.field("within").type
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (len(held) >= BLOCK or (row[0], row[3]) != (held[0][0], held[0][3])):
+                    yield block()
+                    held, number = [], number + 1
+                held.append(row)
+        if held:
+            yield block()
+
+    kind = vectors.schema["within"].dataType.simpleString()
+    placed = vectors.select("within", F.col("pos").cast("long").alias("pos"), "vec").mapInArrow(place, f"within {kind}, pos long, vec {vectors.schema['vec'].dataType.simpleString()}, cell int, near double")
+    order = ["within", "cell", "near", "pos"]
+    return written(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, f"within {kind}, block long, cell int, lo array<double>, hi array<double>, top double, pos binary, vecs binary"))
+
+
+def _too_far(a: str, b: str, threshold: float) -> Column:
+    """Whether no vectors of two boxes of angles can have such a dot product: for every reference, two angles to it differ by no more than the angle between the vectors."""
+    gaps = F.zip_with(F.zip_with(f"{a}.lo", f"{b}.hi", lambda x, y: x - y), F.zip_with(f"{b}.lo", f"{a}.hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    apart = F.coalesce(F.array_max(gaps), F.lit(0.0))
+    return F.lit(threshold > 0) & (F.col(f"{a}.top") * F.col(f"{b}.top") * F.cos(F.greatest(apart - ROUNDING, F.lit(0.0))) < threshold - ROUNDING)
+
+
+def near_blocks(cut: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of blocks, a <= b, that may hold a pair of vectors; pairs of cells first, of which there are REFERENCES squared at most for each ``within``."""
+    boxes = cut.select("within", "block", "cell", "lo", "hi", "top")
+    n = REFERENCES
+    span = boxes.groupBy("within", "cell").agg(F.max("top").alias("top"), *[F.min(F.get("lo", F.lit(k))).alias(f"l{k}") for k in range(n)], *[F.max(F.get("hi", F.lit(k))).alias(f"h{k}") for k in range(n)])
+    some = lambda p: F.filter(F.array(*[F.col(f"{p}{k}") for k in range(n)]), lambda x: x.isNotNull())
+    cells = written(span.select("within", "cell", "top", some("l").alias("lo"), some("h").alias("hi")))
+    pairs = cells.alias("a").join(cells.alias("b"), F.expr("a.within = b.within AND a.cell <= b.cell")).where(~_too_far("a", "b", threshold)).select("a.within", F.col("a.cell").alias("ca"), F.col("b.cell").alias("cb"))
+    left, right = boxes.withColumnRenamed("cell", "ca").alias("a"), boxes.withColumnRenamed("cell", "cb").alias("b")
+    found = pairs.join(left, ["within", "ca"]).join(right, ["within", "cb"]).where(~_too_far("a", "b", threshold))
+    one = found.where(F.expr("ca <> cb OR a.block <= b.block"))
+    return one.select(F.col("a.block").alias("a"), F.col("b.block").alias("b"))
+
+
+def products(cut: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of vectors of pairs of blocks. A block moves once to each group of its partners, and before them, so a task holds two blocks."""
+    near = written(near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTNERS)).cast("int")))
+    load = cut.select(F.col("block").alias("b"), "pos", "vecs")
+    others = near.join(load, "b").select("a", "part", F.lit(1).alias("turn"), "b", "pos", "vecs")
+    own = near.select("a", "part").distinct().join(load.withColumnRenamed("b", "a"), "a").select("a", "part", F.lit(0).alias("turn"), F.col("a").alias("b"), "pos", "vecs")
+
+    def multiply(batches):
+        mine = None
+        for batch in batches:
+            for a, turn, b, pos, vecs in zip(*(batch.column(c).to_pylist() for c in ("a", "turn", "b", "pos", "vecs")), strict=True):
+                at = np.frombuffer(pos, np.int64)
+                x = np.frombuffer(vecs, np.float64).reshape(len(at), -1)
+                if turn == 0:
+                    mine = (at, x)
+                elif a == b:
+                    yield _products(*mine, *mine, threshold)
+                else:
+                    yield _products(*mine, at, x, threshold)
+
+    return others.unionByName(own).repartition("a", "part").sortWithinPartitions("a", "part", "turn").mapInArrow(multiply, "a long, b long, sim double")
+
+
+def share_excluded(vectors: DataFrame, threshold: float) -> float:
+    """The share of pairs of vectors, counting a vector with itself, whose blocks never meet."""
+    cut = blocks(vectors)
+    sizes = cut.select("within", "block", (F.length("pos") / 8).alias("n"))
+    met = near_blocks(cut, threshold).join(sizes.select(F.col("block").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("block").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = met.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("na") * (F.col("na") + 1) / 2).otherwise(F.col("na") * F.col("nb")))).first()[0]
+    every = sizes.groupBy("within").agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") + 1) / 2)).first()[0]
+    return 1 - (pairs or 0) / every
 
 
 def mean_pool(vectors: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -74,7 +204,5 @@ def mean_pool(vectors: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", within: str = "label") -> DataFrame:
-    """Pairs a < b of one ``within`` value with a similarity of ``threshold`` or more; the key keeps it an equi-join."""
-    a = vectors.select(F.col(key).alias("a"), F.col(within).alias("_w"), F.col("vec").alias("va"))
-    b = vectors.select(F.col(key).alias("b"), F.col(within).alias("_w"), F.col("vec").alias("vb"))
-    return a.join(b, "_w").where("a < b").select("a", "b", dot(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") >= threshold)
+    """Pairs a < b of one ``within`` value with a similarity of ``threshold`` or more."""
+    return pairs_within(vectors.select(F.col(within).alias("within"), F.col(key).cast("long").alias("pos"), "vec"), threshold)

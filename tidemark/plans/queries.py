@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import relative
 from ..functions.kernels import chunks, line_body, line_preview, should_expand
-from ..functions.text import format_bytes, format_count, format_usd, inline_html, normalize_for_hash, preview, strip_markdown
+from ..functions.text import cut_title, ellipsis, format_bytes, format_count, format_usd, inline_html, normalize_for_hash, preview, strip_markdown, truncate
 from ..operators import cost, duplicates, lifecycle, merge, rollups, search, search_index, similarity, topics
 from ..operators import sessions as S
 from ..operators.graph import fresh_folder, tidy, written
 from ..sources import archives, fixtures, json_lines, manifests, tables
 from ..streaming import activity
-from ..schema import DAY_MS, PROBE
+from ..schema import DAY_MS, PROBE, UNTITLED
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -874,3 +874,112 @@ def cluster_terms(spark, sf):
     d = V.table(spark, sf, "documents")
     runs = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.octet_length(w) > 2)
     return topics.kmeans_labels(d.select(F.col("doc_id").alias("doc"), F.col("source").alias("cluster")), d.select(F.col("doc_id").alias("doc"), runs.alias("tokens")))
+
+
+@query(f"SELECT {_ID} AS id, coalesce(string_agg(text, '\n' ORDER BY turn) FILTER (WHERE role = 'user' AND text <> ''), '') AS texts FROM conversations WHERE conv_id % 10 <> 0 GROUP BY conv_id")
+def human_texts(spark, sf):
+    """All texts of the human side, in order."""
+    return S.from_conversations(_export(spark, sf)).select("id", F.array_join("human_texts", "\n").alias("texts"))
+
+
+_CUT80 = r"nullif(left(trim(regexp_replace({}, '\s+', ' ', 'g')), 80), '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('ai ', doc_id) END AS ai, CASE WHEN doc_id % 3 < 2 THEN {_CUT80.format("concat('  asked ', text)")} END AS p, CASE WHEN doc_id % 2 = 0 THEN {_CUT80.format("text")} END AS f FROM documents)
+SELECT doc_id, coalesce(ai, p, f, '{UNTITLED}') AS title, CASE WHEN ai IS NOT NULL THEN 'ai-title' WHEN p IS NOT NULL THEN 'last-prompt' WHEN f IS NOT NULL THEN 'first-prompt' ELSE 'fallback' END AS title_source FROM d""")
+def title_cascade(spark, sf):
+    k, text = F.col("doc_id"), F.col("text")
+    title, source = S.title_cascade(F.when(k % 3 == 0, F.concat(F.lit("ai "), k.cast("string"))), F.when(k % 3 < 2, F.concat(F.lit("  asked "), text)), F.when(k % 2 == 0, text))
+    return V.table(spark, sf, "documents").select("doc_id", title.alias("title"), source.alias("title_source"))
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id FROM s WHERE user_turns > 0 AND id IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def tool_filter(spark, sf):
+    return search.filter_sessions(_searchable(spark, sf), tool="click").select("id")
+
+
+@query(f"""WITH h AS (SELECT sha256(norm) AS hash, count(*) AS size FROM ({_NORM}) WHERE length(norm) >= 40 GROUP BY 1 HAVING count(*) >= 2)
+SELECT hash, size, row_number() OVER (ORDER BY size DESC, hash)::INT AS rank FROM h ORDER BY rank LIMIT 20""")
+def top_duplicates(spark, sf):
+    """The twenty largest clusters in their order."""
+    found = duplicates.ordered(duplicates.exact_clusters(V.table(spark, sf, "documents"), "text", "doc_id", "doc_id").select("hash", "size")).limit(20)
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "hash")))  # twenty rows
+
+
+_RAW = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, {_RAW} AS raw, left({_RAW}, 47) AS head FROM documents), k AS (SELECT *, CASE WHEN strpos(reverse(head), ' ') > 0 THEN 47 - strpos(reverse(head), ' ') ELSE 0 END AS space FROM d)
+SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 120) AS cut, CASE WHEN length(text) <= 60 THEN text ELSE concat(left(text, 59), '…') END AS short,
+CASE WHEN length(raw) <= 48 THEN raw ELSE concat(regexp_replace(left(raw, CASE WHEN space >= 31 THEN space ELSE 47 END), '\s+$', ''), '…') END AS title FROM k""")
+def text_cuts(spark, sf):
+    """The three ways to cut a text: squeezed, with an ellipsis, and at a word."""
+    t = F.col("text")
+    return V.table(spark, sf, "documents").select("doc_id", truncate(t, 120).alias("cut"), ellipsis(t, 60).alias("short"), cut_title(t).alias("title"))
+
+
+@query("""SELECT concat(conv_id, ',', turn, ',', CASE WHEN regexp_matches(text, '[,"\n]') THEN concat('"', replace(text, '"', '""'), '"') ELSE coalesce(text, '') END) AS value FROM conversations""")
+def csv_export(spark, sf):
+    return tables.csv_lines(V.table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+
+
+@query(f"WITH s AS ({V.SESSIONS}), n AS (SELECT unnest(['cloud', 'cowork', 'cli-direct', 'cli-desktop']) AS source) SELECT n.source, count(s.id) AS n FROM n LEFT JOIN s ON s.source = n.source AND s.source <> 'cowork' GROUP BY 1")
+def stored_counts(spark, sf):
+    """The manifest of a store whose cowork sessions vanished in a second run that scanned cloud and cowork."""
+    s, folder = V.sessions(spark, sf).select("id", "source", "title"), fresh_folder(spark)
+    tables.write_sessions(s, folder)
+    tables.write_sessions(s.where("source = 'cloud'"), folder, ("cloud", "cowork"))
+    return tables.manifest(tables.all_sessions(spark, folder), 0).select(F.explode("counts").alias("source", "n"))
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, title FROM s WHERE source = 'cloud'")
+def stored_cloud(spark, sf):
+    """Cloud sessions of an earlier run, with their shape asserted."""
+    folder = fresh_folder(spark)
+    tables.write_sessions(V.sessions(spark, sf).select("id", "source", "title"), folder)
+    return tables.assert_shape(tables.previous(spark, folder, "cloud")).select("id", "title")
+
+
+@query(f"WITH s AS ({V.SESSIONS}) SELECT id, started_at AS completed_at FROM s WHERE id % 7 <> 0 AND user_turns > 0")
+def healed_rows(spark, sf):
+    """A stored list whose rows that fail are deleted when it is read."""
+    folder = fresh_folder(spark)
+    rows = V.sessions(spark, sf).select("id", F.col("started_at").alias("completed_at"), F.when(F.col("id") % 7 != 0, F.col("user_turns")).alias("score"))
+    rows.write.parquet(f"{folder}/v=1")
+    tables.healed(spark, folder, F.col("score") > 0)
+    return tables.healed(spark, folder, F.col("score") > 0).select("id", "completed_at")
+
+
+@query("SELECT user_id AS session, count(*) AS chunks, max(coalesce(value, 0)) AS best FROM events GROUP BY 1 HAVING count(*) >= 3")
+def stream_complete(spark, sf):
+    """Sessions of a stream of chunks, each given when all of its three chunks or more are there."""
+    folder = fresh_folder(spark)
+    V.table(spark, sf, "events").select(F.col("user_id").alias("session"), F.lit(3).alias("expected"), F.coalesce("value", F.lit(0.0)).alias("sim")).write.parquet(folder)
+    stream = spark.readStream.schema("session long, expected int, sim double").parquet(folder)
+    return activity.drain(activity.complete_sessions(stream))
+
+
+@query("""SELECT event_id, event_type AS kind, CASE WHEN event_id % 3 = 0 THEN (event_id % 5)::INT END AS phase FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""")
+def progress_events(spark, sf):
+    """A progress log with broken lines and drift warnings, which are left out."""
+    k = F.col("event_id")
+    said = F.when(k % 11 == 0, "Unknown line type x").when(k % 3 == 0, F.concat(F.lit("Phase "), (k % 5).cast("string"), F.lit(" of 5"))).otherwise("running")
+    line = F.when(k % 7 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("event_type").alias("type"), F.concat(said, F.lit(" #"), k.cast("string")).alias("message"))))
+    found = activity.rescan_events(V.table(spark, sf, "events").select(line.alias("value")))
+    return found.select(F.regexp_extract("message", r"#(\d+)$", 1).cast("long").alias("event_id"), "kind", "phase")
+
+
+@query("SELECT concat('c', c_custkey) AS id, md5(c_name) AS hash, concat('s', c_custkey) AS session_ids, c_name AS sample_text FROM customer WHERE c_custkey % 4 <> 0")
+def parsed_clusters(spark, sf):
+    """Cluster files with members and clusters of wrong types, and some that are no JSON."""
+    c = V.table(spark, sf, "customer")
+    key = F.col("c_custkey").cast("string")
+    good = F.concat(F.lit('{"id": "c'), key, F.lit('", "hash": "'), F.md5("c_name"), F.lit('", "sessionIds": ["s'), key, F.lit('", 5, null], "sampleText": "'), F.col("c_name"), F.lit('"}'))
+    text = F.when(F.col("c_custkey") % 4 == 0, "{broken").otherwise(F.concat(F.lit('{"clusters": ['), good, F.lit(', {"id": 7}, "x", {"id": "y", "hash": "h", "sessionIds": "z", "sampleText": "t"}]}')))
+    return duplicates.parse_clusters(c.select(text.alias("value"))).select("id", "hash", F.array_join("session_ids", ",").alias("session_ids"), "sample_text")
+
+
+@query("SELECT concat('bot-', conv_id % 3) AS sender, min(conv_id) AS first_id FROM conversations WHERE turn % 9 = 4 GROUP BY 1")
+def sender_drift(spark, sf):
+    m = V.messages(spark, sf).where("sender IN ('human', 'assistant')")
+    return json_lines.unknown_senders(m.withColumn("sender", F.when(F.col("pos") % 9 == 4, F.concat(F.lit("bot-"), (F.col("id") % 3).cast("string"))).otherwise(F.col("sender"))))

@@ -74,7 +74,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = f"{base}/out/all" if mode == "complete" else f"{base}/out"
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)  # without the batch's number
 
 
 def flush(stream: DataFrame, path: str, every: str = "250 milliseconds"):

@@ -63,6 +63,51 @@ def complete_sessions(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("session").applyInPandasWithState(step, "session long, chunks long, best double", "seen long, best double", "append", "NoTimeout")
 
 
+def complete_or_expired(chunks: DataFrame, wait: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """complete_sessions() of chunks (session, expected, sim, at) whose state ends: a session that isn't whole ``wait`` after its last chunk, by the watermark, is given as it is, with complete false, and forgotten.
+
+    Sessions are (session, chunks, best, complete). What is held is two numbers for each session that is open.
+    """
+    held_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+
+    def step(key, parts, state):
+        if state.hasTimedOut:
+            seen, best = state.get
+            state.remove()
+            yield pd.DataFrame({"session": [key[0]], "chunks": [seen], "best": [best], "complete": [False]})
+            return
+        seen, best = state.get if state.exists else (0, float("-inf"))
+        expected, last = 0, 0
+        for pdf in parts:
+            seen, best, expected = seen + len(pdf), max(best, float(pdf["sim"].max())), max(expected, int(pdf["expected"].max()))
+            last = max(last, int(pdf["at"].max().timestamp() * 1000))
+        if seen >= expected:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"session": [key[0]], "chunks": [seen], "best": [best], "complete": [True]})
+        else:
+            state.update((seen, best))
+            state.setTimeoutTimestamp(max(last + held_ms, state.getCurrentWatermarkMs() + 1))
+
+    marked = chunks.withWatermark("at", late)
+    return marked.groupBy("session").applyInPandasWithState(step, "session long, chunks long, best double, complete boolean", "seen long, best double", "append", "EventTimeTimeout")
+
+
+def ring(events: DataFrame, key: str = "source", size: int = 500) -> DataFrame:
+    """(key, n, messages): how many events (key, pos, message) of each key there were, and its last ``size`` messages by pos, anew for each key that got some; what is held for a key never grows beyond that."""
+
+    def step(k, parts, state):
+        n, kept = (state.get[0], list(zip(state.get[1], state.get[2], strict=True))) if state.exists else (0, [])
+        for pdf in parts:
+            n += len(pdf)
+            kept = sorted([*kept, *zip(pdf["pos"].tolist(), pdf["message"].tolist(), strict=True)])[-size:]
+        pos, messages = [p for p, _ in kept], [m for _, m in kept]
+        state.update((n, pos, messages))
+        yield pd.DataFrame({key: [k[0]], "n": [n], "messages": [messages]})
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} string, n long, messages array<string>", "n long, pos array<long>, messages array<string>", "update", "NoTimeout")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and give its result as a table in the shared folder."""
     spark = stream.sparkSession

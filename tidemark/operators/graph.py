@@ -28,8 +28,15 @@ def _folder(spark: SparkSession) -> str:
 _made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def tidy(f):
-    """``f`` (spark, ...) -> DataFrame; the intermediate tables that it made and that its result doesn't read are deleted at its end. No other call's tables are touched."""
+    """``f`` (spark, ...) -> DataFrame; the intermediate tables that it made and that its result doesn't read are deleted at its end. No other call's tables are touched, so calls may be repeated or run side by side."""
 
     @functools.wraps(f)
     def run(spark, *args):
@@ -37,10 +44,7 @@ def tidy(f):
         try:
             out = f(spark, *args)
             read = " ".join(out.inputFiles())
-            for path in _made.get():
-                if path.rpartition("/")[2] not in read:
-                    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-                    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            discard(spark, [p for p in _made.get() if p.rpartition("/")[2] not in read])
         finally:
             _made.reset(token)
         return out
@@ -48,13 +52,17 @@ def tidy(f):
     return run
 
 
-def fresh_folder(spark: SparkSession) -> str:
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+def note_made(path: str) -> str:
+    """Tell the tidy() call around, if there is one, of an intermediate table."""
     if _made.get() is not None:
         _made.get().append(path)
     return path
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    return note_made(f"{_folder(spark)}/{uuid.uuid4().hex}")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, however often it is read, and nothing is lost with an executor."""
     path = fresh_folder(df.sparkSession)

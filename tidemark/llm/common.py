@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextvars
-import functools
 import tempfile
 import uuid
 
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import discard, note_made, tidy
+
 #: Text bytes that a kernel holds at once; a single longer document is a slice of its own.
 SLICE_BYTES = 2 << 20
 
@@ -29,40 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths of the intermediate tables made in this thread's call of a tidy() function; None outside of one.
-_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete intermediate tables that nothing reads any more."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def tidy(f):
-    """``f`` (spark, ...) -> DataFrame; the intermediate tables that it made and that its result doesn't read are deleted at its end. No other call's tables are touched, so calls may be repeated or run side by side."""
-
-    @functools.wraps(f)
-    def run(spark, *args):
-        token = _made.set([])
-        try:
-            out = f(spark, *args)
-            read = " ".join(out.inputFiles())
-            discard(spark, [p for p in _made.get() if p.rpartition("/")[2] not in read])
-        finally:
-            _made.reset(token)
-        return out
-
-    return run
-
-
 def fresh_path(spark: SparkSession, tag: str, lasting: bool = False) -> str:
     """A new path in the shared folder. ``lasting``: it is for files that are results (archives, token files), which tidy() leaves alone."""
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    if not lasting and _made.get() is not None:
-        _made.get().append(path)
-    return path
+    return path if lasting else note_made(path)
 
 
 #: Rows of a narrow table that a file holds at least, and files that such a table is spread over in any case.

@@ -196,3 +196,18 @@ def test_pack(spark):
         assert at <= 8
     assert packing.pack(df.limit(0), WORD).count() == 0
     assert packing.pack(df.select("doc_id", "text", F.lit(1).alias("rank"), F.lit(1).alias("bucket")), WORD).count() > 0
+
+
+def test_files_roll_within_a_partition(spark, tmp_path):
+    """Small files read back like one, in the same order, whatever their size; a file ends between slices of texts."""
+    rng = random.Random(12)
+    rows = [(k if k % 9 else None, " ".join(rng.choices(["red", "blue", "green tea", "x1"], k=rng.choice((0, 5, 40_000))))) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found, files = {}, {}
+    for size in (1 << 28, 400_000, 1):
+        folder = f"file://{tmp_path}/{size}"
+        shards = token_files.write_token_files(docs, folder, WORD, file_ids=size)
+        files[size] = shards.count()
+        found[size] = sorted((str(r["doc_id"]), r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(shards, folder).collect())
+    assert found[1 << 28] == found[400_000] == found[1] and len(found[1]) == 90
+    assert files[1] > files[1 << 28] and files[1] >= files[400_000] >= files[1 << 28]

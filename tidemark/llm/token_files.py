@@ -31,7 +31,11 @@ from .tokens import encoder
 
 MAGIC = b"BPL1"
 BLOCK_IDS = 1 << 16
-SHARDS = "shard int, path string, n_docs long, n_ids long"
+#: Ids of a file, after which a partition goes on with another one; so a file, its index and what a writer holds are bounded.
+FILE_IDS = 1 << 28
+#: Bits of a file's number within its partition.
+FILE_BITS = 20
+SHARDS = "shard long, path string, n_docs long, n_ids long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -138,19 +142,29 @@ class ShardReader:
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, mode: str = "byte") -> DataFrame:
-    """Encode ``docs`` (doc_id, text) and write one file a partition in ascending doc_id order; one row a file.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, mode: str = "byte", file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) and write files of about ``file_ids`` ids in ascending doc_id order; one row a file, whose numbers ascend in that order.
 
     The text is range-partitioned by (doc_id, its hash), so a doc_id that many rows share still spreads. File
-    names follow the partition, content is fixed by the order, and a file appears by a rename: a task that runs
-    again replaces it by the same bytes.
+    names follow the partition and the place in it, content is fixed by the order, and a file appears by a rename: a
+    task that runs again replaces its files by the same bytes.
     """
 
     def write(batches):
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        task = TaskContext.get()
+        enc, shard = encoder(tokenizer), task.partitionId() << FILE_BITS
         store, base = pafs.FileSystem.from_uri(folder)
-        part, name = f"{base}/.{shard:06d}.{TaskContext.get().taskAttemptId()}", f"{base}/{shard:06d}.bpl"
+        part = f"{base}/.{shard}.{task.taskAttemptId()}"
         writer = sink = None
+
+        def close():
+            n_docs, n_ids = writer.close()
+            sink.close()
+            name = f"{base}/{shard >> FILE_BITS:06d}-{shard & ((1 << FILE_BITS) - 1):06d}.bpl"
+            store.move(part, name)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "path": name, "n_docs": n_docs, "n_ids": n_ids}], schema=arrow_type(SHARDS))
+
+        written = 0
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 if writer is None:
@@ -161,11 +175,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 ids = np.insert(flat, np.cumsum(counts), end_id)
                 doc = piece.column("doc_id")
                 writer.add(doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), counts + 1, ids)
+                written += len(ids)
+                if written >= file_ids:
+                    yield close()
+                    writer, written, shard = None, 0, shard + 1
         if writer is not None:
-            n_docs, n_ids = writer.close()
-            sink.close()
-            store.move(part, name)
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": name, "n_docs": n_docs, "n_ids": n_ids}], schema=arrow_type(SHARDS))
+            yield close()
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)

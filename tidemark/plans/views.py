@@ -102,10 +102,9 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("tool")).agg(F.count("*").alias("n"), F.min("event_id").alias("pos"))
 
 
-def words(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
-    """(doc, source, tokens), written unless it is read ``once``: texts are cut to words once, however often a query reads them."""
-    keep = (lambda df: df) if once else written
-    return keep(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", tokens(F.col("text")).alias("tokens")))
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, source, tokens), written: texts are cut to words once, also where one query explodes them (Spark asks for an exploded list's size before, which would cut each text again)."""
+    return written(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", tokens(F.col("text")).alias("tokens")))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

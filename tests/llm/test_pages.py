@@ -117,6 +117,28 @@ def test_the_wrapper_decides(spark):
     assert len(alone) > 900
 
 
+@pytest.mark.parametrize("n", [3, 40])
+def test_bare_parts_are_told_apart_by_what_they_hold(spark, n):
+    """Nothing but divs without names: menu, notice (on some pages), article, cards, footer; lists in some articles."""
+    rng = random.Random(n)
+    rows, want = [], {}
+    for i in range(n):
+        title, first, second = (random_words(rng, k) for k in (4, 40, 60))
+        listed = ["one", "two"] if i % 3 == 0 else []
+        inner = f"<h1>{title}</h1><p>{first}</p>" + (f"<ul>{''.join(f'<li>{x}</li>' for x in listed)}</ul>" if listed else "") + f"<p>{second}</p>"
+        menu = "<div><ul><li><a>home</a></li><li><a>news</a></li></ul></div>"
+        notice = "<div>buy now</div>" if i % 2 else ""
+        cards = "<div><ul>" + "".join(f"<li><a>{random_words(rng, 3)}</a></li>" for _ in range(4)) + "</ul></div>"
+        rows.append((i, "https://bare.example/a", f"<body>{menu}{notice}<div>{inner}</div>{cards}<div>&copy; all of us</div></body>"))
+        want[i] = " ".join([title, first, *listed, second])
+    assert {r["page_id"]: r["text"] for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
+def test_bare_parts_that_hold_the_same_are_one_group():
+    same = wrappers.fold(wrappers.parse("<div><p>a</p></div><div><p>b <b>c</b></p></div><div><h1>x</h1><p>y</p><p>z</p></div>"))
+    assert wrappers.shape(same) == "<>(<div><p>#SLOT(<b>c)?)+<div><h1>x(<p>#SLOT)+"
+
+
 @pytest.mark.parametrize("n", [1, 2, 10, 1000])
 def test_strings_that_only_repeat_stay(spark, n):
     """Lines of the author and of the desk, on hosts of any size, with the title around them or not."""

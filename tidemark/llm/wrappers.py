@@ -3,7 +3,8 @@
 A page becomes a tree of tokens: elements (tag with class and id, names with digits dropped) and text. Pages of a host
 are aligned one after another with the host's wrapper so far. Where they differ, the mismatch is resolved without
 unions: text that differs becomes a slot, elements on one side only become optional, and neighbours (or runs of up to
-four elements) that repeat become one repeated group. Each part of the wrapper knows how much text and linked text it
+four elements) that repeat become one repeated group. Parts of one tag and name (bare divs, say) are neighbours of one
+group, or are aligned, only if they hold like elements. Each part of the wrapper knows how much text and linked text it
 holds over all pages, and each text the few strings that are frequent there, so template words are known within a
 repeated group, too. Partial wrappers of parts of a host are merged by the same alignment, so a host of any size is
 spread over tasks and every task holds one wrapper at a time; a part with very many different optional children
@@ -31,6 +32,7 @@ import hashlib
 import html as html_lib
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,6 +75,9 @@ HEAD_WORDS = {"header", "masthead", "topbar", "head"}
 CALL_WORDS = {"share", "subscribe", "newsletter", "advertisement", "cookies", "login", "signup", "follow", "print", "comment", "comments", "related"}
 MOST_CALL = 8
 DEEPEST = 200
+#: Parts of one sig are told apart by what they hold: neighbours are one group from ALIKE, parts of two pages may be aligned from MEET.
+PARTS = {"div", "section", "article", "main", "aside", "header", "footer", "nav", "form", "center"}
+ALIKE, MEET = 0.6, 0.3
 WRAPPERS = "host string, wrapper string"
 #: Wrappers go to every task while all of them together are this small, else by a join on the host; what comes out is the same.
 MOST_BROADCAST = 8 << 20
@@ -86,11 +91,11 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9_+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 class Node:
     """An element or text of a page or wrapper. ``n`` pages (or repeats) were seen, with ``chars`` of text, ``linked`` of it in links; ``often``: frequent strings of a text, by hash."""
 
-    __slots__ = ("sig", "kind", "kids", "n", "chars", "linked", "optional", "repeated", "text", "often")
+    __slots__ = ("sig", "kind", "kids", "n", "chars", "linked", "optional", "repeated", "text", "often", "held")
 
     def __init__(self, sig: str, kind: str = "", kids=None, n=1, chars=0, linked=0, optional=False, repeated=False, text=None, often=None):
         self.sig, self.kind, self.kids, self.n, self.chars, self.linked = sig, kind, kids if kids is not None else [], n, chars, linked
-        self.optional, self.repeated, self.text, self.often = optional, repeated, text, often
+        self.optional, self.repeated, self.text, self.often, self.held = optional, repeated, text, often, None
 
     @property
     def tag(self) -> str:
@@ -192,6 +197,25 @@ def parse(page: str) -> Node:
     return root
 
 
+def _holds(node: Node) -> frozenset[str]:
+    """What a part mostly holds, two levels deep: tags of blocks, links and text, however often; the same for a page and its wrapper."""
+    if node.held is None:
+
+        def kept(of: Node) -> list[Node]:
+            return [k for k in of.kids if (k.text is None or not k.text.isspace() if k.sig == "#" else k.tag == "a" or k.tag in BLOCK - VOID) and 2 * k.n >= of.n]
+
+        node.held = frozenset(x for k in kept(node) for x in (k.tag, *(f"{k.tag} {c.tag}" for c in kept(k))))
+    return node.held
+
+
+def likeness(a: Node, b: Node) -> float:
+    """1 for parts that hold the same, 0 for parts that share nothing; other elements and texts of one sig are always alike."""
+    if a.tag not in PARTS:
+        return 1.0
+    x, y = _holds(a), _holds(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
 def fold(page: Node) -> Node:
     """The page as a wrapper of its own: counts of text, neighbours that repeat as one group. A string counts once a page."""
     out = _fold(page, False)
@@ -215,7 +239,7 @@ def _fold(node: Node, link: bool) -> Node:
             new = Node("#", chars=len(text), linked=len(text) if link else 0, text=text if len(text) <= 200 else None, often={string_hash(text): 1})
         else:
             new = _fold(k, link)
-        if kids and kids[-1].sig == new.sig:
+        if kids and kids[-1].sig == new.sig and likeness(kids[-1], new) >= ALIKE:
             kids[-1] = merge(kids[-1], new)
             kids[-1].repeated = True
         else:
@@ -224,7 +248,7 @@ def _fold(node: Node, link: bool) -> Node:
         i, kept = 0, []
         while i < len(kids):
             run = kids[i : i + size]
-            if len(kept) >= size and len(run) == size and [k.sig for k in kept[-size:]] == [k.sig for k in run]:
+            if len(kept) >= size and len(run) == size and all(x.sig == y.sig and likeness(x, y) >= ALIKE for x, y in zip(kept[-size:], run, strict=True)):
                 for j in range(size):
                     kept[j - size] = merge(kept[j - size], run[j])
                     kept[j - size].repeated = True
@@ -262,16 +286,24 @@ def _general(kids: list[Node]) -> list[Node]:
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
-    """Align two sequences by a longest common subsequence of sigs; what stands on one side only becomes optional."""
+    """Align two sequences by a longest common subsequence of sigs; what stands on one side only becomes optional. Parts whose sig is there more than once are aligned by what they hold."""
     general = {k.sig: i for i, k in enumerate(a) if ".*" in k.sig} | {k.sig: i for i, k in enumerate(b) if ".*" in k.sig}
     if general or len(a) > MOST_KIDS or len(b) > MOST_KIDS:
         if not general or any(k.sig != "#" and ".*" not in k.sig for k in (*a, *b)) or [k.sig for k in a] != [k.sig for k in b]:
             return _general([*a, *b])
+    often = {s for side in (a, b) for s, n in Counter(k.sig for k in side if k.tag in PARTS).items() if n > 1}
+
+    def gain(x: Node, y: Node) -> float:
+        if x.sig != y.sig:
+            return 0
+        like = likeness(x, y) if x.sig in often else 1
+        return like if like >= MEET else 0
+
     lo = 0
-    while lo < min(len(a), len(b)) and a[lo].sig == b[lo].sig:
+    while lo < min(len(a), len(b)) and gain(a[lo], b[lo]) == 1:
         lo += 1
     hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi].sig == b[-1 - hi].sig:
+    while hi < min(len(a), len(b)) - lo and gain(a[-1 - hi], b[-1 - hi]) == 1:
         hi += 1
     head = [merge(x, y) for x, y in zip(a[:lo], b[:lo], strict=True)]
     tail = [merge(x, y) for x, y in zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)]
@@ -280,10 +312,12 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].sig == b[j].sig else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = max(best[i + 1][j], best[i][j + 1])
+            if a[i].sig == b[j].sig and (g := gain(a[i], b[j])):
+                best[i][j] = max(best[i][j], best[i + 1][j + 1] + g)
     out, i, j = [], 0, 0
     while i < n or j < m:
-        if i < n and j < m and a[i].sig == b[j].sig:
+        if i < n and j < m and a[i].sig == b[j].sig and (g := gain(a[i], b[j])) and best[i][j] == best[i + 1][j + 1] + g:
             out.append(merge(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
@@ -450,8 +484,11 @@ def _take(page: Node, wrapper: Node | None, inside: bool, parts: list[tuple[str
         match = None
         if wrapper is not None:
             found = places.get(k.sig) or places.get(f"{k.tag}.*{k.kind}")
-            if found:  # the next of its kind; a repeated group starts over
-                at = next((i for i in found if i >= at), found[0])
+            if found:  # that which holds most like it; of equal ones the next; a repeated group starts over
+                if len(found) > 1 and k.tag in PARTS:
+                    at = max(found, key=lambda i: (likeness(wrapper.kids[i], k), i >= at, -i))
+                else:
+                    at = next((i for i in found if i >= at), found[0])
                 match = wrapper.kids[at]
         if k.sig == "#":
             if inside:

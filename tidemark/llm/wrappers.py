@@ -245,10 +245,16 @@ def _fold(node: Node, link: bool) -> Node:
         else:
             kids.append(new)
     for size in range(2, 5):
-        i, kept = 0, []
-        while i < len(kids):
+        if len(kids) < 2 * size:
+            break
+        i, kept, last = 0, [], len(kids) - size
+        while i <= last:
+            if i < size or kids[i].sig != kept[-size].sig:
+                kept.append(kids[i])
+                i += 1
+                continue
             run = kids[i : i + size]
-            if len(kept) >= size and len(run) == size and all(x.sig == y.sig and likeness(x, y) >= ALIKE for x, y in zip(kept[-size:], run, strict=True)):
+            if all(x.sig == y.sig and likeness(x, y) >= ALIKE for x, y in zip(kept[-size:], run, strict=True)):
                 for j in range(size):
                     kept[j - size] = merge(kept[j - size], run[j])
                     kept[j - size].repeated = True
@@ -256,7 +262,7 @@ def _fold(node: Node, link: bool) -> Node:
             else:
                 kept.append(kids[i])
                 i += 1
-        kids = kept
+        kids = kept + kids[i:]
     return Node(node.sig, node.kind, kids, 1, sum(k.chars for k in kids), sum(k.linked for k in kids))
 
 
@@ -291,33 +297,37 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     if general or len(a) > MOST_KIDS or len(b) > MOST_KIDS:
         if not general or any(k.sig != "#" and ".*" not in k.sig for k in (*a, *b)) or [k.sig for k in a] != [k.sig for k in b]:
             return _general([*a, *b])
-    often = {s for side in (a, b) for s, n in Counter(k.sig for k in side if k.tag in PARTS).items() if n > 1}
+    sa, sb = [k.sig for k in a], [k.sig for k in b]
+    often = {s for side in (sa, sb) if len(set(side)) < len(side) for s, n in Counter(side).items() if n > 1 and s.partition(".")[0] in PARTS}
 
     def gain(x: Node, y: Node) -> float:
-        if x.sig != y.sig:
-            return 0
+        """What aligning two elements of one sig is worth."""
         like = likeness(x, y) if x.sig in often else 1
         return like if like >= MEET else 0
 
-    lo = 0
-    while lo < min(len(a), len(b)) and gain(a[lo], b[lo]) == 1:
+    lo, hi, most = 0, 0, min(len(a), len(b))
+    while lo < most and sa[lo] == sb[lo] and (not often or gain(a[lo], b[lo]) == 1):
         lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and gain(a[-1 - hi], b[-1 - hi]) == 1:
+    while hi < most - lo and sa[-1 - hi] == sb[-1 - hi] and (not often or gain(a[-1 - hi], b[-1 - hi]) == 1):
         hi += 1
     head = [merge(x, y) for x, y in zip(a[:lo], b[:lo], strict=True)]
     tail = [merge(x, y) for x, y in zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)]
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    a, b, sa, sb = a[lo : len(a) - hi], b[lo : len(b) - hi], sa[lo : len(a) - hi], sb[lo : len(b) - hi]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
+    worth: dict[tuple[int, int], float] = {}
     for i in range(n - 1, -1, -1):
+        row, under, sig = best[i], best[i + 1], sa[i]
         for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1])
-            if a[i].sig == b[j].sig and (g := gain(a[i], b[j])):
-                best[i][j] = max(best[i][j], best[i + 1][j + 1] + g)
+            down, right = under[j], row[j + 1]
+            row[j] = down if down >= right else right
+            if sig == sb[j]:
+                g = worth[i, j] = gain(a[i], b[j]) if often else 1
+                if g and under[j + 1] + g > row[j]:
+                    row[j] = under[j + 1] + g
     out, i, j = [], 0, 0
     while i < n or j < m:
-        if i < n and j < m and a[i].sig == b[j].sig and (g := gain(a[i], b[j])) and best[i][j] == best[i + 1][j + 1] + g:
+        if i < n and j < m and worth.get((i, j)) and best[i][j] == best[i + 1][j + 1] + worth[i, j]:
             out.append(merge(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import relative
 from ..functions.kernels import chunks, line_body, line_preview, should_expand
 from ..functions.text import cut_title, ellipsis, format_bytes, format_count, format_usd, inline_html, normalize_for_hash, preview, strip_markdown, truncate
-from ..operators import cost, duplicates, lifecycle, merge, rollups, search, search_index, similarity, topics
+from ..operators import cost, duplicates, layout, lifecycle, merge, rollups, search, search_index, similarity, topics
 from ..operators import sessions as S
 from ..operators.graph import fresh_folder, tidy, written
 from ..sources import archives, fixtures, json_lines, manifests, tables
@@ -795,6 +795,12 @@ def project_plane(spark, sf):
     return topics.plane(V.vectors(spark, sf).select(F.col("vec_id").alias("doc"), "vec"))
 
 
+@query()
+def project_neighbours(spark, sf):
+    """A plane on which neighbours stay neighbours; no SQL, tests hold the neighbours and the plane to all pairs."""
+    return layout.neighbour_plane(V.vectors(spark, sf).select(F.col("vec_id").alias("doc"), "vec"))
+
+
 def _turn_lines(spark, sf):
     """(id, pos, kind, raw): each turn as a transcript line; every third turn answers with a tool call, every fifth is one string."""
     pos, text = F.col("pos"), F.col("text")

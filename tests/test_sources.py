@@ -201,3 +201,23 @@ def test_partial_results_are_those_so_far(spark, sf, tmp_path):
     query.stop()
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(activity.latest(spark, str(tmp_path / "live"))) == rows(activity.drain(stream(), "complete"))
+
+
+def test_files_are_opened_once_by_folds_and_found_at_their_depth_only(spark, tmp_path):
+    for k in range(40):
+        d = tmp_path / f"p {k}"
+        (d / "deep").mkdir(parents=True)
+        text = json.dumps({"type": "assistant", "message": {"model": "m", "content": [{"type": "tool_use", "name": "Bash"}, {"type": "tool_use", "name": 5}]}}) + "\n" + json.dumps({"type": "result", "duration_ms": k, "modelUsage": {"m": 1}})
+        for at in (d / f"{k:02d}{ID[2:]}.jsonl", d / "deep" / f"{k:02d}{ID[2:]}.jsonl", tmp_path / f"{k:02d}{ID[2:]}.jsonl"):
+            at.write_text(text)
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    lines = json_lines.transcripts(spark, str(tmp_path))
+    assert spark.conf.get(key) == before and lines.count() == 80
+    assert json_lines.transcript_files(spark, str(tmp_path)).count() == 40
+    folds = json_lines.fold_transcripts(lines)
+    logs = json_lines.fold_audit(lines.withColumnRenamed("file_id", "session_key"))
+    # folds group several times; what they group is a table, not the files
+    assert not [f for df in (folds, logs) for f in df.inputFiles() if f.endswith(".jsonl")]
+    assert {(r["model"], tuple(r["top_tools"].items())) for r in folds.collect()} == {("m", (("Bash", 1),))}
+    assert logs.agg(F.sum("duration_ms")).first()[0] == sum(range(40))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_ms
@@ -19,11 +22,52 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+@contextmanager
+def _few_listings(spark: SparkSession):
+    """Folders are listed by some tasks a core. Spark's own rule is a task a folder up to 10,000, whatever the cluster's size."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def load(reader: DataFrameReader, form: str, glob: str | list[str], path: str = "_metadata.file_path") -> DataFrame | None:
+    """The files that match, read by ``reader`` as ``form``; None if the folder they are looked for in isn't there or is empty.
+
+    Of a glob with folders in it, only the first level is listed by the driver; what is below is listed by tasks, once,
+    and paths of another depth or shape are left out. Folders below the first level whose names begin with a dot or an
+    underscore are hidden to Spark.
+    """
+    spark = reader._spark
+    parts = glob.split("/") if isinstance(glob, str) else []
+    first = next((k for k, x in enumerate(parts) if re.search(r"[*?\[{\\]", x)), len(parts))
+    below = parts[first:]
+    if len(below) < 2 or re.search(r"[\[{\\]", "/".join(below)):
+        if isinstance(glob, str) and not exists(spark, glob):
+            return None
+        with _few_listings(spark):
+            return reader.format(form).load(glob)
+    base, top = "/".join(parts[:first]) or "/", "/".join(parts[: first + 1])
+    if not exists(spark, top):
+        return None
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    depth = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).depth() + len(below)
+    shape = "".join("/" + "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in x) for x in below) + "$"
+    with _few_listings(spark):
+        found = reader.format(form).option("recursiveFileLookup", True).option("pathGlobFilter", below[-1]).load(top)
+    levels = F.size(F.split(F.regexp_replace(F.col(path), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")) - 1
+    return found.where((levels == depth) & F.col(path).rlike(shape))
+
+
 def files(spark: SparkSession, glob: str) -> DataFrame:
     """(path, mtime_ms) of the files that match; their contents aren't read."""
-    if not exists(spark, glob):
+    found = load(spark.read, "binaryFile", glob, "path")
+    if found is None:
         return spark.createDataFrame([], "path string, mtime_ms double")
-    return spark.read.format("binaryFile").load(glob).select("path", (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"))
+    return found.select("path", (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"))
 
 
 def read_lines(spark: SparkSession, glob: str | list[str]) -> DataFrame:
@@ -35,10 +79,11 @@ def read_lines(spark: SparkSession, glob: str | list[str]) -> DataFrame:
     files have, or the cluster's size), a line falls out of its split's range and the job fails instead of numbering
     lines wrongly. Lines end with a line feed, with or without a carriage return before it.
     """
-    if not (glob if isinstance(glob, list) else exists(spark, glob)):
+    found = load(spark.read.option("lineSep", "\n"), "text", glob) if glob else None
+    if found is None:
         return spark.createDataFrame([], "path string, mtime_ms double, line_no long, raw string")
     split = ["path", "split_start", "split_length"]
-    lines = spark.read.option("lineSep", "\n").text(glob).select(
+    lines = found.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split_start"), F.col("_metadata.file_block_length").alias("split_length"), (F.unix_micros("_metadata.file_modification_time") / 1000.0).alias("mtime_ms"),
         F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("raw"),
     )
@@ -100,11 +145,9 @@ def _filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def tool_calls(parsed: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, top_tools): how often each named tool is called in assistant messages."""
-    blocks = F.try_variant_get("v", "$.message.content", "array<variant>")
-    calls = parsed.where(_string("v", "$.type") == "assistant").select(key, F.explode(blocks).alias("b")).where((_string("b", "$.type") == "tool_use") & (F.length(_string("b", "$.name")) > 0))
-    counts = calls.groupBy(key, _string("b", "$.name").alias("name")).agg(F.count("*").alias("n"))
+def tool_calls(called: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, top_tools): how often each tool of ``called`` (key, tools: names called by a line) is called."""
+    counts = called.select(key, F.explode("tools").alias("name")).groupBy(key, "name").agg(F.count("*").alias("n"))
     return counts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("top_tools"))
 
 
@@ -124,16 +167,18 @@ def fold_transcripts(lines: DataFrame) -> DataFrame:
     usable = F.filter(blocks, lambda b: (F.coalesce(_string_of(b, "$.type"), F.lit("")) != "tool_result") & (F.length(block_text(b)) > 0))
     text = F.when(F.schema_of_variant(content) == "STRING", _filled(_string("v", "$.message.content"))).otherwise(block_text(F.get(usable, F.lit(0))))
     model = _filled(_string("v", "$.message.model"))
+    tools = F.transform(F.filter(blocks, lambda b: (_string_of(b, "$.type") == "tool_use") & (F.length(_string_of(b, "$.name")) > 0)), lambda b: _string_of(b, "$.name"))
     # Columns are named before they are used, so each is computed once
     df = df.select(
-        "file_id", "mtime_ms", "line_no", "malformed", "v", kind.alias("kind"), ts.alias("ts"), _string("v", "$.cwd").alias("cwd"), F.when(kind == "user", text).alias("text"), F.when(kind == "assistant", model).alias("model"),
+        "file_id", "mtime_ms", "line_no", "malformed", F.when(kind == "assistant", tools).alias("tools"), kind.alias("kind"), ts.alias("ts"), _string("v", "$.cwd").alias("cwd"), F.when(kind == "user", text).alias("text"), F.when(kind == "assistant", model).alias("model"),
         _filled(_string("v", "$.aiTitle")).alias("title"), _filled(_string("v", "$.lastPrompt")).alias("prompt"),
         *[F.when(kind == "assistant", _number("v", f"$.message.usage.{p}")).alias(n) for n, p in (("t_in", "input_tokens"), ("t_out", "output_tokens"), ("t_new", "cache_creation_input_tokens"), ("t_read", "cache_read_input_tokens"))],
     )
     at = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
     of = lambda k, c: F.when(F.col("kind") == k, F.col(c))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
-    df = df.withColumn("title", of("ai-title", "title")).withColumn("prompt", of("last-prompt", "prompt"))
+    # written, as three groupings follow, which would each open every file again
+    df = written(df.withColumn("title", of("ai-title", "title")).withColumn("prompt", of("last-prompt", "prompt")))
     folds = df.groupBy("file_id").agg(
         F.max("mtime_ms").alias("mtime_ms"), F.count_if(F.col("kind") == "user").alias("user_turns"), F.count_if(F.col("kind") == "assistant").alias("assistant_turns"), F.min_by("cwd", at("cwd")).alias("cwd"),
         F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.min_by("text", at("text")).alias("first_user_text"), F.max_by("model", at("model")).alias("model"), F.max_by("title", at("title")).alias("ai_title"), F.max_by("prompt", at("prompt")).alias("last_prompt"),
@@ -167,11 +212,13 @@ def fold_audit(lines: DataFrame, key: str = "session_key") -> DataFrame:
     df = parse(lines)
     result = _string("v", "$.type") == "result"
     usage = F.when(result & F.schema_of_variant(F.try_variant_get("v", "$.modelUsage", "variant")).startswith("OBJECT"), F.json_object_keys(F.get_json_object("raw", "$.modelUsage")))
-    df = df.withColumn("keys", usage).withColumn("kind", _string("v", "$.type"))
-    total = lambda p, kind="long": F.when(F.count_if(F.col("kind") == "result") > 0, F.coalesce(F.sum(F.when(F.col("kind") == "result", _number("v", p, kind))), F.lit(0).cast(kind)))
+    numbers = {"duration_ms": "long", "duration_api_ms": "long", "num_turns": "long", "total_cost_usd": "double"}
+    # written, as two groupings follow, which would each open every file again
+    df = written(df.select(key, "line_no", "malformed", usage.alias("keys"), _string("v", "$.type").alias("kind"), *[F.when(result, _number("v", f"$.{n}", t)).alias(n) for n, t in numbers.items()]))
+    total = lambda n: F.when(F.count_if(F.col("kind") == "result") > 0, F.coalesce(F.sum(n), F.lit(0).cast(numbers[n]))).alias(n)
     folds = df.groupBy(key).agg(
-        F.count_if(F.col("kind") == "user").alias("user_turns"), F.count_if(F.col("kind") == "assistant").alias("assistant_turns"), F.count_if(F.col("kind") == "result").alias("result_lines"), total("$.duration_ms").alias("duration_ms"), total("$.duration_api_ms").alias("duration_api_ms"),
-        total("$.num_turns").alias("num_turns"), total("$.total_cost_usd", "double").alias("total_cost_usd"), F.max_by(F.element_at("keys", -1), F.when(F.size("keys") > 0, F.col("line_no"))).alias("last_result_model"), F.count_if("malformed").alias("malformed"),
+        F.count_if(F.col("kind") == "user").alias("user_turns"), F.count_if(F.col("kind") == "assistant").alias("assistant_turns"), F.count_if(F.col("kind") == "result").alias("result_lines"), total("duration_ms"), total("duration_api_ms"),
+        total("num_turns"), total("total_cost_usd"), F.max_by(F.element_at("keys", -1), F.when(F.size("keys") > 0, F.col("line_no"))).alias("last_result_model"), F.count_if("malformed").alias("malformed"),
     )
     exploded = df.select(key, "line_no", F.posexplode("keys").alias("at", "k")).withColumn("at", F.struct("line_no", "at"))
     return folds.join(ordered_distinct(exploded, key, F.col("k"), "at", "model_usage_keys"), key, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .json_lines import UUID, _number, _string, exists
+from .json_lines import UUID, _number, _string, load
 
 #: Fields without which a manifest is refused.
 COWORK_REQUIRED = ("sessionId", "createdAt", "lastActivityAt", "title", "cwd")
@@ -24,10 +24,10 @@ _SHAPE = f"/{UUID}/{UUID}/local_[0-9a-f-]{{36}}\\.json$"
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime_ms, raw, v) of root/<uuid>/<uuid>/local_<id>.json; other files and folders are left out; v is null if it is no JSON."""
-    glob = f"{root.rstrip('/')}/*/*/local_*.json"
-    if not exists(spark, glob):
+    found = load(spark.read.option("wholetext", True), "text", f"{root.rstrip('/')}/*/*/local_*.json")
+    if found is None:
         return spark.createDataFrame([], "path string, mtime_ms double, raw string").withColumn("v", F.try_parse_json("raw"))
-    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), (F.unix_micros("_metadata.file_modification_time") / 1000.0).alias("mtime_ms"), F.col("value").alias("raw"))
+    files = found.select(F.col("_metadata.file_path").alias("path"), (F.unix_micros("_metadata.file_modification_time") / 1000.0).alias("mtime_ms"), F.col("value").alias("raw"))
     return files.where(F.col("path").rlike(_SHAPE)).withColumn("v", F.try_parse_json("raw"))
 
 

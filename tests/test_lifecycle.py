@@ -61,3 +61,18 @@ def test_bursts_equal_a_greedy_loop(spark, monkeypatch, most):
     got = lifecycle.bursts(frame(spark, rows)).collect()
     assert sorted((str(r["project"]), r["start"], r["end"], r["n"]) for r in got) == sorted(want)
     assert lifecycle.bursts(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_rounds_of_large_projects_send_no_table_through_the_driver(spark, monkeypatch):
+    from tidemark.operators import lifecycle
+
+    day = 86_400_000
+    rows = spark.range(900).selectExpr("id % 2 AS project", f"id div 3 * {day} AS started_at", "id AS pos")
+    folded = sorted(map(tuple, lifecycle.bursts(rows).collect()))
+    monkeypatch.setattr(lifecycle, "MOST_FOLDED", 10)
+    plans, keep = [], lifecycle.written
+    monkeypatch.setattr(lifecycle, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    found = lifecycle._jumped(lifecycle._placed(rows).where("_before = _earlier AND _within - _before >= 3").selectExpr("project", "_seg", "started_at AS start", "_end AS end", "_within - _before AS n"))
+    assert sorted(map(tuple, found.collect())) == folded and len(folded) > 10
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)

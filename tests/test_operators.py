@@ -352,3 +352,17 @@ def test_rescue_and_coherence(spark):
     terms = spark.createDataFrame([("c", "spark", 1), ("c", "join", 2), ("d", "cat", 1)], "cluster string, token string, rank int")
     got = topics.coherence(terms, tokens).collect()
     assert [(r["cluster"], round(r["coherence"], 6)) for r in got] == [("c", round(float(np.log(2)), 6))]
+
+
+def test_kmeans_labels_shuffle_no_row_a_document_and_token(spark):
+    from tidemark.operators import topics
+
+    placed = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, None)], "doc int, cluster string")
+    tokens = spark.createDataFrame([(1, ["x", "y", "y"]), (1, ["y", "z"]), (2, ["x", "z"]), (3, ["y"]), (4, []), (5, ["q"])], "doc int, tokens array<string>")
+    labels = topics.kmeans_labels(placed, tokens, 2)
+    assert {r["cluster"]: (r["label"], r["size"]) for r in labels.collect()}["a"] == ("y + x", 3)
+    assert {r["cluster"]: (r["label"], r["size"]) for r in labels.collect()}["b"] == ("", 1)
+    import re
+
+    grouped = re.findall(r"Aggregate \[([^\]]*)\]", labels._jdf.queryExecution().optimizedPlan().toString())
+    assert grouped and not any("doc" in g and "token" in g for g in grouped)

@@ -236,8 +236,11 @@ def kmeans(docs: DataFrame, k: int, seed: int = 42, max_iter: int = 100, min_siz
 
 def kmeans_labels(placed: DataFrame, tokens: DataFrame, k: int = TERMS) -> DataFrame:
     """(cluster, label, size) for ``placed`` (doc, cluster) and ``tokens`` (doc, tokens, repeats allowed): the tokens of most members, then most uses, then by name."""
-    used = placed.join(tokens, "doc").select("cluster", "doc", F.explode("tokens").alias("token"))
-    counts = used.groupBy("cluster", "doc", "token").agg(F.count("*").alias("n")).groupBy("cluster", "token").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    # one list a document, so its distinct tokens are known within its row, and only sums by cluster and token are shuffled
+    listed = placed.join(tokens, "doc").groupBy("cluster", "doc").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    mark = lambda c, docs, uses: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(docs).alias("docs"), F.lit(uses).alias("uses")))
+    used = listed.select("cluster", F.inline(F.concat(mark(F.array_distinct("tokens"), 1, 0), mark(F.col("tokens"), 0, 1))))
+    counts = used.groupBy("cluster", "token").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("total"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("docs"), F.desc("total"), "token"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= k)
     names = top.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda s: s["token"]), " + ").alias("label"))

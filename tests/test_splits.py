@@ -116,3 +116,18 @@ def test_ranks_and_neighbours_of_the_whole_list(spark, axis):
     assert {r["id"]: tuple(r)[1:] for r in got.collect()} == want
     assert [r["id"] for r in search.nth_page(df, axis, 3).orderBy("rank").collect()] == ids[100:150]
     assert search.neighbours(df.limit(0), axis).count() == 0 and search.neighbours(df.where("pos = 7"), axis).collect()[0][1:] == (1, None, None)
+
+
+def test_structure_takes_few_bytes_a_byte_and_equals_a_plain_reader():
+    rng = random.Random(3)
+    for inside in (False, True):
+        text = "".join(odd(rng) for _ in range(200)).encode()
+        data, outside, change = json_arrays._structure(text, inside)
+        assert outside.nbytes + change.nbytes <= 2 * len(text)
+        quoted, escaped, expected = inside, False, []
+        for b in text:
+            mark = b == ord('"') and not escaped
+            quoted ^= mark
+            escaped = b == ord("\\") and not escaped
+            expected.append((not quoted, 0 if quoted else (b in b"[{") - (b in b"]}")))
+        assert list(zip(outside.tolist(), change.tolist())) == expected

@@ -37,9 +37,12 @@ def _structure(text: bytes, inside: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     """The bytes, which of them are outside of strings, and each one's change of depth."""
     data = np.frombuffer(text, np.uint8)
     quotes = (data == _QUOTE) & ~_escaped(data)
-    outside = (np.cumsum(quotes) + inside) % 2 == 0
+    # a byte for each byte of the text: a chunk's arrays are a few times its size
+    outside = np.logical_xor.accumulate(quotes) == inside
     opens, closes = (data == b"["[0]) | (data == b"{"[0]), (data == b"]"[0]) | (data == b"}"[0])
-    return data, outside, np.where(outside, opens.astype(np.int64) - closes, 0)
+    change = opens.view(np.int8) - closes.view(np.int8)
+    change[~outside] = 0
+    return data, outside, change
 
 
 def _chunks(batches):
@@ -50,7 +53,7 @@ def _chunks(batches):
     def chunk():
         text = b"}".join([*held, b""])
         quotes = int(((d := np.frombuffer(text, np.uint8)) == _QUOTE)[~_escaped(d)].sum())
-        deltas = [int(_structure(text, inside)[2].sum()) for inside in (False, True)]
+        deltas = [int(_structure(text, inside)[2].sum(dtype=np.int64)) for inside in (False, True)]
         return pa.record_batch([pa.array([c]) for c in (at[0], at[1], seq, quotes, *deltas)] + [pa.array([text], pa.binary())], names=["path", "split_start", "seq", "quotes", "from_outside", "from_inside", "text"])
 
     for batch in batches:
@@ -87,9 +90,11 @@ HEAD, WHOLE, TAIL, BEHIND = 0, 1, 2, 3
 def _parts(batches):
     """path, split_start, seq, part, k, text of chunks with their states; k counts whole elements."""
     for batch in batches:
-        for path, start, seq, inside, depth, text in zip(*(batch.column(c).to_pylist() for c in ("path", "split_start", "seq", "inside", "depth", "text")), strict=True):
+        for i in range(batch.num_rows):  # one chunk at a time
+            path, start, seq, inside, depth, text = (batch.column(c)[i].as_py() for c in ("path", "split_start", "seq", "inside", "depth", "text"))
             data, outside, change = _structure(text, inside)
-            level = depth + np.cumsum(change)
+            level = np.cumsum(change, dtype=np.int32)
+            level += depth
             cuts = np.flatnonzero(outside & (((data == _COMMA) & (level == 1)) | ((change == 1) & (level == 1)) | ((change == -1) & (level == 0))))
             ended = np.flatnonzero((change == -1) & (level == 0))  # behind the end nothing counts, like the last piece's brace
             if len(ended):

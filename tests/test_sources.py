@@ -221,3 +221,12 @@ def test_files_are_opened_once_by_folds_and_found_at_their_depth_only(spark, tmp
     assert not [f for df in (folds, logs) for f in df.inputFiles() if f.endswith(".jsonl")]
     assert {(r["model"], tuple(r["top_tools"].items())) for r in folds.collect()} == {("m", (("Bash", 1),))}
     assert logs.agg(F.sum("duration_ms")).first()[0] == sum(range(40))
+
+
+def test_hidden_folders_are_read(spark, tmp_path):
+    for name in ("_a/_b/.c", "x/.y/_z", "x/y/z", "x/y"):
+        (tmp_path / name).mkdir(parents=True, exist_ok=True)
+        (tmp_path / name / "audit.jsonl").write_text("{}")
+    found = json_lines.audits(spark, str(tmp_path))
+    assert sorted(r["session_key"] for r in found.collect()) == [".c", "_z", "z"]
+    assert json_lines.audit_files(spark, str(tmp_path)).count() == 3

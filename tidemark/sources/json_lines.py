@@ -37,9 +37,8 @@ def _few_listings(spark: SparkSession):
 def load(reader: DataFrameReader, form: str, glob: str | list[str], path: str = "_metadata.file_path") -> DataFrame | None:
     """The files that match, read by ``reader`` as ``form``; None if the folder they are looked for in isn't there or is empty.
 
-    Of a glob with folders in it, only the first level is listed by the driver; what is below is listed by tasks, once,
-    and paths of another depth or shape are left out. Folders below the first level whose names begin with a dot or an
-    underscore are hidden to Spark.
+    Of a glob with folders in it, the driver finds the folders, hidden ones too; their files are listed by tasks, once,
+    and paths of another depth or shape are left out.
     """
     spark = reader._spark
     parts = glob.split("/") if isinstance(glob, str) else []
@@ -50,7 +49,7 @@ def load(reader: DataFrameReader, form: str, glob: str | list[str], path: str =
             return None
         with _few_listings(spark):
             return reader.format(form).load(glob)
-    base, top = "/".join(parts[:first]) or "/", "/".join(parts[: first + 1])
+    base, top = "/".join(parts[:first]) or "/", "/".join(parts[:-1])
     if not exists(spark, top):
         return None
     at = spark._jvm.org.apache.hadoop.fs.Path(base)

@@ -15,6 +15,8 @@ THRESHOLD, MARGIN = 0.40, 0.02
 MOST_CENTROIDS, MOST_PACKED = 50_000, 1_000
 #: Vectors a block of the blocked join, reference vectors, groups of a block's partners, and what angles and products may be off by rounding.
 BLOCK, REFERENCES, PARTNERS, ROUNDING = 2048, 64, 8, 1e-9
+#: Bits of a block's number within its run of blocks: a task holds a run, and each partner moves once to all of it.
+RUN_BITS = 4
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,18 +45,26 @@ def nearest(vectors: DataFrame, centroids: DataFrame, threshold: float = THRESHO
     return top.select(doc, F.when(sure, best["centroid_id"]).alias("label"), best["sim"].alias("similarity"), second["sim"].alias("runner_up"))
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64()), ("n", pa.int64())])
+_PAIRS_DDL = "a long, b long, sim double, n long"
 
 
-def _products(pos: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, threshold: float) -> pa.RecordBatch:
-    """Pairs at the threshold of two sets of vectors, each pair once, the lower position first."""
+def _products(pos: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, threshold: float, clusters: bool = False) -> pa.RecordBatch:
+    """Pairs at the threshold of two sets of vectors, each pair once, the lower position first. ``clusters``: vectors that follow one another with one position are one; the least product of theirs counts, n tells of how many."""
     s = x @ y.T
+    one, counts = pos is others, [np.ones(len(pos), np.int64), np.ones(len(others), np.int64)]
+    if clusters:
+        for axis, at in enumerate((pos, others)):
+            first = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
+            counts[axis] = np.diff(first, append=len(at))
+            if len(first) < len(at):
+                s = np.minimum.reduceat(s, first, axis=axis)
+        pos, others = (at[np.cumsum(c) - c] for at, c in zip((pos, others), counts, strict=True))
     i, j = np.nonzero(s >= threshold)
-    a, b, sim = pos[i], others[j], s[i, j]
-    if pos is others:
-        keep = a < b
-        a, b, sim = a[keep], b[keep], sim[keep]
-    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sim)], schema=_PAIRS)
+    keep = pos[i] < others[j] if one else pos[i] != others[j]
+    i, j = i[keep], j[keep]
+    a, b = pos[i], others[j]
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s[i, j]), pa.array(counts[0][i] * counts[1][j])], schema=_PAIRS)
 
 
 def _matrix(column) -> np.ndarray:
@@ -73,17 +83,37 @@ def pairs_within(vectors: DataFrame, threshold: float) -> DataFrame:
     (blocks()); pairs of blocks that are provably too far apart by the triangle inequality of angles never meet, the
     others are matrix products. Vectors without ``within`` have no pairs.
     """
-    vectors = vectors.where("within IS NOT NULL")
+    return _within(vectors, threshold).select("a", "b", "sim")
+
+
+def cluster_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) for clusters a < b of ``members`` (cluster, pos, vec), all pairs of whose members have a dot product of ``threshold`` or more; sim is the least.
+
+    Clusters are named by their first member and lie together in blocks, so pairs of members are reduced where they
+    are multiplied; what a cluster over several blocks gives is put together by the counts of its pairs.
+    """
+    found = _within(members.select(F.lit(0).alias("within"), "pos", "cluster", "vec"), threshold).groupBy("a", "b").agg(F.min("sim").alias("sim"), F.sum("n").alias("n"))
+    sizes = written(members.groupBy("cluster").agg(F.count("*").alias("n")))
+    of = lambda side: sizes.select(F.col("cluster").alias(side), F.col("n").alias(f"n{side}"))
+    return found.join(of("a"), "a").join(of("b"), "b").where("n = na * nb").select("a", "b", "sim")
+
+
+def _within(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim, n): pairs_within() with positions, or with clusters instead of them where there is a column of that name."""
+    vectors, clusters = vectors.where("within IS NOT NULL"), "cluster" in vectors.columns
     if vectors.count() > BLOCK:
         cut = blocks(vectors)
-        return products(cut, near_blocks(cut, threshold), threshold)
+        return products(cut, near_blocks(cut, threshold), threshold, clusters)
+    if clusters:
+        vectors = vectors.select("within", F.col("cluster").alias("pos"), "vec")
 
     def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
         pos = table.column("pos").to_numpy()
         x = _matrix(table.column("vec"))
-        return pa.Table.from_batches([_products(pos, x, pos, x, threshold)])
+        return pa.Table.from_batches([_products(pos, x, pos, x, threshold, clusters)])
 
-    return vectors.groupBy("within").applyInArrow(whole, "a long, b long, sim double")
+    return vectors.groupBy("within").applyInArrow(whole, _PAIRS_DDL)
 
 
 def _angles(x: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +127,7 @@ def blocks(vectors: DataFrame) -> DataFrame:
     """Vectors in blocks of up to BLOCK: within, block, cell (the nearest reference vector), lo and hi (the block's least and greatest angle to each reference), top (the greatest length), and the packed pos and vecs. Written.
 
     References are REFERENCES vectors by hash. Vectors are sorted by cell and angle to its reference, so blocks are
-    rings around references.
+    rings around references. With a column cluster, that stands for pos, and all members lie where the first one lies.
     """
     # REFERENCES rows
     chosen = vectors.orderBy(F.xxhash64("pos"), "pos").select("vec").limit(REFERENCES).collect()
@@ -137,6 +167,9 @@ def blocks(vectors: DataFrame) -> DataFrame:
 
     kind = vectors.schema["within"].dataType.simpleString()
     placed = vectors.select("within", F.col("pos").cast("long").alias("pos"), "vec").mapInArrow(place, f"within {kind}, pos long, vec {vectors.schema['vec'].dataType.simpleString()}, cell int, near double")
+    if "cluster" in vectors.columns:
+        firsts = placed.join(vectors.where("pos = cluster").select("pos"), "pos", "left_semi").select(F.col("pos").alias("cluster"), "cell", "near")
+        placed = vectors.join(firsts, "cluster").select("within", F.col("cluster").alias("pos"), "vec", "cell", "near")
     order = ["within", "cell", "near", "pos"]
     return written(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, f"within {kind}, block long, cell int, lo array<double>, hi array<double>, top double, pos binary, vecs binary"))
 
@@ -162,27 +195,29 @@ def near_blocks(cut: DataFrame, threshold: float) -> DataFrame:
     return one.select(F.col("a.block").alias("a"), F.col("b.block").alias("b"))
 
 
-def products(cut: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of vectors of pairs of blocks. A block moves once to each group of its partners, and before them, so a task holds two blocks."""
-    near = written(near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTNERS)).cast("int")))
-    load = cut.select(F.col("block").alias("b"), "pos", "vecs")
-    others = near.join(load, "b").select("a", "part", F.lit(1).alias("turn"), "b", "pos", "vecs")
-    own = near.select("a", "part").distinct().join(load.withColumnRenamed("b", "a"), "a").select("a", "part", F.lit(0).alias("turn"), F.col("a").alias("b"), "pos", "vecs")
+def products(cut: DataFrame, near: DataFrame, threshold: float, clusters: bool = False) -> DataFrame:
+    """(a, b, sim, n): the pairs of vectors of pairs of blocks. A run of blocks moves once to each group of its partners, and before them, and a partner once to a run, so a task holds a run and a block."""
+    run = F.shiftright("a", RUN_BITS).alias("run")
+    near = written(near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTNERS)).cast("int")).select(run, "part", "a", "b"))
+    load = cut.select("block", "pos", "vecs")
+    asked = near.groupBy("run", "part", "b").agg(F.collect_list("a").alias("met"))
+    others = asked.join(load.withColumnRenamed("block", "b"), "b").select("run", "part", F.lit(1).alias("turn"), "met", "b", "pos", "vecs")
+    own = near.select("run", "part", F.col("a").alias("b")).distinct().join(load.withColumnRenamed("block", "b"), "b").select("run", "part", F.lit(0).alias("turn"), F.array().cast("array<long>").alias("met"), "b", "pos", "vecs")
 
     def multiply(batches):
-        mine = None
+        group, mine = None, {}
         for batch in batches:
-            for a, turn, b, pos, vecs in zip(*(batch.column(c).to_pylist() for c in ("a", "turn", "b", "pos", "vecs")), strict=True):
+            for run, part, turn, met, b, pos, vecs in zip(*(batch.column(c).to_pylist() for c in ("run", "part", "turn", "met", "b", "pos", "vecs")), strict=True):
+                if (run, part) != group:
+                    group, mine = (run, part), {}
                 at = np.frombuffer(pos, np.int64)
                 x = np.frombuffer(vecs, np.float64).reshape(len(at), -1)
                 if turn == 0:
-                    mine = (at, x)
-                elif a == b:
-                    yield _products(*mine, *mine, threshold)
-                else:
-                    yield _products(*mine, at, x, threshold)
+                    mine[b] = (at, x)
+                for a in met:
+                    yield _products(*mine[a], *(mine[a] if a == b else (at, x)), threshold, clusters)
 
-    return others.unionByName(own).repartition("a", "part").sortWithinPartitions("a", "part", "turn").mapInArrow(multiply, "a long, b long, sim double")
+    return others.unionByName(own).repartition("run", "part").sortWithinPartitions("run", "part", "turn").mapInArrow(multiply, _PAIRS_DDL)
 
 
 def share_excluded(vectors: DataFrame, threshold: float) -> float:

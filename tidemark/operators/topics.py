@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.kernels import cluster_id
 from ..functions.text import cut_title
 from .graph import components, written
-from .similarity import dot, mean_pool, nearest, pairs_in_blocks
+from .similarity import cluster_pairs, dot, mean_pool, nearest
 
 LINK, MIN_SIZE, TERMS, RESCUE, TOP_N, MOST_LINKED = 0.5, 3, 3, 0.30, 10, 5_000
 MIN_TOKENS, MIN_INPUTS = 3, 30
+#: Vectors by which linkage() chooses its levels, pairs a vector at the first level, and by how much more at each next one.
+SAMPLED, FIRST_PAIRS, MORE = 2_048, 16, 8
 
 
 def doc_frequency(tokens: DataFrame) -> DataFrame:
@@ -94,33 +96,69 @@ def linkage(similarities: np.ndarray, threshold: float) -> list[list[int]]:
 def complete_linkage(vectors: DataFrame, threshold: float = LINK, pos: str = "pos") -> DataFrame:
     """(pos, cluster): the clusters of ``vectors`` (pos, vec), named by their first member.
 
-    Equal vectors are one to begin with. A cluster needs all its pairs at the threshold, so it never leaves a
-    connected component of the graph of such pairs: components are found first. One of up to MOST_LINKED vectors is
-    clustered in a task of its own; larger ones are clustered by Spark, in rounds over their pairs.
+    Equal vectors are one to begin with. More than MOST_LINKED are clustered at falling levels, the last of which is the
+    threshold: merges come in falling order, so those at a level need pairs at it only, and at the next level pairs of
+    members are reduced to pairs of clusters where they are multiplied. Any levels give the same clusters; theirs are
+    chosen so that a level has few pairs.
     """
     given = vectors.select(F.col(pos).cast("long").alias("pos"), "vec")
     vectors = written(given.groupBy("vec").agg(F.min("pos").alias("pos"), F.collect_list("pos").alias("same")))
-    pairs = written(pairs_in_blocks(vectors.select("pos", "vec"), threshold - 1e-6))
+    members = vectors.select("pos", F.col("pos").alias("cluster"), "vec")
+    for level in _levels(vectors, threshold):
+        members = written(_linked(members, level, level == threshold))
+    placed = vectors.join(members.select("pos", "cluster"), "pos").select(F.explode("same").alias("pos"), "cluster")
+    return given.select("pos").join(placed, "pos", "left").select("pos", F.coalesce("cluster", "pos").alias("cluster"))
+
+
+def _levels(vectors: DataFrame, threshold: float) -> list[float]:
+    """Falling similarities, the last the threshold. A sample of vectors tells how many pairs there are above each; that is only about time."""
+    n = vectors.where("vec IS NOT NULL").count()
+    if n <= MOST_LINKED:
+        return [threshold]
+    x = np.array([r["vec"] for r in vectors.where("vec IS NOT NULL").orderBy(F.xxhash64("pos"), "pos").select("vec").limit(SAMPLED).collect()], np.float64)
+    sims = np.sort((x @ x.T)[np.triu_indices(len(x), 1)])[::-1]
+    every, found, wanted = int((sims >= threshold).sum()), [], 2 * FIRST_PAIRS / n * len(sims)
+    while wanted * 3 < every:
+        level = float(np.float32(sims[int(wanted)]))
+        if level > threshold and (not found or level < found[-1]):
+            found.append(level)
+        wanted = max(wanted, 1) * MORE
+    return [*found, threshold]
+
+
+def _linked(members: DataFrame, level: float, last: bool) -> DataFrame:
+    """``members`` (pos, cluster, vec) with their clusters merged down to ``level``.
+
+    A cluster needs all its pairs at the level, so it never leaves a connected component of the graph of such pairs:
+    components are found first. One of up to MOST_LINKED vectors is clustered in a task of its own; larger ones are
+    clustered by Spark, in rounds over their pairs.
+    """
+    pairs = written(cluster_pairs(members, level - 1e-6))
     roots = written(components(pairs.select("a", "b")))
-    large = roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > MOST_LINKED).select("root")
-    linked = roots.join(large, "root", "left_anti").join(vectors.select(F.col("pos").alias("v"), "vec"), "v")
+    sizes = members.groupBy(F.col("cluster").alias("v")).agg(F.count("*").alias("n"))
+    large = written(roots.join(sizes, "v").groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > MOST_LINKED).select("root"))
+    linked = roots.join(large, "root", "left_anti").join(members.select(F.col("cluster").alias("v"), "vec"), "v")
 
     def cluster(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("v").to_numpy())
+        order = np.argsort(table.column("v").to_numpy(), kind="stable")
         at = table.column("v").to_numpy()[order]
         x = np.stack([np.asarray(v, np.float64) for v in table.column("vec").to_pylist()])[order]
-        groups = linkage(x @ x.T, threshold)
+        at, first = np.unique(at, return_index=True)
+        sims = x @ x.T
+        if len(first) < len(x):
+            sims = np.minimum.reduceat(np.minimum.reduceat(sims, first, axis=0), first, axis=1)
         name = np.empty(len(at), np.int64)
-        for g in groups:
+        for g in linkage(sims, level):
             name[g] = at[min(g)]
         return pa.table({"pos": pa.array(at, pa.int64()), "cluster": pa.array(name)})
 
     found = linked.groupBy("root").applyInArrow(cluster, "pos long, cluster long")
     if not large.isEmpty():
         inner = pairs.join(roots.join(large, "root", "left_semi").select(F.col("v").alias("a")), "a", "left_semi")
-        found = found.unionByName(linkage_rounds(inner.where(F.col("sim") >= threshold)))
-    placed = vectors.join(found, "pos", "left").select(F.explode("same").alias("pos"), F.coalesce("cluster", "pos").alias("cluster"))
-    return given.select("pos").join(placed, "pos", "left").select("pos", F.coalesce("cluster", "pos").alias("cluster"))
+        # sims are compared as floats, and a level is one; only pairs at the threshold itself are cut by their doubles
+        at_level = F.col("sim") >= F.lit(level) if last else F.col("sim").cast("float") >= F.lit(level).cast("float")
+        found = found.unionByName(linkage_rounds(inner.where(at_level)))
+    return members.join(found.toDF("cluster", "new"), "cluster", "left").select("pos", F.coalesce("new", "cluster").alias("cluster"), "vec")
 
 
 def linkage_rounds(pairs: DataFrame) -> DataFrame:
@@ -141,15 +179,14 @@ def linkage_rounds(pairs: DataFrame) -> DataFrame:
         merges = written(agreed.select((-F.col("key.x")).alias("a"), (-F.col("key.y")).alias("b")))
         into = merges.select(F.col("b").alias("old"), F.col("a").alias("new"))
         names = written(names.join(into.toDF("cluster", "new"), "cluster", "left").select("pos", F.coalesce("new", "cluster").alias("cluster")))
-        before = sizes
-        sizes = written(before.join(into.toDF("pos", "new"), "pos", "left").groupBy(F.coalesce("new", "pos").alias("pos")).agg(F.sum("n").alias("n")))
+        renamed = sizes.join(into.toDF("pos", "new"), "pos", "left").select("pos", "n", F.coalesce("new", "pos").alias("new"))
+        sizes = written(renamed.groupBy(F.col("new").alias("pos")).agg(F.sum("n").alias("n")))
+        parts = written(renamed.join(sizes.toDF("new", "s"), "new"))
         moved = live
         for side in ("a", "b"):
-            parts = before.join(into.toDF("pos", "new"), "pos", "left").select(F.col("pos").alias(side), F.coalesce("new", "pos").alias(f"n{side}"), F.col("n").alias(f"w{side}"))
-            moved = moved.join(parts, side)
-        moved = moved.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "sim", (F.col("wa") * F.col("wb")).alias("n"))
-        joined = moved.groupBy("a", "b").agg(F.min("sim").alias("sim"), F.sum("n").alias("n"))
-        whole = joined.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(F.col("n") == F.col("sa") * F.col("sb"))
+            moved = moved.join(parts.select(F.col("pos").alias(side), F.col("new").alias(f"n{side}"), F.col("n").alias(f"w{side}"), F.col("s").alias(f"s{side}")), side)
+        moved = moved.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "sim", (F.col("wa") * F.col("wb")).alias("n"), (F.col("sa") * F.col("sb")).alias("s"))
+        whole = moved.groupBy("a", "b").agg(F.min("sim").alias("sim"), F.sum("n").alias("n"), F.max("s").alias("s")).where("n = s")
         live = written(whole.select("a", "b", "sim"))
     return names
 

@@ -2,8 +2,8 @@
 
 Neighbour descent: a document's neighbours are likely neighbours of each other. Each round gathers, for every
 document, its neighbours and a sample of those it is a neighbour of (2 k + 1 vectors at most, whatever the data), and
-compares them with one another; each keeps its best k. It starts from runs of documents that lie next to one another
-along random directions. The layout starts from the principal components; rounds move documents towards the mean of
+compares them with one another; each keeps its best k, and pairs below a document's k-th best don't leave the task. It
+starts from runs of documents that lie next to one another along random directions. The layout starts from the principal components; rounds move documents towards the mean of
 their neighbours and away from documents that share a random bucket with them. All of it is joins, grouping and
 shuffles over edges and two numbers a document; no task holds more than a batch, a bucket or a group of 2 k + 1 vectors.
 Hubs are no hot group: a document that many have as neighbour is sampled as a pivot and pre-ranked in tasks.
@@ -30,6 +30,8 @@ NEIGHBOURS, ROUNDS, STARTS, GAIN = 15, 10, 4, 0.0005
 STEPS, PUSHED_BY, PUSH = 30, 12, 5.0
 #: The curve 1 / (1 + A d^(2 B)) of a least distance of 0.1, and the longest part of a step.
 A, B, LONGEST = 1.577, 0.8951, 4.0
+#: What two computations of one similarity may differ by.
+ROUNDING = 1e-12
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
 
@@ -42,13 +44,17 @@ def unit_vectors(docs: DataFrame) -> DataFrame:
     return lengths.select("pos", F.transform("vec", lambda x: x / F.col("_n")).alias("vec"))
 
 
-def _local_join(pos: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
-    """The best k others of each member of a small group."""
+def _local_join(pos: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[np.ndarray]:
+    """The best k others of each member of a small group, if they are as near as its ``floor``."""
     s = x @ x.T
     np.fill_diagonal(s, -np.inf)
     k = min(k, len(pos) - 1)
     best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return [np.repeat(pos, k), pos[best].ravel(), np.take_along_axis(s, best, axis=1).ravel()]
+    found = [np.repeat(pos, k), pos[best].ravel(), np.take_along_axis(s, best, axis=1).ravel()]
+    if floor is None:
+        return found
+    keep = found[2] >= np.repeat(floor, k) - ROUNDING
+    return [c[keep] for c in found]
 
 
 def _emit(found: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -88,19 +94,19 @@ def _starts(vectors: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def _group_pairs(members: DataFrame, k: int) -> DataFrame:
-    """Pairs within the groups of ``members`` (g, pos, vec), read in order of g, one group held at a time."""
+    """Pairs within the groups of ``members`` (g, pos, vec, floor) that are as near as a member's floor, read in order of g, one group held at a time."""
 
     def compare(batches):
         group, held = None, []
 
         def close():
-            pos, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            return [_local_join(pos, x, k)] if len(pos) > 1 else []
+            pos, x, floor = (np.concatenate(c) for c in zip(*held, strict=True))
+            return [_local_join(pos, x, k, floor)] if len(pos) > 1 else []
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, pos, x = batch.column("g").to_numpy(), batch.column("pos").to_numpy(), _matrix(batch.column("vec"))
+            g, pos, x, floor = batch.column("g").to_numpy(), batch.column("pos").to_numpy(), _matrix(batch.column("vec")), batch.column("floor").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(g)) + 1), len(g)]
             found = []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -108,13 +114,13 @@ def _group_pairs(members: DataFrame, k: int) -> DataFrame:
                     found += close()
                     held = []
                 group = g[lo]
-                held.append((pos[lo:hi], x[lo:hi]))
+                held.append((pos[lo:hi], x[lo:hi], floor[lo:hi]))
             if found:
                 yield _emit(found)
         if held and (found := close()):
             yield _emit(found)
 
-    return members.repartition("g").sortWithinPartitions("g").select("g", "pos", "vec").mapInArrow(compare, "a long, b long, sim double")
+    return members.repartition("g").sortWithinPartitions("g").select("g", "pos", "vec", "floor").mapInArrow(compare, "a long, b long, sim double")
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -137,7 +143,10 @@ def neighbours(docs: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed:
         back = edges.select(F.col("b").alias("g"), F.col("a").alias("pos")).withColumn("_r", sample).where(F.col("_r") <= k).drop("_r")
         own = vectors.select(F.col("pos").alias("g"), "pos")
         members = edges.select(F.col("a").alias("g"), F.col("b").alias("pos")).unionByName(back).unionByName(own).distinct()
-        edges = written(_best(_group_pairs(members.join(vectors, "pos"), k).unionByName(edges.select("a", "b", "sim")), k))
+        # a document's k-th best; what is below can't become one of its best
+        floors = edges.where(F.col("rank") == k).select(F.col("a").alias("pos"), F.col("sim").alias("floor"))
+        held = vectors.join(floors, "pos", "left").select("pos", "vec", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+        edges = written(_best(_group_pairs(members.join(held, "pos"), k).unionByName(edges.select("a", "b", "sim")), k))
         was, total = total, edges.agg(F.sum("sim")).first()[0] or 0.0
         if total - was <= GAIN * abs(total):
             break
@@ -178,7 +187,8 @@ def neighbour_plane(docs: DataFrame, k: int = NEIGHBOURS, steps: int = STEPS, se
     for t in range(steps):
         alpha = 1 - t / steps
         other = at.select(F.col("pos").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-        drawn = edges.join(other, "b").join(at.withColumnRenamed("pos", "a"), "a").groupBy(F.col("a").alias("pos"))
+        # edges aren't sorted: places are looked up in hash tables of a partition's documents
+        drawn = edges.join(other.hint("shuffle_hash"), "b").join(at.withColumnRenamed("pos", "a").hint("shuffle_hash"), "a").groupBy(F.col("a").alias("pos"))
         pulls = drawn.agg((F.sum(F.col("w") * _clipped(pull * dx)) / F.sum("w")).alias("px"), (F.sum(F.col("w") * _clipped(pull * dy)) / F.sum("w")).alias("py"))
         bucket = lambda c, t=t: F.pmod(F.xxhash64(c, F.lit(seed + t)), F.lit(buckets))
         met = at.withColumn("g", bucket("pos")).join(other.withColumn("g", bucket("b")), "g").where("pos <> b")

@@ -162,13 +162,9 @@ def search_sessions(spark, sf):
 @query(f"WITH {_FOUND} SELECT query, id, title, source FROM f JOIN s USING (id)")
 def search_indexed(spark, sf):
     """The same by posting lists; sessions without turns too."""
-    folder, found = fresh_folder(spark), None
-    columns = ("title", "preview", "project")
-    search_index.write(_searchable(spark, sf), folder, columns)
-    for q in _SEARCHES:
-        one = search_index.search(spark, folder, q, columns).select(F.lit(q).alias("query"), "id", "title", "source")
-        found = one if found is None else found.unionByName(one)
-    return found
+    folder, columns = fresh_folder(spark), ("title", "preview", "project")
+    search_index.write(_searchable(spark, sf).select("id", "source", *columns, "top_tools", "models_used"), folder, columns)
+    return search_index.search_all(spark, folder, list(_SEARCHES), columns).select("query", "row.id", "row.title", "row.source")
 
 
 @query(f"WITH s AS ({V.SESSIONS}) SELECT id, project, topic, source FROM s WHERE user_turns > 0 AND source IN ('cloud', 'cli-direct') AND (project IN ('project-2', 'project-12') OR coalesce(project, '') = '') AND topic IN ('~topic-0', '~topic-2')")

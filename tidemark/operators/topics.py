@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import cluster_id
@@ -14,6 +16,8 @@ from .similarity import cluster_pairs, dot, mean_pool, nearest
 
 LINK, MIN_SIZE, TERMS, RESCUE, TOP_N, MOST_LINKED = 0.5, 3, 3, 0.30, 10, 5_000
 MIN_TOKENS, MIN_INPUTS = 3, 30
+#: Pairs a vector that MOST_LINKED vectors may have in one task; rounds after which rest components are looked for.
+PAIRS_A_VECTOR, ROUNDS = 400, 6
 #: Vectors by which linkage() chooses its levels, pairs a vector at the first level, and by how much more at each next one.
 SAMPLED, FIRST_PAIRS, MORE = 2_048, 16, 8
 
@@ -93,6 +97,36 @@ def linkage(similarities: np.ndarray, threshold: float) -> list[list[int]]:
     return [m for m in members if m]
 
 
+def merged(a: np.ndarray, b: np.ndarray, sims: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, clusters) by linkage_rounds() in one task, over pairs a < b of clusters of na and nb vectors."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = np.split(at.reshape(-1), 2)
+    size, cluster = np.ones(len(names), np.int64), np.arange(len(names))
+    size[a], size[b] = na, nb
+    while len(a):
+        rank = np.empty(len(a), np.int64)
+        rank[np.lexsort((b, a, -sims))] = np.arange(len(a))
+        best = np.full(len(names), len(a))
+        np.minimum.at(best, a, rank)
+        np.minimum.at(best, b, rank)
+        merge = (best[a] == rank) & (best[b] == rank)
+        into, grown = np.arange(len(names)), size.copy()
+        into[b[merge]] = a[merge]
+        grown[a[merge]] += size[b[merge]]
+        cluster = into[cluster]
+        n = size[a] * size[b]
+        a, b = np.sort(np.stack([into[a], into[b]]), axis=0)
+        order = np.lexsort((b, a))
+        order = order[a[order] != b[order]]
+        a, b, sims, n, size = a[order], b[order], sims[order], n[order], grown
+        first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
+        if len(first):
+            a, b, sims, n = a[first], b[first], np.minimum.reduceat(sims, first), np.add.reduceat(n, first)
+        whole = n == size[a] * size[b]
+        a, b, sims = a[whole], b[whole], sims[whole]
+    return names, names[cluster]
+
+
 def complete_linkage(vectors: DataFrame, threshold: float = LINK, pos: str = "pos") -> DataFrame:
     """(pos, cluster): the clusters of ``vectors`` (pos, vec), named by their first member.
 
@@ -103,9 +137,9 @@ def complete_linkage(vectors: DataFrame, threshold: float = LINK, pos: str = "po
     """
     given = vectors.select(F.col(pos).cast("long").alias("pos"), "vec")
     vectors = written(given.groupBy("vec").agg(F.min("pos").alias("pos"), F.collect_list("pos").alias("same")))
-    members = vectors.select("pos", F.col("pos").alias("cluster"), "vec")
-    for level in _levels(vectors, threshold):
-        members = written(_linked(members, level, level == threshold))
+    members, levels = vectors.select("pos", F.col("pos").alias("cluster"), "vec"), _levels(vectors, threshold)
+    for k, level in enumerate(levels):
+        members = written(_linked(members, level, level == threshold, k == 0))
     placed = vectors.join(members.select("pos", "cluster"), "pos").select(F.explode("same").alias("pos"), "cluster")
     return given.select("pos").join(placed, "pos", "left").select("pos", F.coalesce("cluster", "pos").alias("cluster"))
 
@@ -126,69 +160,91 @@ def _levels(vectors: DataFrame, threshold: float) -> list[float]:
     return [*found, threshold]
 
 
-def _linked(members: DataFrame, level: float, last: bool) -> DataFrame:
-    """``members`` (pos, cluster, vec) with their clusters merged down to ``level``.
-
-    A cluster needs all its pairs at the level, so it never leaves a connected component of the graph of such pairs:
-    components are found first. One of up to MOST_LINKED vectors is clustered in a task of its own; larger ones are
-    clustered by Spark, in rounds over their pairs.
-    """
-    pairs = written(cluster_pairs(members, level - 1e-6))
-    roots = written(components(pairs.select("a", "b")))
-    sizes = members.groupBy(F.col("cluster").alias("v")).agg(F.count("*").alias("n"))
-    large = written(roots.join(sizes, "v").groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > MOST_LINKED).select("root"))
-    linked = roots.join(large, "root", "left_anti").join(members.select(F.col("cluster").alias("v"), "vec"), "v")
-
-    def cluster(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("v").to_numpy(), kind="stable")
-        at = table.column("v").to_numpy()[order]
-        x = np.stack([np.asarray(v, np.float64) for v in table.column("vec").to_pylist()])[order]
-        at, first = np.unique(at, return_index=True)
-        sims = x @ x.T
-        if len(first) < len(x):
-            sims = np.minimum.reduceat(np.minimum.reduceat(sims, first, axis=0), first, axis=1)
-        name = np.empty(len(at), np.int64)
-        for g in linkage(sims, level):
-            name[g] = at[min(g)]
-        return pa.table({"pos": pa.array(at, pa.int64()), "cluster": pa.array(name)})
-
-    found = linked.groupBy("root").applyInArrow(cluster, "pos long, cluster long")
-    if not large.isEmpty():
-        inner = pairs.join(roots.join(large, "root", "left_semi").select(F.col("v").alias("a")), "a", "left_semi")
-        # sims are compared as floats, and a level is one; only pairs at the threshold itself are cut by their doubles
-        at_level = F.col("sim") >= F.lit(level) if last else F.col("sim").cast("float") >= F.lit(level).cast("float")
-        found = found.unionByName(linkage_rounds(inner.where(at_level)))
+def _linked(members: DataFrame, level: float, last: bool, single: bool) -> DataFrame:
+    """``members`` (pos, cluster, vec) with their clusters, at first of a ``single`` vector, merged down to ``level``."""
+    # sims are compared as floats, and a level is one; only pairs at the threshold itself are cut by their doubles
+    at_level = F.col("sim") >= F.lit(level) if last else F.col("sim").cast("float") >= F.lit(level).cast("float")
+    found = linkage_rounds(cluster_pairs(members, level - 1e-6, single).where(at_level))
     return members.join(found.toDF("cluster", "new"), "cluster", "left").select("pos", F.coalesce("new", "cluster").alias("cluster"), "vec")
 
 
 def linkage_rounds(pairs: DataFrame) -> DataFrame:
-    """(pos, cluster) by complete linkage over ``pairs`` (a < b, sim) at the threshold, for components of any size.
+    """(pos, cluster) by complete linkage over ``pairs`` (a < b, sim, na, nb: sizes, else 1) at the threshold, of clusters that get another name.
 
     Two clusters that are each other's best partner (greatest least similarity, then the lowest pair) may merge at
-    any time: complete linkage is reducible, so no later merge gives either a better one. Each round merges all such
-    pairs at once. A pair of clusters stays a pair only while all pairs of their members are pairs.
+    any time: complete linkage is reducible, so no later merge gives either a better one. Nor a lower pair of the same
+    similarity, as a merged cluster has the name of one of its own, and both were partners. Each round merges all such
+    pairs at once. A pair of clusters stays a pair only while all pairs of their members are pairs, and a cluster never
+    leaves a connected component of what is left: few pairs, or small components after some rounds, are merged in a
+    task each, in the same way.
     """
-    live = written(pairs.select("a", "b", F.col("sim").cast("float").alias("sim")))
-    sizes = written(live.select(F.explode(F.array("a", "b")).alias("pos")).distinct().select("pos", F.lit(1).cast("long").alias("n")))
-    names = sizes.select("pos", F.col("pos").alias("cluster"))
-    while not live.isEmpty():
-        key = F.struct("sim", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))
-        both = live.select(F.explode(F.array("a", "b")).alias("v"), key.alias("key"))
-        best = written(both.groupBy("v").agg(F.max("key").alias("key")))
-        agreed = best.groupBy("key").agg(F.count("*").alias("n")).where("n = 2")
-        merges = written(agreed.select((-F.col("key.x")).alias("a"), (-F.col("key.y")).alias("b")))
-        into = merges.select(F.col("b").alias("old"), F.col("a").alias("new"))
-        names = written(names.join(into.toDF("cluster", "new"), "cluster", "left").select("pos", F.coalesce("new", "cluster").alias("cluster")))
-        renamed = sizes.join(into.toDF("pos", "new"), "pos", "left").select("pos", "n", F.coalesce("new", "pos").alias("new"))
-        sizes = written(renamed.groupBy(F.col("new").alias("pos")).agg(F.sum("n").alias("n")))
-        parts = written(renamed.join(sizes.toDF("new", "s"), "new"))
-        moved = live
-        for side in ("a", "b"):
-            moved = moved.join(parts.select(F.col("pos").alias(side), F.col("new").alias(f"n{side}"), F.col("n").alias(f"w{side}"), F.col("s").alias(f"s{side}")), side)
-        moved = moved.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "sim", (F.col("wa") * F.col("wb")).alias("n"), (F.col("sa") * F.col("sb")).alias("s"))
-        whole = moved.groupBy("a", "b").agg(F.min("sim").alias("sim"), F.sum("n").alias("n"), F.max("s").alias("s")).where("n = s")
-        live = written(whole.select("a", "b", "sim"))
-    return names
+    if "na" not in pairs.columns:
+        pairs = pairs.select("a", "b", "sim", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"))
+    live = written(pairs.select("a", "b", F.col("sim").cast("float").alias("sim"), "na", "nb"))
+    most, rounds, merges = PAIRS_A_VECTOR * MOST_LINKED, 0, []
+    while left := live.count():
+        if left <= most // 20:
+            merges.append(written(_merged_in_tasks(live.withColumn("part", F.lit(0)))))
+            break
+        if rounds % (ROUNDS + 1) == ROUNDS:
+            small, live = _split(live, most)
+            merges.append(written(_merged_in_tasks(small)))
+        else:
+            merges.append(written(_best_pairs(live)))
+            live = written(_after(live, merges[-1]))
+        rounds += 1
+    return _ends(live.sparkSession, merges)
+
+
+def _split(live: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``live`` pairs those in components of up to ``most`` pairs, with a part for all of a component, and the others."""
+    rooted = written(live.join(components(live.select("a", "b")).select(F.col("v").alias("a"), "root"), "a"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > most).select("root"))
+    small = rooted.join(large, "root", "left_anti")
+    parts = 1 + small.count() * 8 // most
+    return small.withColumn("part", F.pmod(F.xxhash64("root"), F.lit(parts)).cast("int")).drop("root"), written(rooted.join(large, "root", "left_semi").select(live.columns))
+
+
+def _merged_in_tasks(pairs: DataFrame) -> DataFrame:
+    """(old, new) of all clusters of ``pairs`` (a, b, sim, na, nb, part: that of all pairs of a component) that get another name."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        names, clusters = merged(*(table.column(c).to_numpy() for c in ("a", "b", "sim", "na", "nb")))
+        moved = names != clusters
+        return pa.table({"old": pa.array(names[moved], pa.int64()), "new": pa.array(clusters[moved], pa.int64())})
+
+    return pairs.select("part", "a", "b", "sim", "na", "nb").groupBy("part").applyInArrow(merge, "old long, new long")
+
+
+def _best_pairs(live: DataFrame) -> DataFrame:
+    """(old, new, n: the merged cluster's size) of the pairs of ``live`` that are the best of both."""
+    key = F.struct("sim", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"), "na", "nb")
+    best = live.select(F.explode(F.array("a", "b")).alias("v"), key.alias("key")).groupBy("v").agg(F.max("key").alias("key"))
+    agreed = best.groupBy("key").agg(F.count("*").alias("n")).where("n = 2")
+    return agreed.select((-F.col("key.y")).alias("old"), (-F.col("key.x")).alias("new"), (F.col("key.na") + F.col("key.nb")).alias("n"))
+
+
+def _after(live: DataFrame, merges: DataFrame) -> DataFrame:
+    """``live`` pairs of clusters after ``merges`` (old, new, n: size): those all pairs of whose members were pairs."""
+    moved = merges.select(F.explode(F.array("old", "new")).alias("v"), F.col("new").alias("to"), F.col("n").alias("size"))
+    for side in ("a", "b"):
+        live = live.join(moved.toDF(side, f"to_{side}", f"size_{side}"), side, "left")
+    ends = [F.struct(F.coalesce(f"to_{c}", c).alias("v"), F.coalesce(f"size_{c}", f"n{c}").alias("n")) for c in "ab"]
+    pairs = live.select("sim", (F.col("na") * F.col("nb")).alias("n"), F.array_sort(F.array(*ends)).alias("e")).where("e[0].v <> e[1].v")
+    named = pairs.select(F.expr("e[0].v AS a"), F.expr("e[1].v AS b"), "sim", "n", F.expr("e[0].n AS na"), F.expr("e[1].n AS nb"))
+    whole = named.groupBy("a", "b").agg(F.min("sim").alias("sim"), F.sum("n").alias("n"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return whole.where("n = na * nb").select("a", "b", "sim", "na", "nb")
+
+
+def _ends(spark: SparkSession, merges: list[DataFrame]) -> DataFrame:
+    """(pos, cluster): where chains of ``merges`` (old, new) end; a cluster goes into another once, so each doubling of steps halves what is left of a chain."""
+    if not merges:
+        return spark.createDataFrame([], "pos long, cluster long")
+    steps = written(reduce(DataFrame.unionByName, [m.select("old", "new") for m in merges]))
+    for _ in range((len(merges) - 1).bit_length()):
+        steps = written(steps.join(steps.toDF("new", "next"), "new", "left").select("old", F.coalesce("next", "new").alias("new")))
+    return steps.toDF("pos", "cluster")
 
 
 def discover(docs: DataFrame, threshold: float = LINK, min_size: int = MIN_SIZE, terms: int = TERMS, label: str = "terms") -> DataFrame:

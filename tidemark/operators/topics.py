@@ -17,7 +17,7 @@ from .similarity import cluster_pairs, dot, mean_pool, nearest
 LINK, MIN_SIZE, TERMS, RESCUE, TOP_N, MOST_LINKED = 0.5, 3, 3, 0.30, 10, 5_000
 MIN_TOKENS, MIN_INPUTS = 3, 30
 #: Pairs a vector that MOST_LINKED vectors may have in one task; rounds after which rest components are looked for.
-PAIRS_A_VECTOR, ROUNDS = 400, 6
+PAIRS_A_VECTOR, ROUNDS = 400, 12
 #: Vectors by which linkage() chooses its levels, pairs a vector at the first level, and by how much more at each next one.
 SAMPLED, FIRST_PAIRS, MORE = 2_048, 16, 8
 
